@@ -102,7 +102,12 @@ INPUTS: dict[str, str] = {
           WHEN 4 THEN 'm' WHEN 5 THEN 'kN*m' WHEN 6 THEN 'MPa' WHEN 7 THEN 'degC' WHEN 8 THEN 'apples'
           WHEN 9 THEN 'm10' WHEN 10 THEN 'ha' ELSE 'N/mm2' END) AS quantity FROM {lineitem}""",
     "vectors": "SELECT vec_id AS row_id, embedding, label AS cluster FROM {embeddings}",
-    "queries_texts": "SELECT item_id AS query_id, text FROM {benchmark}",
+    "questions": "SELECT item_id AS query_id, 'bench' AS code, text FROM {benchmark}",
+    "exemplars": """SELECT doc_id AS row_id, source AS code, text, concat('if(is(document.source,', source,
+        ')),then(obligation(is(document.lang,', lang, ')))') AS rule FROM {documents}""",
+    "candidates": """SELECT c.conv_id AS row_id, c.turn AS cand_id, c.text AS pred, f.text AS text, concat('c', CAST(c.conv_id AS STRING)) AS code,
+        length(c.text) % 17 / 16.0 AS score, f.text AS rule
+        FROM {conversations} c JOIN {conversations} f ON c.conv_id = f.conv_id AND f.turn = 0""",
 }
 
 

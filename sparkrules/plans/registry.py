@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from sparkrules.plans import q_curate, q_nodes, q_sample, q_text
+from sparkrules.plans import q_curate, q_nodes, q_retrieve, q_sample, q_text
 
-QUERIES = {**q_text.QUERIES, **q_curate.QUERIES, **q_sample.QUERIES, **q_nodes.QUERIES}
+QUERIES = {**q_text.QUERIES, **q_curate.QUERIES, **q_sample.QUERIES, **q_nodes.QUERIES, **q_retrieve.QUERIES}
