@@ -34,15 +34,18 @@ def _empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def parse(rule: Column) -> Column:
+def parse(rule: Column, *, then_at_top: bool = False) -> Column:
     """Rule string to flat tree, in one pass over its tokens.
 
     A bracket opens the latest node; closing brackets beyond the top are ignored; a last word that is
-    not closed is kept only at the top level.
+    not closed is kept only at the top level. ``then_at_top`` closes everything before a ``then(``.
     """
 
     def step(acc: Column, x: Column) -> Column:
         token, depth, last = x["token"], acc["depth"], acc["last"]
+        if then_at_top:
+            restart = (F.trim(token) == "then") & (F.coalesce(x["next"], F.lit("")) == "(")
+            depth = F.when(restart, 0).otherwise(depth)
         lost = x["next"].isNull() & (depth > 0)
         is_node = ~token.isin("(", ")", ",") & ~lost
         node = F.struct(depth.alias("depth"), token.alias("name"), (F.coalesce(x["next"], F.lit("")) == "(").alias("is_term"))

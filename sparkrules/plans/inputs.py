@@ -87,10 +87,9 @@ INPUTS: dict[str, str] = {
         WHEN 1 THEN concat('Option ', CAST(turn AS STRING), ': ', text)
         WHEN 2 THEN concat('The target: Option x ', text, ' Target: second')
         ELSE text END AS response FROM {conversations}""",
-    "metric_log": (
-        "SELECT user_id AS run, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, "
-        "value, event_type, event_id FROM {events}"
-    ),
+    "metric_log": "SELECT user_id AS run, event_id AS step, value, event_type FROM {events}",
+    "padded": """SELECT row_id, CASE WHEN late THEN '' ELSE pred END AS pred, CASE WHEN late THEN '' ELSE ref END AS ref FROM (
+        SELECT row_id, pred, ref, conv_id * 10 > 9 * (SELECT max(conv_id) FROM {conversations}) AS late FROM {text_pairs})""",
     "run_results": """SELECT concat('t5-base-b', CAST(4 * (user_id % 3 + 1) AS STRING), '_0.000', CAST(user_id % 6 + 1 AS STRING),
         '_beam', CAST(2 * (user_id % 3) + 1 AS STRING), '_hyper_', CASE user_id % 4 WHEN 0 THEN 'no-clause' WHEN 1 THEN 'calc-loss' ELSE 'base' END,
         '_', CASE event_type WHEN 'click' THEN 'doc' ELSE 'random' END, '_split_esp20_e20_', CAST(43 + user_id % 3 AS STRING)) AS name,
@@ -106,7 +105,7 @@ INPUTS: dict[str, str] = {
     "exemplars": """SELECT doc_id AS row_id, source AS code, text, concat('if(is(document.source,', source,
         ')),then(obligation(is(document.lang,', lang, ')))') AS rule FROM {documents}""",
     "candidates": """SELECT c.conv_id AS row_id, c.turn AS cand_id, c.text AS pred, f.text AS text, concat('c', CAST(c.conv_id AS STRING)) AS code,
-        length(c.text) % 17 / 16.0 AS score, f.text AS rule
+        CAST(length(c.text) % 17 AS DOUBLE) / 16 AS score, f.text AS rule
         FROM {conversations} c JOIN {conversations} f ON c.conv_id = f.conv_id AND f.turn = 0""",
 }
 
