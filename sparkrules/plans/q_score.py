@@ -110,8 +110,8 @@ BLEU_SQL = with_inputs(
         SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS n))),
     c AS (SELECT variant, row_id, n, gram, count(*) FILTER (WHERE side = 'p') AS p, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
     s AS (SELECT variant, n, sum(least(p, r)) AS m, sum(p) AS t, sum(r) AS rt FROM c GROUP BY ALL),
-    x AS (SELECT variant, max(CASE WHEN n = 1 THEN m / t END) AS p1, max(CASE WHEN n = 2 THEN m / t END) AS p2, max(CASE WHEN n = 3 THEN m / t END) AS p3,
-        max(CASE WHEN n = 4 THEN m / t END) AS p4, max(CASE WHEN n = 1 THEN t END) AS tl, max(CASE WHEN n = 1 THEN rt END) AS rl FROM s GROUP BY variant),
+    x AS (SELECT variant, max(CASE WHEN n = 1 THEN m / nullif(t, 0) END) AS p1, max(CASE WHEN n = 2 THEN m / nullif(t, 0) END) AS p2, max(CASE WHEN n = 3 THEN m / nullif(t, 0) END) AS p3,
+        max(CASE WHEN n = 4 THEN m / nullif(t, 0) END) AS p4, max(CASE WHEN n = 1 THEN t END) AS tl, max(CASE WHEN n = 1 THEN rt END) AS rl FROM s GROUP BY variant),
     y AS (SELECT *, tl / rl AS ratio, CASE WHEN tl = 0 THEN 0.0 WHEN tl > rl THEN 1.0 ELSE exp(1 - rl / tl) END AS bp FROM x)
     SELECT variant, round(coalesce(p1, 0), 6) AS precision_1, round(coalesce(p2, 0), 6) AS precision_2, round(coalesce(p3, 0), 6) AS precision_3,
       round(coalesce(p4, 0), 6) AS precision_4, CAST(tl AS BIGINT) AS translation_length, CAST(rl AS BIGINT) AS reference_length, round(ratio, 6) AS length_ratio,
