@@ -40,16 +40,29 @@ def elements(rule: Column) -> Column:
     """The ordered element list of a rule string."""
 
     def build(linked: Column) -> Column:
-        def words_under(n: Column) -> Column:
-            inside = F.filter(linked, lambda m: ~m["is_term"] & F.array_contains(m["ancestors"], n["node_id"]))
-            return F.flatten(F.transform(inside, lambda m: F.filter(T.score_words(T.strip(m["name"])), lambda w: w != "")))
+        # each leaf is cut into words once, however many terms hold it
+        leaves = F.transform(
+            F.filter(linked, lambda n: ~n["is_term"]),
+            lambda n: F.struct(
+                n["ancestors"].alias("above"),
+                F.filter(T.score_words(T.strip(n["name"])), lambda w: w != "").alias("words"),
+            ),
+        )
+        return tree.let(F.struct(linked.alias("nodes"), leaves.alias("leaves")), from_leaves)
+
+    def from_leaves(x: Column) -> Column:
+        terms = F.filter(x["nodes"], lambda n: n["is_term"])
+        inner = F.array_distinct(F.transform(terms, lambda n: n["parent_id"]))
 
         def term(n: Column) -> Column:
-            inner = F.exists(linked, lambda m: m["is_term"] & (m["parent_id"] == n["node_id"]))
+            inside = F.filter(x["leaves"], lambda m: F.array_contains(m["above"], n["node_id"]))
             return tree.let(
-                words_under(n),
+                F.flatten(F.transform(inside, lambda m: m["words"])),
                 lambda ws: F.struct(
-                    T.strip(n["name"]).alias("relation"), ws.alias("words"), bag(ws).alias("bag"), (~inner).alias("leaf")
+                    T.strip(n["name"]).alias("relation"),
+                    ws.alias("words"),
+                    bag(ws).alias("bag"),
+                    (~F.array_contains(inner, n["node_id"])).alias("leaf"),
                 ),
             )
 
@@ -58,9 +71,9 @@ def elements(rule: Column) -> Column:
             entity = F.transform(F.filter(terms, lambda t: t["leaf"]), lambda t: _element(F.lit(""), t, True))
             return F.concat(relation, entity)
 
-        return tree.let(F.transform(F.filter(linked, lambda n: n["is_term"]), term), both)
+        return tree.let(F.transform(terms, term), both)
 
-    return tree.let(tree.link(tree.parse(rule, then_at_top=True)), build)
+    return tree.let(tree.parse(rule, then_at_top=True), build)
 
 
 def _element(relation: Column, t: Column, entity: bool) -> Column:

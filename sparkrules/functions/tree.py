@@ -1,9 +1,10 @@
 """Rule strings as trees held in one column.
 
 A rule is one value of one row, so its tree never needs a shuffle: parsing, rewriting and rendering
-are native array expressions. A *flat* tree is the pre-order list of ``(depth, name, is_term)``;
-order and depth alone determine the tree. A *linked* tree adds ``node_id`` (its index), ``parent_id``
-(-1 at the top) and ``ancestors`` (ids from the top down). The first child of node i is node i + 1.
+are native array expressions. A *linked* tree is the pre-order list of nodes with ``node_id`` (the
+index), ``parent_id`` (-1 at the top) and ``ancestors`` (ids from the top down); the first child of
+node i is node i + 1. A *flat* tree keeps only ``(depth, name, is_term)``, which in order is enough
+to render it.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from sparkrules.functions import fixed, quantity
 from sparkrules.functions import text as T
 from sparkrules.operators.ranking import hash_fraction, seed_hash
 
-# A word, in which quotes protect separators and an open quote runs to the end; or one separator.
-TOKEN = r"((?:[^'(),]++|'[^']*+(?:'|\z))++|[(),])"
+# A word, in which quotes protect separators and an open quote runs to the end; and what separates it.
+WORD = r"((?:[^'(),]++|'[^']*+(?:'|\z))++)([(),]*+)"
+QUOTED = r"'[^']*+(?:'|\z)"
 EXPRESSION_WORDS = ["expr", "expression", "appliedstatement", "rulestatement"]
 LOGIC_WORDS = [*fixed.KEYWORDS, *EXPRESSION_WORDS]
-FLAT = "array<struct<depth:int,name:string,is_term:boolean>>"
 LINKED = "array<struct<node_id:int,parent_id:int,depth:int,name:string,is_term:boolean,ancestors:array<int>>>"
 
 
@@ -35,56 +36,49 @@ def _empty(kind: str) -> Column:
 
 
 def parse(rule: Column, *, then_at_top: bool = False) -> Column:
-    """Rule string to flat tree, in one pass over its tokens.
+    """Rule string to linked tree, in one pass over its words.
 
     A bracket opens the latest node; closing brackets beyond the top are ignored; a last word that is
     not closed is kept only at the top level. ``then_at_top`` closes everything before a ``then(``.
+
+    The separators after a word decide the next depth in closed form: if any of them opens, only the
+    closings after the last opening count.
     """
 
     def step(acc: Column, x: Column) -> Column:
-        token, depth, last = x["token"], acc["depth"], acc["last"]
+        depth = acc["depth"]
         if then_at_top:
-            restart = (F.trim(token) == "then") & (F.coalesce(x["next"], F.lit("")) == "(")
-            depth = F.when(restart, 0).otherwise(depth)
-        lost = x["next"].isNull() & (depth > 0)
-        is_node = ~token.isin("(", ")", ",") & ~lost
-        node = F.struct(depth.alias("depth"), token.alias("name"), (F.coalesce(x["next"], F.lit("")) == "(").alias("is_term"))
-        opened = F.when(last >= 0, last + 1).otherwise(depth)
-        closed = F.greatest(depth - 1, F.lit(0))
-        return F.struct(
-            F.when(token == "(", opened).when(token == ")", closed).otherwise(depth).alias("depth"),
-            F.when(is_node, depth).otherwise(last).alias("last"),
-            F.when(is_node, F.concat(acc["nodes"], F.array(node))).otherwise(acc["nodes"]).alias("nodes"),
-        )
-
-    def fold(tokens: Column) -> Column:
-        paired = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.get(tokens, i + 1).alias("next")))
-        start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("last"), _empty(FLAT).alias("nodes"))
-        return F.aggregate(paired, start, step, lambda acc: acc["nodes"])
-
-    return let(F.regexp_extract_all(rule, F.lit(TOKEN), F.lit(1)), fold)
-
-
-def link(flat: Column) -> Column:
-    """Flat tree to linked tree, with a stack of open ids."""
-
-    def step(acc: Column, x: Column) -> Column:
-        above = F.slice(acc["stack"], F.lit(1), x["depth"])
+            depth = F.when((F.trim(x["word"]) == "then") & x["opens"], 0).otherwise(depth)
+        above = F.slice(acc["stack"], F.lit(1), depth)
         here = F.size(acc["nodes"])
         node = F.struct(
             here.alias("node_id"),
-            F.coalesce(F.get(above, x["depth"] - 1), F.lit(-1)).alias("parent_id"),
-            x["depth"].alias("depth"),
-            x["name"].alias("name"),
-            x["is_term"].alias("is_term"),
+            F.coalesce(F.get(above, depth - 1), F.lit(-1)).alias("parent_id"),
+            depth.alias("depth"),
+            x["word"].alias("name"),
+            x["opens"].alias("is_term"),
             above.alias("ancestors"),
         )
+        kept = ~x["unclosed"] | (depth == 0)
+        return F.struct(
+            F.greatest(depth + x["change"], F.lit(0)).alias("depth"),
+            F.concat(above, F.array(here)).alias("stack"),
+            F.when(kept, F.concat(acc["nodes"], F.array(node))).otherwise(acc["nodes"]).alias("nodes"),
+        )
+
+    def word(w: Column, after: Column) -> Column:
+        closing = F.substring_index(after, "(", -1)
+        closed = F.length(closing) - F.length(F.replace(closing, F.lit(")"), F.lit("")))
         return F.struct(
-            F.concat(above, F.array(here)).alias("stack"), F.concat(acc["nodes"], F.array(node)).alias("nodes")
+            w.alias("word"),
+            after.startswith("(").alias("opens"),
+            (F.when(after.contains("("), 1).otherwise(0) - closed).alias("change"),
+            (after == "").alias("unclosed"),
         )
 
-    start = F.struct(_empty("array<int>").alias("stack"), _empty(LINKED).alias("nodes"))
-    return F.aggregate(flat, start, step, lambda acc: acc["nodes"])
+    found = lambda group: F.regexp_extract_all(rule, F.lit(WORD), F.lit(group))
+    start = F.struct(F.lit(0).alias("depth"), _empty("array<int>").alias("stack"), _empty(LINKED).alias("nodes"))
+    return F.aggregate(F.zip_with(found(1), found(2), word), start, step, lambda acc: acc["nodes"])
 
 
 def flatten(linked: Column) -> Column:
@@ -150,10 +144,10 @@ def children(linked: Column, node_id: Column) -> Column:
     return F.filter(linked, lambda n: n["parent_id"] == node_id)
 
 
-# --- rewrites: flat tree in, flat tree out --------------------------------------------------------
+# --- rewrites: linked tree in, flat tree out ------------------------------------------------------
 
 
-def collapse_nested(flat: Column) -> Column:
+def collapse_nested(linked: Column) -> Column:
     """Merge an ``and`` under an ``and`` (``or`` likewise) and an expression that is an only child of one.
 
     Whether a node goes depends only on its own parent, so one pass reaches the fixpoint.
@@ -174,10 +168,10 @@ def collapse_nested(flat: Column) -> Column:
 
         return let(F.transform(F.filter(linked, merged), lambda n: n["node_id"]), rebuild)
 
-    return let(link(flat), body)
+    return let(linked, body)
 
 
-def drop_duplicate_branches(flat: Column, name: str) -> Column:
+def drop_duplicate_branches(linked: Column, name: str) -> Column:
     """Drop a branch called ``name`` when an earlier sibling of that name has the same leaves."""
 
     def body(linked: Column) -> Column:
@@ -204,10 +198,10 @@ def drop_duplicate_branches(flat: Column, name: str) -> Column:
 
         return let(named, rebuild)
 
-    return let(link(flat), body)
+    return let(linked, body)
 
 
-def repair_then(flat: Column) -> Column:
+def repair_then(linked: Column) -> Column:
     """Move the first ``then`` to the end of the top level when there is a single top node."""
 
     def body(linked: Column) -> Column:
@@ -223,13 +217,13 @@ def repair_then(flat: Column) -> Column:
 
         return F.when((tops == 1) & (F.size(thens) > 0), let(F.get(thens, F.lit(0)), move)).otherwise(flatten(linked))
 
-    return let(link(flat), body)
+    return let(linked, body)
 
 
-def rename(flat: Column, new_name: Callable[[Column, Column], Column]) -> Column:
+def rename(linked: Column, new_name: Callable[[Column, Column], Column]) -> Column:
     """Rename nodes by a function of (name, is_leaf)."""
     return let(
-        flat,
+        linked,
         lambda ns: F.transform(
             ns,
             lambda n, i: _flat(
@@ -239,7 +233,7 @@ def rename(flat: Column, new_name: Callable[[Column, Column], Column]) -> Column
     )
 
 
-def canonical_vars(flat: Column) -> Column:
+def canonical_vars(linked: Column) -> Column:
     """Names introduced by ``define`` become x0, x1, ... wherever they are a whole word of the rule.
 
     ``define(a.b, name)`` introduces ``name``; ``define(name, _new)`` introduces ``name``.
@@ -263,10 +257,10 @@ def canonical_vars(flat: Column) -> Column:
 
         return let(names, rewrite)
 
-    return let(link(flat), body)
+    return let(linked, body)
 
 
-def dedupe_type_word(flat: Column) -> Column:
+def dedupe_type_word(linked: Column) -> Column:
     """``is(pipe.type, wastePipe)`` becomes ``is(pipe.type, waste)``; letter case does not matter."""
 
     def body(linked: Column) -> Column:
@@ -285,7 +279,7 @@ def dedupe_type_word(flat: Column) -> Column:
 
         return F.transform(linked, lambda n: _flat(n["depth"], renamed(n), n["is_term"]))
 
-    return let(link(flat), body)
+    return let(linked, body)
 
 
 # --- fixed values: short schema terms as whole node names ------------------------------------------
@@ -304,14 +298,14 @@ def spaced_notation(rule: Column) -> Column:
     return T.strip(render(rename(parse(rule), new_name)))
 
 
-def tidy_quantities(flat: Column) -> Column:
+def tidy_quantities(linked: Column) -> Column:
     """Leaf quantities in their short form: ``50.0 mm`` becomes ``50 mm``."""
 
     def new_name(name: Column, leaf: Column) -> Column:
         short = quantity.format_quantity(quantity.parse_quantity(name))
         return F.when(leaf, F.coalesce(short, name)).otherwise(name)
 
-    return rename(flat, new_name)
+    return rename(linked, new_name)
 
 
 # --- readings -------------------------------------------------------------------------------------
@@ -399,8 +393,8 @@ def completion(linked: Column, key: Column, pick: Column, seed: int, midword: bo
 
 def lint(rule: Column, linked: Column) -> Column:
     """The structural problems of a rule, as an array of issue names."""
-    marks = F.regexp_extract_all(rule, F.lit(TOKEN), F.lit(1))
-    count = lambda sign: F.size(F.filter(marks, lambda t: t == sign))
+    bare_text = F.regexp_replace(rule, QUOTED, "")
+    count = lambda sign: F.length(bare_text) - F.length(F.replace(bare_text, F.lit(sign), F.lit("")))
     names = F.transform(linked, lambda n: F.trim(n["name"]))
     bare = F.exists(
         linked,

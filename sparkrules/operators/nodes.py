@@ -16,12 +16,12 @@ from sparkrules.functions import tree
 
 def with_tree(df: DataFrame, rule: str = "rule", name: str = "tree") -> DataFrame:
     """Add the linked tree of a rule column."""
-    return df.withColumn(name, tree.link(tree.parse(F.col(rule))))
+    return df.withColumn(name, tree.parse(F.col(rule)))
 
 
 def node_table(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
     """One row per node: (row, node_id, parent_id, depth, name, is_term, ancestors)."""
-    return df.select(key, F.inline(tree.link(tree.parse(F.col(rule)))))
+    return df.select(key, F.inline(tree.parse(F.col(rule))))
 
 
 def render_rules(nodes: DataFrame, key: str = "row_id") -> DataFrame:
@@ -50,12 +50,12 @@ def node_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFr
 
         return F.transform(linked, one)
 
-    return df.select(key, F.inline(tree.let(tree.link(tree.parse(F.col(rule))), facts)))
+    return df.select(key, F.inline(tree.let(tree.parse(F.col(rule)), facts)))
 
 
 def predicate_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
     """One row per relation node: relation, subject, property, object, connector and values."""
-    return df.select(key, F.inline(tree.let(tree.link(tree.parse(F.col(rule))), tree.facts)))
+    return df.select(key, F.inline(tree.let(tree.parse(F.col(rule)), tree.facts)))
 
 
 def expand_alternatives(facts: DataFrame) -> DataFrame:
@@ -104,12 +104,12 @@ def rewrite_rules(
 
 
 def rule_entities(df: DataFrame, rule: str = "rule", out: str = "entities") -> DataFrame:
-    return df.withColumn(out, tree.let(tree.link(tree.parse(F.col(rule))), tree.entities))
+    return df.withColumn(out, tree.let(tree.parse(F.col(rule)), tree.entities))
 
 
 def rule_expressions(df: DataFrame, rule: str = "rule", out: str = "expressions") -> DataFrame:
     spaced = tree.spaced_notation(F.col(rule))
-    return df.withColumn(out, tree.let(tree.link(tree.parse(spaced)), tree.expressions))
+    return df.withColumn(out, tree.let(tree.parse(spaced), tree.expressions))
 
 
 def completion_pairs(
@@ -126,10 +126,10 @@ def completion_pairs(
         )
         return F.concat(F.array(whole), F.when(F.size(linked) > 0, picks).otherwise(F.slice(picks, 1, 0)))
 
-    return df.select(key, F.inline(tree.let(tree.link(tree.parse(F.col(rule))), pairs)))
+    return df.select(key, F.inline(tree.let(tree.parse(F.col(rule)), pairs)))
 
 
 def rule_lint(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
     """One row per structural issue of a rule."""
-    issues = tree.let(tree.link(tree.parse(F.col(rule))), lambda linked: tree.lint(F.col(rule), linked))
+    issues = tree.let(tree.parse(F.col(rule)), lambda linked: tree.lint(F.col(rule), linked))
     return df.select(key, F.explode(issues).alias("issue"))
