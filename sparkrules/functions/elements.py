@@ -95,13 +95,17 @@ def match_share(left: Column, right: Column, entity_weight: float) -> Column:
     and every left entity count ``entity_weight`` times.
     """
 
-    def step(acc: Column, e: Column) -> Column:
-        def candidate(o: Column, j: Column) -> Column:
-            free = (o["relation"] == e["relation"]) & ~F.array_contains(acc["used"], j)
+    def stepper(numbered: Column):
+        return lambda acc, e: step(numbered, acc, e)
+
+    def step(numbered: Column, acc: Column, e: Column) -> Column:
+        free = F.filter(
+            numbered, lambda o: (o["relation"] == e["relation"]) & ~F.array_contains(acc["used"], o["at"])
+        )
+
+        def candidate(o: Column) -> Column:
             return F.struct(
-                F.when(free, bag_size(e["bag"], o["bag"])).otherwise(0).alias("overlap"),
-                (-j).alias("order"),
-                F.when(o["is_entity"], entity_weight).otherwise(1.0).alias("weight"),
+                bag_size(e["bag"], o["bag"]).alias("overlap"), (-o["at"]).alias("order"), o["weight"].alias("weight")
             )
 
         def advance(best: Column) -> Column:
@@ -112,10 +116,14 @@ def match_share(left: Column, right: Column, entity_weight: float) -> Column:
                 (acc["score"] + F.when(hit, gain).otherwise(0.0)).alias("score"),
             )
 
-        return tree.let(F.array_max(F.transform(right, candidate)), advance)
+        return tree.let(F.array_max(F.transform(free, candidate)), advance)
+
+    def place(o: Column, j: Column) -> Column:
+        weight = F.when(o["is_entity"], entity_weight).otherwise(1.0)
+        return F.struct(o["relation"].alias("relation"), o["bag"].alias("bag"), j.alias("at"), weight.alias("weight"))
 
     start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("score"))
-    score = F.aggregate(left, start, step, lambda acc: acc["score"])
+    score = tree.let(F.transform(right, place), lambda ns: F.aggregate(left, start, stepper(ns), lambda acc: acc["score"]))
     entities = F.size(F.filter(left, lambda e: e["is_entity"]))
     total = F.size(left) + entities * (entity_weight - 1)
     return F.when(total > 0, score / total).otherwise(F.lit(0.0))

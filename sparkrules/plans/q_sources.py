@@ -46,11 +46,9 @@ def append_metrics(spark, sf):
     path = io.scratch_path(spark)
     log = load(spark, sf, "metric_log")
     for kind in ("click", "view", "error", "signup", "purchase"):
-        io.append_metrics(log.filter(F.col("event_type") == kind), path)
+        io.append_metrics(log.filter(F.col("event_type") == kind), path, partition_by=["event_type"])
     back = spark.read.parquet(path)
-    return back.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first_step"), F.max("value").alias("best")).withColumn(
-        "run", F.col("run").cast("bigint")
-    )
+    return back.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first_step"), F.max("value").alias("best"))
 
 
 QUERIES = {

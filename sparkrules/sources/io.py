@@ -79,9 +79,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     writer.format(fmt).save(path)
 
 
-def append_metrics(df: DataFrame, path: str, by: str = "run") -> None:
-    """Append run metrics to a log partitioned by run.
+def append_metrics(df: DataFrame, path: str, run: str = "run", partition_by: Sequence[str] = ()) -> None:
+    """Append run metrics to a log.
 
-    The rebalance hint gathers each run's rows into few files and lets AQE split a run that is large.
+    Runs may be many, so a run is no folder of its own: rows are sorted by run inside each file, and a
+    reader of one run skips row groups by their statistics. ``partition_by`` is for columns with few
+    values, such as a split.
     """
-    df.hint("rebalance", by).write.mode("append").partitionBy(by).parquet(path)
+    writer = df.sortWithinPartitions(run).write.mode("append")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
