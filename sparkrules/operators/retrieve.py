@@ -268,9 +268,9 @@ def _merge(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
 def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int) -> DataFrame:
     n_q = -(-queries.count() // block) * 2  # hash blocks vary in size; half-full on average
     n_c = max(1, -(-corpus.count() // 50_000))
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("cb", cells(n_c).cast("bigint"))
-    right = corpus.withColumn("cb", F.pmod(F.xxhash64("row_id"), F.lit(n_c))).withColumn("qb", cells(n_q).cast("bigint"))
+    cells = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("cb", cells(n_c))
+    right = corpus.withColumn("cb", F.pmod(F.xxhash64("row_id"), F.lit(n_c))).withColumn("qb", cells(n_q))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

@@ -13,7 +13,7 @@ from pyspark.sql import types as st
 from sparkrules.operators.curate import stack
 
 CORPUS_SCHEMA = "row_id bigint, file string, text string, rule string"
-# Quoted fields may hold commas, line ends and blanks; empty text and null stay apart.
+# Quoted fields may hold commas, line ends and blanks; empty text is written as "" and null as nothing.
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -21,10 +21,11 @@ CSV_OPTIONS = {
     "multiLine": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    "emptyValue": '""',
-    "nullValue": "",
 }
 
+# A reader needs a null mark that no field can hold, or a quoted empty text would read as null.
+READ_OPTIONS = {**CSV_OPTIONS, "nullValue": "\u0000"}
+
 
 def scratch_path(spark: SparkSession) -> str:
     """A new folder name under the shared folder of the cluster; local sessions may use a local one."""
@@ -38,7 +39,7 @@ def scratch_path(spark: SparkSession) -> str:
 
 def read_corpus(spark: SparkSession, path: str, schema: st.StructType | str = CORPUS_SCHEMA) -> DataFrame:
     """A corpus CSV with quoted multi-line fields, by an explicit schema."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**READ_OPTIONS).csv(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +76,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     """Write a table as parquet, csv or text (one string column)."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.options(**CSV_OPTIONS, quoteAll="true")
+        writer = writer.options(**CSV_OPTIONS)
     writer.format(fmt).save(path)
 
 
