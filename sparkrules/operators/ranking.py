@@ -10,7 +10,8 @@ Two kinds of order are supported:
 * seeded order - by an md5 of (id, seed). Its leading hex digits are the bucket: uniform by
   construction, no extra pass, the same on every engine and after a lost executor.
 * key order - by a unique numeric column. Bucket edges are approximate quantiles, read once
-  (at most ``buckets`` numbers) and fixed as literals, so every branch of the plan agrees.
+  (a few thousand numbers at most) and fixed as literals, so every branch of the plan agrees.
+  Their number follows the row count: small tables get one bucket, which is the plain window.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_DIGITS = 3  # 4096 buckets
-KEY_BUCKETS = 512
+MAX_KEY_BUCKETS = 2048
+ROWS_PER_BUCKET = 100_000
 SMALL_LIMIT = 10_000  # largest n answered by a plain top-n
 
 
@@ -37,22 +39,26 @@ def hash_fraction(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def _key_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: the position of ``key`` among its approximate quantiles."""
-    quantiles = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(key).cast("double"), quantiles, 10 * buckets)).first()[0]
-    edges = sorted(set(found or []))
-    splits = [float("-inf"), *edges, float("inf")]
-    staged = df.withColumn("_key", F.col(key).cast("double"))
-    out = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(staged)
-    return out.drop("_key")
+def key_edges(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
+    """Approximate quantiles of ``key`` that cut the rows into buckets of some 100,000."""
+    quantiles = [i / MAX_KEY_BUCKETS for i in range(1, MAX_KEY_BUCKETS)]
+    column = F.col(key).cast("double")
+    rows, found = df.agg(F.count(column), F.percentile_approx(column, quantiles, 4 * MAX_KEY_BUCKETS)).first()
+    wanted = buckets or min(MAX_KEY_BUCKETS, -(-rows // ROWS_PER_BUCKET))
+    picked = [found[i * MAX_KEY_BUCKETS // wanted - 1] for i in range(1, wanted)]
+    return sorted(set(picked))
 
 
-def _bucketed(df: DataFrame, order: Sequence[str | Column], hashed: bool, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, order: Sequence[str | Column], hashed: bool, edges: Sequence[float] | None) -> DataFrame:
+    """Add ``_bucket``, which never decreases along the order."""
     if hashed:
         first = F.col(order[0]) if isinstance(order[0], str) else order[0]
         return df.withColumn("_bucket", F.substring(first, 1, HASH_DIGITS))
-    return _key_buckets(df, order[0], buckets)
+    if not edges:
+        return df.withColumn("_bucket", F.lit(0.0))
+    splits = [float("-inf"), *edges, float("inf")]
+    staged = df.withColumn("_key", F.col(order[0]).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(staged).drop("_key")
 
 
 def running(
@@ -64,17 +70,20 @@ def running(
     hashed: bool = False,
     inclusive: bool = True,
     keep_below: tuple[str, int] | None = None,
-    buckets: int = KEY_BUCKETS,
+    buckets: int | None = None,
+    edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add running aggregates ``{name: (fn, column)}`` in ``order`` within ``by``.
 
     ``fn`` is ``count``, ``sum`` or ``max``. ``order`` must be unique within ``by`` and start with
     a seeded hash (``hashed=True``) or a numeric column; ``by`` columns must not be null.
     ``keep_below=(name, n)`` drops whole buckets whose carried total already reached ``n``, for
-    callers that only need the head of each group.
+    callers that only need the head of each group. ``edges`` reuses the result of ``key_edges``.
     """
     by = list(by)
-    staged = _bucketed(df, order, hashed, buckets)
+    if not hashed and edges is None:
+        edges = key_edges(df, order[0], buckets)
+    staged = _bucketed(df, order, hashed, edges)
     for name, (_, column) in totals.items():
         staged = staged.withColumn(f"_in_{name}", column)
     fns = {"count": F.count, "sum": F.sum, "max": F.max}
@@ -117,7 +126,7 @@ def rank_rows(
     name: str = "rank",
     hashed: bool = False,
     at_most: int | None = None,
-    buckets: int = KEY_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``row_number`` as BIGINT, for groups of any size; optionally only ranks ``<= at_most``."""
     out = running(

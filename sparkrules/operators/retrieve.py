@@ -20,6 +20,7 @@ from sparkrules.operators.ranking import rank_within, seed_hash
 QUERY_BLOCK = 4096  # query vectors that may be broadcast at once
 WORD_QUERY_BLOCK = 256  # query texts whose state may be broadcast at once
 SCORE_DIGITS = 9
+LOOKUP_ROWS = 500_000  # id rows that may be broadcast to look texts up
 
 
 def ngrams(text: str | Column, n: int) -> Column:
@@ -327,6 +328,23 @@ def pack_budget(ranked: DataFrame, room: Column | int, tokens: str = "n_tokens")
     return summed.filter(F.col("packed_tokens") <= room)
 
 
+def look_up(ids: DataFrame, corpus: DataFrame, columns: Sequence[Column], at_most: int) -> DataFrame:
+    """Add columns of the corpus to rows that name it by ``row_id``.
+
+    ``at_most`` bounds the id rows. Up to ``LOOKUP_ROWS`` they are broadcast, so the corpus is read
+    once and not shuffled; more go through a shuffle join.
+    """
+    found = corpus.select("row_id", *columns)
+    return found.join(F.broadcast(ids) if at_most <= LOOKUP_ROWS else ids, "row_id")
+
+
+def ranked_sizes(ranked: DataFrame, corpus: DataFrame, block: Column, at_most: int) -> DataFrame:
+    """Add the token count of each ranked exemplar; every named row of the corpus is counted once."""
+    distinct = ranked.select("row_id").distinct()
+    sizes = look_up(distinct, corpus, [token_count(block).alias("n_tokens")], at_most)
+    return ranked.join(sizes, "row_id")
+
+
 def assemble_prompts(
     packed: DataFrame, queries: DataFrame, query: Column, *, context: str = "", nearest_last: bool = False
 ) -> DataFrame:
@@ -342,6 +360,22 @@ def assemble_prompts(
     )
 
 
+def pack_exemplars(
+    queries: DataFrame, corpus: DataFrame, *, budget: int, n: int = 1, context: str = ""
+) -> DataFrame:
+    """Ranked exemplars that fit: (query_id, row_id, overlap, rank, n_tokens, packed_tokens).
+
+    ``queries`` has (query_id, code, text), ``corpus`` has (row_id, code, text, rule). Only ids and
+    token counts go through ranking and packing.
+    """
+    k = exemplar_bound(budget)
+    ranked = ngram_topk(queries, corpus, n, k)
+    block = block_text(F.col("code"), F.col("text"), F.col("rule"))
+    sized = ranked_sizes(ranked, corpus, block, queries.count() * k)
+    longest = max_pair_tokens(queries, query_text(F.col("code"), F.col("text"))).scalar()
+    return pack_budget(sized, F.lit(budget - len(context.split())) - longest)
+
+
 def exemplar_prompts(
     queries: DataFrame,
     corpus: DataFrame,
@@ -353,17 +387,13 @@ def exemplar_prompts(
 ) -> DataFrame:
     """For each query text: retrieve exemplars, pack them into the budget, assemble the prompt.
 
-    ``queries`` has (query_id, code, text), ``corpus`` has (row_id, code, text, rule). Only the ranked
-    ids travel through the retrieval; their texts are joined back afterwards.
+    The texts are looked up for the exemplars that made it into a prompt only.
     """
-    ranked = ngram_topk(queries, corpus, n, exemplar_bound(budget))
-    blocks = corpus.select("row_id", block_text(F.col("code"), F.col("text"), F.col("rule")).alias("block"))
-    hits = ranked.join(blocks, "row_id").withColumn("n_tokens", token_count(F.col("block")))
-    longest = max_pair_tokens(queries, query_text(F.col("code"), F.col("text"))).scalar()
-    room = F.lit(budget) - F.size(T.words(F.lit(context))) - longest
-    packed = pack_budget(hits, room)
+    packed = pack_exemplars(queries, corpus, budget=budget, n=n, context=context).select("query_id", "rank", "row_id")
+    block = block_text(F.col("code"), F.col("text"), F.col("rule")).alias("block")
+    texts = look_up(packed, corpus, [block], queries.count() * exemplar_bound(budget))
     return assemble_prompts(
-        packed, queries, query_text(F.col("code"), F.col("text")), context=context, nearest_last=nearest_last
+        texts, queries, query_text(F.col("code"), F.col("text")), context=context, nearest_last=nearest_last
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.operators.ranking import running
+from sparkrules.operators.ranking import key_edges, running
 
 
 def early_stop(log: DataFrame, patience: int, *, run: str = "run", step: str = "step", metric: str = "value") -> DataFrame:
@@ -18,12 +18,14 @@ def early_stop(log: DataFrame, patience: int, *, run: str = "run", step: str = "
     prefix totals, so one long run spreads over many tasks.
     """
     value = F.col(metric)
+    edges = key_edges(log, step)
     seen = running(
         log,
         [step],
         {"_best_before": ("max", value), "_before": ("count", F.lit(1))},
         [run],
         inclusive=False,
+        edges=edges,
     )
     best_before = F.greatest(F.coalesce("_best_before", F.lit(0.0)), F.lit(0.0))
     flagged = seen.withColumns(
@@ -33,7 +35,7 @@ def early_stop(log: DataFrame, patience: int, *, run: str = "run", step: str = "
             "best_so_far": F.greatest(best_before, value),
         }
     ).drop("_best_before", "_before")
-    marked = running(flagged, [step], {"_last": ("max", F.when(F.col("improved"), F.col("epoch")))}, [run])
+    marked = running(flagged, [step], {"_last": ("max", F.when(F.col("improved"), F.col("epoch")))}, [run], edges=edges)
     counted = marked.withColumn("since_best", F.col("epoch") - F.coalesce("_last", F.lit(0))).drop("_last")
     stop = counted.filter(F.col("since_best") >= patience).groupBy(run).agg(F.min("epoch").alias("_stop"))
     kept = counted.join(stop, run, "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkrules.operators import retrieve
 from sparkrules.operators.curate import stack
 from sparkrules.plans.inputs import load, with_inputs
+from sparkrules.session import spread
 
 BUDGET = 4060
 K = retrieve.exemplar_bound(BUDGET)
@@ -36,7 +37,7 @@ def _topk_sql(n: int, k: int) -> str:
 
 
 def _inputs(spark, sf):
-    return load(spark, sf, "questions"), load(spark, sf, "exemplars")
+    return load(spark, sf, "questions"), spread(load(spark, sf, "exemplars"))
 
 
 def ngram_overlap(spark, sf):
@@ -76,13 +77,9 @@ def hit_union(spark, sf):
     return stack([texts, vectors])
 
 
-def _packed(spark, sf, nearest_last=False):
+def _packed(spark, sf):
     questions, exemplars = _inputs(spark, sf)
-    ranked = retrieve.ngram_topk(questions, exemplars, 1, K)
-    blocks = exemplars.select("row_id", retrieve.block_text(F.col("code"), F.col("text"), F.col("rule")).alias("block"))
-    hits = ranked.join(blocks, "row_id").withColumn("n_tokens", retrieve.token_count(F.col("block")))
-    longest = retrieve.max_pair_tokens(questions, retrieve.query_text(F.col("code"), F.col("text"))).scalar()
-    return retrieve.pack_budget(hits, F.lit(BUDGET) - longest)
+    return retrieve.pack_exemplars(questions, exemplars, budget=BUDGET)
 
 
 def pack_budget(spark, sf):

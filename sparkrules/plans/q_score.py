@@ -97,7 +97,7 @@ _CLEAN = "replace(translate(CASE WHEN contains(trim({c}), 'if(') THEN substr(tri
 
 def corpus_bleu(spark, sf):
     """BLEU of the assistant turns against the user turns: overall, and per six groups of conversations."""
-    pairs = load(spark, sf, "text_pairs").withColumn("variant", F.pmod("conv_id", F.lit(6)))
+    pairs = spread(load(spark, sf, "text_pairs")).withColumn("variant", F.pmod("conv_id", F.lit(6)))
     grouped = score.corpus_bleu(pairs, by=["variant"])
     overall = score.corpus_bleu(pairs).withColumn("variant", F.lit(-1).cast("bigint"))
     both = grouped.unionByName(overall)
