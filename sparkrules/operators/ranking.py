@@ -69,7 +69,7 @@ def running(
     *,
     hashed: bool = False,
     inclusive: bool = True,
-    keep_below: tuple[str, int] | None = None,
+    keep_below: tuple[str, int | Column] | None = None,
     buckets: int | None = None,
     edges: Sequence[float] | None = None,
 ) -> DataFrame:
@@ -125,7 +125,7 @@ def rank_rows(
     *,
     name: str = "rank",
     hashed: bool = False,
-    at_most: int | None = None,
+    at_most: int | Column | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """``row_number`` as BIGINT, for groups of any size; optionally only ranks ``<= at_most``."""

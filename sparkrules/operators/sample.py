@@ -35,9 +35,9 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str = "row_id") -> DataFrame
 
 def sample_fraction(df: DataFrame, frac: float, seed: int, key: str = "row_id") -> DataFrame:
     """``floor(n * frac)`` rows; input and label of a row stay together."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    ranked = rank_rows(_seeded(df, key, seed), ["_seeded", key], name="_rank", hashed=True)
-    return ranked.filter(F.col("_rank") <= F.floor(total * F.lit(float(frac)))).drop("_seeded", "_rank")
+    wanted = df.agg(F.floor(F.count(F.lit(1)) * F.lit(float(frac)))).scalar()
+    ranked = rank_rows(_seeded(df, key, seed), ["_seeded", key], name="_rank", hashed=True, at_most=wanted)
+    return ranked.drop("_seeded", "_rank")
 
 
 def sample_per_group(df: DataFrame, group: str, k: int, seed: int, key: str = "row_id") -> DataFrame:

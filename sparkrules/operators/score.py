@@ -143,14 +143,16 @@ def extremes(df: DataFrame, score: str, order: str = "row_id") -> DataFrame:
 
 
 def best_candidate(candidates: DataFrame, seed: int, key: str = "row_id") -> DataFrame:
-    """The best candidate per row (the later run of equals) and its place in the seeded order, from 0."""
+    """The best candidate per row (the later run of equals) and its place in the seeded order, from 0.
+
+    The place is counted, not read off a collected list, so a row may have any number of candidates.
+    """
     own = F.struct(seed_hash(seed, key, "cand_id").alias("h"), F.col("cand_id"))
-    grouped = candidates.groupBy(key).agg(
-        F.max_by(F.struct("cand_id", "score", "pred", own.alias("own")), F.struct("score", "cand_id")).alias("b"),
-        F.array_sort(F.collect_list(own)).alias("drawn"),
-    )
-    place = (F.array_position("drawn", F.col("b.own")) - 1).alias("position")
-    return grouped.select(key, "b.cand_id", "b.score", "b.pred", place)
+    drawn = candidates.withColumn("own", own)
+    best = drawn.groupBy(key).agg(F.max_by(F.struct("cand_id", "score", "pred", "own"), F.struct("score", "cand_id")).alias("b"))
+    earlier = drawn.select(key, "own").join(best.select(key, F.col("b.own").alias("_best")), key)
+    places = earlier.groupBy(key).agg(F.sum((F.col("own") < F.col("_best")).cast("bigint")).alias("position"))
+    return best.join(places, key).select(key, "b.cand_id", "b.score", "b.pred", "position")
 
 
 def trim_padding(df: DataFrame, order: str, pred: str = "pred", ref: str = "ref") -> DataFrame:

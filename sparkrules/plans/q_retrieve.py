@@ -61,12 +61,12 @@ def _vector_hits(spark, sf, k):
 
 
 def vector_topk(spark, sf):
-    return _vector_hits(spark, sf, 45).withColumn("score", F.round("score", 6))
+    return _vector_hits(spark, sf, 45)
 
 
 VECTOR_SQL = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS row_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s
     FROM embeddings q, embeddings e)
-  SELECT query_id, row_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS rank FROM s"""
+  SELECT query_id, row_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS rank FROM s"""
 
 
 def hit_union(spark, sf):

