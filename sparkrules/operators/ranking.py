@@ -54,13 +54,28 @@ def _bucketed(df: DataFrame, order: Sequence[str | Column], hashed: bool, edges:
     if hashed:
         first = F.col(order[0]) if isinstance(order[0], str) else order[0]
         return df.withColumn("_bucket", F.substring(first, 1, HASH_DIGITS))
-    if not edges:
-        return df.withColumn("_bucket", F.lit(0.0))
     splits = [float("-inf"), *edges, float("inf")]
     staged = df.withColumn("_key", F.col(order[0]).cast("double"))
     return Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(staged).drop("_key")
 
 
+def _plain_running(
+    df: DataFrame,
+    order: Sequence[str | Column],
+    totals: Mapping[str, tuple[str, Column]],
+    by: Sequence[str],
+    inclusive: bool,
+) -> DataFrame:
+    """The same values by one window, for tables counted to fit one bucket."""
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    fns = {"count": F.count, "sum": F.sum, "max": F.max}
+    values = {}
+    for name, (fn, column) in totals.items():
+        value = fns[fn](column).over(window)
+        values[name] = value if fn == "max" else F.coalesce(value, F.lit(0))
+    return df.withColumns(values)
+
+
 def running(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -83,6 +98,8 @@ def running(
     by = list(by)
     if not hashed and edges is None:
         edges = key_edges(df, order[0], buckets)
+    if not hashed and not edges:
+        return _plain_running(df, order, totals, by, inclusive)
     staged = _bucketed(df, order, hashed, edges)
     for name, (_, column) in totals.items():
         staged = staged.withColumn(f"_in_{name}", column)

@@ -41,12 +41,20 @@ def test_rank_at_most_and_hashed(skewed):
     assert sorted(got.select("row_id", "rank").collect()) == sorted(plain.select("row_id", "rank").collect())
 
 
-def test_bucket_windows_are_not_global(skewed):
-    plan = ranking.rank_rows(skewed, ["row_id"])._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan.replace("windowspecdefinition", "") or "_bucket" in plan
+def test_buckets_spread_one_order_over_tasks(spark, skewed):
     big = ranking.rank_rows(skewed, ["row_id"], buckets=64)
     sizes = big.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert sizes < 6000 * 0.6
+    plan = big._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_small_tables_use_the_plain_window(skewed):
+    window = Window.orderBy("row_id")
+    got = ranking.rank_rows(skewed, ["row_id"])
+    plain = skewed.withColumn("rank", F.row_number().over(window).cast("bigint"))
+    assert got.select(*plain.columns).exceptAll(plain).count() == 0
+    assert ranking.rank_rows(skewed.limit(0), ["row_id"]).count() == 0
 
 
 def test_samples_are_exact_nested_and_stable(skewed):
