@@ -56,9 +56,9 @@ def shuffle(df: DataFrame, seed: int, key: str = "row_id", name: str = "position
 
 
 def shuffle_within(df: DataFrame, by: str, seed: int, key: str, name: str = "position") -> DataFrame:
-    """A seeded permutation of the few rows of each group (the candidates of one row)."""
+    """A seeded permutation of the rows of each group, for groups of any size."""
     hashed = df.withColumn("_seeded", seed_hash(seed, by, key))
-    return rank_within(hashed, [by], ["_seeded", key], name=name).drop("_seeded")
+    return rank_rows(hashed, ["_seeded", key], [by], name=name, hashed=True).drop("_seeded")
 
 
 def nested_samples(df: DataFrame, sizes: Sequence[int], seed: int, key: str = "row_id") -> DataFrame:
