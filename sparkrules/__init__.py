@@ -8,3 +8,10 @@ operators  DataFrame -> DataFrame jobs: curate, sample, retrieve, nodes, score,
 plans      registered queries over the test tables and their SQL twins
 streaming  the row-wise functions applied to a file stream
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
