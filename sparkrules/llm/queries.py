@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrules.llm import decontaminate
+from sparkrules.llm import decontaminate, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,13 @@ SELECT w.id AS doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGI
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM w LEFT JOIN c ON c.doc_id = w.id LEFT JOIN i ON i.doc_id = w.id WHERE w.kind = 'd'"""
 
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.report(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "distance")
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
+    "op8_quality": (op8_quality, None),
 }
