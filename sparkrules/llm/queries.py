@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrules.llm import decontaminate, quality, simhash
+from sparkrules.llm import bpe, decontaminate, pii, quality, simhash
+
+
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +46,23 @@ SELECT w.id AS doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGI
 FROM w LEFT JOIN c ON c.doc_id = w.id LEFT JOIN i ON i.doc_id = w.id WHERE w.kind = 'd'"""
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_table(spark, sf_dir, "documents"), "doc_id")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("spans", True), 256).alias("base_sha256"), pii.joined("spans", False).alias("spans"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), "doc_id")
+    return bpe.digests(coded, "doc_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.report(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "distance")
@@ -54,6 +70,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
+    "op4_pii": (op4_pii, None),
     "op5_simhash": (op5_simhash, None),
+    "op6_bpe": (op6_bpe, None),
     "op8_quality": (op8_quality, None),
 }
