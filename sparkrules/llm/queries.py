@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrules.llm import bpe, decontaminate, pii, quality, simhash
@@ -48,8 +48,11 @@ FROM w LEFT JOIN c ON c.doc_id = w.id LEFT JOIN i ON i.doc_id = w.id WHERE w.kin
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(_table(spark, sf_dir, "documents"), "doc_id")
-    base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, pii.KINDS)
     return found.select("doc_id", *counts, F.sha2(pii.joined("spans", True), 256).alias("base_sha256"), pii.joined("spans", False).alias("spans"))
 
 
