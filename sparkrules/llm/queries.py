@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrules.llm import bpe, decontaminate, pii, quality, simhash
+from sparkrules.llm import bpe, decontaminate, pii, quality, secrets, simhash, urlrules
 
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -46,6 +46,42 @@ SELECT w.id AS doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGI
 FROM w LEFT JOIN c ON c.doc_id = w.id LEFT JOIN i ON i.doc_id = w.id WHERE w.kind = 'd'"""
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), secrets.start_ledger(spark))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    base = F.filter("findings", lambda x: x["kind"].isin(*secrets.BASE))
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *map(count, secrets.BASE),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+        "blob",
+    )
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op3_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+OP3_SQL = r"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT page_id, arg_max(h || r.p, length(h || r.p)) AS rule, arg_max(v, length(h || r.p)) AS verdict FROM p, r
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)"""
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(_table(spark, sf_dir, "documents"), "doc_id")
 
@@ -73,6 +109,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
+    "op2_secrets": (op2_secrets, None),
+    "op3_urlrules": (op3_urlrules, OP3_SQL),
     "op4_pii": (op4_pii, None),
     "op5_simhash": (op5_simhash, None),
     "op6_bpe": (op6_bpe, None),
