@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrules.llm import bpe, decontaminate, pii, quality, secrets, simhash, urlrules
+from sparkrules.llm import bpe, decontaminate, pii, quality, secrets, simhash, urlrules, wavelet
+from sparkrules.storage import scratch_path
 
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -107,6 +108,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "distance")
 
 
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark)
+    wavelet.write_shards(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY), end_id=2)
+    return wavelet.documents(wavelet.read_shards(spark, path))
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op2_secrets": (op2_secrets, None),
@@ -115,4 +122,5 @@ QUERIES = {
     "op5_simhash": (op5_simhash, None),
     "op6_bpe": (op6_bpe, None),
     "op8_quality": (op8_quality, None),
+    "op9_wavelet": (op9_wavelet, None),
 }
