@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrules.llm import bpe, decontaminate, pii, quality, secrets, simhash, urlrules, wavelet
+from sparkrules.llm import bpe, decontaminate, pii, quality, secrets, simhash, suffixes, urlrules, wavelet
 from sparkrules.storage import scratch_path
 
 
@@ -114,6 +114,14 @@ def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents(wavelet.read_shards(spark, path))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.removed(_table(spark, sf_dir, "documents"), "doc_id")
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op2_secrets": (op2_secrets, None),
@@ -123,4 +131,5 @@ QUERIES = {
     "op6_bpe": (op6_bpe, None),
     "op8_quality": (op8_quality, None),
     "op9_wavelet": (op9_wavelet, None),
+    "op10_suffixes": (op10_suffixes, None),
 }
