@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkrules.llm.tables import body
+from sparkrules.llm.tables import body, free_name, quoted
 
 KEPT = 400_000
 ROWS = 256  # per batch that a task returns
@@ -120,18 +120,19 @@ def _swap(batch: pa.RecordBatch, columns: dict[str, pa.Array], dropped: str) ->
 
 def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
     """The ``carry`` columns and ``ids``, the token ids of ``text``."""
+    own = free_name("_text", carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = part.column(part.schema.get_field_index("_text"))
-                yield _swap(part, {"ids": _lists([codec.encode(t.as_py()) for t in texts])}, "_text")
+                texts = part.column(part.schema.get_field_index(own))
+                yield _swap(part, {"ids": _lists([codec.encode(t.as_py()) for t in texts])}, own)
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "ids array<int>"])
-    return docs.select(*carry, body().alias("_text")).mapInArrow(run, schema)
+    return docs.select(*quoted(carry), body().alias(own)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

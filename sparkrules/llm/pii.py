@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.tables import body
+from sparkrules.llm.tables import body, free_name, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -175,16 +175,17 @@ def _spans(lists: list[list[tuple]]) -> pa.Array:
 
 def scan(docs: DataFrame, *carry: str) -> DataFrame:
     """The ``carry`` columns and ``spans`` of ``text``."""
+    own = free_name("_text", carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "_text"]
-            spans = _spans([find(t.as_py()) for t in batch.column(batch.schema.get_field_index("_text"))])
+            names = [n for n in batch.schema.names if n != own]
+            spans = _spans([find(t.as_py()) for t in batch.column(batch.schema.get_field_index(own))])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), spans], [*names, "spans"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), f"spans {SPANS}"])
-    return docs.select(*carry, body().alias("_text")).mapInArrow(run, schema)
+    return docs.select(*quoted(carry), body().alias(own)).mapInArrow(run, schema)
 
 
 def masked(text: str) -> str:

@@ -18,8 +18,6 @@ without rows gives none; repeated rows are judged each. Only ``doc_id, text, lan
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +136,7 @@ def judged(rows: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Every document with its statistics, ``base_failed``, ``distance`` and ``kept``."""
-    return judged(stored(measured(docs, F.col("doc_id"))))
+    return judged(stored(measured(docs, F.col("doc_id")))).select("doc_id", *STATISTICS, "base_failed", "distance", "kept")
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrules.llm import bpe, decontaminate, pii, quality, secrets, simhash, suffixes, urlrules, wavelet
+from sparkrules.llm import bpe, decontaminate, paragraphs, pii, quality, secrets, simhash, suffixes, urlrules, wavelet
 from sparkrules.storage import scratch_path
 
 
@@ -103,6 +103,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded, "doc_id")
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.clusters(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.report(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "distance")
@@ -129,6 +133,7 @@ QUERIES = {
     "op4_pii": (op4_pii, None),
     "op5_simhash": (op5_simhash, None),
     "op6_bpe": (op6_bpe, None),
+    "op7_paragraphs": (op7_paragraphs, None),
     "op8_quality": (op8_quality, None),
     "op9_wavelet": (op9_wavelet, None),
     "op10_suffixes": (op10_suffixes, None),

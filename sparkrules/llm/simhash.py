@@ -55,10 +55,9 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-        names = [name for name in batch.schema.names if name != "text"]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(prints, pa.int64())], [*names, "fp"])
+        *kept, texts = batch.columns
+        prints = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(prints, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:

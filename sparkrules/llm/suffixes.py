@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.tables import body
+from sparkrules.llm.tables import body, quoted
 from sparkrules.storage import stored
 
 LENGTH, GRAM = 400, 64
@@ -290,19 +290,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 def removed(docs: DataFrame, *carry: str, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The ``carry`` columns, ``n_bytes``, ``removed`` (maximal runs of removed bytes) and ``kept`` (the other bytes, joined)."""
     found = repeats(docs, length, hot).withColumnRenamed("key", "_k")
-    rows = docs.select(*carry, text_key(body()).alias("_key"), body().alias("_text"))
-    rows = rows.join(found, F.col("_key") == F.col("_k"), "left").select(*carry, "_text", "copies", "spans")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "n_bytes long, removed array<struct<start:int,end:int>>, kept binary"])
+    rows = docs.select(F.struct(*quoted(carry)).alias("_row"), text_key(body()).alias("_key"), body().alias("_text"))
+    rows = rows.join(found, F.col("_key") == F.col("_k"), "left").select("_row", "_text", "copies", "spans")
+    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, n_bytes long, removed array<struct<start:int,end:int>>, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                first = part.num_columns - 3
                 sizes, gone, kept = [], [], []
-                for text, copies, spans in zip(*(part.column(first + i).to_pylist() for i in range(3))):
+                for text, copies, spans in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
                     raw = text.encode()
                     if copies and len(raw) >= length:
                         spans = [{"s": 0, "e": len(raw) - length + 1}]
@@ -318,6 +316,6 @@ def removed(docs: DataFrame, *carry: str, length: int = LENGTH, hot: int = HOT)
                     gone.append([{"start": a, "end": b} for a, b in merged])
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 columns = [pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(first)), *columns], [*part.schema.names[:first], "n_bytes", "removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["_row", "n_bytes", "removed", "kept"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("_row.*", "n_bytes", "removed", "kept")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,19 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(plain)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as make it a new one."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, dots and blanks included."""
+    return [F.col(f"`{n}`") for n in names]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join.
 
