@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkrules.llm.tables import body, free_name, quoted
+from sparkrules.llm.tables import body, packed, with_fields
 
 KEPT = 400_000
 ROWS = 256  # per batch that a task returns
@@ -113,26 +113,18 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32), pa.int32()))
 
 
-def _swap(batch: pa.RecordBatch, columns: dict[str, pa.Array], dropped: str) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n != dropped]
-    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *columns.values()], [*names, *columns])
-
-
 def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
     """The ``carry`` columns and ``ids``, the token ids of ``text``."""
-    own = free_name("_text", carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                texts = part.column(part.schema.get_field_index(own))
-                yield _swap(part, {"ids": _lists([codec.encode(t.as_py()) for t in texts])}, own)
+                rows, texts = batch.slice(at, ROWS).columns
+                yield pa.RecordBatch.from_arrays([rows, _lists([codec.encode(t.as_py()) for t in texts])], ["_row", "ids"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "ids array<int>"])
-    return docs.select(*quoted(carry), body().alias(own)).mapInArrow(run, schema)
+    df = docs.select(packed(carry), body().alias("_text"))
+    return df.mapInArrow(run, with_fields(df, "ids array<int>")).select("_row.*", "ids")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -142,13 +134,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         codec = Codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                lists = part.column(part.schema.get_field_index("ids"))
+                rows, lists = batch.slice(at, ROWS).columns
                 texts = [codec.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)) for x in lists]
-                yield _swap(part, {"decoded": pa.array(texts, pa.string())}, "")
+                yield pa.RecordBatch.from_arrays([rows, lists, pa.array(texts, pa.string())], ["_row", "ids", "decoded"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded string"])
-    return encoded.mapInArrow(run, schema)
+    df = encoded.select(packed(c for c in encoded.columns if c != "ids"), "ids")
+    return df.mapInArrow(run, with_fields(df, "ids array<int>, decoded string")).select("_row.*", "ids", "decoded")
 
 
 def round_trip(docs: DataFrame, path: str, *carry: str) -> DataFrame:

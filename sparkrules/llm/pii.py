@@ -18,10 +18,10 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.tables import body, free_name, quoted
+from sparkrules.llm.tables import body, packed, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -175,17 +175,14 @@ def _spans(lists: list[list[tuple]]) -> pa.Array:
 
 def scan(docs: DataFrame, *carry: str) -> DataFrame:
     """The ``carry`` columns and ``spans`` of ``text``."""
-    own = free_name("_text", carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [n for n in batch.schema.names if n != own]
-            spans = _spans([find(t.as_py()) for t in batch.column(batch.schema.get_field_index(own))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), spans], [*names, "spans"])
+            rows, texts = batch.columns
+            yield pa.RecordBatch.from_arrays([rows, _spans([find(t.as_py()) for t in texts])], ["_row", "spans"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), f"spans {SPANS}"])
-    return docs.select(*quoted(carry), body().alias(own)).mapInArrow(run, schema)
+    df = docs.select(packed(carry), body().alias("_text"))
+    return df.mapInArrow(run, with_fields(df, f"spans {SPANS}")).select("_row.*", "spans")
 
 
 def masked(text: str) -> str:
@@ -208,20 +205,26 @@ def clean(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            old = batch.column(at).to_pylist()
-            new = [t if t is None else masked(t) for t in old]
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-            chars = batch.schema.get_field_index("n_chars")
-            if chars >= 0 and pa.types.is_integer(batch.schema.field(chars).type):
-                counts = [n if a == b else len(b) for n, a, b in zip(batch.column(chars).to_pylist(), old, new)]
-                batch = batch.set_column(chars, batch.schema.field(chars), pa.array(counts, batch.schema.field(chars).type))
-            yield batch
+            rows, texts = batch.columns
+            new = [t if t is None else masked(t) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows, texts, pa.array(new, texts.type)], ["_row", "_text", "_new"])
 
-    return docs.mapInArrow(run, docs.schema)
+    df = docs.select(packed(docs.columns), F.col("text").alias("_text"))
+    out = df.mapInArrow(run, with_fields(df, "_text string, _new string"))
+    changed = ~F.col("_text").eqNullSafe(F.col("_new"))
 
+    def column(name: str, kind: str) -> Column:
+        old = F.col(f"_row.`{name}`")
+        if name == "text":
+            old = F.col("_new")
+        elif name == "n_chars":
+            old = F.when(changed, F.length("_new").cast(kind)).otherwise(old)
+        return old.alias(name)
 
-def joined(spans: str, base_only: bool) -> F.Column:
+    return out.select(*[column(name, kind) for name, kind in docs.dtypes])
+
+
+def joined(spans: str, base_only: bool) -> Column:
     """``kind:start:end`` of the spans, comma-joined."""
     kept = F.filter(spans, lambda s: s["base"]) if base_only else F.col(spans)
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.components import components
-from sparkrules.llm.tables import body, same, small
+from sparkrules.llm.tables import body, packed, same, small, with_fields
 from sparkrules.storage import stored
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -55,16 +55,15 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        *kept, texts = batch.columns
+        rows, texts = batch.columns
         prints = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(prints, pa.int64())], [*batch.schema.names[:-1], "fp"])
+        yield pa.RecordBatch.from_arrays([rows, pa.array(prints, pa.int64())], ["_row", "fp"])
 
 
 def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
     """``carry`` columns and ``fp``, the fingerprint as a signed long."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in carry], "fp bigint"])
-    return docs.select(*carry, body().alias("text")).mapInArrow(_fingerprints, schema)
+    df = docs.select(packed(carry), body().alias("_text"))
+    return df.mapInArrow(_fingerprints, with_fields(df, "fp bigint")).select("_row.*", "fp")
 
 
 #: A segment and its neighbours at one bit: those with a 0 bit set, or those with a 1 bit cleared.
@@ -81,7 +80,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     def probed(rows: DataFrame, table: DataFrame, old: int) -> DataFrame:
         probes = rows.selectExpr("fp as a", "side", f"posexplode({FLIPS.format(old=old)}) as (flip, seg)")
         found = probes.join(table.withColumnRenamed("fp", "b"), on).filter(F.bit_count(F.expr("a ^ b")) <= RADIUS)
-        return found.filter("flip > 0 or a < b").select("a", "b")
+        return found.filter("flip > 0 or a < b").selectExpr("least(a, b) as a", "greatest(a, b) as b")
 
     if crowds.isEmpty():
         return probed(index, index, 0).distinct()
@@ -97,7 +96,7 @@ def _hidden(crowded: DataFrame) -> DataFrame:
     both = first.selectExpr("fp", "i", "explode(sequence(0, i - 1)) as j")
     keyed = both.selectExpr("fp", "i", "j", "fp & ~(shiftleft(1L, i) | shiftleft(1L, j)) as rest")
     groups = keyed.groupBy("i", "j", "rest").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
-    return groups.select(F.explode("all").alias("a"), "b").filter("a <> b")
+    return groups.select(F.col("b").alias("a"), F.explode("all").alias("b")).filter("a <> b")
 
 
 def components_of(docs: DataFrame, carry: tuple[str, ...], bucket: int = BUCKET) -> DataFrame:

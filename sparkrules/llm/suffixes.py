@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.tables import body, quoted
+from sparkrules.llm.tables import body, packed, with_fields
 from sparkrules.storage import stored
 
 LENGTH, GRAM = 400, 64
@@ -290,9 +290,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 def removed(docs: DataFrame, *carry: str, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The ``carry`` columns, ``n_bytes``, ``removed`` (maximal runs of removed bytes) and ``kept`` (the other bytes, joined)."""
     found = repeats(docs, length, hot).withColumnRenamed("key", "_k")
-    rows = docs.select(F.struct(*quoted(carry)).alias("_row"), text_key(body()).alias("_key"), body().alias("_text"))
+    rows = docs.select(packed(carry), text_key(body()).alias("_key"), body().alias("_text"))
     rows = rows.join(found, F.col("_key") == F.col("_k"), "left").select("_row", "_text", "copies", "spans")
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, n_bytes long, removed array<struct<start:int,end:int>>, kept binary"
+    schema = with_fields(rows, "n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 #: Rows of a side that is sent to every executor, at most. Callers hold such rows under about 100 bytes.
 BROADCAST_ROWS = 400_000
@@ -23,17 +24,14 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(plain)
 
 
-def free_name(name: str, taken: Iterable[str]) -> str:
-    """``name``, with as many underscores before it as make it a new one."""
-    low = {t.lower() for t in taken}
-    while name.lower() in low:
-        name = f"_{name}"
-    return name
+def packed(names: Iterable[str]) -> Column:
+    """The named columns as one struct ``_row``: functions in tasks then see no names but their own."""
+    return F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row")
 
 
-def quoted(names: Iterable[str]) -> list[Column]:
-    """Columns by their exact names, dots and blanks included."""
-    return [F.col(f"`{n}`") for n in names]
+def with_fields(df: DataFrame, added: str) -> st.StructType:
+    """The schema of ``df._row`` and of the added columns, given as DDL."""
+    return st.StructType([df.schema["_row"], *st.StructType.fromDDL(added).fields])
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
