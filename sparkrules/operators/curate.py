@@ -193,18 +193,25 @@ def exclude_used(df: DataFrame, used: DataFrame, key: str = "text") -> DataFrame
     return remainder(df, used, key)
 
 
-def overlay(df: DataFrame, updates: DataFrame, col: str, computed: Column, key: str = "row_id") -> DataFrame:
-    """Set ``col`` from ``updates`` where the row is present there, else from ``computed``."""
-    new = updates.select(key, F.struct(F.col(col)).alias("_update"))
+def overlay(
+    df: DataFrame, updates: DataFrame, col: str, computed: Column, key: str = "row_id", order: Column | None = None
+) -> DataFrame:
+    """Set ``col`` from ``updates`` where the row is present there, else from ``computed``.
+
+    Of several updates for a key the one that is last by ``order`` (by its own value without one) holds.
+    """
+    value = F.struct(F.col(col))
+    newest = F.max(value) if order is None else F.max_by(value, order)
+    new = updates.groupBy(F.col(key).alias("_key")).agg(newest.alias("_update"))
     value = F.when(F.col("_update").isNotNull(), F.col(f"_update.{col}")).otherwise(computed)
-    return df.join(new, key, "left").withColumn(col, value).drop("_update")
+    return df.join(new, df[key] == new["_key"], "left").withColumn(col, value).drop("_update", "_key")
 
 
 def align_by_position(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
-    """Join the i-th row of ``a`` to the i-th row of ``b``; surplus rows of the longer side drop out."""
+    """Join the i-th row of ``a`` to the i-th row of ``b``; surplus rows of the longer side stay, with nulls beside them."""
     left = rank_rows(a, order_a, name="position")
     right = rank_rows(b, order_b, name="position")
-    return left.join(right, "position")
+    return left.join(right, "position", "full")
 
 
 def apply_corrections(df: DataFrame, patches: DataFrame, col: str, key: str = "row_id") -> DataFrame:
@@ -232,28 +239,36 @@ def candidate_table(refs: DataFrame, runs: Mapping[str, DataFrame], key: str = "
 def param_grid(axes: Mapping[str, DataFrame], skip: int = 0) -> DataFrame:
     """All combinations of the axes' distinct values, numbered in axis order, from ``skip`` on.
 
-    Each axis (a one-column table of a few settings) becomes one sorted array; the grid is the
-    arrays exploded in turn, so there is no join, and its numbers follow from the positions.
+    The grid is the result itself: each axis (a one-column table) is numbered by carried bucket counts and
+    joined to the combinations so far, so no axis is gathered into one value or task.
     """
-    names = list(axes)
-    arrays = {
-        f"_axis_{n}": axes[n].agg(F.array_sort(F.collect_set(F.col(axes[n].columns[0])))).scalar() for n in names
-    }
-    grid = next(iter(axes.values())).sparkSession.range(1).select(
-        *[a.alias(n) for n, a in arrays.items()]
-    )
-    number = F.lit(0).cast("bigint")
-    for n in names:
-        others = [c for c in grid.columns if c != f"_axis_{n}"]
-        grid = grid.select(*others, F.size(f"_axis_{n}").alias(f"_size_{n}"), F.posexplode(f"_axis_{n}").alias(f"_at_{n}", n))
-    for n in names:
-        number = number * F.col(f"_size_{n}") + F.col(f"_at_{n}")
-    return grid.withColumn("config_id", number).filter(F.col("config_id") >= skip).select("config_id", *names)
-
-
-def stack(dfs: Sequence[DataFrame]) -> DataFrame:
-    """UNION ALL by column name."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    grid = None
+    for n, axis in axes.items():
+        values = axis.select(F.col(axis.columns[0]).alias(n)).filter(F.col(n).isNotNull()).distinct()
+        numbered = _numbered(values, n).withColumn("_size", values.agg(F.count(F.lit(1))).scalar())
+        if grid is None:
+            grid = numbered.withColumnRenamed("_at", "config_id").drop("_size")
+        else:
+            number = F.col("config_id") * F.col("_size") + F.col("_at")
+            grid = grid.crossJoin(numbered).withColumn("config_id", number).drop("_at", "_size")
+    return grid.filter(F.col("config_id") >= skip).select("config_id", *axes)
+
+
+def _numbered(values: DataFrame, name: str) -> DataFrame:
+    """Distinct values with their place ``_at``, from 0; texts are placed by buckets of their first character."""
+    kind = dict(values.dtypes)[name]
+    if kind in ("string", "boolean", "date", "timestamp"):
+        text = F.col(name).cast("string")
+        staged = values.withColumn("_code", F.coalesce(F.ascii(F.substring(text, 1, 1)), F.lit(0)))
+        ranked = rank_rows(staged, ["_code", name], name="_at").drop("_code")
+    else:
+        ranked = rank_rows(values, [name], name="_at")
+    return ranked.withColumn("_at", F.col("_at") - 1)
+
+
+def stack(dfs: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:
+    """UNION ALL by column name; with ``allow_missing``, columns that a table lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), dfs)
 
 
 def stack_columns(df: DataFrame, columns: Sequence[str], into: str) -> DataFrame:

@@ -3,15 +3,17 @@
 A plain ``row_number`` over an unpartitioned window (or over a key holding a third of the rows)
 sorts everything in a single task. The helpers here split every group into ordered buckets,
 total each bucket with a map-side combined aggregate, carry the totals of earlier buckets
-forward, and only then run a window inside one bucket. Results equal the plain window.
+forward, and only then run a window inside one bucket. Results equal the plain window, at every size
+by the same plan: only the number of buckets follows the number of rows, without a limit.
 
 Two kinds of order are supported:
 
 * seeded order - by an md5 of (id, seed). Its leading hex digits are the bucket: uniform by
-  construction, no extra pass, the same on every engine and after a lost executor.
+  construction, the same on every engine and after a lost executor.
 * key order - by a unique numeric column. Bucket edges are approximate quantiles, read once
-  (a few thousand numbers at most) and fixed as literals, so every branch of the plan agrees.
-  Their number follows the row count: small tables get one bucket, which is the plain window.
+  and fixed as literals, so every branch of the plan agrees. A null key sorts first.
+
+Null ``by`` values are a group like any other.
 """
 
 from __future__ import annotations
@@ -22,10 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_DIGITS = 3  # 4096 buckets
-MAX_KEY_BUCKETS = 2048
 ROWS_PER_BUCKET = 100_000
-SMALL_LIMIT = 10_000  # largest n answered by a plain top-n
 
 
 def seed_hash(seed: int | str, *ids: str | Column) -> Column:
@@ -39,43 +38,44 @@ def hash_fraction(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
+    """Equality of the ``names`` with their prefixed namesakes on the right, nulls equal."""
+    out = F.lit(True)
+    for name in names:
+        out = out & left[name].eqNullSafe(right[f"{prefix}{name}"])
+    return out
+
+
 def key_edges(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
     """Approximate quantiles of ``key`` that cut the rows into buckets of some 100,000."""
-    quantiles = [i / MAX_KEY_BUCKETS for i in range(1, MAX_KEY_BUCKETS)]
     column = F.col(key).cast("double")
-    rows, found = df.agg(F.count(column), F.percentile_approx(column, quantiles, 4 * MAX_KEY_BUCKETS)).first()
-    wanted = buckets or min(MAX_KEY_BUCKETS, -(-rows // ROWS_PER_BUCKET))
-    picked = [found[i * MAX_KEY_BUCKETS // wanted - 1] for i in range(1, wanted)]
-    return sorted(set(picked))
+    wanted = buckets or -(-df.count() // ROWS_PER_BUCKET)
+    if wanted < 2:
+        return []
+    found = df.agg(F.percentile_approx(column, [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0]
+    return sorted(set(found or []))
+
+
+def hash_digits(df: DataFrame) -> int:
+    """How many hex digits make buckets of some 100,000 rows."""
+    rows, digits = df.count(), 1
+    while rows > ROWS_PER_BUCKET << 4 * digits:
+        digits += 1
+    return digits
 
 
 def _bucketed(df: DataFrame, order: Sequence[str | Column], hashed: bool, edges: Sequence[float] | None) -> DataFrame:
     """Add ``_bucket``, which never decreases along the order."""
     if hashed:
         first = F.col(order[0]) if isinstance(order[0], str) else order[0]
-        return df.withColumn("_bucket", F.substring(first, 1, HASH_DIGITS))
+        return df.withColumn("_bucket", F.substring(first, 1, hash_digits(df)))
+    if not edges:
+        return df.withColumn("_bucket", F.lit(0.0))
     splits = [float("-inf"), *edges, float("inf")]
-    staged = df.withColumn("_key", F.col(order[0]).cast("double"))
+    staged = df.withColumn("_key", F.coalesce(F.col(order[0]).cast("double"), F.lit(float("-inf"))))
     return Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(staged).drop("_key")
 
 
-def _plain_running(
-    df: DataFrame,
-    order: Sequence[str | Column],
-    totals: Mapping[str, tuple[str, Column]],
-    by: Sequence[str],
-    inclusive: bool,
-) -> DataFrame:
-    """The same values by one window, for tables counted to fit one bucket."""
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    fns = {"count": F.count, "sum": F.sum, "max": F.max}
-    values = {}
-    for name, (fn, column) in totals.items():
-        value = fns[fn](column).over(window)
-        values[name] = value if fn == "max" else F.coalesce(value, F.lit(0))
-    return df.withColumns(values)
-
-
 def running(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -91,15 +91,13 @@ def running(
     """Add running aggregates ``{name: (fn, column)}`` in ``order`` within ``by``.
 
     ``fn`` is ``count``, ``sum`` or ``max``. ``order`` must be unique within ``by`` and start with
-    a seeded hash (``hashed=True``) or a numeric column; ``by`` columns must not be null.
+    a seeded hash (``hashed=True``) or a numeric column.
     ``keep_below=(name, n)`` drops whole buckets whose carried total already reached ``n``, for
     callers that only need the head of each group. ``edges`` reuses the result of ``key_edges``.
     """
     by = list(by)
     if not hashed and edges is None:
         edges = key_edges(df, order[0], buckets)
-    if not hashed and not edges:
-        return _plain_running(df, order, totals, by, inclusive)
     staged = _bucketed(df, order, hashed, edges)
     for name, (_, column) in totals.items():
         staged = staged.withColumn(f"_in_{name}", column)
@@ -117,7 +115,8 @@ def running(
     if keep_below is not None:
         name, n = keep_below
         carry = carry.filter(F.coalesce(F.col(f"_carry_{name}"), F.lit(0)) < n)
-    joined = staged.join(carry, [*by, "_bucket"])
+    carry = carry.withColumnsRenamed({c: f"_at_{c}" for c in [*by, "_bucket"]})
+    joined = staged.join(carry, null_safe(staged, carry, [*by, "_bucket"], "_at_"))
     inside = (
         Window.partitionBy(*by, "_bucket")
         .orderBy(*order)
@@ -131,7 +130,7 @@ def running(
         else:
             value = F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
         joined = joined.withColumn(name, value)
-    internal = ["_bucket"] + [f"{p}{name}" for name in totals for p in ("_in_", "_carry_")]
+    internal = ["_bucket", *[f"_at_{c}" for c in [*by, "_bucket"]]] + [f"{p}{name}" for name in totals for p in ("_in_", "_carry_")]
     return joined.drop(*internal)
 
 

@@ -17,10 +17,9 @@ from sparkrules.functions import text as T
 from sparkrules.functions.tree import let
 from sparkrules.operators.ranking import rank_within, seed_hash
 
-QUERY_BLOCK = 4096  # query vectors that may be broadcast at once
+QUERY_BLOCK, ROW_BLOCK = 2048, 20_000  # query and corpus vectors of a cell, about
 WORD_QUERY_BLOCK = 256  # query texts whose state may be broadcast at once
 SCORE_DIGITS = 9
-LOOKUP_ROWS = 500_000  # id rows that may be broadcast to look texts up
 
 
 def ngrams(text: str | Column, n: int) -> Column:
@@ -38,44 +37,39 @@ def ngrams(text: str | Column, n: int) -> Column:
     return let(T.words(text), grams)
 
 
-def _overlaps(queries: DataFrame, corpus: DataFrame, n: int, fill: DataFrame | None = None) -> DataFrame:
-    grams_of = lambda df, key: df.select(key, F.explode(ngrams("text", n)).alias("gram"))
-    shared = (
-        grams_of(corpus, "row_id")
-        .join(grams_of(queries, "query_id"), "gram")
-        .select("query_id", "row_id", F.lit(1).cast("bigint").alias("one"))
-    )
-    if fill is not None:
-        shared = shared.unionByName(fill)
-    return shared.groupBy("query_id", "row_id").agg(F.sum("one").alias("overlap"))
+def _overlaps(queries: DataFrame, corpus: DataFrame, n: int, carry: Sequence[str] = ()) -> DataFrame:
+    rows = corpus.select("row_id", *carry, F.explode(ngrams("text", n)).alias("gram"))
+    asked = queries.select("query_id", F.explode(ngrams("text", n)).alias("gram"))
+    kept = [F.first(c).alias(c) for c in carry]
+    return rows.join(asked, "gram").groupBy("query_id", "row_id").agg(F.count(F.lit(1)).alias("overlap"), *kept)
 
 
 def ngram_overlap(queries: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
     """Shared distinct n-grams of every (query, row) that share one.
 
     An inverted-index equi join on the gram. A small query side is broadcast by its measured size;
-    else AQE splits hot grams. Counting combines before the shuffle, so a row of the corpus sends at
-    most one number per query.
+    else AQE splits hot grams. If the corpus is dealt by ``row_id`` and the query side is broadcast, the
+    counts are complete where the row is, and nothing is shuffled; else they combine before their shuffle.
     """
     return _overlaps(queries, corpus, n)
 
 
-def ngram_topk(queries: DataFrame, corpus: DataFrame, n: int, k: int) -> DataFrame:
+def ngram_topk(queries: DataFrame, corpus: DataFrame, n: int, k: int, carry: Sequence[str] = ()) -> DataFrame:
     """The ``k`` rows with the highest overlap per query; ties and rows without overlap go by id.
 
-    Rows without overlap can only enter among the k lowest ids, so those are added with zero. The
-    rank filter becomes a per-task top-k ahead of the shuffle by query.
+    Rows without overlap can only enter among the k lowest ids, so those are added with zero; of a row that is
+    there twice the zero goes, which the first 2k ranks leave room for. The rank filter becomes a per-task top-k ahead of
+    the shuffle by query. ``carry`` names columns of the corpus to bring along.
     """
-    lowest = corpus.select("row_id").orderBy("row_id").limit(k)
-    ids = lowest.agg(F.sort_array(F.collect_list("row_id"))).scalar()
-    fill = (
-        queries.select("query_id", ids.alias("_ids"))
-        .select("query_id", F.explode("_ids").alias("row_id"))
-        .withColumn("one", F.lit(0).cast("bigint"))
-    )
-    overlaps = _overlaps(queries, corpus, n, fill)
-    ranked = rank_within(overlaps, ["query_id"], [F.col("overlap").desc(), F.col("row_id")])
-    return ranked.filter(F.col("rank") <= k)
+    lowest = corpus.select("row_id", *carry).orderBy("row_id").limit(k)
+    rows = lowest.agg(F.collect_list(F.struct("row_id", *carry))).scalar()
+    fill = queries.select("query_id", F.inline(rows)).withColumn("overlap", F.lit(0).cast("bigint"))
+    order = [F.col("overlap").desc(), F.col("row_id")]
+    both = _overlaps(queries, corpus, n, carry).unionByName(fill)
+    head = rank_within(both, ["query_id"], order).filter(F.col("rank") <= 2 * k)
+    kept = [F.first(c).alias(c) for c in carry]
+    single = head.groupBy("query_id", "row_id").agg(F.max("overlap").alias("overlap"), *kept)
+    return rank_within(single, ["query_id"], order).filter(F.col("rank") <= k)
 
 
 # --- diverse exemplars ------------------------------------------------------------------------------
@@ -202,16 +196,14 @@ def diverse_exemplars(
 
 
 def _block_topk(ids: np.ndarray, matrix: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """Best ``k`` rows per query of one block of rows, by rounded dot product, then id."""
+    """Best ``k`` rows per query of one block of rows, by rounded dot product, then id. Only the winners are sorted."""
     scores = np.round(matrix @ rows.T, SCORE_DIGITS) + 0.0
-    order = np.lexsort((np.broadcast_to(row_ids, scores.shape), -scores), axis=1)[:, :k]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(ids, order.shape[1]),
-            "row_id": row_ids[order].ravel(),
-            "score": np.take_along_axis(scores, order, axis=1).ravel(),
-        }
-    )
+    k = min(k, scores.shape[1])
+    bounds = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    queries, at = np.nonzero(scores >= bounds[:, None])  # ties at the bound stay for the order by id
+    found = pd.DataFrame({"query_id": ids[queries], "row_id": row_ids[at], "score": scores[queries, at]})
+    found = found.sort_values(["query_id", "score", "row_id"], ascending=[True, False, True])
+    return found.groupby("query_id", sort=False).head(k)
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
@@ -222,53 +214,24 @@ TOPK_SCHEMA = "query_id bigint, row_id bigint, score double"
 
 
 def vector_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, vector: str = "embedding", block: int = QUERY_BLOCK
+    queries: DataFrame, corpus: DataFrame, k: int, vector: str = "embedding", block: int = QUERY_BLOCK, rows: int = ROW_BLOCK
 ) -> DataFrame:
     """The ``k`` rows with the highest dot product per query, exact, over every pair.
 
-    Up to ``block`` queries (checked) travel to the tasks as one matrix: each task multiplies its rows
-    in Arrow batches and sends its own top k only, the corpus is not shuffled. More queries make a
-    grid of query blocks and row blocks joined on the cell number. No pair is ever a row.
+    Query blocks and row blocks make a grid of cells, joined on the cell number; a cell is one matrix product
+    that sends its own top k only. No pair is ever a row and no vector passes through the driver; cells are bounded
+    by ``block`` and ``rows`` whatever the size of either side.
     """
     q = queries.select(F.col("query_id").cast("bigint"), F.col(vector).alias("v"))
     c = corpus.select(F.col("row_id").cast("bigint"), F.col(vector).alias("v"))
-    head = q.limit(block + 1).toPandas()
-    if len(head) <= block:
-        partial = _broadcast_topk(head, c, k)
-    else:
-        partial = _grid_topk(q, c, k, block)
+    partial = _grid_topk(q, c, k, block, rows)
     ranked = rank_within(partial, ["query_id"], [F.col("score").desc(), F.col("row_id")])
     return ranked.filter(F.col("rank") <= k)
 
 
-def _broadcast_topk(head: pd.DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    if head.empty:
-        return corpus.sparkSession.createDataFrame([], TOPK_SCHEMA)
-    ids, matrix = head["query_id"].to_numpy(), _vectors(head["v"])
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_matrix = shared.value
-        best = None
-        for frame in frames:
-            if frame.empty:
-                continue
-            part = _block_topk(query_ids, query_matrix, frame["row_id"].to_numpy(), _vectors(frame["v"]), k)
-            best = part if best is None else _merge(best, part, k)
-        if best is not None:
-            yield best
-
-    return corpus.mapInPandas(run, TOPK_SCHEMA)
-
-
-def _merge(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
-    both = pd.concat([a, b]).sort_values(["query_id", "score", "row_id"], ascending=[True, False, True])
-    return both.groupby("query_id", sort=False).head(k)
-
-
-def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int) -> DataFrame:
-    n_q = -(-queries.count() // block) * 2  # hash blocks vary in size; half-full on average
-    n_c = max(1, -(-corpus.count() // 50_000))
+def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int, rows: int) -> DataFrame:
+    n_q = max(1, -(-queries.count() // block))
+    n_c = max(1, -(-corpus.count() // rows))
     cells = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("cb", cells(n_c))
     right = corpus.withColumn("cb", F.pmod(F.xxhash64("row_id"), F.lit(n_c))).withColumn("qb", cells(n_q))
@@ -308,13 +271,10 @@ def max_pair_tokens(df: DataFrame, pair: Column) -> DataFrame:
     return df.agg(F.max(token_count(pair)).alias("max_pair_tokens"))
 
 
-# --- fixed values: the smallest plausible exemplar, in tokens -------------------------------------
-TOKENS_PER_EXEMPLAR = 90
-
-
-def exemplar_bound(budget: int) -> int:
-    """How many exemplars to rank for a budget."""
-    return budget // TOKENS_PER_EXEMPLAR
+def exemplar_bound(corpus: DataFrame, room: int, tokens: str = "n_tokens") -> int:
+    """How many exemplars can fit: no more than the room holds of the shortest one."""
+    shortest = corpus.agg(F.min(tokens)).first()[0]
+    return max(0, room // max(1, shortest)) if shortest is not None else 0
 
 
 def pack_budget(ranked: DataFrame, room: Column | int, tokens: str = "n_tokens") -> DataFrame:
@@ -328,23 +288,6 @@ def pack_budget(ranked: DataFrame, room: Column | int, tokens: str = "n_tokens")
     return summed.filter(F.col("packed_tokens") <= room)
 
 
-def look_up(ids: DataFrame, corpus: DataFrame, columns: Sequence[Column], at_most: int) -> DataFrame:
-    """Add columns of the corpus to rows that name it by ``row_id``.
-
-    ``at_most`` bounds the id rows. Up to ``LOOKUP_ROWS`` they are broadcast, so the corpus is read
-    once and not shuffled; more go through a shuffle join.
-    """
-    found = corpus.select("row_id", *columns)
-    return found.join(F.broadcast(ids) if at_most <= LOOKUP_ROWS else ids, "row_id")
-
-
-def ranked_sizes(ranked: DataFrame, corpus: DataFrame, block: Column, at_most: int) -> DataFrame:
-    """Add the token count of each ranked exemplar; every named row of the corpus is counted once."""
-    distinct = ranked.select("row_id").distinct()
-    sizes = look_up(distinct, corpus, [token_count(block).alias("n_tokens")], at_most)
-    return ranked.join(sizes, "row_id")
-
-
 def assemble_prompts(
     packed: DataFrame, queries: DataFrame, query: Column, *, context: str = "", nearest_last: bool = False
 ) -> DataFrame:
@@ -363,17 +306,16 @@ def assemble_prompts(
 def pack_exemplars(
     queries: DataFrame, corpus: DataFrame, *, budget: int, n: int = 1, context: str = ""
 ) -> DataFrame:
-    """Ranked exemplars that fit: (query_id, row_id, overlap, rank, n_tokens, packed_tokens).
+    """Ranked exemplars that fit: (query_id, row_id, overlap, n_tokens, rank, packed_tokens).
 
     ``queries`` has (query_id, code, text), ``corpus`` has (row_id, code, text, rule). Only ids and
-    token counts go through ranking and packing.
+    token counts go through ranking and packing, and as many rows are ranked as the shortest exemplar lets fit.
     """
-    k = exemplar_bound(budget)
-    ranked = ngram_topk(queries, corpus, n, k)
-    block = block_text(F.col("code"), F.col("text"), F.col("rule"))
-    sized = ranked_sizes(ranked, corpus, block, queries.count() * k)
-    longest = max_pair_tokens(queries, query_text(F.col("code"), F.col("text"))).scalar()
-    return pack_budget(sized, F.lit(budget - len(context.split())) - longest)
+    sized = corpus.select("row_id", "text", token_count(block_text(F.col("code"), F.col("text"), F.col("rule"))).alias("n_tokens"))
+    longest = max_pair_tokens(queries, query_text(F.col("code"), F.col("text"))).first()[0] or 0
+    room = budget - len(context.split()) - longest
+    ranked = ngram_topk(queries, sized, n, max(1, exemplar_bound(sized, room)), ["n_tokens"])
+    return pack_budget(ranked, room)
 
 
 def exemplar_prompts(
@@ -391,7 +333,7 @@ def exemplar_prompts(
     """
     packed = pack_exemplars(queries, corpus, budget=budget, n=n, context=context).select("query_id", "rank", "row_id")
     block = block_text(F.col("code"), F.col("text"), F.col("rule")).alias("block")
-    texts = look_up(packed, corpus, [block], queries.count() * exemplar_bound(budget))
+    texts = corpus.select("row_id", block).join(packed, "row_id")
     return assemble_prompts(
         texts, queries, query_text(F.col("code"), F.col("text")), context=context, nearest_last=nearest_last
     )
@@ -417,6 +359,19 @@ def reflection_prompts(
     the prompt is an exemplar: the best candidate, its option number, or the rule itself. Of equal
     scores the later run wins.
     """
+    return reflection_variants(candidates, rows, (mode,), seed, answers=(with_answer,), key=key).select(key, "prompt")
+
+
+def reflection_variants(
+    candidates: DataFrame,
+    rows: DataFrame,
+    modes: Sequence[str],
+    seed: int,
+    *,
+    answers: Sequence[bool] = (False, True),
+    key: str = "row_id",
+) -> DataFrame:
+    """``(key, mode, with_answer, prompt)`` for every mode, without and with the answer, from one list of candidates per row."""
     drawn = candidates.groupBy(key).agg(
         F.array_sort(
             F.collect_list(
@@ -426,17 +381,19 @@ def reflection_prompts(
             )
         ).alias("_c")
     )
-    line = lambda c, i: F.concat(F.lit("Option "), i, F.lit(": "), c["pred"])
-    lines = F.transform("_c", line if mode == "options" else lambda c: c["pred"])
+    option = lambda c, i: F.concat(F.lit("Option "), i, F.lit(": "), c["pred"])
     scored = F.transform("_c", lambda c, i: F.struct(c["score"], c["cand_id"], i.alias("at"), c["pred"]))
-    answer = F.lit("")
-    if with_answer:
-        answers = {
-            "choose": F.array_max(scored)["pred"],
-            "options": F.concat(F.lit("Option "), F.array_max(scored)["at"]),
-            "improve": F.col("rule"),
-        }
-        answer = answers[mode]
+    right = {
+        "choose": F.array_max(scored)["pred"],
+        "options": F.concat(F.lit("Option "), F.array_max(scored)["at"]),
+        "improve": F.col("rule"),
+    }
     head = F.concat(F.lit(fixed.SOURCE_MARK), F.col("code"), F.lit(" "), F.col("text"), F.lit("\n"))
-    prompt = F.concat(head, F.array_join(lines, "\n"), F.lit("\n" + fixed.TARGET_MARK + " "), answer)
-    return rows.join(drawn, key).select(key, prompt.alias("prompt"))
+    variants = []
+    for mode in modes:
+        lines = F.transform("_c", option if mode == "options" else lambda c: c["pred"])
+        asked = F.concat(head, F.array_join(lines, "\n"), F.lit("\n" + fixed.TARGET_MARK + " "))
+        for answer in answers:
+            prompt = F.concat(asked, right[mode]) if answer else asked
+            variants.append(F.struct(F.lit(mode).alias("mode"), F.lit(answer).alias("with_answer"), prompt.alias("prompt")))
+    return rows.join(drawn, key).select(key, F.inline(F.array(*variants)))

@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.operators.curate import contains_any, stack
-from sparkrules.operators.ranking import SMALL_LIMIT, rank_rows, rank_within, seed_hash, top_n
+from sparkrules.operators.ranking import null_safe, rank_rows, seed_hash, top_n
 
 
 def tail_split(df: DataFrame, order: Sequence[str], frac: float) -> DataFrame:
-    """Keep the order: the last ``ceil(n * frac)`` rows are ``test``, the others ``train``."""
+    """Keep the order: the last ``ceil(n * frac)`` rows are ``test``, the others ``train``.
+
+    Only the order columns are ranked; the row at the boundary then splits the whole rows where they are.
+    """
     total = df.agg(F.count(F.lit(1))).scalar()
-    ranked = rank_rows(df, order, name="_rank")
-    tail = F.col("_rank") > total - F.ceil(total * F.lit(float(frac)))
-    return ranked.withColumn("split", F.when(tail, "test").otherwise("train")).drop("_rank")
+    first_test = total - F.ceil(total * F.lit(float(frac))) + 1
+    ranked = rank_rows(df.select(*order), order, name="_rank")
+    boundary = ranked.filter(F.col("_rank") == first_test).agg(F.min(F.struct(*order))).scalar()
+    return df.withColumn("split", F.when(F.struct(*order) >= boundary, "test").otherwise("train"))
 
 
 def _seeded(df: DataFrame, key: str, seed: int | str) -> DataFrame:
@@ -27,10 +31,8 @@ def _seeded(df: DataFrame, key: str, seed: int | str) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str = "row_id") -> DataFrame:
     """Exactly ``n`` rows (or all), the same ones on every run and engine."""
-    hashed = _seeded(df, key, seed)
-    if n <= SMALL_LIMIT:
-        return top_n(hashed, ["_seeded", key], n).drop("_seeded")
-    return rank_rows(hashed, ["_seeded", key], name="_rank", hashed=True, at_most=n).drop("_seeded", "_rank")
+    ranked = rank_rows(_seeded(df, key, seed), ["_seeded", key], name="_rank", hashed=True, at_most=n)
+    return ranked.drop("_seeded", "_rank")
 
 
 def sample_fraction(df: DataFrame, frac: float, seed: int, key: str = "row_id") -> DataFrame:
@@ -41,13 +43,9 @@ def sample_fraction(df: DataFrame, frac: float, seed: int, key: str = "row_id")
 
 
 def sample_per_group(df: DataFrame, group: str, k: int, seed: int, key: str = "row_id") -> DataFrame:
-    """At most ``k`` rows per group; a large group is cut to ``k`` per task before the shuffle."""
+    """At most ``k`` rows per group; of a large group only the buckets that hold its first ``k`` are ranked."""
     hashed = _seeded(df, key, seed)
-    if k <= SMALL_LIMIT:
-        ranked = rank_within(hashed, [group], ["_seeded", key], name="_rank").filter(F.col("_rank") <= k)
-    else:
-        ranked = rank_rows(hashed, ["_seeded", key], [group], name="_rank", hashed=True, at_most=k)
-    return ranked.drop("_seeded", "_rank")
+    return rank_rows(hashed, ["_seeded", key], [group], name="_rank", hashed=True, at_most=k).drop("_seeded", "_rank")
 
 
 def shuffle(df: DataFrame, seed: int, key: str = "row_id", name: str = "position") -> DataFrame:
@@ -69,9 +67,10 @@ def nested_samples(df: DataFrame, sizes: Sequence[int], seed: int, key: str = "r
 
 
 def every_nth(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """Rows 1, n+1, 2n+1, ... in order."""
-    ranked = rank_rows(df, order, name="_rank")
-    return ranked.filter(F.pmod(F.col("_rank") - 1, F.lit(n)) == 0).drop("_rank")
+    """Rows 1, n+1, 2n+1, ... in order. Only the order columns are ranked."""
+    ranked = rank_rows(df.select(*order), order, name="_rank")
+    picked = ranked.filter(F.pmod(F.col("_rank") - 1, F.lit(n)) == 0).select(*[F.col(c).alias(f"_{c}") for c in order])
+    return df.join(picked, null_safe(df, picked, order, "_"), "left_semi")
 
 
 def document_folds(
@@ -101,12 +100,17 @@ def repeat_rows(df: DataFrame, k: int | Column, name: str = "copy") -> DataFrame
 
 
 def cap_rows(df: DataFrame, caps: Mapping[str, int], order: Sequence[str], by: str = "dataset") -> DataFrame:
-    """The first rows of each capped dataset; datasets without a cap stay whole."""
-    limited = F.col(by).isin(list(caps))
-    ranked = rank_rows(df.filter(limited), order, [by], name="_rank", at_most=max(caps.values()))
+    """The first rows of each capped dataset; datasets without a cap, a null one among them, stay whole.
+
+    Only the order columns are ranked. The last row within each cap then bounds the whole rows.
+    """
     cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col(by)]
-    head = ranked.filter(F.col("_rank") <= cap).drop("_rank")
-    return stack([df.filter(~limited), head])
+    slim = df.select(by, *order).filter(F.col(by).isin(list(caps)))
+    ranked = rank_rows(slim, order, [by], name="_rank", at_most=max(caps.values())).filter(F.col("_rank") <= cap)
+    last = ranked.groupBy(F.col(by).alias("_by")).agg(F.max(F.struct(*order)).alias("_last"))
+    bounded = df.join(F.broadcast(last), df[by] == last["_by"], "left")  # one row per cap
+    whole = ~F.coalesce(F.col(by).isin(list(caps)), F.lit(False))
+    return bounded.filter(whole | (F.struct(*order) <= F.col("_last"))).drop("_by", "_last")
 
 
 def build_mixture(
@@ -122,7 +126,7 @@ def build_mixture(
     mixed = datasets
     if swap is not None:
         out, replacement = swap
-        mixed = stack([mixed.filter(F.col(by) != out), replacement])
+        mixed = stack([mixed.filter(~F.col(by).eqNullSafe(out)), replacement])
     if caps:
         mixed = cap_rows(mixed, caps, order, by)
     weight = F.lit(1)

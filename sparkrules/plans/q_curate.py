@@ -190,7 +190,7 @@ def stack(spark, sf):
     annotated = load(spark, sf, "annotated").select("row_id", "text", "text_old", F.col("rule").alias("label"))
     both = curate.stack_columns(annotated, ["text", "text_old"], "model_input")
     pages = load(spark, sf, "pages").select(F.col("page_id").alias("row_id"), F.col("html").alias("model_input"))
-    return curate.stack([both, pages])
+    return curate.stack([both, pages], allow_missing=True)
 
 
 SPLIT_CODE = "CASE WHEN row_id % 10 < 7 THEN 1 WHEN row_id % 10 = 7 THEN 2 ELSE 3 END"
@@ -307,7 +307,7 @@ QUERIES = {
         align_by_position,
         with_inputs(
             """SELECT * FROM (SELECT conv_id * 100 + turn AS turn_id, text AS pred, row_number() OVER (ORDER BY conv_id * 100 + turn) AS position FROM conversations)
-            JOIN (SELECT row_id, file, row_number() OVER (ORDER BY row_id) AS position FROM corpus) USING (position)""",
+            FULL JOIN (SELECT row_id, file, row_number() OVER (ORDER BY row_id) AS position FROM corpus) USING (position)""",
             "corpus",
         ),
     ),

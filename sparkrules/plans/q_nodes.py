@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkrules.functions import fixed, tree
 from sparkrules.operators import nodes
-from sparkrules.plans.inputs import load, with_inputs
-from sparkrules.session import spread
+from sparkrules.plans.inputs import dealt, load, with_inputs
 
 SEED = 11
 _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
@@ -128,20 +127,20 @@ def _on(body: str, source: str) -> str:
 
 
 def node_table(spark, sf):
-    both = spread(load(spark, sf, "damaged"))
+    both = dealt(load(spark, sf, "damaged"))
     return nodes.node_table(both).select(
         "row_id", F.col("node_id").cast("bigint").alias("node_id"), F.col("parent_id").cast("bigint").alias("parent_id"), "depth", "name", "is_term"
     )
 
 
 def render_rules(spark, sf):
-    damaged = spread(load(spark, sf, "damaged"))
+    damaged = dealt(load(spark, sf, "damaged"))
     rendered = nodes.render_rules(nodes.node_table(damaged))
     return damaged.select("row_id").join(rendered, "row_id", "left").na.fill("", ["rule"])
 
 
 def node_facts(spark, sf):
-    found = nodes.node_facts(spread(load(spark, sf, "rules")))
+    found = nodes.node_facts(dealt(load(spark, sf, "rules")))
     ids = ["node_id", "parent_id", "n_children", "sibling"]
     return found.select("row_id", *[F.col(c).cast("bigint").alias(c) for c in ids], "depth", "name", "is_leaf", "path")
 
@@ -159,13 +158,13 @@ NODE_FACTS_SQL = _on(
 
 def _rewritten(step: str, source: str = "rules"):
     def query(spark, sf):
-        return nodes.rewrite_rules(spread(load(spark, sf, source)), [step]).select("row_id", "rule")
+        return nodes.rewrite_rules(dealt(load(spark, sf, source)), [step]).select("row_id", "rule")
 
     return query
 
 
 def predicate_facts(spark, sf):
-    facts = nodes.predicate_facts(spread(load(spark, sf, "rules")))
+    facts = nodes.predicate_facts(dealt(load(spark, sf, "rules")))
     return facts.select(
         "row_id",
         F.col("node_id").cast("bigint").alias("node_id"),
@@ -175,7 +174,7 @@ def predicate_facts(spark, sf):
 
 
 def expand_alternatives(spark, sf):
-    expanded = nodes.expand_alternatives(nodes.predicate_facts(spread(load(spark, sf, "rules"))))
+    expanded = nodes.expand_alternatives(nodes.predicate_facts(dealt(load(spark, sf, "rules"))))
     return expanded.select(
         "row_id", F.col("node_id").cast("bigint").alias("node_id"), F.col("alternative").cast("bigint").alias("alternative"),
         "relation", "subject", "property", "connector", "object",
@@ -183,7 +182,7 @@ def expand_alternatives(spark, sf):
 
 
 def factor_alternatives(spark, sf):
-    factored = nodes.factor_alternatives(nodes.predicate_facts(spread(load(spark, sf, "rules"))))
+    factored = nodes.factor_alternatives(nodes.predicate_facts(dealt(load(spark, sf, "rules"))))
     return factored.select(
         "row_id", F.col("node_id").cast("bigint").alias("node_id"), "relation", "subject", "property", "connector",
         F.array_join("values", "|").alias("options"),
@@ -203,7 +202,7 @@ FACTOR_SQL = _on(
 
 
 def rule_entities(spark, sf):
-    return nodes.rule_entities(spread(load(spark, sf, "rules"))).select("row_id", "entities")
+    return nodes.rule_entities(dealt(load(spark, sf, "rules"))).select("row_id", "entities")
 
 
 ENTITIES_SQL = _on(
@@ -217,7 +216,7 @@ ENTITIES_SQL = _on(
 
 
 def rule_expressions(spark, sf):
-    return nodes.rule_expressions(spread(load(spark, sf, "rules"))).select("row_id", "expressions")
+    return nodes.rule_expressions(dealt(load(spark, sf, "rules"))).select("row_id", "expressions")
 
 
 EXPRESSIONS_SQL = _on(
@@ -229,7 +228,7 @@ EXPRESSIONS_SQL = _on(
 
 def _completion(midword: bool):
     def query(spark, sf):
-        pairs = nodes.completion_pairs(spread(load(spark, sf, "rules")), 2, SEED, midword=midword)
+        pairs = nodes.completion_pairs(dealt(load(spark, sf, "rules")), 2, SEED, midword=midword)
         return pairs.select("row_id", "pick", F.col("node_id").cast("bigint").alias("node_id"), "given", "wanted")
 
     return query
@@ -255,7 +254,7 @@ def _completion_sql(midword: bool) -> str:
 
 
 def rule_lint(spark, sf):
-    return nodes.rule_lint(spread(load(spark, sf, "damaged")))
+    return nodes.rule_lint(dealt(load(spark, sf, "damaged")))
 
 
 LINT_SQL = _on(
@@ -276,7 +275,7 @@ REWRITE_STEPS = ["clean", "repair_then", "collapse_nested", "drop_duplicate_obli
 
 
 def rewrite_rules(spark, sf):
-    return nodes.rewrite_rules(spread(load(spark, sf, "damaged")), REWRITE_STEPS).select("row_id", "rule")
+    return nodes.rewrite_rules(dealt(load(spark, sf, "damaged")), REWRITE_STEPS).select("row_id", "rule")
 
 
 REWRITE_SQL = with_inputs(

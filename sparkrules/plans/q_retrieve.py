@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from sparkrules.operators import retrieve
 from sparkrules.operators.curate import stack
-from sparkrules.plans.inputs import load, with_inputs
-from sparkrules.session import spread
+from sparkrules.plans.inputs import dealt, load, with_inputs
 
 BUDGET = 4060
-K = retrieve.exemplar_bound(BUDGET)
+K = 45
+ALL = 10**9  # the twin ranks every row and packs
 SEED = 5
 _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 
@@ -37,7 +37,7 @@ def _topk_sql(n: int, k: int) -> str:
 
 
 def _inputs(spark, sf):
-    return load(spark, sf, "questions"), spread(load(spark, sf, "exemplars"))
+    return load(spark, sf, "questions"), dealt(load(spark, sf, "exemplars"))
 
 
 def ngram_overlap(spark, sf):
@@ -88,7 +88,7 @@ def pack_budget(spark, sf):
 
 _BLOCK = "'Source: ' || code || ' ' || text || chr(10) || 'Target: ' || rule"
 _QUESTION = "'Source: ' || code || ' ' || text || chr(10) || 'Target: '"
-PACKED_SQL = f"""{_topk_sql(1, K)},
+PACKED_SQL = f"""{_topk_sql(1, ALL)},
   b AS MATERIALIZED (SELECT row_id, {_BLOCK} AS block, len({_words_sql(_BLOCK)}) AS n_tokens FROM exemplars),
   m AS (SELECT max(len({_words_sql(_QUESTION)})) AS longest FROM questions),
   p AS MATERIALIZED (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS packed_tokens FROM r JOIN b USING (row_id)),
@@ -131,12 +131,7 @@ def exemplar_counts(spark, sf):
 def reflection_prompts(spark, sf):
     candidates = load(spark, sf, "candidates")
     rows = candidates.filter("cand_id = 0").select("row_id", "code", "text", "rule")
-    built = []
-    for mode in ("choose", "options", "improve"):
-        for with_answer in (False, True):
-            prompts = retrieve.reflection_prompts(candidates, rows, mode, SEED, with_answer=with_answer)
-            built.append(prompts.select("row_id", F.lit(mode).alias("mode"), F.lit(with_answer).alias("with_answer"), "prompt"))
-    return stack(built)
+    return retrieve.reflection_variants(candidates, rows, ("choose", "options", "improve"), SEED)
 
 
 REFLECTION_SQL = with_inputs(

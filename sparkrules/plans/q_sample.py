@@ -25,8 +25,8 @@ def tail_split(spark, sf):
 
 def sample_n(spark, sf):
     corpus = load(spark, sf, "corpus")
-    few = sample.sample_n(corpus, 518, 42).withColumn("n", F.lit(518))
-    many = sample.sample_n(load(spark, sf, "rules").withColumnRenamed("rule", "text"), 12_000, 42).withColumn("n", F.lit(12_000))
+    few = sample.sample_n(corpus.select("row_id", "text"), 518, 42).withColumn("n", F.lit(518))
+    many = sample.sample_n(load(spark, sf, "rules").selectExpr("row_id", "rule as text"), 12_000, 42).withColumn("n", F.lit(12_000))
     return curate.stack([few, many]).select("n", "row_id", "text")
 
 

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from sparkrules.functions import text as T
 from sparkrules.operators import score
-from sparkrules.plans.inputs import load, with_inputs
+from sparkrules.plans.inputs import dealt, load, with_inputs
 from sparkrules.plans.q_nodes import link_sql
 from sparkrules.plans.q_retrieve import _words_sql
-from sparkrules.session import spread
 
 SEED = 9
 
@@ -25,7 +24,7 @@ BAG_SQL = f"""b AS (SELECT row_id, sum(least(a, c)) AS overlap FROM
 
 
 def rule_elements(spark, sf):
-    found = score.rule_elements(spread(load(spark, sf, "rule_pairs")), "pred")
+    found = score.rule_elements(dealt(load(spark, sf, "rule_pairs")), "pred")
     return found.select(
         "row_id", F.col("position").cast("bigint").alias("position"), "relation", F.array_join("words", "|").alias("words"), "is_entity"
     )
@@ -80,14 +79,14 @@ def _scores_sql(src: str) -> str:
 
 
 def structure_score(spark, sf):
-    scored = score.structure_score(spread(load(spark, sf, "rule_pairs")))
+    scored = score.structure_score(dealt(load(spark, sf, "rule_pairs")))
     return scored.select("row_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 def structure_f1(spark, sf):
     """Corpus score of damaged rules against the originals, after cleaning both sides."""
-    refs = spread(load(spark, sf, "rules")).select("row_id", F.col("rule").alias("ref"))
-    pairs = spread(load(spark, sf, "damaged")).select("row_id", F.col("rule").alias("pred")).join(refs, "row_id")
+    refs = dealt(load(spark, sf, "rules")).select("row_id", F.col("rule").alias("ref"))
+    pairs = dealt(load(spark, sf, "damaged")).select("row_id", F.col("rule").alias("pred")).join(refs, "row_id")
     scores = score.structure_f1(score.structure_score(pairs, post_process=T.clean_prediction))
     return scores.select(*[F.round(c, 6).alias(c) for c in scores.columns])
 
@@ -97,7 +96,7 @@ _CLEAN = "replace(translate(CASE WHEN contains(trim({c}), 'if(') THEN substr(tri
 
 def corpus_bleu(spark, sf):
     """BLEU of the assistant turns against the user turns: overall, and per six groups of conversations."""
-    pairs = spread(load(spark, sf, "text_pairs")).withColumn("variant", F.pmod("conv_id", F.lit(6)))
+    pairs = dealt(load(spark, sf, "text_pairs")).withColumn("variant", F.pmod("conv_id", F.lit(6)))
     grouped = score.corpus_bleu(pairs, by=["variant"])
     overall = score.corpus_bleu(pairs).withColumn("variant", F.lit(-1).cast("bigint"))
     both = grouped.unionByName(overall)
@@ -122,7 +121,7 @@ BLEU_SQL = with_inputs(
 
 
 def agreement_ratio(spark, sf):
-    return score.agreement_ratio(spread(load(spark, sf, "rule_pairs")), "pred", "ref").select(F.round("agreement", 6).alias("agreement"))
+    return score.agreement_ratio(dealt(load(spark, sf, "rule_pairs")), "pred", "ref").select(F.round("agreement", 6).alias("agreement"))
 
 
 def extremes(spark, sf):

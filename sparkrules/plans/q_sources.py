@@ -6,32 +6,36 @@ from pyspark.sql import functions as F
 
 from sparkrules.plans.inputs import load, with_inputs
 from sparkrules.sources import io
+from sparkrules.storage import scratch_path
 
 
 def read_corpus(spark, sf):
-    path = io.scratch_path(spark)
+    path = scratch_path(spark)
     corpus = load(spark, sf, "corpus").select("row_id", "file", "text", "lang")
     io.write_table(corpus, path, "csv")
     return io.read_corpus(spark, path, "row_id bigint, file string, text string, lang string")
 
 
 def read_lines(spark, sf):
-    path = io.scratch_path(spark)
-    lines = load(spark, sf, "responses").select(F.translate("response", "\n\r", "  ").alias("value"))
-    io.write_table(lines, path, "text")
+    """One file per attempt, its lines in row order."""
+    path = scratch_path(spark)
+    lines = load(spark, sf, "responses").select("attempt", "row_id", F.translate("response", "\n\r", "  ").alias("value"))
+    files = lines.repartition("attempt").sortWithinPartitions("attempt", "row_id").drop("row_id")
+    files.write.partitionBy("attempt").text(path)
     found = io.read_lines(spark, path)
-    return found.groupBy("value").agg(F.count(F.lit(1)).alias("n"), (F.min("line_no") > 0).alias("numbered"))
+    return found.select(F.regexp_extract("file", "attempt=([0-9]+)", 1).cast("bigint").alias("attempt"), "line_no", "value")
 
 
 def read_text(spark, sf):
-    path = io.scratch_path(spark)
-    io.write_table(load(spark, sf, "corpus").select("text"), path, "text")
+    """One context text per file."""
+    path = scratch_path(spark)
+    load(spark, sf, "questions").select("query_id", "text").write.partitionBy("query_id").text(path)
     whole = io.read_text(spark, path)
-    return whole.agg(F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+    return whole.select(F.regexp_extract("file", "query_id=([0-9]+)", 1).cast("bigint").alias("query_id"), "text")
 
 
 def read_mixture(spark, sf):
-    root = io.scratch_path(spark)
+    root = scratch_path(spark)
     parts = {
         "documents": load(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text", "lang"),
         "benchmark": load(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), "text"),
@@ -43,12 +47,11 @@ def read_mixture(spark, sf):
 
 
 def append_metrics(spark, sf):
-    path = io.scratch_path(spark)
-    log = load(spark, sf, "metric_log")
-    for kind in ("click", "view", "error", "signup", "purchase"):
-        io.append_metrics(log.filter(F.col("event_type") == kind), path, partition_by=["event_type"])
-    back = spark.read.parquet(path)
-    return back.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first_step"), F.max("value").alias("best"))
+    path = scratch_path(spark)
+    io.append_metrics(load(spark, sf, "metric_log"), path, partition_by=["event_type"])
+    scores = load(spark, sf, "labels").selectExpr("doc_id as run", "bigint(quality) as step", "double(toxic) as value", "'label' as event_type")
+    io.append_metrics(scores, path, partition_by=["event_type"])
+    return spark.read.parquet(path).select("run", "step", "value", "event_type")
 
 
 QUERIES = {
@@ -56,10 +59,12 @@ QUERIES = {
     "read_lines": (
         read_lines,
         with_inputs(
-            "SELECT translate(response, chr(10) || chr(13), '  ') AS value, count(*) AS n, true AS numbered FROM responses GROUP BY ALL", "responses"
+            """SELECT attempt, row_number() OVER (PARTITION BY attempt ORDER BY row_id) AS line_no,
+            translate(response, chr(10) || chr(13), '  ') AS value FROM responses""",
+            "responses",
         ),
     ),
-    "read_text": (read_text, "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents"),
+    "read_text": (read_text, "SELECT item_id AS query_id, text || chr(10) AS text FROM benchmark"),
     "read_mixture": (
         read_mixture,
         """SELECT doc_id AS row_id, text, lang, 'documents' AS dataset FROM documents
@@ -67,6 +72,7 @@ QUERIES = {
     ),
     "append_metrics": (
         append_metrics,
-        "SELECT user_id AS run, count(*) AS n, min(event_id) AS first_step, max(value) AS best FROM events GROUP BY user_id",
+        """SELECT user_id AS run, event_id AS step, value, event_type FROM events
+        UNION ALL SELECT doc_id, quality::BIGINT, toxic::DOUBLE, 'label' FROM labels""",
     ),
 }

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkrules.functions import fixed, names, quantity
 from sparkrules.functions import text as T
-from sparkrules.plans.inputs import load, with_inputs
-from sparkrules.session import spread
+from sparkrules.plans.inputs import dealt, load, with_inputs
 
 PREFIX = "translate English to rules: "
 REPAIR_PREFIX = "fix rules: "
@@ -55,8 +54,8 @@ def normalise_text(spark, sf):
 
 
 def apply_replacements(spark, sf):
-    rules = spread(load(spark, sf, "rules").select("row_id", F.col("rule").alias("before")))
-    corpus = spread(load(spark, sf, "corpus").select("row_id", F.col("text").alias("before")))
+    rules = dealt(load(spark, sf, "rules").select("row_id", F.col("rule").alias("before")))
+    corpus = dealt(load(spark, sf, "corpus").select("row_id", F.col("text").alias("before")))
     return rules.unionByName(corpus).select("row_id", "before", T.apply_replacements("before").alias("replaced"))
 
 
@@ -87,9 +86,9 @@ def rename_terms(spark, sf):
 
 
 def score_words(spark, sf):
-    rules = spread(load(spark, sf, "rules").select("row_id", F.col("rule").alias("t")))
-    corpus = spread(load(spark, sf, "corpus").select("row_id", F.col("text").alias("t")))
-    units = spread(load(spark, sf, "quantities")).select(
+    rules = dealt(load(spark, sf, "rules").select("row_id", F.col("rule").alias("t")))
+    corpus = dealt(load(spark, sf, "corpus").select("row_id", F.col("text").alias("t")))
+    units = dealt(load(spark, sf, "quantities"), "l_orderkey").select(
         F.col("l_orderkey").alias("row_id"), F.concat(F.lit("pipe.maxLoad_of "), "quantity", F.lit(" steelPipe.width")).alias("t")
     )
     found = rules.unionByName(corpus).unionByName(units).withColumn("w", T.score_words("t"))
@@ -161,7 +160,7 @@ ANSWER_AFTER_SQL = with_inputs(
 
 
 def parse_quantity(spark, sf):
-    parsed = spread(load(spark, sf, "quantities")).withColumn("q", quantity.parse_quantity("quantity"))
+    parsed = dealt(load(spark, sf, "quantities"), "l_orderkey").withColumn("q", quantity.parse_quantity("quantity"))
     return parsed.select(
         "l_orderkey",
         "l_linenumber",
@@ -256,7 +255,7 @@ def second_pass_input(spark, sf):
 
 
 def mask_tokens(spark, sf):
-    corpus = spread(load(spark, sf, "corpus"))
+    corpus = dealt(load(spark, sf, "corpus"))
     masked = T.mask_tokens(T.words("text"), "row_id", 0.15, 7)
     return corpus.select("row_id", F.array_join(masked, " ").alias("masked"))
 

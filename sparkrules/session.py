@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "sparkrules") -> SparkSession:
@@ -23,11 +23,3 @@ def local_session(cores: int | str = 8, app: str = "sparkrules") -> SparkSession
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input of few splits one partition per core, for work that is heavy per row.
-
-    A large input already has more splits than cores and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,16 +25,6 @@ CSV_OPTIONS = {
 READ_OPTIONS = {**CSV_OPTIONS, "nullValue": "\u0000"}
 
 
-def scratch_path(spark: SparkSession) -> str:
-    """A new folder name under the shared folder of the cluster; local sessions may use a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="sparkrules-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def read_corpus(spark: SparkSession, path: str, schema: st.StructType | str = CORPUS_SCHEMA) -> DataFrame:
     """A corpus CSV with quoted multi-line fields, by an explicit schema."""
     return spark.read.schema(schema).options(**READ_OPTIONS).csv(path)
@@ -69,7 +57,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def read_mixture(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
     """The named dataset folders under a root as one table with a ``dataset`` column."""
     parts = [spark.read.parquet(f"{root}/{n}").withColumn("dataset", F.lit(n)) for n in names]
-    return stack(parts)
+    return stack(parts, allow_missing=True)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkrules.functions import text as T
 from sparkrules.operators import nodes
 from sparkrules.sources import io
+from sparkrules.storage import scratch_path
 from sparkrules.streaming import read_corpus_stream, write_columns
 
 ODD = ['plain', 'a, "quoted" one', 'two\nlines', '  padded  ', '', None, "it's"]
@@ -64,14 +65,14 @@ class _Session:
 
     def __init__(self, conf, master):
         self.conf = _Conf(conf)
-        self.sparkContext = type("C", (), {"master": master, "getCheckpointDir": lambda self: None})()
+        self.sparkContext = type("C", (), {"master": master, "applicationId": "app", "getCheckpointDir": lambda self: None})()
 
 
 def test_scratch_follows_the_shared_folder():
-    assert io.scratch_path(_Session({"spark.checkpoint.dir": "hdfs://x/ck/"}, "yarn")).startswith("hdfs://x/ck/")
+    assert scratch_path(_Session({"spark.checkpoint.dir": "hdfs://x/ck/"}, "yarn")).startswith("hdfs://x/ck/app/")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        io.scratch_path(_Session({}, "yarn"))
-    assert io.scratch_path(_Session({}, "local[2]"))
+        scratch_path(_Session({}, "yarn"))
+    assert scratch_path(_Session({}, "local[2]"))
 
 
 def test_stream_takes_the_row_functions(spark, tmp_path):

@@ -49,7 +49,7 @@ def test_buckets_spread_one_order_over_tasks(spark, skewed):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
-def test_small_tables_use_the_plain_window(skewed):
+def test_small_tables_equal_the_plain_window(skewed):
     window = Window.orderBy("row_id")
     got = ranking.rank_rows(skewed, ["row_id"])
     plain = skewed.withColumn("rank", F.row_number().over(window).cast("bigint"))
@@ -112,3 +112,46 @@ def test_overlay_keeps_null_updates(spark):
     updates = spark.createDataFrame([(1, None)], "row_id int, text string")
     out = curate.overlay(df, updates, "text", F.upper("text"))
     assert {r.row_id: r.text for r in out.collect()} == {1: None, 2: "B"}
+
+
+def _with_nulls(spark):
+    rows = [(None if i == 50 else i, None if i % 7 == 0 else f"d{i % 3}", f"t{i}") for i in range(100)]
+    return spark.createDataFrame(rows, "row_id long, dataset string, text string")
+
+
+@pytest.mark.parametrize("buckets", [None, 5])
+def test_null_groups_and_keys_are_ranked_like_others(spark, buckets):
+    from pyspark.sql import Window
+
+    df = _with_nulls(spark)
+    got = ranking.rank_rows(df, ["row_id"], ["dataset"], buckets=buckets)
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("dataset").orderBy("row_id")).cast("long"))
+    assert got.count() == 100 and got.exceptAll(want.select(got.columns)).isEmpty()
+
+
+def test_samples_keep_null_groups(spark):
+    df = _with_nulls(spark)
+    assert sample.shuffle_within(df, "dataset", 1, "text").count() == 100
+    assert sample.sample_per_group(df, "dataset", 2, 1, "text").groupBy("dataset").count().filter("count <> 2").isEmpty()
+    assert sample.sample_per_group(df, "dataset", 2, 1, "text").count() == 8
+    assert sample.cap_rows(df, {"absent": 3}, ["row_id"]).count() == 100
+    assert sample.cap_rows(df, {"d1": 3}, ["row_id"]).count() == 100 - df.filter("dataset = 'd1'").count() + 3
+    extra = spark.createDataFrame([(1000, "new", "x")], df.schema)
+    assert sample.build_mixture(df, order=["row_id"], swap=("d0", extra)).count() == 101 - df.filter("dataset = 'd0'").count()
+
+
+def test_splits_keep_every_row(spark):
+    df = _with_nulls(spark)
+    split = sample.tail_split(df, ["row_id"], 0.1)
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 90, "test": 10}
+    assert sample.every_nth(df, 4, ["row_id"]).count() == 25
+
+
+def test_overlay_and_alignment_lose_and_double_nothing(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "row_id long, text string")
+    updates = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "w", 0)], "row_id long, text string, at int")
+    out = curate.overlay(df, updates, "text", F.col("text"), order=F.col("at"))
+    assert sorted((r.row_id or 0, r.text) for r in out.collect()) == [(0, "c"), (1, "y"), (2, "b")]
+    other = spark.createDataFrame([(k,) for k in range(5)], "other long")
+    both = curate.align_by_position(df.filter("row_id > 0"), other, ["row_id"], ["other"])
+    assert sorted((r.position, r.row_id, r.other) for r in both.collect()) == [(1, 1, 0), (2, 2, 1), (3, None, 2), (4, None, 3), (5, None, 4)]
