@@ -71,12 +71,25 @@ UNIT_OPERATORS = [("addition", "+"), ("subtraction", "-"), ("multiplication", "*
 # --- fixed values: rule vocabulary ------------------------------------------------------------
 CONNECTORS = ["and", "or"]
 DEONTICS = ["obligation", "permission", "prohibition"]
-KEYWORDS = ["if", "then", *CONNECTORS, *DEONTICS, "not", "loop"]
+KEYWORDS = ["if", "then", "and", "or", "obligation", "permission", "prohibition", "not", "loop"]
 STRUCTURE_WORDS = [
     "expression", "expr", "appliedstatement", "rulestatement", "atom", "function", "fun", "relation", "rel",
     "variable", "var", "data", "baseunit", "derivedunit", "prefix", "kind", "operator", "value",
 ]
 
+# --- fixed values: notation levels, and what is short in each ------------------------------------
+NOTATION_LEVELS = {
+    "base": [],
+    "unit": ["units"],
+    "u_ao": ["units", "values"],
+    "u_ao_atom": ["units", "values", "atoms"],
+    "u_ao_at_expr": ["units", "values", "atoms", "expressions"],
+    "u_ao_at_ex_loop": ["units", "values", "atoms", "expressions", "loops"],
+    "u_atom": ["units", "atoms"],
+    "u_at_expr": ["units", "atoms", "expressions"],
+    "u_at_ex_loop": ["units", "atoms", "expressions", "loops"],
+}
+
 # --- fixed values: comment tags, by group -----------------------------------------------------
 TAG_GROUPS = {
     "ignore": [

@@ -19,7 +19,7 @@ def _map(pairs: list[tuple[str, str]], flip: bool = False) -> Column:
     return F.create_map(*flat)
 
 
-def _lookup(pairs: list[tuple[str, str]], key: Column, flip: bool = False) -> Column:
+def lookup(pairs: list[tuple[str, str]], key: Column, flip: bool = False) -> Column:
     """Map lookup; empty and unknown keys give null."""
     return F.try_element_at(_map(pairs, flip), key)
 
@@ -29,8 +29,8 @@ def parse_base_unit(unit: Column) -> Column:
     part = lambda i: F.regexp_extract(unit, BASE_UNIT, i)
     exponent = F.when(part(3) != "", F.concat(part(3), F.lit(".0")))
     found = F.struct(
-        _lookup(fixed.UNIT_PREFIXES, part(1), flip=True).alias("prefix"),
-        _lookup(fixed.UNIT_KINDS, part(2), flip=True).alias("kind"),
+        lookup(fixed.UNIT_PREFIXES, part(1), flip=True).alias("prefix"),
+        lookup(fixed.UNIT_KINDS, part(2), flip=True).alias("kind"),
         exponent.alias("exponent"),
     )
     return F.when((unit != "") & unit.rlike(BASE_UNIT), found)
@@ -58,7 +58,7 @@ def parse_quantity(c: str | Column) -> Column:
     found = F.struct(
         value.alias("value"),
         F.when(derived, left).otherwise(whole).alias("first"),
-        F.when(derived, _lookup(fixed.UNIT_OPERATORS, sign, flip=True)).alias("operator"),
+        F.when(derived, lookup(fixed.UNIT_OPERATORS, sign, flip=True)).alias("operator"),
         F.when(derived, right).alias("second"),
     )
     return F.when((unit != "") & (derived | whole.isNotNull()), found)
@@ -71,8 +71,8 @@ def trim_decimal(number: Column) -> Column:
 def format_base_unit(unit: Column) -> Column:
     blank = F.lit("")
     return F.concat(
-        F.coalesce(_lookup(fixed.UNIT_PREFIXES, unit["prefix"]), blank),
-        F.coalesce(_lookup(fixed.UNIT_KINDS, unit["kind"]), blank),
+        F.coalesce(lookup(fixed.UNIT_PREFIXES, unit["prefix"]), blank),
+        F.coalesce(lookup(fixed.UNIT_KINDS, unit["kind"]), blank),
         F.coalesce(trim_decimal(unit["exponent"]), blank),
     )
 
@@ -81,6 +81,6 @@ def format_quantity(quantity: Column) -> Column:
     """The text of a quantity struct: ``12.5 mm``, ``3 kg/m3``."""
     tail = F.when(
         quantity["operator"].isNotNull(),
-        F.concat(_lookup(fixed.UNIT_OPERATORS, quantity["operator"]), format_base_unit(quantity["second"])),
+        F.concat(lookup(fixed.UNIT_OPERATORS, quantity["operator"]), format_base_unit(quantity["second"])),
     ).otherwise(F.lit(""))
     return F.concat(trim_decimal(quantity["value"]), F.lit(" "), format_base_unit(quantity["first"]), tail)

@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrules.functions import tree
+from sparkrules.functions import notation, tree
+
+STEPS = {**tree.STEPS, **notation.STEPS}
 
 
 def with_tree(df: DataFrame, rule: str = "rule", name: str = "tree") -> DataFrame:
@@ -99,8 +101,17 @@ def factor_alternatives(facts: DataFrame, key: str = "row_id") -> DataFrame:
 def rewrite_rules(
     df: DataFrame, steps: Sequence[str | Callable[[Column], Column]], rule: str = "rule", out: str | None = None
 ) -> DataFrame:
-    """Rewrite a rule column by an ordered list of step names or Column functions."""
-    return df.withColumn(out or rule, tree.rewrite(F.col(rule), steps))
+    """Rewrite a rule column by an ordered list of step names or Column functions, one projection per step."""
+    out = out or rule
+    df = df.withColumn(out, F.col(rule))
+    for step in steps:
+        df = df.withColumn(out, tree.rewrite(F.col(out), [STEPS[step] if isinstance(step, str) else step]))
+    return df
+
+
+def at_level(df: DataFrame, level: str, rule: str = "rule", out: str | None = None) -> DataFrame:
+    """Rules of the shortest notation at a named notation level."""
+    return rewrite_rules(df, notation.LEVELS[level], rule, out)
 
 
 def rule_entities(df: DataFrame, rule: str = "rule", out: str = "entities") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkrules.plans import q_curate, q_nodes, q_retrieve, q_runs, q_sample, q_score, q_sources, q_text
+from sparkrules.plans import q_curate, q_nodes, q_notation, q_retrieve, q_runs, q_sample, q_score, q_sources, q_text
 
 QUERIES = {
     **q_sources.QUERIES,
@@ -11,6 +11,7 @@ QUERIES = {
     **q_sample.QUERIES,
     **q_retrieve.QUERIES,
     **q_nodes.QUERIES,
+    **q_notation.QUERIES,
     **q_score.QUERIES,
     **q_runs.QUERIES,
 }

@@ -130,3 +130,39 @@ def test_lint(spark):
         (1, "empty rule"), (1, "missing then"), (2, "unbalanced brackets"), (2, "missing then"),
         (3, "expression without one function"), (3, "unknown unit"),
     }
+
+
+LONG = "if(or(expression(function(is),atom(relation(status),variable(order)),data(O)),expression(function(is),atom(variable(order)),data(F))))"
+NOTATIONS = {
+    "atoms": ("is(x,atom(relation(p),variable(x)),atom(variable(y)))", "is(x,atom(x.p),atom(y))"),
+    "units": (
+        "data(baseunit(prefix(milli),kind(metre)),value(5.5)),data(derivedunit(baseunit(prefix(kilo),kind(gram)),operator(name(division)),"
+        "baseunit(exponent(3.0),kind(metre))),value(7.0))",
+        "data(5.5 mm),data(7 kg/m3)",
+    ),
+    "loops": ("then(expression(rulestatement(forEach(a)),appliedstatement(has(b))))", "then(loop(forEach(a),has(b)))"),
+    "expressions": (
+        "if(not(expression(function(is),expression(function(sum),atom(a)),data(or(b,c))))),then(expression(function(has),atom(d),data(e)))",
+        "if(not(is(sum(a),or(b,c)))),then(has(d,e))",
+    ),
+    "values": (
+        "if(and(expr(function(is),atom(a),data(b)),expr(function(is),atom(a),data(c)),expr(function(is),atom(z),data(c))))",
+        "if(and(expr(function(is),atom(a),data(and(b,c))),expr(function(is),atom(z),data(c))))",
+    ),
+}
+
+
+@pytest.mark.parametrize("step", sorted(NOTATIONS))
+def test_notation_steps_go_both_ways(spark, step):
+    long, short = NOTATIONS[step]
+    out = lambda rule, way: nodes.rewrite_rules(frame(spark, [rule]), [f"{step}_{way}"]).first()["rule"]
+    assert out(long, "short") == short
+    assert out(short, "long") == long
+    assert out(short, "short") == short
+    others = frame(spark, ["", "if(", "plain", "is(a)", "then(or(a,b))"])
+    once = nodes.rewrite_rules(others, [f"{step}_short"])
+    assert [r.rule for r in once.collect()] == [r.rule for r in nodes.rewrite_rules(once, [f"{step}_short"]).collect()]
+
+
+def test_values_keep_what_differs_elsewhere(spark):
+    assert nodes.rewrite_rules(frame(spark, [LONG]), ["values_short"]).first()["rule"] == LONG
