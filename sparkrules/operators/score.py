@@ -19,16 +19,12 @@ MAX_ORDER = 4
 def bag_overlap(df: DataFrame, left: str, right: str, key: str = "row_id") -> DataFrame:
     """Multiset count of the words of ``left`` found in ``right``, per row.
 
-    Both sides are exploded into one table of signed counts, so one aggregate by (row, word) replaces
-    a join; rows without words count 0.
+    A row's words of both sides come from one explode with signed counts; rows dealt by their key are counted where they are.
+    Rows without words count 0.
     """
-    side = lambda c, name: df.select(
-        key,
-        F.explode_outer(T.words(c)).alias("word"),
-        F.lit(int(name == "l")).alias("l"),
-        F.lit(int(name == "r")).alias("r"),
-    )
-    counts = side(left, "l").unionByName(side(right, "r")).groupBy(key, "word").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    side = lambda c, p: F.transform(T.words(c), lambda w: F.struct(w.alias("word"), F.lit(p).alias("l"), F.lit(1 - p).alias("r")))
+    both = df.repartition(key).select(key, F.inline_outer(F.concat(side(left, 1), side(right, 0))))
+    counts = both.groupBy(key, "word").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     shared = F.when(F.col("word").isNotNull(), F.least("l", "r")).otherwise(0)
     return counts.groupBy(key).agg(F.sum(shared).alias("overlap"))
 
@@ -95,24 +91,28 @@ def _all_grams(words: Column) -> Column:
     return let(words, of)
 
 
-def corpus_bleu(pairs: DataFrame, by: Sequence[str] = (), key: str = "row_id", pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """BLEU-4 over a corpus of whitespace tokens with its parts; 0 when an order has no match.
+def bleu_counts(pairs: DataFrame, by: Sequence[str] = (), key: str = "row_id", pred: str = "pred", ref: str = "ref") -> DataFrame:
+    """Matched and total n-grams of 1 to 4 words per group, and the reference length. Counts of groups may be summed.
 
-    Signed n-gram counts of both sides meet in one aggregate by (row, gram), so long texts spread over
-    many tasks and no gram is hot. Lengths need no shuffle of texts.
+    The texts move once, to where their key is dealt; all grams of a row are then counted there.
     """
     by = list(by)
-    side = lambda c, p: pairs.select(
-        *by, key, F.inline(_all_grams(T.words(c))), F.lit(p).alias("p"), F.lit(1 - p).alias("r")
+    side = lambda c, p: F.transform(
+        _all_grams(T.words(c)), lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(p).alias("p"), F.lit(1 - p).alias("r"))
     )
-    counts = side(pred, 1).unionByName(side(ref, 0)).groupBy(*by, key, "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    clipped = counts.groupBy(*by).agg(
+    grams = pairs.repartition(key).select(*by, key, F.inline(F.concat(side(pred, 1), side(ref, 0))))
+    counts = grams.groupBy(*by, key, "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    return counts.groupBy(*by).agg(
         *[F.sum(F.when(F.col("n") == n, F.least("p", "r")).otherwise(0)).alias(f"match_{n}") for n in range(1, MAX_ORDER + 1)],
         *[F.sum(F.when(F.col("n") == n, F.col("p")).otherwise(0)).alias(f"total_{n}") for n in range(1, MAX_ORDER + 1)],
         F.sum(F.when(F.col("n") == 1, F.col("r")).otherwise(0)).alias("reference_length"),
     )
+
+
+def bleu_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """BLEU-4 with its parts from ``bleu_counts``; 0 when an order has no match."""
     precision = {n: F.when(F.col(f"total_{n}") > 0, F.col(f"match_{n}") / F.col(f"total_{n}")).otherwise(0.0) for n in range(1, MAX_ORDER + 1)}
-    out = clipped.select(
+    out = counts.select(
         *by,
         *[p.alias(f"precision_{n}") for n, p in precision.items()],
         F.col("total_1").alias("translation_length"),
@@ -126,6 +126,11 @@ def corpus_bleu(pairs: DataFrame, by: Sequence[str] = (), key: str = "row_id", p
     return out.withColumns({"length_ratio": ratio, "brevity_penalty": penalty}).withColumn("bleu", bleu)
 
 
+def corpus_bleu(pairs: DataFrame, by: Sequence[str] = (), key: str = "row_id", pred: str = "pred", ref: str = "ref") -> DataFrame:
+    """BLEU-4 over a corpus of whitespace tokens, per group."""
+    return bleu_scores(bleu_counts(pairs, by, key, pred, ref), by)
+
+
 def agreement_ratio(df: DataFrame, a: str, b: str) -> DataFrame:
     """Share of rows whose two passes agree exactly."""
     return df.agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))

@@ -96,10 +96,11 @@ _CLEAN = "replace(translate(CASE WHEN contains(trim({c}), 'if(') THEN substr(tri
 
 def corpus_bleu(spark, sf):
     """BLEU of the assistant turns against the user turns: overall, and per six groups of conversations."""
-    pairs = dealt(load(spark, sf, "text_pairs")).withColumn("variant", F.pmod("conv_id", F.lit(6)))
-    grouped = score.corpus_bleu(pairs, by=["variant"])
-    overall = score.corpus_bleu(pairs).withColumn("variant", F.lit(-1).cast("bigint"))
-    both = grouped.unionByName(overall)
+    pairs = load(spark, sf, "text_pairs").withColumn("variant", F.pmod("conv_id", F.lit(6)))
+    counts = score.bleu_counts(pairs, ["variant"])
+    sums = [F.sum(c).alias(c) for c in counts.columns if c != "variant"]
+    counts = counts.rollup("variant").agg(*sums).na.fill(-1, ["variant"])
+    both = score.bleu_scores(counts, ["variant"])
     return both.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in both.dtypes])
 
 
