@@ -35,7 +35,7 @@ from sparkrules.llm.tables import body, packed, with_fields
 from sparkrules.storage import stored
 
 LENGTH, GRAM = 400, 64
-HOT = 2000  # runs of one hash in one block, about
+HOT = 8000  # runs of one hash in one block, about: some 5 MB of bytes
 BLOCK = 1 << 20  # bytes that are sorted together, about
 BASE = 0x9E3779B97F4A7C15
 RUNS = "key binary, s int, e int, g long, own boolean"
@@ -87,6 +87,19 @@ class Runs:
         return starts, np.concatenate([starts[1:], [places]]), chosen.view(np.int64), own
 
 
+def _sorted_directly(joined: bytes, codes: np.ndarray, places: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Places in the order of their bytes up to ``stop``, by buckets of the first two bytes, so few keys are held at a time."""
+    two = codes[places].astype(np.uint16) << 8 | np.where(places + 1 < stop, codes[np.minimum(places + 1, len(codes) - 1)], 0)
+    order = np.argsort(two, kind="stable")
+    places, stop, out = places[order], stop[order], []
+    cuts = [0, *(np.flatnonzero(np.diff(two[order])) + 1).tolist(), len(places)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            keys = [joined[x:y] for x, y in zip(places[a:b].tolist(), stop[a:b].tolist())]
+            out.append(places[a:b][sorted(range(len(keys)), key=keys.__getitem__)])
+    return np.concatenate(out) if out else places
+
+
 def sorted_places(pieces: list[bytes], starts: list[int], length: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Two-stage sorting of the suffixes at the first ``starts[k]`` places of each piece.
 
@@ -123,9 +136,7 @@ def sorted_places(pieces: list[bytes], starts: list[int], length: int) -> tuple[
     # first stage
     direct = np.flatnonzero(used & kind_b)
     stop = np.minimum(direct + length, ends[np.searchsorted(ends, direct, side="right")])
-    keys = [joined[a:b] for a, b in zip(direct.tolist(), stop.tolist())]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)] if len(keys) else direct
-    del keys
+    direct = _sorted_directly(joined, codes, direct, stop)
     by_code = np.searchsorted(codes[direct], np.arange(257))
     # second stage; the end of a piece is induced by what ends it, never by the start of the next piece
     induced = used & ~kind_b
