@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrules.llm.bpe import Codec
+from sparkrules.llm.bpe import ROWS, codec
 from sparkrules.llm.tables import body
 
 SHARD_TOKENS = 1 << 20
@@ -169,7 +169,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
     """Encode the texts, append ``end_id`` to each, and write the shards to the folder ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part = Codec(vocabulary), TaskContext.get().partitionId()
+        coder, part = codec(vocabulary), TaskContext.get().partitionId()
         end, seq = np.array([end_id], "<u4"), 0
         names, ids, size = [], [], 0
 
@@ -180,13 +180,15 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "seq", "n_tokens", "doc_ids", "lengths", "file"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0), batch.column(1)):
-                names.append(name.as_py())
-                ids.append(np.concatenate([codec.encode(text.as_py()), end]))
-                size += len(ids[-1])
-                if size >= shard_tokens:
-                    yield shard()
-                    names, ids, size, seq = [], [], 0, seq + 1
+            for at in range(0, batch.num_rows, ROWS):
+                part_names, texts = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
+                for name, coded in zip(part_names, coder.encode_many(texts)):
+                    names.append(name)
+                    ids.append(np.concatenate([coded, end]))
+                    size += len(ids[-1])
+                    if size >= shard_tokens:
+                        yield shard()
+                        names, ids, size, seq = [], [], 0, seq + 1
         if ids:
             yield shard()
 
