@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.tables import body, packed, with_fields
+from sparkrules.llm.tables import body, packed, pieces, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -177,9 +177,8 @@ def scan(docs: DataFrame, *carry: str) -> DataFrame:
     """The ``carry`` columns and ``spans`` of ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, texts = batch.columns
-            yield pa.RecordBatch.from_arrays([rows, _spans([find(t.as_py()) for t in texts])], ["_row", "spans"])
+        for rows, texts in pieces(batches):
+            yield pa.RecordBatch.from_arrays([rows, _spans([find(t) for t in texts.to_pylist()])], ["_row", "spans"])
 
     df = docs.select(packed(carry), body().alias("_text"))
     return df.mapInArrow(run, with_fields(df, f"spans {SPANS}")).select("_row.*", "spans")
@@ -204,8 +203,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """All documents, with their columns, personal data in ``text`` masked. ``n_chars``, where there is one, follows the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, texts = batch.columns
+        for rows, texts in pieces(batches):
             new = [t if t is None else masked(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([rows, texts, pa.array(new, texts.type)], ["_row", "_text", "_new"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.components import components
-from sparkrules.llm.tables import body, packed, same, small, with_fields
+from sparkrules.llm.tables import body, packed, pieces, same, small, with_fields
 from sparkrules.storage import stored
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -54,8 +54,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, texts = batch.columns
+    for rows, texts in pieces(batches):
         prints = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([rows, pa.array(prints, pa.int64())], ["_row", "fp"])
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
@@ -34,6 +35,13 @@ def with_fields(df: DataFrame, added: str) -> st.StructType:
     return st.StructType([df.schema["_row"], *st.StructType.fromDDL(added).fields])
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[list[pa.Array]]:
+    """The columns of a few rows at a time, so that a task turns only these into Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows).columns
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join.
 
