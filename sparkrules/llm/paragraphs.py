@@ -3,10 +3,11 @@
 A paragraph is a line of ``LEAST_WORDS`` words or more, its words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; its shingles are five words. Two
 paragraphs are linked at a Jaccard similarity of ``SIMILARITY`` or more. Equal paragraphs are one *form*, so what follows works on
 distinct forms. Bands and rows are tuned: the most rows per band for which ``RECALL`` at the threshold takes at most
-``MOST_BANDS`` bands (0.8: 14 bands of 4 rows, recall 0.9994).
+``MOST_BANDS`` bands (0.8: 10 bands of 3 rows, recall 0.9992).
 
-A bucket of forms that collide in a band is never paired with itself. First every form is compared with the least one of its bucket, one
-row per form and bucket; the verified links give components. Then only forms of one bucket in *different* components are compared.
+A bucket of forms that collide in a band is never paired with itself. Bands are sorted by range partitions, so a bucket of any size
+spreads over tasks that stream it; the leaders of a bucket's parts are compared with each other. First every form is compared with the
+leader of its part, one row per form and bucket, drawn anew in each bucket; the verified links give components. Then only forms of one bucket in *different* components are compared.
 What is left out could not change a component, so the result is that of all colliding pairs, while a large family of
 variants costs one comparison each.
 
@@ -33,7 +34,7 @@ from sparkrules.llm.tables import body
 from sparkrules.storage import stored
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 10
-RECALL, MOST_BANDS, SEED = 0.999, 16, 42
+RECALL, MOST_BANDS, SEED = 0.999, 10, 42
 KEPT = 400_000  # word hashes that a task keeps
 DOCS = 64  # texts that are hashed together
 FORMS = "doc_id long, line int, start int, end int, form binary, bands array<bigint>"
@@ -162,31 +163,74 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over ``(bucket, f)`` in order: every ``f`` with the first one of its bucket; the first and last bucket of the partition as edges."""
+
+    def rows(bucket: np.ndarray, a: np.ndarray, f: np.ndarray, edge: bool) -> pa.RecordBatch:
+        arrays = [pa.array(bucket), pa.array(a), pa.array(f), pa.array(np.full(len(f), edge))]
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "a", "f", "edge"])
+
+    last: tuple[int, int] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, f = (c.to_numpy() for c in batch.columns)
+        starts = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        leaders = f[np.maximum.accumulate(np.where(starts, np.arange(len(f)), 0))]
+        if last is None:
+            yield rows(bucket[:1], f[:1], f[:1], True)
+        elif last[0] == bucket[0]:
+            leaders[: np.argmax(np.append(bucket != bucket[0], True))] = last[1]
+        follows = leaders != f
+        yield rows(bucket[follows], leaders[follows], f[follows], False)
+        last = (int(bucket[-1]), int(leaders[-1]))
+    if last is not None:
+        yield rows(np.array([last[0]]), np.array([last[1]]), np.array([last[1]]), True)
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """``(bucket, a, f)``: the forms that share a bucket, each with a leader of it; leaders are linked to each other."""
+    # another order in every bucket, so a family that meets in many buckets is compared with as many different leaders
+    order = ["bucket", F.xxhash64("f", "bucket")]
+    ranged = reps.select(F.explode("bands").alias("bucket"), "f").repartitionByRange(*order).sortWithinPartitions(*order)
+    led = stored(ranged.mapInArrow(_led, "bucket long, a long, f long, edge boolean"))
+    edges = led.filter("edge").select("bucket", "a").distinct()  # two rows per partition
+    first = edges.groupBy("bucket").agg(F.min("a").alias("m"), F.max("a").alias("z")).filter("m <> z").select("bucket", "m")
+    between = edges.join(first, "bucket").filter("a <> m").select("bucket", F.col("m").alias("a"), F.col("a").alias("f"))
+    return led.filter("not edge").select("bucket", "a", "f").union(between)
+
+
 def clusters(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
     """Every paragraph that has another equal or similar one: its place, its cluster's kept place, and ``kept``."""
     found = stored(forms(docs, similarity, least))
-    distinct = found.groupBy("form").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")).alias("at"), F.first("bands").alias("bands"))
-    buckets = stored(distinct.select("form", "at.doc_id", "at.line", F.explode("bands").alias("bucket")))
-    shared = buckets.groupBy("bucket").agg(F.min("form").alias("a"), F.max("form").alias("z")).filter("a <> z").select("bucket", "a")
-    members = stored(buckets.join(shared, "bucket"))
-    texts = stored(_texts(docs, members.select("doc_id", "line", "form").distinct(), least))
-    stars = members.filter("a <> form").select("a", F.col("form").alias("b")).distinct()
-    links = stored(_verified(stars, texts, similarity))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
+    # forms travel as 64 bits in buckets only; the joins that end there bring every form of these bits
+    short = F.conv(F.substring(F.hex("form"), 1, 16), 16, -10).cast("long")
+    distinct = found.groupBy("form").agg(F.min(place).alias("at"), F.min("bands").alias("bands"))
+    stars = stored(_members(distinct.select("bands", short.alias("f"))))
+    inside = stars.select("bucket", "f").union(stars.select("bucket", F.col("a").alias("f"))).distinct()
+    slim = found.select(short.alias("f"), "form", "doc_id", "line")
+    reps = slim.join(inside.select("f").distinct(), "f").groupBy("f", "form").agg(F.min(place).alias("at"))
+    reps = stored(reps.select("f", "form", "at.doc_id", "at.line"))
+    texts = stored(_texts(docs, reps.select("doc_id", "line"), least).join(reps.select("form"), "form", "left_semi"))
+    one, two = reps.select(F.col("f").alias("a"), F.col("form").alias("x")), reps.select("f", F.col("form").alias("y"))
+    same_bits = one.join(two, one["a"] == two["f"]).filter("x < y").select("x", "y")
+    first = stars.select("a", "f").distinct().join(one, "a").join(two, "f").select("x", "y").union(same_bits)
+    first = stored(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    links = stored(_verified(first, texts, similarity))
     roots = components(links).withColumnRenamed("node", "form")
     # which components meet in a bucket; a bucket that lies within one component is done
-    parts = members.select("bucket", "form").join(roots, "form", "left").select("bucket", "form", F.coalesce("root", "form").alias("root"))
+    parts = inside.join(reps.select("f", "form"), "f").join(roots, "form", "left").select("bucket", "form", F.coalesce("root", "form").alias("root"))
     parts = stored(parts)
-    open_buckets = parts.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("bucket")
-    rest = stored(parts.join(open_buckets, "bucket"))
-    one = rest.select("bucket", F.col("form").alias("a"), F.col("root").alias("ra"))
-    two = rest.select("bucket", F.col("form").alias("b"), F.col("root").alias("rb"))
-    cross = one.join(two, "bucket").filter("ra < rb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    cross = cross.join(stars.selectExpr("b as a", "a as b"), ["a", "b"], "left_anti")
-    links = links.union(stored(_verified(cross, texts, similarity)))
+    meeting = parts.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("bucket")
+    rest = stored(parts.join(meeting, "bucket"))
+    left = rest.select("bucket", F.col("form").alias("x"), F.col("root").alias("rx"))
+    right = rest.select("bucket", F.col("form").alias("y"), F.col("root").alias("ry"))
+    cross = left.join(right, "bucket").filter("rx < ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = links.union(stored(_verified(cross.join(first, ["a", "b"], "left_anti"), texts, similarity)))
     roots = components(links).withColumnRenamed("node", "form")
     named = found.drop("bands").join(roots, "form", "left").withColumn("root", F.coalesce("root", "form"))
-    least_place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")).alias("k")
-    groups = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"), least_place).filter("size > 1")
+    groups = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("k")).filter("size > 1")
     out = named.join(groups, "root")
     kept = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("line") == F.col("k.line"))
     return out.select(
