@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,19 +200,17 @@ def _members(reps: DataFrame) -> DataFrame:
     return led.filter("not edge").select("bucket", "a", "f").union(between)
 
 
-def clusters(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
-    """Every paragraph that has another equal or similar one: its place, its cluster's kept place, and ``kept``."""
-    found = stored(forms(docs, similarity, least))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
+def linked(found: DataFrame, place: tuple[str, ...], texts_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """``(form, root)`` of the forms of ``found(form, bands, *place)`` that are linked; ``texts_of`` gives ``form, words`` of places."""
     # forms travel as 64 bits in buckets only; the joins that end there bring every form of these bits
     short = F.conv(F.substring(F.hex("form"), 1, 16), 16, -10).cast("long")
-    distinct = found.groupBy("form").agg(F.min(place).alias("at"), F.min("bands").alias("bands"))
+    distinct = found.groupBy("form").agg(F.min("bands").alias("bands"))
     stars = stored(_members(distinct.select("bands", short.alias("f"))))
     inside = stars.select("bucket", "f").union(stars.select("bucket", F.col("a").alias("f"))).distinct()
-    slim = found.select(short.alias("f"), "form", "doc_id", "line")
-    reps = slim.join(inside.select("f").distinct(), "f").groupBy("f", "form").agg(F.min(place).alias("at"))
-    reps = stored(reps.select("f", "form", "at.doc_id", "at.line"))
-    texts = stored(_texts(docs, reps.select("doc_id", "line"), least).join(reps.select("form"), "form", "left_semi"))
+    slim = found.select(short.alias("f"), "form", *place)
+    reps = slim.join(inside.select("f").distinct(), "f").groupBy("f", "form").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *place)).alias("at"))
+    reps = stored(reps.select("f", "form", *[f"at.{name}" for name in place]))
+    texts = stored(texts_of(reps.select(*place)).join(reps.select("form"), "form", "left_semi"))
     one, two = reps.select(F.col("f").alias("a"), F.col("form").alias("x")), reps.select("f", F.col("form").alias("y"))
     same_bits = one.join(two, one["a"] == two["f"]).filter("x < y").select("x", "y")
     first = stars.select("a", "f").distinct().join(one, "a").join(two, "f").select("x", "y").union(same_bits)
@@ -228,7 +226,14 @@ def clusters(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST
     right = rest.select("bucket", F.col("form").alias("y"), F.col("root").alias("ry"))
     cross = left.join(right, "bucket").filter("rx < ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.union(stored(_verified(cross.join(first, ["a", "b"], "left_anti"), texts, similarity)))
-    roots = components(links).withColumnRenamed("node", "form")
+    return components(links).withColumnRenamed("node", "form")
+
+
+def clusters(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
+    """Every paragraph that has another equal or similar one: its place, its cluster's kept place, and ``kept``."""
+    found = stored(forms(docs, similarity, least))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
+    roots = linked(found, ("doc_id", "line"), lambda wanted: _texts(docs, wanted, least), similarity)
     named = found.drop("bands").join(roots, "form", "left").withColumn("root", F.coalesce("root", "form"))
     groups = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("k")).filter("size > 1")
     out = named.join(groups, "root")

@@ -118,9 +118,14 @@ def clean(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     Rows that are equal in id and text are copies, so one of them stays.
     """
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.md5(body()).alias("digest"))
     slim = docs.select("doc_id", F.md5(body()).alias("digest"), "text")
-    counts = components_of(slim, ("doc_id", "digest"), bucket).groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    return first_of(docs, components_of(slim, ("doc_id", "digest"), bucket))
+
+
+def first_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The first document of each ``root`` of ``named(doc_id, digest, root)``, by ``doc_id`` (null last) and digest, with its columns."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.md5(body()).alias("digest"))
+    counts = named.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "copies")).alias("k")
     keep = stored(counts.groupBy("root").agg(first).select("k.doc_id", "k.digest", "k.copies"))
     side = small(keep)
