@@ -7,8 +7,9 @@ covariance. The covariance is scaled to be consistent at the normal distribution
 (``LEAST_SPREAD``) is added on its diagonal, so a group of copies, or a feature that is zero in most documents, does not make every
 other document an outlier. A document is rejected when its squared Mahalanobis distance exceeds ``CUTOFF``.
 
-A group with fewer than ``LEAST_ROWS`` documents that pass the base rules joins the other such groups of its language; if these
-are too few as well, only the base rules hold there. Estimates use every document that passes the base rules, without sampling.
+A group with fewer than ``LEAST_ROWS`` documents that pass the base rules is judged by the estimate over all documents of its language,
+large sources included; a language with too few by that over all documents. Only where the whole table has too few do the base rules
+hold alone. Estimates use every document that passes the base rules, without sampling.
 Each step is a grouped aggregate over a stored table of features, combined map-side, so a group with a
 third of all rows costs no more than any other; texts are read once and never shuffled.
 
@@ -117,19 +118,27 @@ def estimated(rows: DataFrame) -> DataFrame:
     return groups
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Rows of ``measured`` (a stored table) with ``distance`` and ``kept``."""
-    passed = rows.filter(~F.col("base_failed"))
-    counts = stored(passed.groupBy("_group").count())
-    narrow = small(counts.filter(F.col("count") >= LEAST_ROWS).select("_group", F.lit(True).alias("_narrow")))
+def _keys(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each ``_group`` with the ``_key`` of the estimate that judges it (null: none), and with every ``_key`` that its documents feed."""
+    counts = stored(rows.groupBy("_group", "_wide").agg(F.count_if(~F.col("base_failed")).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    wide = counts.groupBy("_wide").agg(F.sum("_n").alias("_m"))
+    lang = F.concat(F.lit("lang "), "_wide")
+    key = F.when(F.col("_n") >= LEAST_ROWS, F.col("_group")).when(F.col("_m") >= LEAST_ROWS, lang).when(F.lit(total >= LEAST_ROWS), F.lit("all"))
+    keys = stored(counts.join(wide, "_wide").select("_group", "_wide", key.alias("_key")))
+    wanted = keys.filter("_key <> _group").select("_key").distinct()
+    own = keys.filter("_key = _group").select("_group", "_key")
+    langs = keys.select("_group", lang.alias("_key")).join(wanted, "_key", "left_semi").select("_group", "_key")
+    every = keys.select("_group", F.lit("all").alias("_key")).join(wanted, "_key", "left_semi").select("_group", "_key")
+    return keys.select("_group", "_key"), stored(own.union(langs).union(every))
 
-    def key(df: DataFrame) -> DataFrame:
-        return df.join(narrow, "_group", "left").withColumn("_key", F.when(F.col("_narrow"), F.col("_group")).otherwise(F.concat(F.lit("rest "), "_wide")))
 
-    passed = key(passed)
-    enough = stored(passed.groupBy("_key").count().filter(F.col("count") >= LEAST_ROWS).select("_key"))
-    groups = estimated(passed.join(small(enough), "_key", "left_semi").select("_key", *[f"x{i}" for i in P]))
-    out = key(rows).join(small(groups), "_key", "left").withColumn("distance", _distance())
+def judged(rows: DataFrame) -> DataFrame:
+    """Rows of ``measured`` (a stored table) with ``distance`` and ``kept``."""
+    keys, feeds = _keys(rows)
+    passed = rows.filter(~F.col("base_failed")).join(small(feeds), "_group")
+    groups = estimated(passed.select("_key", *[f"x{i}" for i in P]))
+    out = rows.join(small(keys), "_group").join(small(groups), "_key", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
     return out.withColumn("kept", kept).select(*[c for c in rows.columns if not c.startswith(("_", "x"))], "distance", "kept")
 

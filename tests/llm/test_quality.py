@@ -44,3 +44,13 @@ def test_small_groups_and_empty_tables(spark, tables):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert all(r.kept and r.distance is None for r in q.report(docs).collect())
     assert q.report(tables([])).collect() == []
+
+
+def test_small_groups_beside_large_ones(spark):
+    junk = " ".join(f"{w}###" for w in prose(200).split())
+    rows = [(i, prose(random.randint(60, 400)), "en", "large") for i in range(100)]
+    rows += [(200 + i, prose(90), "en", "small") for i in range(4)] + [(300, junk, "en", "small"), (301, junk, None, "alone"), (302, prose(80), "xx", "alone"), (303, "a b", "xx", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in q.report(docs).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {300, 301, 303}
