@@ -37,16 +37,16 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOOK_ALIKE = str.maketrans("АВЕКМНОРСТХаеорсухіјѕԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABEKMHOPCTXaeopcyxijsdABEZHIKMNOPTYXoav")
 INVISIBLE = "­​‌‍⁠﻿"
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-ENDINGS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|us"
 _DIGIT = "(?:" + "|".join(DIGITS) + ")"
 DISGUISE = re.compile(
     rf"(?P<hidden>[{INVISIBLE}]+)"
-    r"|(?P<at>[ ]?[(\[{<][ ]?(?:at|@)[ ]?[)\]}>][ ]?|(?<=[a-z0-9])[ ]at[ ](?=(?:[a-z0-9-]+(?:\.|[ ]dot[ ]))+(?:" + ENDINGS + r")\b))"
+    r"|(?P<at>[ ]?[(\[{<][ ]?(?:at|@)[ ]?[)\]}>][ ]?|(?<=[a-z0-9])[ ]at[ ](?=(?:[a-z0-9-]+(?:\.|[ ]dot[ ]))+?[a-z]{2,}\b))"
     r"|(?P<dot>[ ]?[(\[{<][ ]?(?:dot|\.)[ ]?[)\]}>][ ]?|(?<=[a-z0-9])[ ]dot[ ](?=[a-z0-9]))"
     rf"|(?P<digits>\b(?:plus[ ])?{_DIGIT}(?:[ -]{_DIGIT})*+\b)",
     re.IGNORECASE | re.ASCII,
 )
-HINTS = (*DIGITS, "dot", "at)", "at]", "at}", "at>", "at )", "at ]", "[.]", "(.)", "{.}", "[@]", "(@)", "{@}")
+#: Every match of DISGUISE holds one of these in lower case, or an invisible character: a bracketed sign is followed by a closing bracket.
+HINTS = (*DIGITS, " at ", "dot", *(f"{sign}{gap}{end}" for sign in ("at", "@", ".") for gap in ("", " ") for end in ")]}>"))
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:

@@ -57,3 +57,16 @@ def test_tables(spark, tables):
     by_id = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert by_id[1] == ("a [EMAIL] [PHONE]", 17) and by_id[2] == (None, None) and by_id[3][0] == "ip [IP] " * 3000
     assert pii.clean(tables([])).collect() == []
+
+
+def test_every_disguise_alone():
+    signs = [f"{gap}{a}{inner}{word}{inner}{b}{gap}" for word in ("at", "AT", "@") for a, b in zip("([{<", ")]}>") for gap in ("", " ") for inner in ("", " ")]
+    dots = [f"{gap}{a}{inner}{word}{inner}{b}{gap}" for word in ("dot", "Dot", ".") for a, b in zip("([{<", ")]}>") for gap in ("", " ") for inner in ("", " ")]
+    hidden = [f"alice{c}@example.com" for c in pii.INVISIBLE]
+    addresses = [f"alice{x}example.com" for x in (" at ", " AT ", *signs)] + [f"alice@example{x}ch" for x in (" dot ", " DOT ", *dots)] + hidden
+    addresses += [f"alice at example{x}{end}" for x in (".", " dot ") for end in ("ch", "pl", "jp", "ca", "at", "museum", "co.uk")]
+    for address in addresses:
+        for text in (f"mail {address} if need be", address):
+            assert address in [text[a:b] for kind, a, b, _ in pii.find(text) if kind == "email"], text
+            assert address not in pii.masked(text)
+        assert address.isascii() is False or pii.DISGUISE.search(address) and any(h in address.lower() for h in pii.HINTS)
