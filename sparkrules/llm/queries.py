@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrules.llm import bpe, decontaminate, paragraphs, pii, quality, secrets, simhash, suffixes, urlrules, wavelet
+from sparkrules.llm import bpe, decontaminate, paragraphs, periodic, pii, prefixtrie, quality, secrets, simhash, suffixes, tokencounts, urlrules, wavelet
 from sparkrules.storage import scratch_path
 
 
@@ -126,6 +126,60 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("conv_id")
+    found = prefixtrie.trie(_table(spark, sf_dir, "conversations"), base=own - own % 5, head=F.crc32(own.cast("string")) % 9)
+    digests = prefixtrie.ends_digests(found.ends)
+    none = F.sha2(F.lit(""), 256)
+    return found.nodes.join(digests, ["conv_id", "depth"], "left").select(*found.nodes.columns, F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
+OP11_SQL = r"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295::BIGINT, list_reduce(
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)), xor(a, b)), 4294967295::BIGINT)) % 9 AS h FROM n),
+r AS (SELECT c.conv_id, pos AS d, role, text FROM c JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT c.conv_id, least(h, coalesce(b.n, 0)) + pos - h, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h LEFT JOIN n b ON b.conv_id = base),
+s AS (SELECT c.conv_id, coalesce(list({'r': role, 't': text} ORDER BY d) FILTER (d IS NOT NULL), []) AS q FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, len(q) AS n, depth, list_slice(q, 1, depth) AS path FROM (SELECT *, unnest(range(len(q) + 1)) AS depth FROM s)),
+v AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN depth > 0 THEN strlen(path[depth].t) ELSE 0 END AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY path, depth),
+k AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+f AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (path)),
+u AS (SELECT list_slice(path, 1, i) AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS i FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, f.ends_sha256
+FROM f JOIN u ON u.path = f.path LEFT JOIN f p ON f.depth > 0 AND p.path = list_slice(f.path, 1, f.depth - 1)"""
+
+
+def op12_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokencounts.counts(_table(spark, sf_dir, "documents"), tokencounts.start_cache(spark), public_tokenizers.path(VOCABULARY))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def _periodic_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in one text of ten the words from ``a`` on repeat those from ``a`` to ``a + p``, by a checksum of the id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    df = docs.select("doc_id", "text", (F.floor(h / 10)).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    a = F.col("g") % F.col("n")
+    df = df.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    first = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    rest = (F.col("n") - F.col("a")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(first, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return df.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(_periodic_tails(_table(spark, sf_dir, "documents")), "doc_id")
+    digests = F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op2_secrets": (op2_secrets, None),
@@ -137,4 +191,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_wavelet": (op9_wavelet, None),
     "op10_suffixes": (op10_suffixes, None),
+    "op11_prefixtrie": (op11_prefixtrie, OP11_SQL),
+    "op12_tokencounts": (op12_tokencounts, None),
+    "op13_periodic": (op13_periodic, None),
 }

@@ -1,12 +1,16 @@
 """The registered queries over whole small tables: SQL twins, brute force, and the pipeline against its parts."""
 
 import hashlib
+import re
 from collections import Counter
+from fractions import Fraction
 
 import public_tokenizers
 import pytest
 from check_oracles import compare, connect
 from test_decontaminate import brute as hits_of
+from test_periodic import brute as repeating
+from test_periodic import planted
 from test_pii import brute as private
 from test_quality import brute as statistics
 from test_secrets import brute as secret
@@ -94,6 +98,24 @@ def test_op10(spark, sf_dir, docs):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows(spark, sf_dir, "op10_suffixes")} == want
 
 
+def test_op12(spark, sf_dir, docs):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in rows(spark, sf_dir, "op12_tokencounts"):
+        n = len(library.encode(docs[r.doc_id].text, add_special_tokens=False).ids)
+        assert tuple(r) == (r.doc_id, len(docs[r.doc_id].text.encode()), n, n > 1024)
+
+
+def test_op13(spark, sf_dir, docs):
+    found = rows(spark, sf_dir, "op13_periodic")
+    assert {r.doc_id for r in found} == set(docs) and sum(r.n_runs > 0 for r in found) > 10
+    for r in found:
+        runs, collapsed = repeating(planted(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id].text), r.doc_id))
+        best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=(None,) * 3)
+        listed = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+        milli = 1000 * best[1] // best[2] if runs else None
+        assert tuple(r) == (r.doc_id, len(runs), *best, milli, digest(listed), digest(collapsed))
+
+
 def test_pipeline_against_brute_force(spark, sf_dir, docs):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     judged = {r.doc_id: r.kept for r in rows(spark, sf_dir, "op8_quality")}
