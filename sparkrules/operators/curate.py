@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkrules.functions import fixed
 from sparkrules.functions import text as T
 from sparkrules.operators.ranking import rank_rows
+from sparkrules.storage import stored
 
 
 def any_of(flags: Sequence[Column]) -> Column:
@@ -236,34 +237,35 @@ def candidate_table(refs: DataFrame, runs: Mapping[str, DataFrame], key: str = "
     return refs.join(stack(tagged), key)
 
 
-def param_grid(axes: Mapping[str, DataFrame], skip: int = 0) -> DataFrame:
+def param_grid(axes: Mapping[str, DataFrame], skip: int = 0, block: int = 1 << 16) -> DataFrame:
     """All combinations of the axes' distinct values, numbered in axis order, from ``skip`` on.
 
-    The grid is the result itself: each axis (a one-column table) is numbered by carried bucket counts and
-    joined to the combinations so far, so no axis is gathered into one value or task.
+    A combination is its number: the numbers from ``skip`` on are made in blocks, read as mixed-radix digits (one per axis, the last
+    axis fastest), and every digit is looked up among the numbered values of its axis. Skipped combinations are never made, and
+    no axis is gathered into one value or task.
     """
-    grid = None
+    numbered = {}
     for n, axis in axes.items():
         values = axis.select(F.col(axis.columns[0]).alias(n)).filter(F.col(n).isNotNull()).distinct()
-        numbered = _numbered(values, n).withColumn("_size", values.agg(F.count(F.lit(1))).scalar())
-        if grid is None:
-            grid = numbered.withColumnRenamed("_at", "config_id").drop("_size")
-        else:
-            number = F.col("config_id") * F.col("_size") + F.col("_at")
-            grid = grid.crossJoin(numbered).withColumn("config_id", number).drop("_at", "_size")
-    return grid.filter(F.col("config_id") >= skip).select("config_id", *axes)
-
-
-def _numbered(values: DataFrame, name: str) -> DataFrame:
-    """Distinct values with their place ``_at``, from 0; texts are placed by buckets of their first character."""
-    kind = dict(values.dtypes)[name]
-    if kind in ("string", "boolean", "date", "timestamp"):
-        text = F.col(name).cast("string")
-        staged = values.withColumn("_code", F.coalesce(F.ascii(F.substring(text, 1, 1)), F.lit(0)))
-        ranked = rank_rows(staged, ["_code", name], name="_at").drop("_code")
-    else:
-        ranked = rank_rows(values, [name], name="_at")
-    return ranked.withColumn("_at", F.col("_at") - 1)
+        numbered[n] = stored(rank_rows(values, [n], name="_at").withColumn("_at", F.col("_at") - 1))
+    sizes = {n: values.agg(F.count(F.lit(1))).scalar() for n, values in numbered.items()}
+    spark = next(iter(numbered.values())).sparkSession
+    total = reduce(lambda a, b: a * b, sizes.values())
+    first = F.lit(skip).cast("bigint")
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((total - first - 1) / block))
+    grid = spark.range(1).select(total.alias("_total")).filter(F.col("_total") > first).select("_total", F.explode(blocks).alias("_b")).repartition("_b")
+    begin = first + F.col("_b") * block
+    upto = F.least(begin + block, F.col("_total")) - 1
+    grid = grid.select(F.explode(F.sequence(begin, upto)).alias("config_id"))
+    rest = F.col("config_id")
+    digits = {}
+    for n in reversed(list(axes)):
+        digits[n] = rest % sizes[n]
+        rest = F.floor(rest / sizes[n])
+    grid = grid.select("config_id", *[digits[n].alias(f"_{n}") for n in axes])
+    for n, values in numbered.items():
+        grid = grid.join(values, F.col(f"_{n}") == F.col("_at")).drop("_at", f"_{n}")
+    return grid.select("config_id", *axes)
 
 
 def stack(dfs: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:

@@ -10,8 +10,8 @@ Two kinds of order are supported:
 
 * seeded order - by an md5 of (id, seed). Its leading hex digits are the bucket: uniform by
   construction, the same on every engine and after a lost executor.
-* key order - by a unique numeric column. Bucket edges are approximate quantiles, read once
-  and fixed as literals, so every branch of the plan agrees. A null key sorts first.
+* key order - by unique columns of any ordered type. The buckets are range partitions, written once to the shared
+  folder with their numbers, so every branch of the plan agrees. Null keys sort first.
 
 Null ``by`` values are a group like any other.
 """
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkrules.storage import stored
+
 ROWS_PER_BUCKET = 100_000
 
 
@@ -46,16 +47,6 @@ def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: s
     return out
 
 
-def key_edges(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles of ``key`` that cut the rows into buckets of some 100,000."""
-    column = F.col(key).cast("double")
-    wanted = buckets or -(-df.count() // ROWS_PER_BUCKET)
-    if wanted < 2:
-        return []
-    found = df.agg(F.percentile_approx(column, [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0]
-    return sorted(set(found or []))
-
-
 def hash_digits(df: DataFrame) -> int:
     """How many hex digits make buckets of some 100,000 rows."""
     rows, digits = df.count(), 1
@@ -64,16 +55,11 @@ def hash_digits(df: DataFrame) -> int:
     return digits
 
 
-def _bucketed(df: DataFrame, order: Sequence[str | Column], hashed: bool, edges: Sequence[float] | None) -> DataFrame:
-    """Add ``_bucket``, which never decreases along the order."""
-    if hashed:
-        first = F.col(order[0]) if isinstance(order[0], str) else order[0]
-        return df.withColumn("_bucket", F.substring(first, 1, hash_digits(df)))
-    if not edges:
-        return df.withColumn("_bucket", F.lit(0.0))
-    splits = [float("-inf"), *edges, float("inf")]
-    staged = df.withColumn("_key", F.coalesce(F.col(order[0]).cast("double"), F.lit(float("-inf"))))
-    return Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(staged).drop("_key")
+def segments(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], buckets: int | None = None) -> DataFrame:
+    """The rows with ``_bucket``, the number of the range partition by group and order that holds them. Written once."""
+    by = [F.col(c) for c in by]
+    ranged = df.repartitionByRange(*([buckets] if buckets else []), *by, *order)
+    return stored(ranged.withColumn("_bucket", F.spark_partition_id()))
 
 
 def running(
@@ -86,21 +72,20 @@ def running(
     inclusive: bool = True,
     keep_below: tuple[str, int | Column] | None = None,
     buckets: int | None = None,
-    edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add running aggregates ``{name: (fn, column)}`` in ``order`` within ``by``.
 
-    ``fn`` is ``count``, ``sum`` or ``max``. ``order`` must be unique within ``by`` and start with
-    a seeded hash (``hashed=True``) or a numeric column.
-    ``keep_below=(name, n)`` drops whole buckets whose carried total already reached ``n``, for
-    callers that only need the head of each group. ``edges`` reuses the result of ``key_edges``.
+    ``fn`` is ``count``, ``sum`` or ``max``. ``order`` must be unique within ``by``; with ``hashed=True`` it
+    starts with a seeded hash. ``keep_below=(name, n)`` drops whole buckets whose carried total already reached ``n``, for
+    callers that only need the head of each group.
     """
     by = list(by)
-    if not hashed and edges is None:
-        edges = key_edges(df, order[0], buckets)
-    staged = _bucketed(df, order, hashed, edges)
-    for name, (_, column) in totals.items():
-        staged = staged.withColumn(f"_in_{name}", column)
+    staged = df.withColumns({f"_in_{name}": column for name, (_, column) in totals.items()})
+    if hashed:
+        first = F.col(order[0]) if isinstance(order[0], str) else order[0]
+        staged = staged.withColumn("_bucket", F.substring(first, 1, hash_digits(df)))
+    else:
+        staged = segments(staged, by, order, buckets)
     fns = {"count": F.count, "sum": F.sum, "max": F.max}
     per_bucket = staged.groupBy(*by, "_bucket").agg(
         *[fns[fn](f"_in_{name}").alias(f"_part_{name}") for name, (fn, _) in totals.items()]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -15,10 +13,14 @@ from pyspark.sql import functions as F
 from sparkrules.functions import fixed
 from sparkrules.functions import text as T
 from sparkrules.functions.tree import let
-from sparkrules.operators.ranking import rank_within, seed_hash
+from sparkrules.operators.ranking import hash_fraction, rank_rows, rank_within, seed_hash
+from sparkrules.storage import stored
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 20_000  # query and corpus vectors of a cell, about
-WORD_QUERY_BLOCK = 256  # query texts whose state may be broadcast at once
+SEED_ROWS = 4  # rows per wanted one that give the first bound of a ranking
+MORE = 4  # grams looked up beyond the least number, so that one chance hit is not enough
+MASK_WORDS = 62  # frequent words with a bit of their own
+WALK_BLOCK, WALK_WIDTH = 1024, 16  # rows of a block, and blocks, that a walk reads ahead at first
 SCORE_DIGITS = 9
 
 
@@ -54,19 +56,78 @@ def ngram_overlap(queries: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
     return _overlaps(queries, corpus, n)
 
 
+def gram_index(queries: DataFrame, corpus: DataFrame, n: int, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``asked(query_id, grams)`` and ``rows(row_id, *carry, grams)``, with the distinct n-grams of the queries as numbers.
+
+    Rows hold the grams that any query holds and no others, so texts are read once and everything after it compares numbers. The
+    grams of a query come rarest first, as (df, gram); those that no row holds are left out.
+    """
+    texts = queries.select("query_id", F.explode(ngrams("text", n)).alias("text"))
+    words = stored(texts.select("text").distinct().withColumn("gram", F.monotonically_increasing_id()))  # stored, so numbers stay
+    found = corpus.select("row_id", *carry, F.explode(ngrams("text", n)).alias("text")).join(words, "text")
+    kept = [F.first(c).alias(c) for c in carry]
+    rows = stored(found.groupBy("row_id").agg(*kept, F.collect_list("gram").alias("grams")))
+    held = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    asked = texts.join(words, "text").join(held, "gram").groupBy("query_id")
+    return stored(asked.agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))), rows
+
+
+def _numbers(grams: str | Column) -> Column:
+    return F.transform(grams, lambda g: g["gram"])
+
+
+def _meeting(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """How many grams of ``keys(query_id, gram)`` each row holds, if any: (query_id, row_id, met)."""
+    pairs = rows.select("row_id", F.explode("grams").alias("gram")).join(keys, "gram")
+    return pairs.groupBy("query_id", "row_id").agg(F.count(F.lit(1)).alias("met"))
+
+
+def _counted(pairs: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, row) pairs with their whole overlap and the other columns of the row, each counted beside the row's own grams."""
+    own = rows.withColumnRenamed("grams", "_own")
+    overlap = F.size(F.array_intersect("_own", "_asked")).cast("bigint").alias("overlap")
+    both = pairs.select("query_id", "row_id").join(asked.select("query_id", _numbers("grams").alias("_asked")), "query_id").join(own, "row_id")
+    return both.select("query_id", *[c for c in own.columns if c != "_own"], overlap)
+
+
+def reachable(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, row_id) of every row that may be among the best ``k``, from the tables of ``gram_index``.
+
+    If k rows are known to hold F grams of a query or more, a row that holds fewer is not among the best k, and of the query's m
+    grams it misses m - F at most. So it holds one of the m - F + 1 rarest, and ``MORE`` + 1 of the m - F + 1 + ``MORE`` rarest; the
+    other, frequent ones need not be looked up. F is the k-th best overlap among rows that are likely to hold many: those with the most grams of
+    all, and those that the query's rarest grams lead to, ``SEED_ROWS`` times k of either. It is a proven bound, though not the best one.
+    """
+    upto = F.aggregate("g", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(x["df"] + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)))))
+    rare = asked.select("query_id", F.slice("grams", 1, SEED_ROWS * k).alias("g")).withColumn("_upto", upto)
+    rare = rare.select("query_id", F.explode(F.filter(_numbers("g"), lambda x, i: F.get("_upto", i) <= SEED_ROWS * k)).alias("gram"))
+    longest = rows.select("row_id", "grams").orderBy(F.size("grams").desc(), "row_id").limit(SEED_ROWS * k)
+    keys = asked.select("query_id", F.explode(_numbers("grams")).alias("gram"))
+    long = _meeting(keys, longest).withColumnRenamed("met", "overlap")
+    seeds = long.unionByName(_counted(_meeting(rare, rows), asked, rows.select("row_id", "grams"))).distinct()
+    best = rank_within(seeds, ["query_id"], [F.col("overlap").desc(), F.col("row_id")]).filter(F.col("rank") == k)
+    m, least = F.size("grams"), F.coalesce("_f", F.lit(1))
+    bound = asked.join(best.select("query_id", F.col("overlap").cast("int").alias("_f")), "query_id", "left")
+    prefix = bound.select("query_id", F.least(m - least + 1 + MORE, m).alias("_r"), (least - m).alias("_short"), "grams")
+    prefix = prefix.select("query_id", (F.col("_r") + F.col("_short")).alias("_least"), F.slice(_numbers("grams"), F.lit(1), F.col("_r")).alias("g"))
+    met = _meeting(prefix.select("query_id", F.explode("g").alias("gram")), rows)
+    return met.join(prefix.select("query_id", "_least"), "query_id").filter("met >= _least").select("query_id", "row_id")
+
+
 def ngram_topk(queries: DataFrame, corpus: DataFrame, n: int, k: int, carry: Sequence[str] = ()) -> DataFrame:
     """The ``k`` rows with the highest overlap per query; ties and rows without overlap go by id.
 
-    Rows without overlap can only enter among the k lowest ids, so those are added with zero; of a row that is
-    there twice the zero goes, which the first 2k ranks leave room for. The rank filter becomes a per-task top-k ahead of
-    the shuffle by query. ``carry`` names columns of the corpus to bring along.
+    Only the rare grams of a query are looked up in the corpus (``reachable``), so a word that stands in every row fans out to no row. The
+    rows met are then counted in full, each beside its own grams. Rows without overlap can only enter among the k lowest ids, so those
+    are added with zero; of a row that is there twice the zero goes, which the first 2k ranks leave room for. The rank
+    filter becomes a per-task top-k ahead of the shuffle by query. ``carry`` names columns of the corpus to bring along.
     """
-    lowest = corpus.select("row_id", *carry).orderBy("row_id").limit(k)
-    rows = lowest.agg(F.collect_list(F.struct("row_id", *carry))).scalar()
-    fill = queries.select("query_id", F.inline(rows)).withColumn("overlap", F.lit(0).cast("bigint"))
+    asked, rows = gram_index(queries, corpus, n, carry)
+    lowest = corpus.select("row_id", *carry).orderBy("row_id").limit(k).agg(F.collect_list(F.struct("row_id", *carry))).scalar()
+    fill = queries.select("query_id", F.inline(lowest)).withColumn("overlap", F.lit(0).cast("bigint"))
     order = [F.col("overlap").desc(), F.col("row_id")]
-    both = _overlaps(queries, corpus, n, carry).unionByName(fill)
-    head = rank_within(both, ["query_id"], order).filter(F.col("rank") <= 2 * k)
+    found = _counted(reachable(asked, rows, k), asked, rows)
+    head = rank_within(found.unionByName(fill), ["query_id"], order).filter(F.col("rank") <= 2 * k)
     kept = [F.first(c).alias(c) for c in carry]
     single = head.groupBy("query_id", "row_id").agg(F.max("overlap").alias("overlap"), *kept)
     return rank_within(single, ["query_id"], order).filter(F.col("rank") <= k)
@@ -75,121 +136,144 @@ def ngram_topk(queries: DataFrame, corpus: DataFrame, n: int, k: int, carry: Seq
 # --- diverse exemplars ------------------------------------------------------------------------------
 
 
-def _grams(words: list[str], n: int) -> set:
-    return set(zip(*[words[i:] for i in range(n)]))
-
-
-class _Walk:
-    """One query's progress: its pass, the words and rows met in the pass, and what it has chosen."""
-
-    def __init__(self, query_id: int, text: str):
-        self.query_id, self.words = query_id, text.split()
-        self.step = self.n = 0
-        self.past: set[str] = set()  # texts chosen in earlier passes
-        self.used: set[str] = set()  # words of this pass
-        self.now: dict[int, str] = {}  # rows of this pass
-        self.chosen: list[tuple[int, int]] = []
-
-    def next_pass(self, seed: int, sizes: Sequence[int]) -> None:
-        self.past |= set(self.now.values())
-        self.used, self.now = set(), {}
-        self.step += 1
-        self.n = _draw(self.query_id, self.step, seed, sizes)
-
-    def take(self, heads: list[tuple[int, int, str]], k: int) -> None:
-        """Walk a ranked prefix of eligible rows."""
-        for _, row_id, text in sorted(heads):
-            words = set(text.split())
-            if len(self.chosen) < k and words.isdisjoint(self.used):
-                self.chosen.append((len(self.chosen) + 1, row_id))
-                self.used |= words
-                self.now[row_id] = text
-
-
-def _draw(query_id: int, step: int, seed: int, sizes: Sequence[int]) -> int:
-    digest = hashlib.md5(f"{query_id}:{step}:{seed}".encode()).hexdigest()
-    return sizes[int(int(digest[:8], 16) / 4294967296.0 * len(sizes))]
-
-
-def _best_eligible(walks: Sequence[_Walk], head: int):
-    """Per task: each query's best ``head`` rows that share no word with its pass."""
-    grams = {w.query_id: _grams(w.words, w.n) for w in walks}
-    sizes = {w.n for w in walks}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list] = {w.query_id: [] for w in walks}
-        for frame in frames:
-            for row_id, text in zip(frame["row_id"], frame["text"]):
-                words = text.split()
-                distinct = set(words)
-                by_size = {n: _grams(words, n) for n in sizes}
-                for w in walks:
-                    if row_id in w.now or text in w.past or not distinct.isdisjoint(w.used):
-                        continue
-                    item = (len(by_size[w.n] & grams[w.query_id]), -row_id)
-                    heap = best[w.query_id]
-                    if len(heap) < head:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-        rows = [(q, o, -i) for q, heap in best.items() for o, i in heap]
-        yield pd.DataFrame(rows, columns=["query_id", "overlap", "row_id"])
-
-    return run
+def _draw(sizes: Sequence[int], seed: int, *ids: str) -> Column:
+    """The n-gram size of a pass, from a seeded hash of query and pass."""
+    at = F.floor(hash_fraction(seed_hash(seed, *ids)) * len(sizes)).cast("int")
+    return F.get(F.array(*[F.lit(n) for n in sizes]), at)
+
+
+def _walkable(corpus: DataFrame, k: int) -> DataFrame:
+    """``row_id, text, words, mask, pos, block``: the rows a walk can ever choose, numbered by id.
+
+    Of rows with one text only the lowest id can be chosen: a copy shares its words in the same pass and is excluded after it. Rows without words
+    clash with nothing, so the ``k`` lowest ids of them are enough. Bit i of ``mask`` tells whether a row holds the i-th of the
+    corpus' most frequent words, so most clashes show in one comparison of numbers.
+    """
+    texts = corpus.select(F.col("row_id").cast("bigint").alias("row_id"), "text")
+    bare = F.size(T.words("text")) == 0
+    single = texts.filter(~bare).groupBy("text").agg(F.min("row_id").alias("row_id"))
+    rows = single.select("row_id", "text").unionByName(texts.filter(bare).orderBy("row_id").limit(k))
+    rows = rank_rows(rows, ["row_id"], name="pos").withColumn("words", F.array_distinct(T.words("text")))
+    often = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    marks = often.orderBy(F.col("df").desc(), "word").limit(MASK_WORDS).agg(F.collect_list("word").alias("marks"))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.array_position("marks", w) - 1).cast("int"))
+    mask = F.aggregate(F.array_intersect("words", "marks"), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(bit(w)))
+    rows = rows.join(F.broadcast(marks), F.lit(True), "left").withColumn("mask", F.coalesce(mask, F.lit(0)))
+    return stored(rows.drop("marks").withColumn("block", F.floor(F.col("pos") / WALK_BLOCK)))
+
+
+def _folded(candidates: Column, k: int) -> Column:
+    """Walk candidates in order: take each that shares no word with those taken in this pass, up to ``k`` in all."""
+
+    def step(acc: Column, row: Column) -> Column:
+        free = (F.size(acc["picked"]) < k) & ~F.arrays_overlap(acc["used"], row["words"]) & ~F.array_contains(acc["picked"], row["row_id"])
+        taken = F.struct(
+            F.array_union(acc["used"], row["words"]).alias("used"),
+            acc["mask"].bitwiseOR(row["mask"]).alias("mask"),
+            F.concat(acc["picked"], F.array(row["row_id"])).alias("picked"),
+            (acc["now"] + 1).alias("now"),
+        )
+        return F.when(free, taken).otherwise(acc)
+
+    return F.aggregate(candidates, F.struct("used", "mask", "picked", "now"), step)
 
 
 def diverse_exemplars(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    seed: int,
-    *,
-    sizes: Sequence[int] = (1, 2),
-    head: int = 32,
-    block: int = WORD_QUERY_BLOCK,
+    queries: DataFrame, corpus: DataFrame, k: int, seed: int, *, sizes: Sequence[int] = (1, 2), head: int = 32
 ) -> DataFrame:
     """``k`` word-diverse rows per query as (query_id, pick, row_id).
 
-    A pass ranks the rows not chosen yet by overlap (its n-gram size is drawn per query and pass) and
-    takes every row that shares no word with those taken in the pass; passes repeat until ``k``.
+    A pass ranks the rows not chosen yet by overlap (its n-gram size is drawn per query and pass) and takes every row that shares no
+    word with those taken in the pass; passes repeat until ``k`` rows are chosen or a pass takes none.
+
+    The walk is exact without sorting a whole ranking, since only rows that are still eligible matter. Its state is a table with one row
+    per query, written anew each round; a round joins the state to the corpus and folds the rows found, a bounded head per query:
 
-    The walk is exact without ever sorting a whole ranking: only rows that are still eligible matter,
-    so each round asks every task for its best ``head`` eligible rows per query, merges those heads,
-    and walks them. A round that returns fewer than ``head`` rows ends the pass. The state that travels
-    is one block of about ``block`` queries; more queries are more blocks.
+    * a pass begins with the best ``head`` of a ranking made once per n-gram size, ``head + k`` long, so that rows chosen before can go;
+    * then come rows that hold a gram of the query with no used word, by overlap, and among those without overlap the
+      next blocks of rows in the order of their ids, each round eight times as many. A row with a used word is never sent on.
+
+    Nothing passes through the driver but whether any query is unfinished.
     """
-    spark = corpus.sparkSession
-    rows = corpus.select(F.col("row_id").cast("bigint"), "text")
-    numbered = queries.select(F.col("query_id").cast("bigint"), "text")
-    n_blocks = max(1, -(-numbered.count() // block))
-    parts = []
-    for b in range(n_blocks):
-        of_block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b
-        walks = [_Walk(r[0], r[1]) for r in numbered.filter(of_block).toLocalIterator()]
-        for w in walks:
-            w.next_pass(seed, sizes)
-        active = list(walks)
-        while active:
-            found = rows.mapInPandas(_best_eligible(active, head), "query_id bigint, overlap bigint, row_id bigint")
-            order = [F.col("overlap").desc(), F.col("row_id")]
-            merged = rank_within(found, ["query_id"], order).filter(F.col("rank") <= head)
-            with_text = F.broadcast(merged).join(rows, "row_id")  # at most head rows per query
-            heads: dict[int, list] = {w.query_id: [] for w in active}
-            for r in with_text.select("query_id", "rank", "row_id", "text").toLocalIterator():
-                heads[r[0]].append((r[1], r[2], r[3]))
-            still = []
-            for w in active:
-                w.take(heads[w.query_id], k)
-                passed = len(heads[w.query_id]) < head
-                used_up = passed and not w.now
-                if len(w.chosen) < k and not used_up:
-                    if passed:
-                        w.next_pass(seed, sizes)
-                    still.append(w)
-            active = still
-        chosen = [(w.query_id, pick, row_id) for w in walks for pick, row_id in w.chosen]
-        parts.append(spark.createDataFrame(chosen, "query_id bigint, pick bigint, row_id bigint"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = _walkable(corpus, k)
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text")
+    grams = F.map_from_arrays(F.array(*[F.lit(n) for n in sizes]), F.array(*[ngrams("text", n) for n in sizes]))
+    texts = stored(asked.select("query_id", grams.alias("grams")))
+    slim = rows.select("row_id", "text")
+    ranking = stored(reduce(DataFrame.unionByName, [ngram_topk(asked, slim, n, head + k).select("query_id", F.lit(n).alias("n"), "row_id", "overlap") for n in sizes]))
+    wanted = texts.select(F.explode("grams").alias("n", "g")).select("n", F.explode("g").alias("gram")).distinct()
+    postings = [rows.select("row_id", "mask", F.lit(n).alias("n"), F.explode(ngrams("text", n)).alias("gram")) for n in sizes]
+    postings = stored(reduce(DataFrame.unionByName, postings).join(wanted, ["n", "gram"]))
+    slim = rows.select("row_id", "pos", "block", "words", "mask")
+
+    zero = F.lit(0).cast("bigint")
+    state = texts.select(
+        "query_id", F.lit(1).alias("step"), F.lit(True).alias("fresh"), F.array().cast("array<string>").alias("used"), zero.alias("mask"),
+        F.array().cast("array<bigint>").alias("picked"), F.lit(0).alias("now"), zero.alias("cursor"), F.lit(WALK_WIDTH).cast("bigint").alias("width"), F.lit(k < 1).alias("done"),
+    )
+    state = stored(state.withColumn("n", _draw(sizes, seed, "query_id", "step")))
+    n_blocks = rows.agg((F.max("block") + 1).alias("n_blocks"))
+    while not state.filter("not done").isEmpty():
+        state = stored(_next_round(state, texts, ranking, postings, slim, n_blocks, k, head, sizes, seed))
+    return state.select("query_id", F.posexplode("picked").alias("pick", "row_id")).withColumn("pick", (F.col("pick") + 1).cast("bigint"))
+
+
+def _next_round(
+    state: DataFrame, texts: DataFrame, ranking: DataFrame, postings: DataFrame, rows: DataFrame, n_blocks: DataFrame, k: int, head: int, sizes: Sequence[int], seed: int
+) -> DataFrame:
+    """The state after one round of ``diverse_exemplars``."""
+    open_ = state.filter("not done")
+    order = [F.col("overlap").desc(), F.col("row_id")]
+    fresh = open_.filter("fresh").join(ranking, ["query_id", "n"]).filter(~F.array_contains("picked", F.col("row_id")))
+    fresh = rank_within(fresh.select("query_id", "row_id", "overlap"), ["query_id"], order).filter(F.col("rank") <= head)
+    first = fresh.join(rows, "row_id").select("query_id", "row_id", "overlap", "pos", "words", "mask")
+
+    later = open_.filter("not fresh").join(texts, "query_id").withColumn("_g", F.col("grams")[F.col("n")])
+    # a gram with a used word stands in no eligible row; the words of a gram are joined by one blank
+    free = F.filter("_g", lambda g: ~F.arrays_overlap(F.split(g, " "), "used"))
+    keys = later.select("query_id", "n", F.col("mask").alias("_m"), F.explode(free).alias("gram"))
+    met = postings.join(keys, ["n", "gram"]).filter(F.col("mask").bitwiseAND(F.col("_m")) == 0)
+    met = met.groupBy("query_id", "row_id").agg(F.count(F.lit(1)).alias("overlap"))
+    begin = F.floor(F.col("cursor") / WALK_BLOCK)
+    ahead = later.select("query_id", F.col("mask").alias("_m"), "cursor", F.explode(F.sequence(begin, begin + F.col("width") - 1)).alias("block"))
+    passed = ahead.join(rows.select("row_id", "pos", "block", "mask"), "block")
+    passed = passed.filter((F.col("mask").bitwiseAND(F.col("_m")) == 0) & (F.col("pos") >= F.col("cursor")))
+    # words are compared for the few pairs only that share none of the frequent ones
+    pairs = met.unionByName(passed.select("query_id", "row_id", F.lit(0).cast("bigint").alias("overlap")))
+    eligible = ~F.arrays_overlap("words", "used") & ~F.array_contains("picked", F.col("row_id"))
+    later = pairs.join(later.select("query_id", "used", "picked"), "query_id").join(rows, "row_id").filter(eligible)
+    later = later.select("query_id", "row_id", "overlap", "pos", "words", "mask").withColumn("_near", F.col("overlap") > 0)
+    later = rank_within(later, ["query_id", "_near"], order).filter(F.col("rank") <= head).drop("rank", "_near")
+
+    # a row that is near as well as ahead counts as near: the fold meets it first and knows it the second time
+    item = F.struct((-F.col("overlap")).alias("o"), "row_id", "pos", "words", "mask")
+    heads = first.unionByName(later).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    joined = open_.join(heads, "query_id", "left").withColumn("rows", F.coalesce("rows", F.expr("filter(array(named_struct('o', 0L, 'row_id', 0L, 'pos', 0L, 'words', array(''), 'mask', 0L)), x -> false)")))
+    n_near = F.size(F.filter("rows", lambda r: r["o"] < 0))
+    ahead_rows = F.filter("rows", lambda r: r["o"] == 0)
+    full = ~F.col("fresh") & (n_near >= head)  # more near rows may follow, so no row ahead is walked yet
+    joined = joined.withColumn("_full", full).withColumn("_ahead", ahead_rows)
+    walked = F.when(F.col("_full"), F.filter("rows", lambda r: r["o"] < 0)).otherwise(F.col("rows"))
+    joined = joined.withColumn("_w", _folded(walked, k)).join(F.broadcast(n_blocks), F.lit(True), "left")
+
+    end = (F.floor(F.col("cursor") / WALK_BLOCK) + F.col("width")) * WALK_BLOCK
+    cut = F.size("_ahead") >= head  # the blocks hold more eligible rows than were sent
+    cursor = F.when(F.col("fresh"), F.lit(0)).when(F.col("_full"), F.col("cursor")).when(cut, F.get("_ahead", F.size("_ahead") - 1)["pos"] + 1).otherwise(end)
+    over = ~F.col("fresh") & ~F.col("_full") & ~cut & (F.floor(cursor / WALK_BLOCK) >= F.coalesce("n_blocks", F.lit(0)))
+    moved = joined.select(
+        "query_id", "step", "n", "_w.*", cursor.cast("bigint").alias("cursor"), over.alias("_over"),
+        F.when(F.col("fresh"), F.lit(WALK_WIDTH)).when(F.col("_full") | cut, F.col("width")).otherwise(F.col("width") * 8).cast("bigint").alias("width"),
+    )
+    moved = moved.withColumn("done", (F.size("picked") >= k) | (F.col("_over") & (F.col("now") == 0)))
+    anew = F.col("_over") & ~F.col("done")
+    moved = moved.withColumn("step", F.when(anew, F.col("step") + 1).otherwise(F.col("step")))
+    moved = moved.select(
+        "query_id", "step", anew.alias("fresh"), F.when(anew, F.array().cast("array<string>")).otherwise(F.col("used")).alias("used"),
+        F.when(anew, F.lit(0)).otherwise(F.col("mask")).cast("bigint").alias("mask"), "picked", F.when(anew, F.lit(0)).otherwise(F.col("now")).alias("now"),
+        F.when(anew, F.lit(0)).otherwise(F.col("cursor")).cast("bigint").alias("cursor"), F.when(anew, F.lit(WALK_WIDTH)).otherwise(F.col("width")).cast("bigint").alias("width"),
+        "done", F.when(anew, _draw(sizes, seed, "query_id", "step")).otherwise(F.col("n")).alias("n"),
+    )
+    return state.filter("done").unionByName(moved)
 
 
 # --- embeddings -------------------------------------------------------------------------------------

@@ -4,42 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrules.operators.ranking import key_edges, running
+from sparkrules.operators.ranking import segments
 
 
-def early_stop(log: DataFrame, patience: int, *, run: str = "run", step: str = "step", metric: str = "value") -> DataFrame:
+def early_stop(
+    log: DataFrame, patience: int, *, run: str = "run", step: str = "step", metric: str = "value", buckets: int | None = None
+) -> DataFrame:
     """The rows a run would have logged before stopping, with best so far and epochs since.
 
     An epoch improves when its metric exceeds the best before it (0 at first). A run stops after the
-    first epoch that leaves ``patience`` epochs without improvement. Running values come from bucketed
-    prefix totals, so one long run spreads over many tasks.
+    first epoch that leaves ``patience`` epochs without improvement.
+
+    The log is dealt once by run and step. A segment of a run sums up as its number of epochs, its highest value and that value's first
+    epoch, since the last improvement within a segment is its highest value or none. The segments before give each segment its first
+    epoch number, its best so far and the epoch of it, and one window inside the segment does the rest: one long run spreads over many tasks.
     """
+    rows = segments(log, [run], [step], buckets)
+    inside = Window.partitionBy(run, "_bucket").orderBy(step)
+    rows = rows.withColumn("_at", F.row_number().over(inside).cast("bigint"))
+    high = F.max_by(F.col("_at"), F.struct(metric, -F.col("_at"))).alias("_high_at")
+    summary = rows.groupBy(run, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max(metric).alias("_high"), high)
+    earlier = Window.partitionBy(run).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    place = F.struct(F.col("_high").alias("v"), (-F.col("_skip") - F.col("_high_at")).alias("at"))
+    before = F.when(F.col("_high") > 0, place)
+    carry = summary.select(F.col(run).alias("_run"), F.col("_bucket").alias("_segment"), "_skip", F.max(before).over(earlier).alias("_best"))
+    joined = rows.join(carry, rows[run].eqNullSafe(carry["_run"]) & (rows["_bucket"] == carry["_segment"]))
     value = F.col(metric)
-    edges = key_edges(log, step)
-    seen = running(
-        log,
-        [step],
-        {"_best_before": ("max", value), "_before": ("count", F.lit(1))},
-        [run],
-        inclusive=False,
-        edges=edges,
-    )
-    best_before = F.greatest(F.coalesce("_best_before", F.lit(0.0)), F.lit(0.0))
-    flagged = seen.withColumns(
-        {
-            "epoch": F.col("_before") + 1,
-            "improved": value > best_before,
-            "best_so_far": F.greatest(best_before, value),
-        }
-    ).drop("_best_before", "_before")
-    marked = running(flagged, [step], {"_last": ("max", F.when(F.col("improved"), F.col("epoch")))}, [run], edges=edges)
-    counted = marked.withColumn("since_best", F.col("epoch") - F.coalesce("_last", F.lit(0))).drop("_last")
-    stop = counted.filter(F.col("since_best") >= patience).groupBy(run).agg(F.min("epoch").alias("_stop"))
-    kept = counted.join(stop, run, "left")
-    return kept.filter(F.col("_stop").isNull() | (F.col("epoch") <= F.col("_stop"))).drop("_stop")
+    past = inside.rowsBetween(Window.unboundedPreceding, -1)
+    best_before = F.greatest(F.max(value).over(past), F.col("_best.v"), F.lit(0.0))
+    joined = joined.withColumns({"epoch": F.col("_skip") + F.col("_at"), "_before": best_before})
+    joined = joined.withColumns({"improved": value > F.col("_before"), "best_so_far": F.greatest("_before", value)})
+    last = F.greatest(F.max(F.when(F.col("improved"), F.col("epoch"))).over(inside), -F.col("_best.at"), F.lit(0))
+    counted = joined.withColumn("since_best", F.col("epoch") - last)
+    stop = counted.filter(F.col("since_best") >= patience).groupBy(F.col(run).alias("_of")).agg(F.min("epoch").alias("_stop"))
+    kept = counted.join(stop, counted[run].eqNullSafe(stop["_of"]), "left")
+    kept = kept.filter(F.col("_stop").isNull() | (F.col("epoch") <= F.col("_stop")))
+    return kept.select(*log.columns, "epoch", "improved", "best_so_far", "since_best")
 
 
 def best_epoch(log: DataFrame, *, run: str = "run", step: str = "step", metric: str = "value") -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.operators.curate import contains_any, stack
 from sparkrules.operators.ranking import null_safe, rank_rows, seed_hash, top_n
+from sparkrules.storage import stored
+
+CENTRE_ROWS = 64  # rows per centre among which the first centres are sought
+FIXED_POINT = 1 << 30  # steps of a vector component in exact sums
+MATRIX_CELLS = 1 << 20  # numbers of a block of differences
 
 
 def tail_split(df: DataFrame, order: Sequence[str], frac: float) -> DataFrame:
@@ -147,11 +152,89 @@ def one_per_cluster(df: DataFrame, seed: int, cluster: str = "cluster", key: str
     return df.groupBy(F.col(cluster).alias("_c")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
-def cluster(df: DataFrame, k: int, seed: int, vector: str = "embedding", max_iter: int = 20) -> DataFrame:
-    """K-means cluster numbers of an embedding column."""
-    vectors = df.withColumn("_vector", array_to_vector(F.col(vector)))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_vector", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).drop("_vector")
+def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of the closest centre of every vector, the lowest of equal ones. Rows do not depend on each other, nor on their batch."""
+    out = np.empty(len(vectors), np.int64)
+    step = max(1, MATRIX_CELLS // centres.size)
+    for at in range(0, len(vectors), step):
+        gaps = vectors[at : at + step, None, :] - centres[None]
+        out[at : at + step] = (gaps * gaps).sum(axis=2).argmin(axis=1)
+    return out
+
+
+def spread_centres(df: DataFrame, k: int, seed: int, vector: str, key: str) -> np.ndarray:
+    """Up to ``k`` vectors far from each other: the first by seeded hash, then always the one farthest from those chosen, among the first
+    ``CENTRE_ROWS`` times k rows by that hash. That many rows are all the driver ever holds."""
+    rows = df.select(seed_hash(seed, key).alias("h"), F.col(vector).cast("array<double>").alias("v"))
+    drawn = top_n(rows.filter(F.col("v").isNotNull()), ["h", "v"], CENTRE_ROWS * k).collect()
+    vectors = np.array([r.v for r in drawn], np.float64).reshape(len(drawn), -1)
+    chosen, gap = [0] if len(drawn) else [], np.full(len(drawn), np.inf)
+    while chosen and len(chosen) < k:
+        gap = np.minimum(gap, ((vectors - vectors[chosen[-1]]) ** 2).sum(axis=1))
+        if not gap.max() > 0:
+            break
+        chosen.append(int(gap.argmax()))
+    return vectors[chosen]
+
+
+def as_matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def cluster(df: DataFrame, k: int, seed: int, vector: str = "embedding", key: str = "row_id") -> DataFrame:
+    """K-means cluster numbers of an embedding column, from 0; the rows with ``cluster``.
+
+    Starts from ``spread_centres`` and goes on until no centre moves: every row is then at its nearest centre and every centre is the mean of
+    its rows. Sums are whole numbers (components times ``FIXED_POINT``, below 2^19 before it), so neither the partitioning nor a lost
+    executor changes a digit. A round is one pass over the vectors, and k sums come to the driver. Rows without a vector have no cluster.
+    """
+    kept = df.filter(F.col(vector).isNotNull())
+    vectors = stored(kept.select(F.col(vector).cast("array<double>").alias("v")))
+    centres, seen = spread_centres(kept, k, seed, vector, key), set()
+    while len(centres):
+        found = vectors.mapInArrow(_sums(centres), "cluster long, dim int, n long, total long").groupBy("cluster", "dim")
+        found = found.agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()
+        moved = centres.copy()
+        for r in found:
+            moved[r.cluster, r.dim] = int(r.total) / r.n / FIXED_POINT
+        if np.array_equal(moved, centres) or moved.tobytes() in seen:
+            break
+        seen.add(moved.tobytes())
+        centres = moved
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = nearest(as_matrix(batch.column(1)), centres)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["_row", "cluster"])
+
+    others = [c for c in df.columns if c != "cluster"]
+    packed = kept.select(F.struct(*others).alias("_row"), F.col(vector).cast("array<double>").alias("_v"))
+    schema = packed.select("_row", F.lit(0).cast("bigint").alias("cluster")).schema
+    none = df.filter(F.col(vector).isNull()).select(*others, F.lit(None).cast("bigint").alias("cluster"))
+    return packed.mapInArrow(assigned, schema).select("_row.*", "cluster").unionByName(none)
+
+
+def _sums(centres: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, counts = np.zeros(centres.shape, np.int64), np.zeros(len(centres), np.int64)
+        for batch in batches:
+            vectors = as_matrix(batch.column(0))
+            found = nearest(vectors, centres)
+            np.add.at(totals, found, np.rint(vectors * FIXED_POINT).astype(np.int64))
+            counts += np.bincount(found, minlength=len(centres))
+            if np.abs(totals).max() > 1 << 61:
+                yield _parts(totals, counts)
+                totals[:], counts[:] = 0, 0
+        yield _parts(totals, counts)
+
+    def _parts(totals: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        held = np.flatnonzero(counts)
+        dims = totals.shape[1]
+        columns = [np.repeat(held, dims), np.tile(np.arange(dims, dtype=np.int32), len(held)), np.repeat(counts[held], dims), totals[held].reshape(-1)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cluster", "dim", "n", "total"])
+
+    return run
 
 
 def centre(df: DataFrame, vector: str = "embedding") -> Column:

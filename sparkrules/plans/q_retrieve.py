@@ -55,6 +55,27 @@ def diverse_exemplars(spark, sf):
     return retrieve.diverse_exemplars(*_inputs(spark, sf), 10, SEED)
 
 
+def _diverse_sql(k: int) -> str:
+    """One row a step: the best eligible row of the pass, or, where there is none, the next pass."""
+    second = _grams_sql(2).replace("q AS", "q2 AS").replace("d AS", "d2 AS").replace("o AS", "o2 AS").replace("FROM q JOIN d", "FROM q2 JOIN d2")
+    body = f""", {_grams_sql(1)}, {second},
+    w AS MATERIALIZED (SELECT row_id, text, list_distinct({_words_sql('text')}) AS w FROM exemplars),
+    p AS (SELECT query_id, step, 1 + CAST(floor(CAST('0x' || substr(md5(concat_ws(':', query_id, step, {SEED})), 1, 8) AS BIGINT) / 4294967296.0 * 2) AS INT) AS n
+      FROM questions, (SELECT unnest(range(1, {k + 2})) AS step)),
+    s AS (SELECT query_id, 1 AS step, CAST([] AS VARCHAR[]) AS used, CAST([] AS BIGINT[]) AS now, CAST([] AS VARCHAR[]) AS met, CAST([] AS VARCHAR[]) AS past,
+        CAST(0 AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS row_id FROM questions
+      UNION ALL SELECT query_id, CASE WHEN best IS NULL THEN step + 1 ELSE step END, CASE WHEN best IS NULL THEN [] ELSE list_distinct(list_concat(used, w)) END,
+        CASE WHEN best IS NULL THEN [] ELSE list_append(now, best) END, CASE WHEN best IS NULL THEN [] ELSE list_append(met, text) END,
+        CASE WHEN best IS NULL THEN list_concat(past, met) ELSE past END, CASE WHEN best IS NULL THEN pick ELSE pick + 1 END, best
+      FROM (SELECT s.*, w.row_id AS best, w.w, w.text FROM s JOIN p USING (query_id, step) LEFT JOIN w
+            ON NOT list_has_any(w.w, s.used) AND NOT list_contains(s.now, w.row_id) AND NOT list_contains(s.past, w.text)
+          LEFT JOIN o ON n = 1 AND o.query_id = s.query_id AND o.row_id = w.row_id LEFT JOIN o2 ON n = 2 AND o2.query_id = s.query_id AND o2.row_id = w.row_id
+          WHERE s.pick < {k} QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY coalesce(o.overlap, o2.overlap, 0) DESC, w.row_id) = 1)
+      WHERE best IS NOT NULL OR len(now) > 0)
+    SELECT query_id, pick, row_id FROM s WHERE row_id IS NOT NULL"""
+    return with_inputs(body, "questions", "exemplars", recursive=True)
+
+
 def _vector_hits(spark, sf, k):
     vectors = load(spark, sf, "vectors")
     return retrieve.vector_topk(vectors.withColumnRenamed("row_id", "query_id"), vectors, k)
@@ -158,7 +179,7 @@ QUERIES = {
         _topk(2, 10),
         with_inputs(f", {_topk_sql(2, 10)} SELECT query_id, row_id, overlap, rank FROM r", "questions", "exemplars"),
     ),
-    "diverse_exemplars": (diverse_exemplars, None),
+    "diverse_exemplars": (diverse_exemplars, _diverse_sql(10)),
     "vector_topk": (vector_topk, VECTOR_SQL + " QUALIFY rank <= 45"),
     "hit_union": (
         hit_union,

@@ -106,6 +106,25 @@ def cluster(spark, sf):
     return sample.cluster(vectors, 40, 42).select("row_id", "cluster")
 
 
+def cluster_invariants(spark, sf):
+    """Rows, clusters, and rows that are nearer to the mean of another cluster than to that of their own."""
+    rows = sample.cluster(load(spark, sf, "vectors").drop("cluster"), 40, 42).select("row_id", "cluster", F.col("embedding").cast("array<double>").alias("v"))
+    means = rows.select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "m")))
+    centres = means.groupBy("cluster").agg(F.transform(ordered, lambda d: d["m"]).alias("m")).agg(F.collect_list(F.struct("cluster", "m")).alias("all"))
+
+    def gap(centre):
+        return F.aggregate(F.zip_with("v", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+
+    gaps = F.transform("all", lambda c: F.struct(gap(c["m"]).alias("gap"), c["cluster"].alias("cluster")))
+    judged = rows.join(F.broadcast(centres), F.lit(True)).select("cluster", gaps.alias("gaps"))  # 40 centres in one row
+    own = F.get(F.filter("gaps", lambda g: g["cluster"] == F.col("cluster")), F.lit(0))["gap"]
+    judged = judged.select("cluster", (own > F.array_min("gaps")["gap"] + 1e-6).alias("misplaced"))
+    return judged.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster").alias("n_clusters"), F.count_if("misplaced").alias("n_misplaced")
+    )
+
+
 def representative(spark, sf):
     vectors = load(spark, sf, "vectors")
     turned = vectors.filter("cluster = 3")
@@ -206,6 +225,11 @@ QUERIES = {
         ),
     ),
     "cluster": (cluster, None),
+    "cluster_invariants": (
+        cluster_invariants,
+        """SELECT count(*) AS n_rows, CAST(40 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_misplaced FROM embeddings
+        WHERE embedding IS NOT NULL""",
+    ),
     "representative": (
         representative,
         """WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),

@@ -37,14 +37,17 @@ def brute_diverse(query_id, query, rows, k, seed):
     return chosen
 
 
-@pytest.mark.parametrize(("head", "block"), [(4, 100), (32, 2)])
-def test_diverse_exemplars_equal_brute_force(spark, head, block):
+@pytest.mark.parametrize(("head", "block"), [(4, 7), (32, 4096)])
+def test_diverse_exemplars_equal_brute_force(spark, monkeypatch, head, block):
+    monkeypatch.setattr(retrieve, "WALK_BLOCK", block)
+    monkeypatch.setattr(retrieve, "MASK_WORDS", 5)
     rng = random.Random(4)
     rows = list(enumerate(texts(rng, 120, [f"w{i}" for i in range(25)])))
+    rows += [(200 + i, rows[i][1]) for i in range(0, 60, 2)] + [(300, ""), (301, " ")]  # copies and rows without words
     questions = list(enumerate(texts(rng, 5, [f"w{i}" for i in range(25)])))
     corpus = spark.createDataFrame(rows, "row_id bigint, text string").repartition(4)
     queries = spark.createDataFrame(questions, "query_id bigint, text string")
-    got = retrieve.diverse_exemplars(queries, corpus, 12, 3, head=head, block=block).orderBy("query_id", "pick").collect()
+    got = retrieve.diverse_exemplars(queries, corpus, 12, 3, head=head).orderBy("query_id", "pick").collect()
     for query_id, query in questions:
         assert [r.row_id for r in got if r.query_id == query_id] == brute_diverse(query_id, query, rows, 12, 3)
 
@@ -55,6 +58,40 @@ def test_diverse_exemplars_stop_when_the_corpus_is_used_up(spark):
     assert [r.row_id for r in retrieve.diverse_exemplars(queries, corpus, 10, 1).orderBy("pick").collect()] == [1, 2]
 
 
+def test_ngram_topk_leaves_stop_words_out(spark):
+    """Three words stand in every row; only rows that share a rare word with a query are counted."""
+    rng = random.Random(6)
+    rare = [f"r{i}" for i in range(300)]
+    rows = [(i, " ".join(["the", "of", "and", *rng.choices(rare, k=rng.randint(1, 6))])) for i in range(1500)]
+    # rows that hold much of a query, so that its bound is above what stop words alone give
+    questions = [(q, " ".join(["the", "of", "and", *rare[10 * q : 10 * q + 8]])) for q in range(5)]
+    rows += [(2000 + 10 * q + j, f"{text} {' '.join(f'long{i}' for i in range(20))}") for q, text in questions for j in range(4)]
+    corpus = spark.createDataFrame(rows, "row_id bigint, text string").repartition(4)
+    queries = spark.createDataFrame(questions, "query_id bigint, text string")
+    k = 4
+    got = retrieve.ngram_topk(queries, corpus, 1, k).collect()
+    for query_id, text in questions:
+        want = sorted((-len(grams(t, 1) & grams(text, 1)), i) for i, t in rows)[:k]
+        assert [(r.row_id, r.overlap) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == query_id] == [(i, -o) for o, i in want]
+    asked, own = retrieve.gram_index(queries, corpus, 1)
+    # a stop word alone makes 7,500 pairs
+    assert k * len(questions) <= retrieve.reachable(asked, own, k).count() <= 4 * k * len(questions)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ngram_topk_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = list(enumerate(texts(rng, 150, [f"w{i}" for i in range(30)] + ["the"] * 30)))
+    questions = list(enumerate(texts(rng, 8, [f"w{i}" for i in range(40)] + ["the"] * 20)))
+    corpus = spark.createDataFrame(rows, "row_id bigint, text string")
+    queries = spark.createDataFrame(questions, "query_id bigint, text string")
+    for n, k in ((1, 1), (1, 7), (2, 3), (1, 400)):
+        got = retrieve.ngram_topk(queries, corpus, n, k).orderBy("query_id", "rank").collect()
+        for query_id, text in questions:
+            want = sorted((-len(grams(t, n) & grams(text, n)), i) for i, t in rows)[:k]
+            assert [(r.row_id, r.overlap) for r in got if r.query_id == query_id] == [(i, -o) for o, i in want]
+
+
 def test_ngram_topk_fills_with_zero_overlap(spark):
     corpus = spark.createDataFrame([(i, "x y") for i in range(5)] + [(9, "a b c")], "row_id bigint, text string")
     queries = spark.createDataFrame([(1, "a b"), (2, "none")], "query_id bigint, text string")
