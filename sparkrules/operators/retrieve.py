@@ -17,9 +17,11 @@ from sparkrules.operators.ranking import hash_fraction, rank_rows, rank_within,
 from sparkrules.storage import stored
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 20_000  # query and corpus vectors of a cell, about
+PACK_HEAD = 32  # exemplars of a first ranking
 SEED_ROWS = 4  # rows per wanted one that give the first bound of a ranking
 MORE = 4  # grams looked up beyond the least number, so that one chance hit is not enough
 MASK_WORDS = 62  # frequent words with a bit of their own
+LOOK = 8  # rows per wanted one whose words a walk compares at once
 WALK_BLOCK, WALK_WIDTH = 1024, 16  # rows of a block, and blocks, that a walk reads ahead at first
 SCORE_DIGITS = 9
 
@@ -238,7 +240,9 @@ def _next_round(
     ahead = later.select("query_id", F.col("mask").alias("_m"), "cursor", F.explode(F.sequence(begin, begin + F.col("width") - 1)).alias("block"))
     passed = ahead.join(rows.select("row_id", "pos", "block", "mask"), "block")
     passed = passed.filter((F.col("mask").bitwiseAND(F.col("_m")) == 0) & (F.col("pos") >= F.col("cursor")))
-    # words are compared for the few pairs only that share none of the frequent ones
+    # words are compared for the first rows only that share none of the frequent ones
+    passed = rank_within(passed.select("query_id", "row_id", "pos"), ["query_id"], [F.col("pos")]).filter(F.col("rank") <= LOOK * head)
+    seen = passed.groupBy("query_id").agg(F.max("rank").alias("_seen"), F.max("pos").alias("_last"))
     pairs = met.unionByName(passed.select("query_id", "row_id", F.lit(0).cast("bigint").alias("overlap")))
     eligible = ~F.arrays_overlap("words", "used") & ~F.array_contains("picked", F.col("row_id"))
     later = pairs.join(later.select("query_id", "used", "picked"), "query_id").join(rows, "row_id").filter(eligible)
@@ -254,11 +258,14 @@ def _next_round(
     full = ~F.col("fresh") & (n_near >= head)  # more near rows may follow, so no row ahead is walked yet
     joined = joined.withColumn("_full", full).withColumn("_ahead", ahead_rows)
     walked = F.when(F.col("_full"), F.filter("rows", lambda r: r["o"] < 0)).otherwise(F.col("rows"))
-    joined = joined.withColumn("_w", _folded(walked, k)).join(F.broadcast(n_blocks), F.lit(True), "left")
+    joined = joined.withColumn("_w", _folded(walked, k)).join(F.broadcast(n_blocks), F.lit(True), "left").join(seen, "query_id", "left")
 
     end = (F.floor(F.col("cursor") / WALK_BLOCK) + F.col("width")) * WALK_BLOCK
     cut = F.size("_ahead") >= head  # the blocks hold more eligible rows than were sent
-    cursor = F.when(F.col("fresh"), F.lit(0)).when(F.col("_full"), F.col("cursor")).when(cut, F.get("_ahead", F.size("_ahead") - 1)["pos"] + 1).otherwise(end)
+    held = F.coalesce(F.col("_seen") >= LOOK * head, F.lit(False))  # or more rows to compare
+    after = F.when(cut, F.get("_ahead", F.size("_ahead") - 1)["pos"] + 1).when(held, F.col("_last") + 1).otherwise(end)
+    cut = cut | held
+    cursor = F.when(F.col("fresh"), F.lit(0)).when(F.col("_full"), F.col("cursor")).otherwise(after)
     over = ~F.col("fresh") & ~F.col("_full") & ~cut & (F.floor(cursor / WALK_BLOCK) >= F.coalesce("n_blocks", F.lit(0)))
     moved = joined.select(
         "query_id", "step", "n", "_w.*", cursor.cast("bigint").alias("cursor"), over.alias("_over"),
@@ -388,18 +395,30 @@ def assemble_prompts(
 
 
 def pack_exemplars(
-    queries: DataFrame, corpus: DataFrame, *, budget: int, n: int = 1, context: str = ""
+    queries: DataFrame, corpus: DataFrame, *, budget: int, n: int = 1, context: str = "", head: int = PACK_HEAD
 ) -> DataFrame:
     """Ranked exemplars that fit: (query_id, row_id, overlap, n_tokens, rank, packed_tokens).
 
     ``queries`` has (query_id, code, text), ``corpus`` has (row_id, code, text, rule). Only ids and
-    token counts go through ranking and packing, and as many rows are ranked as the shortest exemplar lets fit.
+    token counts go through ranking and packing. A ranking starts with the best ``head`` rows; for queries that these do not fill, with
+    four times as many, until they are full or hold as many as the shortest exemplar could ever let fit.
     """
     sized = corpus.select("row_id", "text", token_count(block_text(F.col("code"), F.col("text"), F.col("rule"))).alias("n_tokens"))
     longest = max_pair_tokens(queries, query_text(F.col("code"), F.col("text"))).first()[0] or 0
     room = budget - len(context.split()) - longest
-    ranked = ngram_topk(queries, sized, n, max(1, exemplar_bound(sized, room)), ["n_tokens"])
-    return pack_budget(ranked, room)
+    most, open_, packed = max(1, exemplar_bound(sized, room)), queries, []
+    while True:
+        head = min(head, most)
+        ranked = stored(ngram_topk(open_, sized, n, head, ["n_tokens"]))
+        if head == most:
+            return reduce(DataFrame.unionByName, [*packed, pack_budget(ranked, room)])
+        # a head that is shorter than asked for is the whole corpus
+        full = ranked.groupBy("query_id").agg(F.sum("n_tokens").alias("_sum"), F.count(F.lit(1)).alias("_n")).filter(f"_sum > {room} or _n < {head}").select("query_id")
+        packed.append(pack_budget(ranked.join(full, "query_id", "left_semi"), room))
+        open_ = stored(open_.join(full, "query_id", "left_anti"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, packed)
+        head *= 4
 
 
 def exemplar_prompts(

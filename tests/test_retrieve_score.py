@@ -99,6 +99,18 @@ def test_ngram_topk_fills_with_zero_overlap(spark):
     assert [(r.query_id, r.row_id, r.overlap) for r in got] == [(1, 9, 2), (1, 0, 0), (1, 1, 0), (2, 0, 0), (2, 1, 0), (2, 2, 0)]
 
 
+def test_growing_heads_pack_the_same(spark):
+    rng = random.Random(8)
+    rows = [(i, "c", t, "r") for i, t in enumerate(texts(rng, 80, [f"w{i}" for i in range(12)]))]
+    corpus = spark.createDataFrame(rows, "row_id bigint, code string, text string, rule string")
+    questions = spark.createDataFrame([(i, "q", f"w{i} w{i + 1}") for i in range(4)], "query_id bigint, code string, text string")
+    key = lambda d: sorted(map(tuple, d.select("query_id", "rank", "row_id", "overlap", "n_tokens", "packed_tokens").collect()))
+    whole = key(retrieve.pack_exemplars(questions, corpus, budget=120, head=1000))
+    assert whole and key(retrieve.pack_exemplars(questions, corpus, budget=120, head=2)) == whole
+    everything = key(retrieve.pack_exemplars(questions, corpus, budget=5000, head=2))
+    assert len(everything) == 4 * 80
+
+
 def test_vector_grid_equals_broadcast(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 5)))]
