@@ -7,9 +7,11 @@ distinct forms. Bands and rows are tuned: the most rows per band for which ``REC
 
 A bucket of forms that collide in a band is never paired with itself. Bands are sorted by range partitions, so a bucket of any size
 spreads over tasks that stream it; the leaders of a bucket's parts are compared with each other. First every form is compared with the
-leader of its part, one row per form and bucket, drawn anew in each bucket; the verified links give components. Then only forms of one bucket in *different* components are compared.
+leader of its part, one row per form and bucket, drawn anew in each bucket; the verified links give components. In buckets where components
+still meet, every form is compared with the bucket's hub, the form that shares most of itself. Then only forms of one bucket in *different*
+components are compared, and of these only those whose sizes and unshared shingles leave a similarity possible (``_possible``).
 What is left out could not change a component, so the result is that of all colliding pairs, while a large family of
-variants costs one comparison each.
+variants costs a few comparisons each.
 
 Of each component the occurrence with the least ``(doc_id, line)`` is kept; all others are removals.
 
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.components import components
-from sparkrules.llm.tables import body
+from sparkrules.llm.tables import body, pieces
 from sparkrules.storage import stored
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 10
 RECALL, MOST_BANDS, SEED = 0.999, 10, 42
+SIZE_STEP = 1.02  # ratio of the sizes of a step within which forms meet
 KEPT = 400_000  # word hashes that a task keeps
 DOCS = 64  # texts that are hashed together
 FORMS = "doc_id long, line int, start int, end int, form binary, bands array<bigint>"
@@ -79,8 +82,8 @@ class Signer:
         self.kept[word] = out = xxhash.xxh64_intdigest(word, SEED)
         return out
 
-    def __call__(self, paragraphs: list[list[bytes]]) -> np.ndarray:
-        """One row of band hashes per paragraph (each of ``SHINGLE`` words or more)."""
+    def shingles(self, paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all shingles, repeats included, and where those of each paragraph start (each of ``SHINGLE`` words or more)."""
         kept, sizes = self.kept, np.array([len(p) for p in paragraphs])
         words = np.array([kept.get(w) or self._word(w) for p in paragraphs for w in p], np.uint64)
         n = len(words) - SHINGLE + 1
@@ -92,7 +95,11 @@ class Signer:
         for k in range(1, SHINGLE):
             inside[ends - k] = False  # a shingle that would run into the next paragraph
         hashes = hashes[inside[:n]]
-        starts = np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
+        return hashes, np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
+
+    def __call__(self, paragraphs: list[list[bytes]]) -> np.ndarray:
+        """One row of band hashes per paragraph."""
+        hashes, starts = self.shingles(paragraphs)
         least = np.stack([np.minimum.reduceat(hashes * f + o, starts) for f, o in zip(self.factors, self.offsets)])
         least = least.reshape(self.bands, self.rows, len(paragraphs))
         keys = (least * self.mixes[None, :, None]).sum(axis=1, dtype=np.uint64)
@@ -200,33 +207,95 @@ def _members(reps: DataFrame) -> DataFrame:
     return led.filter("not edge").select("bucket", "a", "f").union(between)
 
 
+def _shingled(texts: DataFrame) -> DataFrame:
+    """``form, n, u``: the distinct shingles of each of these texts, and how many of them stand in no other of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(1, 1)
+        for names, words in pieces(batches, DOCS):
+            split = [w.encode().split(b" ") for w in words.to_pylist()]
+            keep = [len(w) >= SHINGLE for w in split]
+            if not any(keep):
+                continue
+            hashes, starts = signer.shingles([w for w, k in zip(split, keep) if k])
+            sets = [np.unique(x) for x in np.split(hashes.view(np.int64), starts[1:])]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([names.filter(pa.array(keep)), lists], ["form", "h"])
+
+    each = texts.select("form", "words").mapInArrow(run, "form binary, h array<long>")
+    each = stored(each)
+    single = each.select("form", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("form").alias("form")).filter("c = 1")
+    own = single.groupBy("form").agg(F.count(F.lit(1)).alias("u"))
+    return each.select("form", F.size("h").cast("long").alias("n")).join(own, "form", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+
+
+def _possible(rest: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """The ``(a, b)`` of one bucket in different components that may be similar enough, by the numbers of their shingles.
+
+    Of the ``n`` shingles of a form, ``u`` stand in no other form at hand. So it shares ``n - u`` with another at most; a similarity of t takes
+    ``t / (1 + t) * (n + m)`` common ones, which bounds the size m of the other. Nothing similar is left out. Forms are met by steps of size
+    within their bounds, so an edited copy that has grown too unlike any text of its own size meets none of its family.
+    """
+    t, tiny = similarity, 1e-9
+    most = F.floor((F.col("n") - F.col("u")) * ((1 + t) / t) + tiny) - F.col("n")
+    bounds = sizes.select(
+        "form", "n", F.ceil(F.col("n") * t - tiny).alias("low"), F.least(F.floor(F.col("n") / t + tiny), most).alias("high")
+    ).filter("low <= high")
+    step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / math.log(SIZE_STEP)).cast("int")
+    sized = rest.join(bounds, "form")
+    left = sized.select("bucket", F.col("form").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), "low", "high", F.explode(F.sequence(step("low"), step("high"))).alias("step"))
+    right = sized.select("bucket", F.col("form").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), step("n").alias("step"))
+    met = left.join(right, ["bucket", "step"]).filter("rx < ry and ny between low and high and nx between low_y and high_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def linked(found: DataFrame, place: tuple[str, ...], texts_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """``(form, root)`` of the forms of ``found(form, bands, *place)`` that are linked; ``texts_of`` gives ``form, words`` of places."""
     # forms travel as 64 bits in buckets only; the joins that end there bring every form of these bits
-    short = F.conv(F.substring(F.hex("form"), 1, 16), 16, -10).cast("long")
-    distinct = found.groupBy("form").agg(F.min("bands").alias("bands"))
-    stars = stored(_members(distinct.select("bands", short.alias("f"))))
+    short = F.conv(F.substring(F.hex("form"), 1, 16), 16, -10).cast("long").alias("f")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *place)).alias("at")
+    distinct = stored(found.groupBy("form").agg(F.min("bands").alias("bands"), first).select(short, "form", "bands", *[f"at.{name}" for name in place]))
+    stars = stored(_members(distinct.select("bands", "f")))
     inside = stars.select("bucket", "f").union(stars.select("bucket", F.col("a").alias("f"))).distinct()
-    slim = found.select(short.alias("f"), "form", *place)
-    reps = slim.join(inside.select("f").distinct(), "f").groupBy("f", "form").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *place)).alias("at"))
-    reps = stored(reps.select("f", "form", *[f"at.{name}" for name in place]))
+    reps = stored(distinct.drop("bands").join(inside.select("f").distinct(), "f", "left_semi"))
     texts = stored(texts_of(reps.select(*place)).join(reps.select("form"), "form", "left_semi"))
     one, two = reps.select(F.col("f").alias("a"), F.col("form").alias("x")), reps.select("f", F.col("form").alias("y"))
     same_bits = one.join(two, one["a"] == two["f"]).filter("x < y").select("x", "y")
-    first = stars.select("a", "f").distinct().join(one, "a").join(two, "f").select("x", "y").union(same_bits)
-    first = stored(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links = stored(_verified(first, texts, similarity))
-    roots = components(links).withColumnRenamed("node", "form")
-    # which components meet in a bucket; a bucket that lies within one component is done
-    parts = inside.join(reps.select("f", "form"), "f").join(roots, "form", "left").select("bucket", "form", F.coalesce("root", "form").alias("root"))
-    parts = stored(parts)
-    meeting = parts.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("bucket")
-    rest = stored(parts.join(meeting, "bucket"))
-    left = rest.select("bucket", F.col("form").alias("x"), F.col("root").alias("rx"))
-    right = rest.select("bucket", F.col("form").alias("y"), F.col("root").alias("ry"))
-    cross = left.join(right, "bucket").filter("rx < ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.union(stored(_verified(cross.join(first, ["a", "b"], "left_anti"), texts, similarity)))
-    return components(links).withColumnRenamed("node", "form")
+    tried = stars.select("a", "f").distinct().join(one, "a").join(two, "f").select("x", "y").union(same_bits)
+    tried = stored(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    roots = stored(components(stored(_verified(tried, texts, similarity))).withColumnRenamed("node", "form"))
+
+    def meeting(parts: DataFrame) -> DataFrame:
+        """``bucket, form, root`` of the buckets in which components meet; one that lies within a component is done."""
+        mixed = parts.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("bucket")
+        return stored(parts.join(mixed, "bucket"))
+
+    def joined(pairs: DataFrame) -> DataFrame | None:
+        """The roots with the links among new pairs, if there are any; components of before go in as their stars."""
+        more = stored(_verified(pairs.join(tried, ["a", "b"], "left_anti"), texts, similarity))
+        if more.isEmpty():
+            return None
+        stars = roots.filter("form <> root").select(F.col("form").alias("a"), F.col("root").alias("b"))
+        new = components(stars.union(more)).withColumnRenamed("node", "form")
+        return stored(new)
+
+    rooted = lambda parts: parts.join(roots, "form", "left").select("bucket", "form", F.coalesce("root", "form").alias("root"))
+    rest = meeting(stored(rooted(inside.join(reps.select("f", "form"), "f").select("bucket", "form"))))
+    if rest.isEmpty():
+        return roots
+    sizes = stored(_shingled(texts.join(rest.select("form").distinct(), "form", "left_semi")))
+    # every form of such a bucket against its hub, the form that has least to itself: a family gathers around its origin
+    rank = F.struct((F.col("u") / F.col("n")).alias("own"), "form")
+    hubs = rest.join(sizes, "form").groupBy("bucket").agg(F.min(rank)["form"].alias("hub"))
+    spokes = rest.join(hubs, "bucket").filter("form <> hub").select(F.least("form", "hub").alias("a"), F.greatest("form", "hub").alias("b")).distinct()
+    found_more = joined(spokes)
+    if found_more is not None:
+        roots = found_more
+        rest = meeting(stored(rooted(rest.select("bucket", "form"))))
+    tried = tried.union(spokes)
+    found_more = joined(_possible(rest, sizes, similarity))
+    return roots if found_more is None else found_more
 
 
 def clusters(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:

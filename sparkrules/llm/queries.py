@@ -104,7 +104,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.clusters(_table(spark, sf_dir, "documents"))
+    """The removals: every place of a cluster but the one that is kept, which stands beside it."""
+    return paragraphs.clusters(_table(spark, sf_dir, "documents")).filter("not kept").drop("kept")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from test_simhash import roots
 
 import corpus_pipeline
 from sparkrules.llm import nearcopies as n
+from sparkrules.llm import paragraphs as p
 
 random.seed(12)
 VOCAB = ["".join(random.choices("abcdefgh", k=random.randint(2, 8))) for _ in range(900)]
@@ -40,6 +41,38 @@ def test_against_brute_force(spark, tables, sf_dir):
     assert {r.doc_id for r in out.collect()} == want and len(out.collect()) == len(want) < len(rows) - 20
 
 
+def test_a_large_family_of_edited_copies(spark, monkeypatch):
+    """Members with two to four edits; few are alike, and comparisons stay within a multiple of the members."""
+    random.seed(31)
+    base, size = prose(110), 500
+    family = [base] + [edited(base, random.choice([1, 2, 3, 4, 4, 5, 6])) for _ in range(size)]
+    rows = list(enumerate(family))
+    compared = []
+    real = p._verified
+
+    def counted(pairs, texts, similarity):
+        compared.append(pairs.count())
+        return real(pairs, texts, similarity)
+
+    monkeypatch.setattr(p, "_verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in n.clean(docs).collect()} == brute(rows)
+    assert sum(compared) <= 3 * n.BANDS * size < size * size / 8
+
+
+def test_possible_pairs_hold_all_similar_ones(spark):
+    random.seed(32)
+    bases = [prose(k) for k in (12, 40, 41, 90)]
+    texts = {i.to_bytes(2): edited(b, random.randint(0, 6)) for i, b in enumerate(random.choices(bases, k=80))}
+    texts |= {(200 + i).to_bytes(2): " ".join(bases[3].split()[: 70 + i]) for i in range(20)}
+    df = spark.createDataFrame([(bytearray(f), t) for f, t in texts.items()], "form binary, words string")
+    rest = df.selectExpr("1L as bucket", "form", "form as root")
+    got = {(bytes(r.a), bytes(r.b)) for r in p._possible(rest, p._shingled(df), 0.8).collect()}
+    sets = {f: set(zip(*(t.split()[k:] for k in range(5)))) for f, t in texts.items()}
+    similar = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert similar <= got and len(got) < len(sets) * (len(sets) - 1) / 4
+
+
 def test_repeats_nulls_and_empty_tables(tables):
     text = prose(90)
     got = n.clean(tables([(3, text), (3, text), (None, text), (None, prose(60)), (None, None)])).collect()
