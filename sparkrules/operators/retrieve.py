@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,12 @@ from sparkrules.functions import fixed
 from sparkrules.functions import text as T
 from sparkrules.functions.tree import let
 from sparkrules.operators.ranking import hash_fraction, rank_rows, rank_within, seed_hash
+from sparkrules.operators.sample import as_matrix, nearest
 from sparkrules.storage import stored
 
-QUERY_BLOCK, ROW_BLOCK = 2048, 20_000  # query and corpus vectors of a cell, about
+QUERY_BLOCK, ROW_BLOCK = 1024, 20_000  # query and corpus vectors that meet in one product, about
+MOST_CELLS, CELL_SAMPLE, CELL_ROUNDS = 1024, 16, 3  # cells, rows per cell that fit the centres, and passes over these
+BOUND_SLACK = 1e-8  # more than rounding can add to a score
 PACK_HEAD = 32  # exemplars of a first ranking
 SEED_ROWS = 4  # rows per wanted one that give the first bound of a ranking
 MORE = 4  # grams looked up beyond the least number, so that one chance hit is not enough
@@ -286,55 +291,151 @@ def _next_round(
 # --- embeddings -------------------------------------------------------------------------------------
 
 
-def _block_topk(ids: np.ndarray, matrix: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """Best ``k`` rows per query of one block of rows, by rounded dot product, then id. Only the winners are sorted."""
-    scores = np.round(matrix @ rows.T, SCORE_DIGITS) + 0.0
-    k = min(k, scores.shape[1])
-    bounds = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    queries, at = np.nonzero(scores >= bounds[:, None])  # ties at the bound stay for the order by id
-    found = pd.DataFrame({"query_id": ids[queries], "row_id": row_ids[at], "score": scores[queries, at]})
-    found = found.sort_values(["query_id", "score", "row_id"], ascending=[True, False, True])
-    return found.groupby("query_id", sort=False).head(k)
-
+@dataclass
+class Cells:
+    """Cells of vectors: per cell a centre, the distance of the farthest row from it, and the number of rows.
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+    There are at most ``MOST_CELLS`` cells, so they travel with the tasks.
+    """
 
+    centres: np.ndarray
+    radius: np.ndarray
+    sizes: np.ndarray
+
+    def bounds(self, vectors: np.ndarray) -> np.ndarray:
+        """By query and cell: no row of the cell has a larger dot product. ``q.v = q.c + q.(v - c) <= q.c + |q| r``."""
+        scores = vectors @ self.centres.T
+        return scores + np.linalg.norm(vectors, axis=1)[:, None] * self.radius[None] + BOUND_SLACK * (1 + np.abs(scores))
+
+    def nearest_cells(self, vectors: np.ndarray, k: int) -> np.ndarray:
+        """By query and cell: whether it is among the best cells that hold ``k`` rows together."""
+        order = np.argsort(-(vectors @ self.centres.T), axis=1, kind="stable")
+        held = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, held < k, axis=1)
+        return out
+
+
+def cell_index(corpus: DataFrame, vector: str = "embedding", cells: int | None = None, seed: int = 0) -> tuple[DataFrame, Cells]:
+    """``rows(row_id, v, cell)`` and their cells, some root of n unless given. Every row lies in the cell of its nearest centre; the
+    centres are fitted on the first ``CELL_SAMPLE`` rows per cell by a seeded hash."""
+    rows = stored(corpus.filter(F.col(vector).isNotNull()).select(F.col("row_id").cast("bigint").alias("row_id"), F.col(vector).cast("array<double>").alias("v")))
+    cells = min(cells or max(1, math.isqrt(rows.count())), MOST_CELLS)
+    drawn = rows.select(seed_hash(seed, "row_id").alias("h"), "v").orderBy("h", "v").limit(CELL_SAMPLE * cells).collect()
+    vectors = np.array([r.v for r in drawn], np.float64).reshape(len(drawn), len(drawn[0].v) if drawn else 0)
+    centres = vectors[:cells].copy()
+    for _ in range(CELL_ROUNDS if drawn else 0):
+        own = nearest(vectors, centres)
+        for c in np.unique(own):
+            centres[c] = vectors[own == c].mean(axis=0)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = as_matrix(batch.column(1))
+            cell = nearest(found, centres)
+            gap = np.linalg.norm(found - centres[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(gap)], ["row_id", "v", "cell", "gap"])
+
+    dealt = stored(rows.mapInArrow(deal, "row_id bigint, v array<double>, cell int, gap double"))
+    radius, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for r in dealt.groupBy("cell").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        radius[r.cell], sizes[r.cell] = r.gap, r.n
+    return dealt.drop("gap"), Cells(centres, radius, sizes)
+
+
+def visits(queries: DataFrame, cells: Cells, k: int, first: bool) -> DataFrame:
+    """``query_id, v, theta, cell, part``: the cells a query looks into, in parts of about ``ROW_BLOCK`` rows.
+
+    First those nearest to it that hold ``k`` rows; then, knowing ``theta``, its k-th score so far, the others that may hold a better one.
+    """
+    parts = -(-cells.sizes // ROW_BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                vectors = as_matrix(part.column(1))
+                chosen = cells.nearest_cells(vectors, k)
+                if not first:
+                    theta = part.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    chosen = ~chosen & (cells.bounds(vectors) >= theta[:, None])
+                query, cell = np.nonzero(chosen & (cells.sizes > 0)[None])
+                times = parts[cell]
+                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                taken = part.take(pa.array(np.repeat(query, times)))
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(np.repeat(cell, times).astype(np.int32)), pa.array(place.astype(np.int32))], ["query_id", "v", "theta", "cell", "part"]
+                )
 
-TOPK_SCHEMA = "query_id bigint, row_id bigint, score double"
+    return queries.select("query_id", "v", "theta").mapInArrow(run, "query_id bigint, v array<double>, theta double, cell int, part int")
 
 
-def vector_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, vector: str = "embedding", block: int = QUERY_BLOCK, rows: int = ROW_BLOCK
-) -> DataFrame:
-    """The ``k`` rows with the highest dot product per query, exact, over every pair.
+def _looked_up(found: DataFrame, rows: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """The best ``k`` rows of every visit, with scores above its query's theta: (query_id, row_id, score).
 
-    Query blocks and row blocks make a grid of cells, joined on the cell number; a cell is one matrix product
-    that sends its own top k only. No pair is ever a row and no vector passes through the driver; cells are bounded
-    by ``block`` and ``rows`` whatever the size of either side.
+    Rows and visits of a part of a cell meet in one partition, rows first: a task holds one part as a matrix and streams the queries past it.
+    Neither side is copied for the other but for the visits themselves, and cells without a visit are not read.
     """
-    q = queries.select(F.col("query_id").cast("bigint"), F.col(vector).alias("v"))
-    c = corpus.select(F.col("row_id").cast("bigint"), F.col(vector).alias("v"))
-    partial = _grid_topk(q, c, k, block, rows)
-    ranked = rank_within(partial, ["query_id"], [F.col("score").desc(), F.col("row_id")])
-    return ranked.filter(F.col("rank") <= k)
-
-
-def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int, rows: int) -> DataFrame:
-    n_q = max(1, -(-queries.count() // block))
-    n_c = max(1, -(-corpus.count() // rows))
-    cells = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("cb", cells(n_c))
-    right = corpus.withColumn("cb", F.pmod(F.xxhash64("row_id"), F.lit(n_c))).withColumn("qb", cells(n_q))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "row_id": [], "score": []}).astype({"query_id": "int64", "row_id": "int64"})
-        return _block_topk(
-            a["query_id"].to_numpy(), _vectors(a["v"]), b["row_id"].to_numpy(), _vectors(b["v"]), k
-        )
+    parts = F.array(*[F.lit(int(-(-n // ROW_BLOCK))) for n in cells.sizes])
+    rows = rows.join(F.broadcast(found.select("cell").distinct()), "cell", "left_semi")  # one row per cell
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row_id"), F.greatest(F.get(parts, F.col("cell")), F.lit(1))).cast("int"))
+    none = F.lit(None).cast("double").alias("theta")
+    both = rows.select("cell", "part", F.lit(0).alias("side"), F.col("row_id").alias("id"), none, "v").unionByName(
+        found.select("cell", "part", F.lit(1).alias("side"), F.col("query_id").alias("id"), "theta", "v")
+    )
+    both = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vectors, matrix = None, [], [], None
+        for batch in batches:
+            cell, part, side = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(cell)]):
+                if a == b:
+                    continue
+                if key != (cell[a], part[a]):
+                    key, ids, vectors, matrix = (cell[a], part[a]), [], [], None
+                piece = batch.slice(a, b - a)
+                if side[a] == 0:
+                    ids.append(piece.column(3).to_numpy())
+                    vectors.append(as_matrix(piece.column(5)))
+                elif ids:
+                    if matrix is None:
+                        matrix, row_ids = np.concatenate(vectors), np.concatenate(ids)
+                    for at in range(0, b - a, QUERY_BLOCK):
+                        some = piece.slice(at, QUERY_BLOCK)
+                        theta = some.column(4).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                        yield _block_topk(some.column(3).to_numpy(), as_matrix(some.column(5)), theta, row_ids, matrix, k)
+
+    return both.mapInArrow(run, "query_id bigint, row_id bigint, score double")
+
+
+def _block_topk(ids: np.ndarray, queries: np.ndarray, theta: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> pa.RecordBatch:
+    """Best ``k`` rows per query of one block of rows, by rounded dot product, not below theta. Ties at the end stay for the order by id."""
+    scores = np.round(queries @ rows.T, SCORE_DIGITS) + 0.0
+    k = min(k, scores.shape[1])
+    least = np.maximum(np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k], theta)
+    at, row = np.nonzero(scores >= least[:, None])
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(row_ids[row]), pa.array(scores[at, row])], ["query_id", "row_id", "score"])
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(run, TOPK_SCHEMA)
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "embedding", cells: int | None = None) -> DataFrame:
+    """The ``k`` rows with the highest dot product per query, exact; ties by id. Rows and queries without a vector have no pairs.
+
+    Rows lie in cells with a centre and a radius, which bound the score of every row of a cell. A query looks into its nearest cells first; its
+    k-th score there rules out all cells whose bound is lower. Its rows in the others complete the ranking.
+    """
+    rows, index = cell_index(corpus, vector, cells)
+    if not index.sizes.any():  # no row has a vector
+        return queries.select(F.col("query_id").cast("bigint").alias("query_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("row_id", "bigint"), ("score", "double"), ("rank", "bigint"))]).limit(0)
+    asked = queries.filter(F.col(vector).isNotNull())
+    asked = asked.select(F.col("query_id").cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    order = [F.col("score").desc(), F.col("row_id")]
+    begin = visits(asked.withColumn("theta", F.lit(None).cast("double")), index, k, True)
+    head = stored(rank_within(_looked_up(begin, rows, index, k), ["query_id"], order).filter(F.col("rank") <= k).drop("rank"))
+    theta = head.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("theta"))
+    more = _looked_up(visits(asked.join(theta, "query_id", "left"), index, k, False), rows, index, k)
+    return rank_within(head.unionByName(more), ["query_id"], order).filter(F.col("rank") <= k)
 
 
 def hit_union(hits: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def spread_centres(df: DataFrame, k: int, seed: int, vector: str, key: str) -> n
     ``CENTRE_ROWS`` times k rows by that hash. That many rows are all the driver ever holds."""
     rows = df.select(seed_hash(seed, key).alias("h"), F.col(vector).cast("array<double>").alias("v"))
     drawn = top_n(rows.filter(F.col("v").isNotNull()), ["h", "v"], CENTRE_ROWS * k).collect()
-    vectors = np.array([r.v for r in drawn], np.float64).reshape(len(drawn), -1)
+    vectors = np.array([r.v for r in drawn], np.float64).reshape(len(drawn), len(drawn[0].v) if drawn else 0)
     chosen, gap = [0] if len(drawn) else [], np.full(len(drawn), np.inf)
     while chosen and len(chosen) < k:
         gap = np.minimum(gap, ((vectors - vectors[chosen[-1]]) ** 2).sum(axis=1))

@@ -155,3 +155,55 @@ def test_overlay_and_alignment_lose_and_double_nothing(spark):
     other = spark.createDataFrame([(k,) for k in range(5)], "other long")
     both = curate.align_by_position(df.filter("row_id > 0"), other, ["row_id"], ["other"])
     assert sorted((r.position, r.row_id, r.other) for r in both.collect()) == [(1, 1, 0), (2, 2, 1), (3, None, 2), (4, None, 3), (5, None, 4)]
+
+
+def test_clusters_are_a_fixpoint_on_any_partitioning(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(size=(30, 4)) + 20 * c for c in range(3)] + [np.ones((15, 4))])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)] + [(500, None)]
+    df = spark.createDataFrame(rows, "row_id long, embedding array<double>")
+    found = [{r.row_id: r.cluster for r in sample.cluster(df.repartition(n), 6, 3).collect()} for n in (1, 7)]
+    assert found[0] == found[1] and found[0].pop(500) is None
+    own = np.array([found[0][i] for i in range(len(points))])
+    centres = np.stack([points[own == c].mean(axis=0) for c in range(own.max() + 1)])
+    gaps = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert (gaps[range(len(points)), own] <= gaps.min(axis=1) + 1e-6).all() and len(set(own)) == 6
+    assert sample.cluster(df.limit(0), 3, 1).collect() == []
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], df.schema)
+    assert {r.cluster for r in sample.cluster(same, 4, 1).collect()} == {0}
+
+
+@pytest.mark.parametrize("skip", [0, 7, 11, 12])
+def test_grid_numbers_are_digits(spark, skip):
+    axes = {
+        "rate": spark.createDataFrame([(x,) for x in (0.1, 0.2, 0.1)], "r double"),
+        "name": spark.createDataFrame([(x,) for x in ("hb", "ha", "hc", None)], "n string"),
+        "on": spark.createDataFrame([(True,), (False,)], "o boolean"),
+    }
+    plain = [(r, n, o) for r in (0.1, 0.2) for n in ("ha", "hb", "hc") for o in (False, True)]
+    grid = curate.param_grid(axes, skip, block=5)
+    assert sorted(tuple(r) for r in grid.collect()) == [(i, *plain[i]) for i in range(skip, 12)]
+    assert "Cartesian" not in (plan := grid._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    assert curate.param_grid(axes | {"none": axes["on"].limit(0)}).collect() == []
+
+
+def test_early_stop_over_segments(spark):
+    from sparkrules.operators import runs
+
+    rng = __import__("random").Random(4)
+    logs = {r: [rng.choice([-1.0, 0.0, 1.0, 2.0, 3.0]) + (i / 40 if r == "hot" else 0) for i in range(n)] for r, n in {"hot": 400, "a": 9, "b": 1, None: 30}.items()}
+    log = spark.createDataFrame([(r, i, v) for r, vs in logs.items() for i, v in enumerate(vs)], "run string, step long, value double").repartition(3)
+    for patience in (2, 9, 1000):
+        want = []
+        for r, vs in logs.items():
+            best, last = 0.0, 0
+            for i, v in enumerate(vs, 1):
+                improved = v > best
+                best, last = max(best, v), i if improved else last
+                want.append((r, i - 1, v, i, improved, best, i - last))
+                if i - last >= patience:
+                    break
+        got = runs.early_stop(log, patience, buckets=13)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

@@ -111,15 +111,54 @@ def test_growing_heads_pack_the_same(spark):
     assert len(everything) == 4 * 80
 
 
-def test_vector_grid_equals_broadcast(spark):
+def vectors_of(spark, points):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "row_id bigint, embedding array<float>").repartition(3)
+
+
+def brute_hits(points, asked, k):
+    points = points.astype(np.float32).astype(np.float64)
+    scores = np.round(points[asked] @ points.T, 9) + 0.0
+    return {q: sorted(range(len(points)), key=lambda i: (-scores[n, i], i))[:k] for n, q in enumerate(asked)}
+
+
+@pytest.mark.parametrize(("cells", "block"), [(None, 20_000), (1, 20_000), (7, 9)])
+def test_vector_topk_equals_brute_force(spark, monkeypatch, cells, block):
+    monkeypatch.setattr(retrieve, "ROW_BLOCK", block)
     rng = np.random.default_rng(1)
-    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 5)))]
-    df = spark.createDataFrame(vectors, "row_id bigint, embedding array<float>").repartition(3)
-    queries = df.withColumnRenamed("row_id", "query_id")
-    small = retrieve.vector_topk(queries, df, 4)
-    grid = retrieve.vector_topk(queries, df, 4, block=7)
-    key = lambda d: sorted((r.query_id, r["rank"], r.row_id, r.score) for r in d.collect())
-    assert key(small) == key(grid) and len(key(small)) == 240
+    points = np.concatenate([rng.normal(size=(60, 5)), np.ones((30, 5)), np.zeros((2, 5))])  # copies, and ties at zero
+    df = vectors_of(spark, points)
+    queries = df.filter("row_id % 3 = 0").withColumnRenamed("row_id", "query_id")
+    got = retrieve.vector_topk(queries, df, 6, cells=cells).orderBy("query_id", "rank").collect()
+    want = brute_hits(points, range(0, len(points), 3), 6)
+    assert {q: [r.row_id for r in got if r.query_id == q] for q in want} == want
+    everything = retrieve.vector_topk(queries.limit(2), df, 500, cells=cells)
+    assert everything.count() == 2 * len(points)
+
+
+def test_cells_that_cannot_win_are_skipped(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 10
+    points = np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.1
+    df = vectors_of(spark, points)
+    queries = df.filter("row_id % 100 = 0").withColumnRenamed("row_id", "query_id")
+    k = 10
+    _, index = retrieve.cell_index(df, cells=40)
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v"))
+    got = retrieve.vector_topk(queries, df, k, cells=40)
+    theta = got.groupBy("query_id").agg(F.min("score").alias("theta"))
+    first = retrieve.visits(asked.withColumn("theta", F.lit(None).cast("double")), index, k, True).count()
+    later = retrieve.visits(asked.join(theta, "query_id"), index, k, False).count()
+    assert first + later < 20 * 40 / 5  # of 20 queries x 40 cells
+    want = brute_hits(points, range(0, 2000, 100), k)
+    assert {q: [r.row_id for r in got.orderBy("rank").collect() if r.query_id == q] for q in want} == want
+
+
+def test_vector_topk_without_rows_or_vectors(spark):
+    schema = "row_id bigint, embedding array<float>"
+    empty, df = spark.createDataFrame([], schema), spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], schema)
+    asked = df.withColumnRenamed("row_id", "query_id")
+    assert retrieve.vector_topk(asked, empty, 3).collect() == []
+    assert [tuple(r) for r in retrieve.vector_topk(asked, df, 3).collect()] == [(1, 1, 1.0, 1)]
 
 
 def test_packing_keeps_the_longest_prefix(spark):
