@@ -7,6 +7,8 @@ a multiset intersection is a plain array intersection. All of it stays inside th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,10 +45,7 @@ def elements(rule: Column) -> Column:
         # each leaf is cut into words once, however many terms hold it
         leaves = F.transform(
             F.filter(linked, lambda n: ~n["is_term"]),
-            lambda n: F.struct(
-                n["ancestors"].alias("above"),
-                F.filter(T.score_words(T.strip(n["name"])), lambda w: w != "").alias("words"),
-            ),
+            lambda n: F.filter(T.score_words(T.strip(n["name"])), lambda w: w != ""),
         )
         return tree.let(F.struct(linked.alias("nodes"), leaves.alias("leaves")), from_leaves)
 
@@ -55,9 +54,11 @@ def elements(rule: Column) -> Column:
         inner = F.array_distinct(F.transform(terms, lambda n: n["parent_id"]))
 
         def term(n: Column) -> Column:
-            inside = F.filter(x["leaves"], lambda m: F.array_contains(m["above"], n["node_id"]))
+            # the leaves of a term follow each other
+            last = F.get(x["nodes"], n["last_id"])
+            upto = last["leaves"] + F.when(last["is_term"], 0).otherwise(1)
             return tree.let(
-                F.flatten(F.transform(inside, lambda m: m["words"])),
+                F.flatten(F.slice(x["leaves"], n["leaves"] + 1, upto - n["leaves"])),
                 lambda ws: F.struct(
                     T.strip(n["name"]).alias("relation"),
                     ws.alias("words"),
@@ -87,43 +88,65 @@ def drop_empty(found: Column) -> Column:
     return F.filter(found, lambda e: (e["relation"] != "") | (F.size(e["words"]) > 0))
 
 
-def match_share(left: Column, right: Column, entity_weight: float) -> Column:
-    """How much of ``left`` is found in ``right``, between 0 and 1.
+def match_shares(left: Column, right: Column, entity_weight: float) -> Column:
+    """How much of ``left`` is found in ``right``, and of ``right`` in ``left``, as struct(there, back), each between 0 and 1.
 
-    Each left element, in order, takes the unused right element of the same relation with the largest
+    Each element of a side, in order, takes the unused element of the same relation on the other side with the largest
     word overlap (the first of equals) and scores its share of matched words; a match with an entity
-    and every left entity count ``entity_weight`` times.
+    and every entity of the side count ``entity_weight`` times.
+
+    Elements meet within their relation only, and every overlap is counted once for both directions.
     """
 
-    def stepper(numbered: Column):
-        return lambda acc, e: step(numbered, acc, e)
+    def place(o: Column, j: Column) -> Column:
+        weight = F.when(o["is_entity"], entity_weight).otherwise(1.0)
+        return F.struct(o["relation"].alias("relation"), o["bag"].alias("bag"), j.alias("at"), weight.alias("weight"), F.size(o["words"]).alias("n"))
+
+    def grouped(numbered: Column) -> Column:
+        relations = F.array_distinct(F.transform(numbered, lambda o: o["relation"]))
+        members = F.transform(relations, lambda r: F.filter(numbered, lambda o: o["relation"] == r))
+        return F.struct(numbered.alias("all"), relations.alias("relations"), members.alias("members"))
+
+    def others(side: Column, e: Column) -> Column:
+        return F.get(side["members"], (F.array_position(side["relations"], e["relation"]) - 1).cast("int"))
+
+    def fold(one: Column, two: Column, overlap: Callable[[Column, Column, Column], Column]) -> Column:
+        def step(acc: Column, e: Column) -> Column:
+            free = F.transform(
+                others(two, e),
+                lambda o, j: F.when(
+                    ~F.array_contains(acc["used"], o["at"]),
+                    F.struct(overlap(e, o, j).alias("overlap"), (-o["at"]).alias("order"), o["weight"].alias("weight")),
+                ),
+            )
+
+            def advance(best: Column) -> Column:
+                hit = F.coalesce(best["overlap"] > 0, F.lit(False))
+                gain = best["overlap"] / e["n"] * best["weight"]
+                taken = F.struct(F.concat(acc["used"], F.array(-best["order"])).alias("used"), (acc["score"] + gain).alias("score"))
+                return F.when(hit, taken).otherwise(acc)
 
-    def step(numbered: Column, acc: Column, e: Column) -> Column:
-        free = F.filter(
-            numbered, lambda o: (o["relation"] == e["relation"]) & ~F.array_contains(acc["used"], o["at"])
-        )
+            return tree.let(F.array_max(free), advance)
 
-        def candidate(o: Column) -> Column:
-            return F.struct(
-                bag_size(e["bag"], o["bag"]).alias("overlap"), (-o["at"]).alias("order"), o["weight"].alias("weight")
-            )
+        start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("score"))
+        score = F.aggregate(one["all"], start, step, lambda acc: acc["score"])
+        extra = F.size(F.filter(one["all"], lambda e: e["weight"] != 1.0)) * (entity_weight - 1)
+        total = F.size(one["all"]) + extra
+        return F.when(total > 0, score / total).otherwise(F.lit(0.0))
 
-        def advance(best: Column) -> Column:
-            hit = F.coalesce(best["overlap"] > 0, F.lit(False))
-            gain = best["overlap"] / F.size(e["words"]) * best["weight"]
-            return F.struct(
-                F.when(hit, F.concat(acc["used"], F.array(-best["order"]))).otherwise(acc["used"]).alias("used"),
-                (acc["score"] + F.when(hit, gain).otherwise(0.0)).alias("score"),
-            )
+    def both(x: Column) -> Column:
+        one, two = x["one"], x["two"]
+        # by left element, the overlaps with the right elements of its relation in order
+        rows = F.transform(one["all"], lambda e: F.transform(others(two, e), lambda o: bag_size(e["bag"], o["bag"])))
+        # a right element's place among those of its relation is its place in such a row
+        rank = lambda o: F.size(F.filter(others(two, o), lambda v: v["at"] < o["at"]))
 
-        return tree.let(F.array_max(F.transform(free, candidate)), advance)
+        def shares(m: Column) -> Column:
+            there = fold(one, two, lambda e, o, j: F.get(F.get(m["rows"], e["at"]), j))
+            back = fold(two, one, lambda e, o, j: F.get(F.get(m["rows"], o["at"]), F.get(m["ranks"], e["at"])))
+            return F.struct(there.alias("there"), back.alias("back"))
 
-    def place(o: Column, j: Column) -> Column:
-        weight = F.when(o["is_entity"], entity_weight).otherwise(1.0)
-        return F.struct(o["relation"].alias("relation"), o["bag"].alias("bag"), j.alias("at"), weight.alias("weight"))
+        return tree.let(F.struct(rows.alias("rows"), F.transform(two["all"], rank).alias("ranks")), shares)
 
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("score"))
-    score = tree.let(F.transform(right, place), lambda ns: F.aggregate(left, start, stepper(ns), lambda acc: acc["score"]))
-    entities = F.size(F.filter(left, lambda e: e["is_entity"]))
-    total = F.size(left) + entities * (entity_weight - 1)
-    return F.when(total > 0, score / total).otherwise(F.lit(0.0))
+    sides = tree.let(F.struct(F.transform(left, place).alias("l"), F.transform(right, place).alias("r")), lambda x: F.struct(grouped(x["l"]).alias("one"), grouped(x["r"]).alias("two")))
+    return tree.let(sides, both)

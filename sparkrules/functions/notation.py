@@ -72,12 +72,7 @@ def _has(ids: Column, n: Column) -> Column:
     return F.array_contains(ids, n["node_id"])
 
 
-def _kid(linked: Column, n: Column, i: int) -> Column:
-    return F.get(t.children(linked, n["node_id"]), F.lit(i))
-
-
-def _n_kids(linked: Column, n: Column) -> Column:
-    return F.size(t.children(linked, n["node_id"]))
+_kid, _n_kids = t.child, t.n_children
 
 
 def _first_leaf(linked: Column, n: Column) -> Column:
@@ -157,8 +152,7 @@ def loops_long(linked: Column) -> Column:
     def body(ns: Column) -> Column:
         def rebuild(loops: Column) -> Column:
             def wrapped(n: Column) -> Column:
-                earlier = F.size(F.filter(t.children(ns, n["parent_id"]), lambda s: s["node_id"] < n["node_id"]))
-                return F.array_contains(loops, n["parent_id"]) & (earlier < 2)
+                return F.array_contains(loops, n["parent_id"]) & (n["sibling"] < 2)
 
             def with_wrapped(inside: Column) -> Column:
                 def emit(n: Column) -> Column:
@@ -232,12 +226,9 @@ def expressions_long(linked: Column) -> Column:
             return free & above & F.forall(through, lambda x: x) & (by_keyword | ~t.is_leaf(ns, n))
 
         def rebuild(heads: Column) -> Column:
-            def place(n: Column) -> Column:
-                return F.size(F.filter(t.children(ns, n["parent_id"]), lambda s: s["node_id"] < n["node_id"]))
-
             argument = lambda n: F.array_contains(heads, n["parent_id"])
-            atom = lambda n: argument(n) & (place(n) == 0) & t.is_leaf(ns, n)
-            data = lambda n: argument(n) & (place(n) == 1) & (_name(n) != "data")
+            atom = lambda n: argument(n) & (n["sibling"] == 0) & t.is_leaf(ns, n)
+            data = lambda n: argument(n) & (n["sibling"] == 1) & (_name(n) != "data")
 
             def with_wrapped(wrapped: Column) -> Column:
                 def with_dropped(dropped: Column) -> Column:
@@ -256,7 +247,7 @@ def expressions_long(linked: Column) -> Column:
 
                     return _flat_map(ns, emit)
 
-                return t.let(_ids(ns, lambda n: argument(n) & (place(n) > 1)), with_dropped)
+                return t.let(_ids(ns, lambda n: argument(n) & (n["sibling"] > 1)), with_dropped)
 
             return t.let(_ids(ns, lambda n: ~_has(heads, n) & (atom(n) | data(n))), with_wrapped)
 
@@ -494,7 +485,7 @@ def values_short(linked: Column) -> Column:
 SHORT = {"units": units_short, "values": values_short, "atoms": atoms_short, "expressions": expressions_short, "loops": loops_short}
 LONG = {"units": units_long, "values": values_long, "atoms": atoms_long, "expressions": expressions_long, "loops": loops_long}
 STEPS: dict[str, Callable[[Column], Column]] = {
-    f"{name}_{way}": (lambda r, step=step: t.render(step(t.parse(r)))) for way, table in (("short", SHORT), ("long", LONG)) for name, step in table.items()
+    f"{name}_{way}": step for way, table in (("short", SHORT), ("long", LONG)) for name, step in table.items()
 }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkrules.functions import notation, tree
 
-STEPS = {**tree.STEPS, **notation.STEPS}
+TREE_STEPS = {**tree.TREE_STEPS, **notation.STEPS}
 
 
 def with_tree(df: DataFrame, rule: str = "rule", name: str = "tree") -> DataFrame:
@@ -23,7 +23,8 @@ def with_tree(df: DataFrame, rule: str = "rule", name: str = "tree") -> DataFram
 
 def node_table(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
     """One row per node: (row, node_id, parent_id, depth, name, is_term, ancestors)."""
-    return df.select(key, F.inline(tree.parse(F.col(rule))))
+    fields = ["node_id", "parent_id", "depth", "name", "is_term", "ancestors"]
+    return df.select(key, F.inline(tree.parse(F.col(rule)))).select(key, *fields)
 
 
 def render_rules(nodes: DataFrame, key: str = "row_id") -> DataFrame:
@@ -37,7 +38,6 @@ def node_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFr
 
     def facts(linked: Column) -> Column:
         def one(n: Column) -> Column:
-            siblings = tree.children(linked, n["parent_id"])
             names = F.transform(F.concat(n["ancestors"], F.array(n["node_id"])), lambda a: F.get(linked, a)["name"])
             return F.struct(
                 n["node_id"].alias("node_id"),
@@ -45,8 +45,8 @@ def node_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFr
                 n["depth"].alias("depth"),
                 n["name"].alias("name"),
                 tree.is_leaf(linked, n).alias("is_leaf"),
-                F.size(tree.children(linked, n["node_id"])).alias("n_children"),
-                F.size(F.filter(siblings, lambda s: s["node_id"] < n["node_id"])).alias("sibling"),
+                tree.n_children(linked, n).alias("n_children"),
+                n["sibling"].alias("sibling"),
                 F.concat(F.lit("/"), F.array_join(names, "/")).alias("path"),
             )
 
@@ -98,15 +98,32 @@ def factor_alternatives(facts: DataFrame, key: str = "row_id") -> DataFrame:
     )
 
 
+def _applied(rule: Column, step: Callable[[Column], Column]) -> Column:
+    return tree.let(rule, lambda r: step(r))
+
+
 def rewrite_rules(
     df: DataFrame, steps: Sequence[str | Callable[[Column], Column]], rule: str = "rule", out: str | None = None
 ) -> DataFrame:
-    """Rewrite a rule column by an ordered list of step names or Column functions, one projection per step."""
+    """Rewrite a rule column by an ordered list of step names or Column functions of rule strings, one projection per step.
+
+    Steps on trees follow one another on one tree: a rule is parsed once ahead of them and rendered once after them,
+    and only a step on texts in between asks for another reading.
+    """
     out = out or rule
-    df = df.withColumn(out, F.col(rule))
+    df, name, is_tree = df.withColumn(out, F.col(rule)), "_linked", False
     for step in steps:
-        df = df.withColumn(out, tree.rewrite(F.col(out), [STEPS[step] if isinstance(step, str) else step]))
-    return df
+        on_tree = isinstance(step, str) and step in TREE_STEPS
+        if on_tree:
+            read = F.col(name) if is_tree else tree.parse(F.col(out))
+            df = df.withColumn(name, tree.relink(TREE_STEPS[step](read)))
+        else:
+            if is_tree:
+                df = df.withColumn(out, tree.render(F.col(name))).drop(name)
+            own = tree.TEXT_STEPS[step] if isinstance(step, str) else step
+            df = df.withColumn(out, _applied(F.col(out), own))
+        is_tree = on_tree
+    return df.withColumn(out, tree.render(F.col(name))).drop(name) if is_tree else df
 
 
 def at_level(df: DataFrame, level: str, rule: str = "rule", out: str | None = None) -> DataFrame:

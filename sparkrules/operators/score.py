@@ -50,15 +50,9 @@ def structure_score(
     prepare = post_process or (lambda c: c)
     found_pred = E.drop_empty(E.elements(E.drop_clue(prepare(F.col(pred)))))
     found_ref = E.elements(E.drop_clue(prepare(F.col(ref))))
-    scores = let(
-        F.struct(found_pred.alias("p"), found_ref.alias("r")),
-        lambda x: F.struct(
-            E.match_share(x["p"], x["r"], entity_weight).alias("precision"),
-            E.match_share(x["r"], x["p"], entity_weight).alias("recall"),
-        ),
-    )
+    scores = let(F.struct(found_pred.alias("p"), found_ref.alias("r")), lambda x: E.match_shares(x["p"], x["r"], entity_weight))
     scored = pairs.withColumn("_scores", scores)
-    return scored.select(*pairs.columns, "_scores.precision", "_scores.recall")
+    return scored.select(*pairs.columns, F.col("_scores.there").alias("precision"), F.col("_scores.back").alias("recall"))
 
 
 def f_score(precision: Column, recall: Column) -> Column:
