@@ -208,7 +208,7 @@ def _members(reps: DataFrame) -> DataFrame:
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """``form, n, u``: the distinct shingles of each of these texts, and how many of them stand in no other of the texts."""
+    """``form, h``: the distinct shingles of each of these texts, as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(1, 1)
@@ -224,16 +224,33 @@ def _shingled(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([names.filter(pa.array(keep)), lists], ["form", "h"])
 
     each = texts.select("form", "words").mapInArrow(run, "form binary, h array<long>")
-    each = stored(each)
-    single = each.select("form", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("form").alias("form")).filter("c = 1")
-    own = single.groupBy("form").agg(F.count(F.lit(1)).alias("u"))
-    return each.select("form", F.size("h").cast("long").alias("n")).join(own, "form", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    return each
+
+
+def _hubs(rest: DataFrame, shingled: DataFrame) -> DataFrame:
+    """``bucket, hub``: the form of every bucket whose shingles stand in most texts. A family gathers around its origin."""
+    spread = shingled.select("form", F.explode("h").alias("h"))
+    counts = spread.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    shared = spread.join(counts, "h").groupBy("form").agg(F.avg("c").alias("shared"))
+    return rest.join(shared, "form").groupBy("bucket").agg(F.max(F.struct("shared", "form"))["form"].alias("hub"))
+
+
+def _sizes(rooted: DataFrame) -> DataFrame:
+    """``form, n, u`` from ``rooted(form, root, h)``: the shingles of a form, and how many of them stand in its own component only.
+
+    A hash that two shingles share may make one count as common; that costs comparisons, not links.
+    """
+    spread = rooted.select("form", "root", F.explode("h").alias("h"))
+    common = spread.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("h")
+    others = spread.join(common, "h").groupBy("form").agg(F.count(F.lit(1)).alias("c"))
+    n = F.size("h").cast("long")
+    return rooted.join(others, "form", "left").select("form", n.alias("n"), (n - F.coalesce("c", F.lit(0))).alias("u"))
 
 
 def _possible(rest: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """The ``(a, b)`` of one bucket in different components that may be similar enough, by the numbers of their shingles.
 
-    Of the ``n`` shingles of a form, ``u`` stand in no other form at hand. So it shares ``n - u`` with another at most; a similarity of t takes
+    Of the ``n`` shingles of a form, ``u`` stand in no other component at hand. So with a form of another component it shares ``n - u`` at most; a similarity of t takes
     ``t / (1 + t) * (n + m)`` common ones, which bounds the size m of the other. Nothing similar is left out. Forms are met by steps of size
     within their bounds, so an edited copy that has grown too unlike any text of its own size meets none of its family.
     """
@@ -284,17 +301,17 @@ def linked(found: DataFrame, place: tuple[str, ...], texts_of: Callable[[DataFra
     rest = meeting(stored(rooted(inside.join(reps.select("f", "form"), "f").select("bucket", "form"))))
     if rest.isEmpty():
         return roots
-    sizes = stored(_shingled(texts.join(rest.select("form").distinct(), "form", "left_semi")))
-    # every form of such a bucket against its hub, the form that has least to itself: a family gathers around its origin
-    rank = F.struct((F.col("u") / F.col("n")).alias("own"), "form")
-    hubs = rest.join(sizes, "form").groupBy("bucket").agg(F.min(rank)["form"].alias("hub"))
+    shingled = stored(_shingled(texts.join(rest.select("form").distinct(), "form", "left_semi")))
+    # every form of such a bucket against its hub
+    hubs = _hubs(rest, shingled)
     spokes = rest.join(hubs, "bucket").filter("form <> hub").select(F.least("form", "hub").alias("a"), F.greatest("form", "hub").alias("b")).distinct()
     found_more = joined(spokes)
     if found_more is not None:
         roots = found_more
         rest = meeting(stored(rooted(rest.select("bucket", "form"))))
     tried = tried.union(spokes)
-    found_more = joined(_possible(rest, sizes, similarity))
+    own = shingled.join(roots, "form", "left").select("form", F.coalesce("root", "form").alias("root"), "h")
+    found_more = joined(_possible(rest, stored(_sizes(own)), similarity))
     return roots if found_more is None else found_more
 
 

@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from test_simhash import roots
 
 import corpus_pipeline
@@ -67,7 +68,8 @@ def test_possible_pairs_hold_all_similar_ones(spark):
     texts |= {(200 + i).to_bytes(2): " ".join(bases[3].split()[: 70 + i]) for i in range(20)}
     df = spark.createDataFrame([(bytearray(f), t) for f, t in texts.items()], "form binary, words string")
     rest = df.selectExpr("1L as bucket", "form", "form as root")
-    got = {(bytes(r.a), bytes(r.b)) for r in p._possible(rest, p._shingled(df), 0.8).collect()}
+    sizes = p._sizes(p._shingled(df).withColumn("root", F.col("form")))
+    got = {(bytes(r.a), bytes(r.b)) for r in p._possible(rest, sizes, 0.8).collect()}
     sets = {f: set(zip(*(t.split()[k:] for k in range(5)))) for f, t in texts.items()}
     similar = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert similar <= got and len(got) < len(sets) * (len(sets) - 1) / 4
