@@ -45,7 +45,10 @@ def elements(rule: Column) -> Column:
         # each leaf is cut into words once, however many terms hold it
         leaves = F.transform(
             F.filter(linked, lambda n: ~n["is_term"]),
-            lambda n: F.filter(T.score_words(T.strip(n["name"])), lambda w: w != ""),
+            lambda n: F.struct(
+                n["ancestors"].alias("above"),
+                F.filter(T.score_words(T.strip(n["name"])), lambda w: w != "").alias("words"),
+            ),
         )
         return tree.let(F.struct(linked.alias("nodes"), leaves.alias("leaves")), from_leaves)
 
@@ -54,11 +57,9 @@ def elements(rule: Column) -> Column:
         inner = F.array_distinct(F.transform(terms, lambda n: n["parent_id"]))
 
         def term(n: Column) -> Column:
-            # the leaves of a term follow each other
-            last = F.get(x["nodes"], n["last_id"])
-            upto = last["leaves"] + F.when(last["is_term"], 0).otherwise(1)
+            inside = F.filter(x["leaves"], lambda m: F.array_contains(m["above"], n["node_id"]))
             return tree.let(
-                F.flatten(F.slice(x["leaves"], n["leaves"] + 1, upto - n["leaves"])),
+                F.flatten(F.transform(inside, lambda m: m["words"])),
                 lambda ws: F.struct(
                     T.strip(n["name"]).alias("relation"),
                     ws.alias("words"),

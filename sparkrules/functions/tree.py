@@ -2,10 +2,9 @@
 
 A rule is one value of one row, so its tree never needs a shuffle: parsing, rewriting and rendering
 are native array expressions. A *linked* tree is the pre-order list of nodes with ``node_id`` (the
-index), ``parent_id`` (-1 at the top), ``ancestors`` (ids from the top down), ``sibling`` (rank among the children of
-its parent), ``leaves`` (names without brackets before it) and ``last_id`` (the last node below it, or itself).
-The first child of node i is node i + 1, the next sibling is the node after ``last_id``, and a subtree is a slice.
-A *flat* tree keeps only ``(depth, name, is_term)``, which in order is enough to render it or to link it again.
+index), ``parent_id`` (-1 at the top) and ``ancestors`` (ids from the top down); the first child of
+node i is node i + 1. A *flat* tree keeps only ``(depth, name, is_term)``, which in order is enough
+to render it.
 """
 
 from __future__ import annotations
@@ -24,8 +23,7 @@ WORD = r"((?:[^'(),]++|'[^']*+(?:'|\z))++)([(),]*+)"
 QUOTED = r"'[^']*+(?:'|\z)"
 EXPRESSION_WORDS = ["expr", "expression", "appliedstatement", "rulestatement"]
 LOGIC_WORDS = [*fixed.KEYWORDS, *EXPRESSION_WORDS]
-NODES = "array<struct<node_id:int,parent_id:int,depth:int,name:string,is_term:boolean,ancestors:array<int>,sibling:int,leaves:int>>"
-OPEN = "array<struct<depth:int,id:int>>"
+LINKED = "array<struct<node_id:int,parent_id:int,depth:int,name:string,is_term:boolean,ancestors:array<int>>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,8 +49,7 @@ def parse(rule: Column, *, then_at_top: bool = False) -> Column:
         depth = acc["depth"]
         if then_at_top:
             depth = F.when((F.trim(x["word"]) == "then") & x["opens"], 0).otherwise(depth)
-        kept = ~x["unclosed"] | (depth == 0)
-        return _grown(acc, depth, x["word"], x["opens"], F.greatest(depth + x["change"], F.lit(0)), kept)
+        return _grown(acc, depth, x, ~x["unclosed"] | (depth == 0))
 
     def word(w: Column, after: Column) -> Column:
         closing = F.substring_index(after, "(", -1)
@@ -65,74 +62,45 @@ def parse(rule: Column, *, then_at_top: bool = False) -> Column:
         )
 
     found = lambda group: F.regexp_extract_all(rule, F.lit(WORD), F.lit(group))
-    return _spanned(F.aggregate(F.zip_with(found(1), found(2), word), _start(), step, lambda acc: acc["nodes"]))
+    return F.aggregate(F.zip_with(found(1), found(2), word), _start(), step, lambda acc: acc["nodes"])
 
 
 def _start() -> Column:
-    none = _empty("array<int>")
-    return F.struct(F.lit(0).alias("depth"), none.alias("stack"), none.alias("ranks"), F.lit(0).alias("leaves"), _empty(NODES).alias("nodes"))
+    return F.struct(F.lit(0).alias("depth"), _empty("array<int>").alias("stack"), _empty(LINKED).alias("nodes"))
 
 
-def _grown(acc: Column, depth: Column, name: Column, opens: Column, following: Column, kept: Column) -> Column:
-    """A tree under construction with one node more: ``stack`` holds the open nodes, ``ranks`` the children so far per depth."""
+def _grown(acc: Column, depth: Column, x: Column, kept: Column) -> Column:
+    """A tree under construction with the word ``x`` at a depth; ``stack`` holds the open nodes."""
     above = F.slice(acc["stack"], F.lit(1), depth)
     here = F.size(acc["nodes"])
-    rank = F.coalesce(F.get(acc["ranks"], depth), F.lit(0))
     node = F.struct(
         here.alias("node_id"),
         F.coalesce(F.get(above, depth - 1), F.lit(-1)).alias("parent_id"),
         depth.alias("depth"),
-        name.alias("name"),
-        opens.alias("is_term"),
+        x["word"].alias("name"),
+        x["opens"].alias("is_term"),
         above.alias("ancestors"),
-        rank.alias("sibling"),
-        acc["leaves"].alias("leaves"),
     )
     return F.struct(
-        following.alias("depth"),
+        F.greatest(depth + x["change"], F.lit(0)).alias("depth"),
         F.concat(above, F.array(here)).alias("stack"),
-        F.concat(F.slice(acc["ranks"], F.lit(1), depth), F.array(rank + 1)).alias("ranks"),
-        (acc["leaves"] + F.when(opens, 0).otherwise(1)).alias("leaves"),
         F.when(kept, F.concat(acc["nodes"], F.array(node))).otherwise(acc["nodes"]).alias("nodes"),
     )
 
 
-def _spanned(nodes: Column) -> Column:
-    """Nodes with ``last_id``, from one pass backwards that keeps, per depth, the nearest node that follows."""
-
-    def body(ns: Column) -> Column:
-        def step(acc: Column, n: Column) -> Column:
-            ending = F.filter(acc["open"], lambda o: o["depth"] <= n["depth"])
-            last = F.coalesce(F.get(ending, F.size(ending) - 1)["id"], F.size(ns)) - 1
-            here = F.struct(n["depth"].alias("depth"), n["node_id"].alias("id"))
-            return F.struct(
-                F.concat(F.filter(ending, lambda o: o["depth"] < n["depth"]), F.array(here)).alias("open"),
-                F.concat(F.array(last), acc["out"]).alias("out"),
-            )
-
-        fields = ["node_id", "parent_id", "depth", "name", "is_term", "ancestors", "sibling", "leaves"]
-        whole = lambda n, last: F.struct(*[n[f].alias(f) for f in fields], last.alias("last_id"))
-        start = F.struct(_empty(OPEN).alias("open"), _empty("array<int>").alias("out"))
-        return F.zip_with(ns, F.aggregate(F.reverse(ns), start, step, lambda acc: acc["out"]), whole)
-
-    return let(nodes, body)
-
-
 def relink(flat: Column) -> Column:
     """A flat tree as a linked one: what parsing its rendered rule gives, without the string between."""
 
     def body(ns: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            return _grown(acc, acc["depth"], x["name"], x["opens"], F.greatest(acc["depth"] + x["change"], F.lit(0)), x["name"] != "")
-
         def word(n: Column, i: Column) -> Column:
             following = F.coalesce(F.get(ns, i + 1)["depth"], F.get(ns, F.lit(0))["depth"])
             change = F.least(following - n["depth"], F.lit(1))
-            return F.struct(n["name"].alias("name"), (following > n["depth"]).alias("opens"), change.alias("change"))
+            return F.struct(n["name"].alias("word"), (following > n["depth"]).alias("opens"), change.alias("change"))
 
+        step = lambda acc, x: _grown(acc, acc["depth"], x, x["word"] != "")
         return F.aggregate(F.transform(ns, word), _start(), step, lambda acc: acc["nodes"])
 
-    return _spanned(let(flat, body))
+    return let(flat, body)
 
 
 def flatten(linked: Column) -> Column:
@@ -170,13 +138,11 @@ def before(nodes: Column, node_id: Column) -> Column:
 
 
 def subtree(linked: Column, node_id: Column) -> Column:
-    """A node and all below it; nothing for no node."""
-    count = F.get(linked, node_id)["last_id"] - node_id + 1
-    return F.slice(linked, F.coalesce(node_id, F.lit(0)) + 1, F.coalesce(count, F.lit(0)))
+    return F.filter(linked, lambda n: (n["node_id"] == node_id) | F.array_contains(n["ancestors"], node_id))
 
 
 def is_leaf(linked: Column, n: Column) -> Column:
-    return F.coalesce(n["last_id"] == n["node_id"], F.lit(True))
+    return F.coalesce(F.get(linked, n["node_id"] + 1)["parent_id"], F.lit(-1)) != n["node_id"]
 
 
 def leaf_names(linked: Column) -> Column:
@@ -185,7 +151,10 @@ def leaf_names(linked: Column) -> Column:
 
 
 def subtree_leaves(linked: Column, node_id: Column) -> Column:
-    inside = F.filter(subtree(linked, node_id), lambda n: is_leaf(linked, n))
+    inside = F.filter(
+        linked,
+        lambda n: is_leaf(linked, n) & ((n["node_id"] == node_id) | F.array_contains(n["ancestors"], node_id)),
+    )
     return F.transform(inside, lambda n: n["name"])
 
 
@@ -194,24 +163,7 @@ def parent_name(linked: Column, n: Column) -> Column:
 
 
 def children(linked: Column, node_id: Column) -> Column:
-    """The children of a node, or the top nodes for -1, from the slice below it."""
-    below = F.coalesce(F.get(linked, node_id)["last_id"] - node_id, F.when(node_id == -1, F.size(linked)), F.lit(0))
-    return F.filter(F.slice(linked, F.coalesce(node_id, F.lit(0)) + 2, below), lambda n: n["parent_id"] == node_id)
-
-
-def child(linked: Column, n: Column, i: int) -> Column:
-    """The i-th child of a node, by stepping over the subtrees before it; null if there are fewer."""
-    found = F.when(~is_leaf(linked, n), F.get(linked, n["node_id"] + 1))
-    for _ in range(i):
-        found = let(found, lambda c: F.when(c["last_id"] < n["last_id"], F.get(linked, c["last_id"] + 1)))
-    return found
-
-
-def n_children(linked: Column, n: Column) -> Column:
-    """How many children a node has: one more than the rank of the child that its last node lies in."""
-    last = F.get(linked, n["last_id"])
-    at = F.coalesce(F.get(last["ancestors"], n["depth"] + 1), n["last_id"])
-    return F.when(is_leaf(linked, n), F.lit(0)).otherwise(F.get(linked, at)["sibling"] + 1)
+    return F.filter(linked, lambda n: n["parent_id"] == node_id)
 
 
 # --- rewrites: linked tree in, flat tree out ------------------------------------------------------
@@ -226,16 +178,17 @@ def collapse_nested(linked: Column) -> Column:
     def body(linked: Column) -> Column:
         def merged(n: Column) -> Column:
             name = F.trim(n["name"])
-            alone = n_children(linked, F.get(linked, n["parent_id"])) == 1
+            alone = F.size(children(linked, n["parent_id"])) == 1
             same = parent_name(linked, n) == name
-            return F.coalesce(same & (name.isin(fixed.CONNECTORS) | (name.isin("expr", "expression") & alone)), F.lit(False))
+            return same & (name.isin(fixed.CONNECTORS) | (name.isin("expr", "expression") & alone))
 
         def rebuild(gone: Column) -> Column:
-            kept = F.filter(linked, lambda n: ~F.get(gone, n["node_id"]))
-            levels = lambda n: F.size(F.filter(n["ancestors"], lambda a: F.get(gone, a)))
-            return F.transform(kept, lambda n: _flat(n["depth"] - levels(n), n["name"], n["is_term"]))
+            kept = F.filter(linked, lambda n: ~F.array_contains(gone, n["node_id"]))
+            return F.transform(
+                kept, lambda n: _flat(n["depth"] - F.size(F.array_intersect(n["ancestors"], gone)), n["name"], n["is_term"])
+            )
 
-        return let(F.transform(linked, merged), rebuild)
+        return let(F.transform(F.filter(linked, merged), lambda n: n["node_id"]), rebuild)
 
     return let(linked, body)
 
@@ -244,17 +197,28 @@ def drop_duplicate_branches(linked: Column, name: str) -> Column:
     """Drop a branch called ``name`` when an earlier sibling of that name has the same leaves."""
 
     def body(linked: Column) -> Column:
-        named = F.filter(linked, lambda n: F.trim(n["name"]) == name)
-        keys = F.transform(named, lambda n: F.struct(n["parent_id"].alias("parent"), subtree_leaves(linked, n["node_id"]).alias("leaves")))
-        again = lambda ks: F.transform(ks, lambda k, i: F.array_position(ks, k) <= i)
-        gone = F.zip_with(named, let(keys, again), lambda n, twin: F.when(twin, n["node_id"]))
+        named = F.transform(
+            F.filter(linked, lambda n: F.trim(n["name"]) == name),
+            lambda n: F.struct(
+                n["node_id"].alias("id"), n["parent_id"].alias("parent"), subtree_leaves(linked, n["node_id"]).alias("leaves")
+            ),
+        )
 
-        def rebuild(gone: Column) -> Column:
-            dead = F.transform(linked, lambda n: F.array_contains(gone, n["node_id"]))
-            alive = lambda ds, n: ~F.get(ds, n["node_id"]) & ~F.exists(n["ancestors"], lambda a: F.get(ds, a))
-            return let(dead, lambda ds: flatten(F.filter(linked, lambda n: alive(ds, n))))
+        def rebuild(branches: Column) -> Column:
+            twin = lambda b: F.exists(
+                branches, lambda a: (a["id"] < b["id"]) & (a["parent"] == b["parent"]) & (a["leaves"] == b["leaves"])
+            )
+            gone = F.transform(F.filter(branches, twin), lambda b: b["id"])
+            return let(
+                gone,
+                lambda g: flatten(
+                    F.filter(
+                        linked, lambda n: ~F.array_contains(g, n["node_id"]) & ~F.arrays_overlap(n["ancestors"], g)
+                    )
+                ),
+            )
 
-        return let(F.array_compact(gone), rebuild)
+        return let(named, rebuild)
 
     return let(linked, body)
 
@@ -267,9 +231,9 @@ def repair_then(linked: Column) -> Column:
         tops = F.size(F.filter(linked, lambda n: n["depth"] == 0))
 
         def move(then: Column) -> Column:
-            inside = lambda n: (n["node_id"] >= then["node_id"]) & (n["node_id"] <= then["last_id"])
+            inside = lambda n: (n["node_id"] == then["node_id"]) | F.array_contains(n["ancestors"], then["node_id"])
             moved = F.transform(
-                subtree(linked, then["node_id"]), lambda n: _flat(n["depth"] - then["depth"], n["name"], n["is_term"])
+                F.filter(linked, inside), lambda n: _flat(n["depth"] - then["depth"], n["name"], n["is_term"])
             )
             return F.concat(flatten(F.filter(linked, lambda n: ~inside(n))), moved)
 
@@ -299,7 +263,8 @@ def canonical_vars(linked: Column) -> Column:
 
     def body(linked: Column) -> Column:
         def introduced(n: Column) -> Column:
-            first, second = child(linked, n, 0)["name"], child(linked, n, 1)["name"]
+            args = children(linked, n["node_id"])
+            first, second = F.get(args, F.lit(0))["name"], F.get(args, F.lit(1))["name"]
             return F.when(F.trim(second) == "_new", F.trim(first)).otherwise(F.trim(second))
 
         defines = F.filter(linked, lambda n: F.trim(n["name"]) == "define")
@@ -324,7 +289,12 @@ def dedupe_type_word(linked: Column) -> Column:
         def renamed(n: Column) -> Column:
             first = F.get(linked, n["parent_id"] + 1)
             subject = F.lower(F.regexp_extract(F.trim(first["name"]), r"^(\w+)\.type$", 1))
-            is_second = (parent_name(linked, n) == "is") & is_leaf(linked, n) & (n["sibling"] == 1)
+            is_second = (
+                (parent_name(linked, n) == "is")
+                & (first["node_id"] != n["node_id"])
+                & is_leaf(linked, n)
+                & (F.size(F.filter(linked, lambda m: (m["parent_id"] == n["parent_id"]) & (m["node_id"] < n["node_id"]))) == 1)
+            )
             hit = is_second & (subject != "") & F.lower(n["name"]).endswith(subject) & (F.length(n["name"]) > F.length(subject))
             short = F.substr(n["name"], F.lit(1), F.length(n["name"]) - F.length(subject))
             return F.when(F.coalesce(hit, F.lit(False)), short).otherwise(n["name"])
@@ -378,7 +348,7 @@ def facts(linked: Column) -> Column:
 
     def fact(n: Column) -> Column:
         def with_args(args: Column) -> Column:
-            first, second = args["first"], args["second"]
+            first, second = F.get(args, F.lit(0)), F.get(args, F.lit(1))
             subject = F.trim(render(subtree(linked, first["node_id"])))
             parts = F.split(subject, r"\.(?=[a-z])")
             simple = is_leaf(linked, first)
@@ -390,7 +360,7 @@ def facts(linked: Column) -> Column:
             return F.struct(
                 n["node_id"].alias("node_id"),
                 n["parent_id"].alias("parent_id"),
-                n["sibling"].alias("sibling"),
+                F.size(F.filter(children(linked, n["parent_id"]), lambda s: s["node_id"] < n["node_id"])).alias("sibling"),
                 parent_name(linked, n).alias("parent"),
                 F.trim(n["name"]).alias("relation"),
                 F.when(simple, F.get(parts, F.lit(0))).otherwise(subject).alias("subject"),
@@ -400,7 +370,7 @@ def facts(linked: Column) -> Column:
                 F.when(choice, options).when(second.isNotNull(), F.array(value)).alias("values"),
             )
 
-        return let(F.struct(child(linked, n, 0).alias("first"), child(linked, n, 1).alias("second")), with_args)
+        return let(children(linked, n["node_id"]), with_args)
 
     return F.transform(F.filter(linked, lambda n: is_relation(linked, n)), fact)
 

@@ -23,8 +23,7 @@ def with_tree(df: DataFrame, rule: str = "rule", name: str = "tree") -> DataFram
 
 def node_table(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
     """One row per node: (row, node_id, parent_id, depth, name, is_term, ancestors)."""
-    fields = ["node_id", "parent_id", "depth", "name", "is_term", "ancestors"]
-    return df.select(key, F.inline(tree.parse(F.col(rule)))).select(key, *fields)
+    return df.select(key, F.inline(tree.parse(F.col(rule))))
 
 
 def render_rules(nodes: DataFrame, key: str = "row_id") -> DataFrame:
@@ -38,6 +37,7 @@ def node_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFr
 
     def facts(linked: Column) -> Column:
         def one(n: Column) -> Column:
+            siblings = tree.children(linked, n["parent_id"])
             names = F.transform(F.concat(n["ancestors"], F.array(n["node_id"])), lambda a: F.get(linked, a)["name"])
             return F.struct(
                 n["node_id"].alias("node_id"),
@@ -45,8 +45,8 @@ def node_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFr
                 n["depth"].alias("depth"),
                 n["name"].alias("name"),
                 tree.is_leaf(linked, n).alias("is_leaf"),
-                tree.n_children(linked, n).alias("n_children"),
-                n["sibling"].alias("sibling"),
+                F.size(tree.children(linked, n["node_id"])).alias("n_children"),
+                F.size(F.filter(siblings, lambda s: s["node_id"] < n["node_id"])).alias("sibling"),
                 F.concat(F.lit("/"), F.array_join(names, "/")).alias("path"),
             )
 
@@ -111,18 +111,16 @@ def rewrite_rules(
     and only a step on texts in between asks for another reading.
     """
     out = out or rule
-    df, name, is_tree = df.withColumn(out, F.col(rule)), "_linked", False
+    df, name, is_tree = df.withColumn(out, F.col(rule)), "_flat", False
     for step in steps:
-        on_tree = isinstance(step, str) and step in TREE_STEPS
-        if on_tree:
-            read = F.col(name) if is_tree else tree.parse(F.col(out))
-            df = df.withColumn(name, tree.relink(TREE_STEPS[step](read)))
-        else:
-            if is_tree:
-                df = df.withColumn(out, tree.render(F.col(name))).drop(name)
-            own = tree.TEXT_STEPS[step] if isinstance(step, str) else step
-            df = df.withColumn(out, _applied(F.col(out), own))
-        is_tree = on_tree
+        if isinstance(step, str) and step in TREE_STEPS:
+            df = df.withColumn(name, TREE_STEPS[step](tree.relink(F.col(name)) if is_tree else tree.parse(F.col(out))))
+            is_tree = True
+            continue
+        if is_tree:
+            df = df.withColumn(out, tree.render(F.col(name))).drop(name)
+        df = df.withColumn(out, _applied(F.col(out), tree.TEXT_STEPS[step] if isinstance(step, str) else step))
+        is_tree = False
     return df.withColumn(out, tree.render(F.col(name))).drop(name) if is_tree else df
 
 
