@@ -293,14 +293,24 @@ def _next_round(
 
 @dataclass
 class Cells:
-    """Cells of vectors: per cell a centre, the distance of the farthest row from it, and the number of rows.
+    """Cells of vectors: per cell a centre, the distance of the farthest row from it, the number of rows, and its blocks.
 
-    There are at most ``MOST_CELLS`` cells, so they travel with the tasks.
+    Small cells share a block; a large one is cut into several, ``parts`` from ``block`` on. There are at most ``MOST_CELLS`` cells, so they
+    travel with the tasks.
     """
 
     centres: np.ndarray
     radius: np.ndarray
     sizes: np.ndarray
+    block: np.ndarray
+    parts: np.ndarray
+
+    def blocks(self, chosen: np.ndarray) -> np.ndarray:
+        """By query and block: whether it holds rows of a chosen cell."""
+        out = np.zeros((len(chosen), int((self.block + self.parts).max())), bool)
+        for cell in np.flatnonzero(self.sizes):
+            out[:, self.block[cell] : self.block[cell] + self.parts[cell]] |= chosen[:, cell, None]
+        return out
 
     def bounds(self, vectors: np.ndarray) -> np.ndarray:
         """By query and cell: no row of the cell has a larger dot product. ``q.v = q.c + q.(v - c) <= q.c + |q| r``."""
@@ -340,72 +350,85 @@ def cell_index(corpus: DataFrame, vector: str = "embedding", cells: int | None =
     radius, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
     for r in dealt.groupBy("cell").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).collect():  # one row per cell
         radius[r.cell], sizes[r.cell] = r.gap, r.n
-    return dealt.drop("gap"), Cells(centres, radius, sizes)
+    return dealt.drop("gap"), Cells(centres, radius, sizes, *_packed(sizes, corpus.sparkSession.sparkContext.defaultParallelism))
+
+
+def _packed(sizes: np.ndarray, cores: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of every cell: blocks of ``ROW_BLOCK`` rows or, in a small table, one for every two cores."""
+    target = max(1, min(ROW_BLOCK, -(-int(sizes.sum()) // max(1, cores // 2))))
+    block, parts, at, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for cell, n in enumerate(sizes.tolist()):
+        if held and held + n > target:
+            at, held = at + 1, 0
+        block[cell] = at
+        if n > target:
+            parts[cell] = -(-n // target)
+            at += int(parts[cell])
+        else:
+            held += n
+    return block, parts
 
 
 def visits(queries: DataFrame, cells: Cells, k: int, first: bool) -> DataFrame:
-    """``query_id, v, theta, cell, part``: the cells a query looks into, in parts of about ``ROW_BLOCK`` rows.
+    """``query_id, v, theta, block``: the blocks of rows a query looks into.
 
-    First those nearest to it that hold ``k`` rows; then, knowing ``theta``, its k-th score so far, the others that may hold a better one.
+    First those of the cells nearest to it that hold ``k`` rows; then, knowing ``theta``, its k-th score so far, the others with a cell that may
+    hold a better one.
     """
-    parts = -(-cells.sizes // ROW_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(at, QUERY_BLOCK)
                 vectors = as_matrix(part.column(1))
-                chosen = cells.nearest_cells(vectors, k)
+                chosen = cells.blocks(cells.nearest_cells(vectors, k))
                 if not first:
                     theta = part.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-                    chosen = ~chosen & (cells.bounds(vectors) >= theta[:, None])
-                query, cell = np.nonzero(chosen & (cells.sizes > 0)[None])
-                times = parts[cell]
-                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                taken = part.take(pa.array(np.repeat(query, times)))
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(np.repeat(cell, times).astype(np.int32)), pa.array(place.astype(np.int32))], ["query_id", "v", "theta", "cell", "part"]
-                )
+                    chosen = ~chosen & cells.blocks(cells.bounds(vectors) >= theta[:, None])
+                query, block = np.nonzero(chosen)
+                taken = part.take(pa.array(query))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(block.astype(np.int32))], ["query_id", "v", "theta", "block"])
 
-    return queries.select("query_id", "v", "theta").mapInArrow(run, "query_id bigint, v array<double>, theta double, cell int, part int")
+    return queries.select("query_id", "v", "theta").mapInArrow(run, "query_id bigint, v array<double>, theta double, block int")
 
 
 def _looked_up(found: DataFrame, rows: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """The best ``k`` rows of every visit, with scores above its query's theta: (query_id, row_id, score).
+    """The best ``k`` rows of every visit, with scores not below its query's theta: (query_id, row_id, score).
 
-    Rows and visits of a part of a cell meet in one partition, rows first: a task holds one part as a matrix and streams the queries past it.
-    Neither side is copied for the other but for the visits themselves, and cells without a visit are not read.
+    Rows and visits of a block meet in one partition, rows first: a task holds one block as a matrix and streams the queries past it.
+    Neither side is copied for the other but for the visits themselves, and blocks without a visit are not sent.
     """
-    parts = F.array(*[F.lit(int(-(-n // ROW_BLOCK))) for n in cells.sizes])
-    rows = rows.join(F.broadcast(found.select("cell").distinct()), "cell", "left_semi")  # one row per cell
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("row_id"), F.greatest(F.get(parts, F.col("cell")), F.lit(1))).cast("int"))
+    numbers = lambda x: F.array(*[F.lit(int(n)) for n in x])
+    part = F.pmod(F.xxhash64("row_id"), F.get(numbers(cells.parts), F.col("cell")))
+    rows = rows.withColumn("block", (F.get(numbers(cells.block), F.col("cell")) + part).cast("int"))
+    rows = rows.join(F.broadcast(found.select("block").distinct()), "block", "left_semi")  # one row per block
     none = F.lit(None).cast("double").alias("theta")
-    both = rows.select("cell", "part", F.lit(0).alias("side"), F.col("row_id").alias("id"), none, "v").unionByName(
-        found.select("cell", "part", F.lit(1).alias("side"), F.col("query_id").alias("id"), "theta", "v")
+    both = rows.select("block", F.lit(0).alias("side"), F.col("row_id").alias("id"), none, "v").unionByName(
+        found.select("block", F.lit(1).alias("side"), F.col("query_id").alias("id"), "theta", "v")
     )
-    both = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
+    both = both.repartition("block").sortWithinPartitions("block", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, matrix = None, [], [], None
         for batch in batches:
-            cell, part, side = (batch.column(i).to_numpy() for i in range(3))
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(cell)]):
+            block, side = (batch.column(i).to_numpy() for i in range(2))
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(block)]):
                 if a == b:
                     continue
-                if key != (cell[a], part[a]):
-                    key, ids, vectors, matrix = (cell[a], part[a]), [], [], None
+                if key != block[a]:
+                    key, ids, vectors, matrix = block[a], [], [], None
                 piece = batch.slice(a, b - a)
                 if side[a] == 0:
-                    ids.append(piece.column(3).to_numpy())
-                    vectors.append(as_matrix(piece.column(5)))
+                    ids.append(piece.column(2).to_numpy())
+                    vectors.append(as_matrix(piece.column(4)))
                 elif ids:
                     if matrix is None:
                         matrix, row_ids = np.concatenate(vectors), np.concatenate(ids)
                     for at in range(0, b - a, QUERY_BLOCK):
                         some = piece.slice(at, QUERY_BLOCK)
-                        theta = some.column(4).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-                        yield _block_topk(some.column(3).to_numpy(), as_matrix(some.column(5)), theta, row_ids, matrix, k)
+                        theta = some.column(3).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                        yield _block_topk(some.column(2).to_numpy(), as_matrix(some.column(4)), theta, row_ids, matrix, k)
 
     return both.mapInArrow(run, "query_id bigint, row_id bigint, score double")
 

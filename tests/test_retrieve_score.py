@@ -135,7 +135,8 @@ def test_vector_topk_equals_brute_force(spark, monkeypatch, cells, block):
     assert everything.count() == 2 * len(points)
 
 
-def test_cells_that_cannot_win_are_skipped(spark):
+def test_cells_that_cannot_win_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "ROW_BLOCK", 50)  # a block for every cell, or more
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16)) * 10
     points = np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.1
