@@ -124,6 +124,7 @@ RULE_MARKS = {
 # --- fixed values: prompt and input formats ---------------------------------------------------
 SOURCE_MARK = "Source: "
 TARGET_MARK = "Target:"
+STEP_BY_STEP = "Let's think step by step:\n"
 SEPARATOR = "<sep>"
 END_TOKEN = "</s>"
 MASK_TOKEN = "<mask>"

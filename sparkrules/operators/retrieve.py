@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkrules.functions import fixed
 from sparkrules.functions import text as T
 from sparkrules.functions.tree import let
-from sparkrules.operators.ranking import hash_fraction, rank_rows, rank_within, seed_hash
+from sparkrules.operators.ranking import hash_fraction, null_safe, rank_rows, rank_within, running, seed_hash
 from sparkrules.operators.sample import as_matrix, nearest
 from sparkrules.storage import stored
 
@@ -503,18 +503,100 @@ def pack_budget(ranked: DataFrame, room: Column | int, tokens: str = "n_tokens")
     return summed.filter(F.col("packed_tokens") <= room)
 
 
+def reasoning_text(code: Column, text: Column, *, step_by_step: bool = False) -> Column:
+    """The query of a reasoning prompt: it asks for no target, but for steps if wanted."""
+    return F.concat(F.lit(fixed.SOURCE_MARK), code, F.lit(" "), text, F.lit("\n" + (fixed.STEP_BY_STEP if step_by_step else "")))
+
+
+#: What a prompt is made of, in order: the context, the exemplars, and a closing text ahead of the query.
+LAYOUT = ("context", "exemplars", "closing")
+
+
+def _in_layout(blocks: Column, query: Column, context: str, closing: str, layout: Sequence[str]) -> Column:
+    """Parts in their order. Exemplars that come first are parted from what follows by a blank line, as is the query from all."""
+    parts = {"context": F.lit(context), "exemplars": F.coalesce(F.array_join(blocks, "\n\n"), F.lit("")), "closing": F.lit(closing)}
+    if layout[0] == "exemplars":
+        parts["exemplars"] = F.concat(parts["exemplars"], F.lit("\n\n"))
+    return F.concat(*[parts[name] for name in layout], F.lit("\n\n"), query)
+
+
 def assemble_prompts(
-    packed: DataFrame, queries: DataFrame, query: Column, *, context: str = "", nearest_last: bool = False
+    packed: DataFrame,
+    queries: DataFrame,
+    query: Column,
+    *,
+    context: str = "",
+    closing: str = "",
+    layout: Sequence[str] = LAYOUT,
+    nearest_last: bool = False,
 ) -> DataFrame:
-    """One prompt per query: context, exemplar blocks in rank order (or reversed), the query itself."""
+    """One prompt per query: context, exemplar blocks in rank order (or reversed), a closing text, the query itself."""
     blocks = F.array_sort(F.collect_list(F.struct("rank", "block")))
     joined = packed.groupBy("query_id").agg(blocks.alias("_blocks"))
     ordered = F.reverse("_blocks") if nearest_last else F.col("_blocks")
-    texts = F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n")
+    texts = F.transform(ordered, lambda b: b["block"])
     return queries.join(joined, "query_id", "left").select(
         "query_id",
         F.coalesce(F.size("_blocks"), F.lit(0)).cast("bigint").alias("n_exemplars"),
-        F.concat(F.lit(context), F.coalesce(texts, F.lit("")), F.lit("\n\n"), query).alias("prompt"),
+        _in_layout(texts, query, context, closing, layout).alias("prompt"),
+    )
+
+
+def _room(queries: DataFrame, budget: int, *texts: str) -> int:
+    """Tokens left for exemplars beside the given texts and the longest query."""
+    longest = max_pair_tokens(queries, query_text(F.col("code"), F.col("text"))).first()[0] or 0
+    return budget - sum(len(t.split()) for t in texts) - longest
+
+
+def ranked_prompts(
+    ranked: DataFrame,
+    queries: DataFrame,
+    corpus: DataFrame,
+    *,
+    budget: int,
+    context: str = "",
+    closing: str = "",
+    layout: Sequence[str] = LAYOUT,
+    nearest_last: bool = False,
+    query: Column | None = None,
+) -> DataFrame:
+    """Prompts from any ranking (query_id, rank, row_id): the diverse walk, a vector ranking, a table of one's own."""
+    block = block_text(F.col("code"), F.col("text"), F.col("rule")).alias("block")
+    room = _room(queries, budget, context, closing)
+    sized = ranked.select("query_id", "rank", "row_id").join(corpus.select("row_id", block), "row_id").withColumn("n_tokens", token_count(F.col("block")))
+    packed = pack_budget(sized, room)
+    own = query_text(F.col("code"), F.col("text")) if query is None else query
+    return assemble_prompts(packed, queries, own, context=context, closing=closing, layout=layout, nearest_last=nearest_last)
+
+
+def given_prompts(
+    exemplars: DataFrame,
+    queries: DataFrame,
+    *,
+    budget: int,
+    order: Sequence[str] = ("row_id",),
+    context: str = "",
+    closing: str = "",
+    layout: Sequence[str] = LAYOUT,
+    nearest_last: bool = False,
+    query: Column | None = None,
+) -> DataFrame:
+    """Prompts that all show the same exemplars: the longest prefix of ``exemplars(code, text, rule)`` in ``order`` that fits.
+
+    The prefix is found once by carried totals, and holds no more blocks than the budget has tokens.
+    """
+    room = _room(queries, budget, context, closing)
+    block = block_text(F.col("code"), F.col("text"), F.col("rule"))
+    sized = exemplars.select(*order, token_count(block).alias("n_tokens"))
+    totals = running(sized, list(order), {"_sum": ("sum", F.col("n_tokens")), "_at": ("count", F.lit(1))}, keep_below=("_sum", max(room, 0) + 1))
+    kept = totals.filter(F.col("_sum") <= room).select(*[F.col(c).alias(f"_{c}") for c in order], "_at")
+    fitting = exemplars.select(*order, block.alias("block")).join(kept, null_safe(exemplars, kept, order, "_"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "block")))
+    shown = fitting.agg((F.reverse(ordered) if nearest_last else ordered).alias("_blocks"))
+    texts = F.transform("_blocks", lambda b: b["block"])
+    own = query_text(F.col("code"), F.col("text")) if query is None else query
+    return queries.join(F.broadcast(shown), F.lit(True), "left").select(  # one row
+        "query_id", F.size("_blocks").cast("bigint").alias("n_exemplars"), _in_layout(texts, own, context, closing, layout).alias("prompt")
     )
 
 

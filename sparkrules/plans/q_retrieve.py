@@ -144,6 +144,36 @@ def _prompts_sql(order: str, context: str) -> str:
     )
 
 
+CONTEXT, CLOSING = "Read each clause. ", "One worked answer follows."
+
+
+def given_prompts(spark, sf):
+    """The same exemplars for every question: documents in order of their id."""
+    questions, exemplars = _inputs(spark, sf)
+    return retrieve.given_prompts(exemplars, questions, budget=BUDGET, context=CONTEXT, nearest_last=True)
+
+
+def reasoning_prompts(spark, sf):
+    """Given exemplars ahead of the context, a closing text, and a query that asks for steps."""
+    questions, exemplars = _inputs(spark, sf)
+    asked = retrieve.reasoning_text(F.col("code"), F.col("text"), step_by_step=True)
+    layout = ("exemplars", "context", "closing")
+    return retrieve.given_prompts(exemplars, questions, budget=BUDGET, context=CONTEXT, closing=CLOSING, layout=layout, query=asked)
+
+
+def _given_sql(order: str, texts: str, prompt: str) -> str:
+    """Prompts from one prefix of the exemplars; ``prompt`` puts the parts around their text ``t`` together."""
+    return with_inputs(
+        f""", b AS (SELECT row_id, {_BLOCK} AS block, len({_words_sql(_BLOCK)}) AS n_tokens FROM exemplars),
+        m AS (SELECT max(len({_words_sql(_QUESTION)})) AS longest FROM questions),
+        p AS (SELECT *, sum(n_tokens) OVER (ORDER BY row_id) AS packed FROM b),
+        g AS (SELECT count(*) AS n, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY row_id {order}), '') AS t FROM p, m WHERE packed <= {BUDGET} - longest - {len(texts.split())})
+        SELECT query_id, n AS n_exemplars, {prompt} AS prompt FROM questions, g""",
+        "questions",
+        "exemplars",
+    )
+
+
 def exemplar_counts(spark, sf):
     packed = _packed(spark, sf).withColumn("run", F.lit("unigram_4060"))
     return retrieve.exemplar_counts(packed).withColumn("mean_exemplars", F.round("mean_exemplars", 6))
@@ -200,6 +230,15 @@ QUERIES = {
     ),
     "exemplar_prompts": (exemplar_prompts, _prompts_sql("ASC", "")),
     "exemplar_prompts_reversed": (exemplar_prompts_reversed, _prompts_sql("DESC", "Read each clause. ")),
+    "given_prompts": (given_prompts, _given_sql("DESC", CONTEXT, f"'{CONTEXT}' || t || chr(10) || chr(10) || {_QUESTION}")),
+    "reasoning_prompts": (
+        reasoning_prompts,
+        _given_sql(
+            "ASC",
+            f"{CONTEXT} {CLOSING}",
+            f"t || chr(10) || chr(10) || '{CONTEXT}{CLOSING}' || chr(10) || chr(10) || 'Source: ' || code || ' ' || text || chr(10) || 'Let''s think step by step:' || chr(10)",
+        ),
+    ),
     "exemplar_counts": (
         exemplar_counts,
         with_inputs(

@@ -111,6 +111,23 @@ def test_growing_heads_pack_the_same(spark):
     assert len(everything) == 4 * 80
 
 
+def test_prompts_from_a_given_ranking_and_in_a_layout(spark):
+    corpus = spark.createDataFrame([(1, "c", "a b", "r1"), (2, "c", "b", "r2"), (3, "c", "x " * 50, "r3")], "row_id bigint, code string, text string, rule string")
+    queries = spark.createDataFrame([(7, "q", "a"), (8, "q", "b")], "query_id bigint, code string, text string")
+    ranked = spark.createDataFrame([(7, 1, 2), (7, 2, 1), (7, 3, 3)], "query_id bigint, rank bigint, row_id bigint")
+    got = {r.query_id: r for r in retrieve.ranked_prompts(ranked, queries, corpus, budget=40, context="Ctx", closing="End").collect()}
+    block = "Source: c {}\nTarget: {}"
+    assert got[7].prompt == "Ctx" + block.format("b", "r2") + "\n\n" + block.format("a b", "r1") + "End\n\nSource: q a\nTarget: "
+    assert (got[7].n_exemplars, got[8].n_exemplars, got[8].prompt) == (2, 0, "CtxEnd\n\nSource: q b\nTarget: ")
+    walk = retrieve.diverse_exemplars(queries, corpus, 2, 1).withColumnRenamed("pick", "rank")
+    assert retrieve.ranked_prompts(walk, queries, corpus, budget=100).filter("n_exemplars = 2").count() == 2
+    given = retrieve.given_prompts(corpus, queries, budget=22, context="Ctx", layout=("exemplars", "context"), query=retrieve.reasoning_text(F.col("code"), F.col("text")))
+    want = block.format("a b", "r1") + "\n\n" + block.format("b", "r2") + "\n\nCtx\n\nSource: q a\n"
+    assert given.filter("query_id = 7").first().prompt == want
+    none = retrieve.given_prompts(corpus, queries, budget=1).first()
+    assert (none.n_exemplars, none.prompt) == (0, "\n\nSource: q a\nTarget: ")
+
+
 def vectors_of(spark, points):
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "row_id bigint, embedding array<float>").repartition(3)
 
