@@ -1,25 +1,35 @@
 """Quality rules: base rules on a text's own statistics, then robust multivariate outliers per language and source.
 
-The statistics of a document become a vector of five transformed features. For each (lang, source) the location and
-scatter are a minimum covariance determinant estimate: start from medians and quartile ranges, then ``STEPS``
-concentration steps, each of which keeps the half of the rows with the smallest distances and takes their mean and
-covariance. The covariance is scaled to be consistent at the normal distribution, and the square of a fixed smallest spread
-(``LEAST_SPREAD``) is added on its diagonal, so a group of copies, or a feature that is zero in most documents, does not make every
-other document an outlier. A document is rejected when its squared Mahalanobis distance exceeds ``CUTOFF``.
-
-A group with fewer than ``LEAST_ROWS`` documents that pass the base rules is judged by the estimate over all documents of its language,
-large sources included; a language with too few by that over all documents. Only where the whole table has too few do the base rules
-hold alone. Estimates use every document that passes the base rules, without sampling.
-Each step is a grouped aggregate over a stored table of features, combined map-side, so a group with a
-third of all rows costs no more than any other; texts are read once and never shuffled.
+The statistics of a document become a vector of five transformed features, in whole thousandths. For each (lang, source), each language
+and the whole table, location and scatter are minimum covariance determinant estimates over the documents that pass the base rules:
+
+* ``STARTS`` starts of up to ``SEEDS`` points each, drawn by md5 order, so every run draws the same ones;
+* concentration steps of all starts at once: the half of the rows with the smallest distances gives the next mean and covariance. A
+  start stands still when its determinant falls no more, and the least determinant wins. Rows at the edge of the half, a narrow
+  band of distances, share what is left of it equally, so copies and ties are treated alike;
+* reweighting: mean and covariance of all rows within the 0.975 quantile.
+
+Covariances are scaled to be consistent at the normal distribution. Features that are zero in most documents, or a group of copies, make
+them singular, so the determinants are those of the regularised estimator: the squares of ``LEAST_SPREAD`` are added on the
+diagonal in starts, steps and results alike, under which a step never raises the determinant.
+The estimate of a group of n documents is shrunk towards that of its language by n / (n + ``PRIOR``), that of a language
+likewise towards the whole table's, which leans in the same way on the smallest spreads alone. So no size is a special case.
+A document is rejected when its squared Mahalanobis distance exceeds ``CUTOFF``.
+
+Every pass is one aggregate over a stored table of distinct points, combined map-side into sums per start and band of
+distances, so a group with a third of all rows costs no more than any other; the half is cut on these few bands. All sums are of whole
+numbers, so the result does not depend on the partitioning. Nothing is sampled but the starts; texts are read once and never shuffled.
 
 Defined cases: a null or empty text has no words and fails; null languages and sources are values of their own; a table
-without rows gives none; repeated rows are judged each. Only ``doc_id, text, lang, source`` are read by name.
+without rows gives none, and ``distance`` is null only where no document at all passes the base rules; repeated rows count and are
+judged each. Only ``doc_id, text, lang, source`` are read by name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrules.llm.tables import body, small
@@ -28,16 +38,23 @@ from sparkrules.storage import stored
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 LEAST_WORDS, REPEAT_SHARE, REPEAT_RUN = 50, 50, 3
-#: Share of the rows that a concentration step keeps, and what makes its covariance consistent in five dimensions:
-#: share / P(chi2_7 <= chi2_5 quantile of the share).
-SHARE, CONSISTENCY = 0.5, 1.9095
-STEPS, LEAST_ROWS = 3, 30
+#: What makes the covariance of the nearest half consistent in five dimensions: 0.5 / P(chi2_7 <= chi2_5 quantile of 0.5).
+HALF_CONSISTENCY = 1.9122
+#: The 0.975 quantile of chi-square with five degrees of freedom, and the same factor for it.
+REWEIGHT, REWEIGHT_CONSISTENCY = 12.8325, 1.0555
+STARTS, SEEDS, STILL = 4, 6, 1e-3
+#: Bands of distances per doubling; documents that an estimate borrows from the next wider one.
+BANDS, PRIOR = 32, 30
 #: About the 1 - 1e-9 quantile of chi-square with five degrees of freedom.
 CUTOFF = 51.0
-#: Smallest spread of each feature: log words, log characters per word, and the roots of the shares of symbols, copied lines, repeats.
-LEAST_SPREAD = (1.0, 0.06, 0.05, 0.12, 0.12)
+#: Features in thousandths: log words, log characters per word, and the roots of the shares of symbols, copied lines, repeats.
+SCALE, LEAST_SPREAD = 1000, (1000, 60, 50, 120, 120)
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 P = range(len(LEAST_SPREAD))
+PAIRS = [(i, j) for i in P for j in range(i + 1)]
+POINT = [f"x{i}" for i in P]
+MOMENTS = ["s", *[f"s{i}" for i in P], *[f"s{i}{j}" for i, j in PAIRS]]
+FACTORS = [*[f"m{i}" for i in P], *[f"l{i}{j}" for i, j in PAIRS]]
 
 
 def measured(docs: DataFrame, *carry: Column) -> DataFrame:
@@ -73,20 +90,34 @@ def measured(docs: DataFrame, *carry: Column) -> DataFrame:
         F.sqrt(F.col("n_dup_lines") / F.greatest("_lines", F.lit(1))),
         F.sqrt(F.col("n_repeat_words") / words),
     )
-    return df.select(*[c for c in keep if c != "_lines"], "n_repeat_words", failed.alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(features)])
+    return df.select(*[c for c in keep if c != "_lines"], "n_repeat_words", failed.alias("base_failed"), *[F.floor(SCALE * x + 0.5).alias(f"x{i}") for i, x in enumerate(features)])
+
+
+def _moments(weight: Column) -> list[Column]:
+    """Sums of whole numbers: rows, features, products of features."""
+    x = [F.col(name) for name in POINT]
+    sums = [weight, *[weight * x[i] for i in P], *[weight * x[i] * x[j] for i, j in PAIRS]]
+    return [F.sum(value).alias(name) for name, value in zip(MOMENTS, sums)]
+
+
+def _scatter(df: DataFrame, consistency: float, *keys: str) -> DataFrame:
+    """Means ``m*`` and scaled covariances ``c*`` of the moments."""
+    n = F.col("s").cast("double")
+    mean = [F.col(f"s{i}") / n for i in P]
+    spread = [(consistency * (F.col(f"s{i}{j}") / n - mean[i] * mean[j])).alias(f"c{i}{j}") for i, j in PAIRS]
+    return df.select(*keys, *[mean[i].alias(f"m{i}") for i in P], *spread)
 
 
-def _factored(groups: DataFrame) -> DataFrame:
-    """Means ``m*`` and covariances ``c*`` to means and the lower Cholesky factor ``l*``."""
+def _factored(groups: DataFrame, *keys: str) -> DataFrame:
+    """Means and covariances to means, the lower Cholesky factor ``l*`` of the regularised covariance, and ``logdet``."""
     df = groups
     for j in P:
         for i in range(j, len(P)):
-            rest = F.col(f"c{i}{j}")
+            rest = F.col(f"c{i}{j}") + (float(LEAST_SPREAD[i] ** 2) if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            value = F.sqrt(F.greatest(rest, F.lit((LEAST_SPREAD[i] / 100) ** 2))) if i == j else rest / F.col(f"l{j}{j}")
-            df = df.withColumn(f"l{i}{j}", value)
-    return df.select("_key", *[f"m{i}" for i in P], *[f"l{i}{j}" for j in P for i in range(j, len(P))])
+            df = df.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+    return df.select(*keys, *FACTORS, (2 * sum((F.ln(f"l{i}{i}") for i in P[1:]), F.ln("l00"))).alias("logdet"))
 
 
 def _distance() -> Column:
@@ -99,46 +130,70 @@ def _distance() -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
-def estimated(rows: DataFrame) -> DataFrame:
-    """``_key`` and its location ``m*`` and scatter factor ``l*`` from feature rows with a ``_key``."""
-    quartiles = rows.groupBy("_key").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in P])
-    spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in P]
-    start = [(spread[i] * spread[i] + LEAST_SPREAD[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for j in P for i in range(j, len(P))]
-    groups = stored(_factored(quartiles.select("_key", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in P], *start)))
-    for _ in range(STEPS):
-        near = rows.join(small(groups), "_key").select("_key", *[f"x{i}" for i in P], _distance().alias("_d"))
-        bound = stored(near.groupBy("_key").agg(F.percentile_approx("_d", SHARE, 2000).alias("_b")))
-        near = near.join(small(bound), "_key").filter("_d <= _b")
-        spreads = [
-            (CONSISTENCY * F.covar_pop(f"x{i}", f"x{j}") + (LEAST_SPREAD[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-            for j in P
-            for i in range(j, len(P))
-        ]
-        groups = stored(_factored(near.groupBy("_key").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in P], *spreads)))
-    return groups
-
-
-def _keys(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each ``_group`` with the ``_key`` of the estimate that judges it (null: none), and with every ``_key`` that its documents feed."""
-    counts = stored(rows.groupBy("_group", "_wide").agg(F.count_if(~F.col("base_failed")).alias("_n")))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    wide = counts.groupBy("_wide").agg(F.sum("_n").alias("_m"))
-    lang = F.concat(F.lit("lang "), "_wide")
-    key = F.when(F.col("_n") >= LEAST_ROWS, F.col("_group")).when(F.col("_m") >= LEAST_ROWS, lang).when(F.lit(total >= LEAST_ROWS), F.lit("all"))
-    keys = stored(counts.join(wide, "_wide").select("_group", "_wide", key.alias("_key")))
-    wanted = keys.filter("_key <> _group").select("_key").distinct()
-    own = keys.filter("_key = _group").select("_group", "_key")
-    langs = keys.select("_group", lang.alias("_key")).join(wanted, "_key", "left_semi").select("_group", "_key")
-    every = keys.select("_group", F.lit("all").alias("_key")).join(wanted, "_key", "left_semi").select("_group", "_key")
-    return keys.select("_group", "_key"), stored(own.union(langs).union(every))
+def _starts(points: DataFrame) -> DataFrame:
+    """``key, start`` and the factors of each start; ``logdet`` is infinite, since so few points aren't a half."""
+    drawn = Window.partitionBy("key").orderBy(F.md5(F.concat_ws(" ", "key", *POINT)), *POINT)
+    seeds = points.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= STARTS * SEEDS)
+    sums = seeds.groupBy("key", (F.col("_r") % STARTS).alias("start")).agg(*_moments(F.lit(1)))
+    return _factored(_scatter(sums, 1.0, "key", "start"), "key", "start").withColumn("logdet", F.lit(math.inf))
+
+
+def _concentrated(points: DataFrame, starts: DataFrame) -> DataFrame:
+    """One step of every start that still moves: the factors of its nearest half, if they have a smaller determinant."""
+    moving = starts.filter("moving")
+    band = F.floor(BANDS * F.log2(F.greatest(_distance(), F.lit(1e-9)))).alias("band")
+    bands = points.join(small(moving), "key").select("key", "start", "w", *POINT, band).groupBy("key", "start", "band").agg(*_moments(F.col("w")))
+    by, exact = Window.partitionBy("key", "start"), "decimal(38,0)"
+    before = F.coalesce(F.sum("s").over(by.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = bands.withColumn("_n", F.sum("s").over(by)).withColumn("_before", before)
+    # one more than half; the usual share for the dimension isn't needed, since the matrix is regular with fewer rows too
+    cut = cut.withColumn("_h", F.floor(F.col("_n") / 2) + 1).filter("_before < _h")
+    whole = F.col("_before") + F.col("s") <= F.col("_h")
+    sums = [F.sum(F.when(whole, F.col(name).cast("decimal(28,0)"))).cast(exact).alias(f"a_{name}") for name in MOMENTS]
+    edge = [F.max(F.when(~whole, F.col(name))).alias(f"b_{name}") for name in MOMENTS]  # one band at most
+    half = cut.groupBy("key", "start").agg(*sums, *edge, F.max(F.when(~whole, (F.col("_h") - F.col("_before")) / F.col("s"))).alias("share"))
+    value = lambda name: F.coalesce(F.col(f"a_{name}").cast("double"), F.lit(0.0)) + F.coalesce(F.col("share") * F.col(f"b_{name}"), F.lit(0.0))
+    new = _factored(_scatter(half.select("key", "start", *[value(name).alias(name) for name in MOMENTS]), HALF_CONSISTENCY, "key", "start"), "key", "start")
+    old = moving.select("key", "start", F.struct(*FACTORS, "logdet").alias("old"))
+    both = new.select("key", "start", F.struct(*FACTORS, "logdet").alias("new")).join(old, ["key", "start"])
+    falls = F.col("new.logdet") < F.col("old.logdet") - STILL
+    better = both.select("key", "start", falls.alias("moving"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("f")).select("key", "start", "f.*", "moving")
+    return better.unionByName(starts.filter("not moving"))
+
+
+def estimated(points: DataFrame) -> DataFrame:
+    """``key``, its number of rows ``n``, means ``m*`` and covariances ``c*`` from a stored table ``key, w, x*`` of distinct points."""
+    starts = stored(_starts(points).withColumn("moving", F.lit(True)))
+    while not starts.filter("moving").isEmpty():  # determinants fall by a least step and are bounded from below, so it ends
+        starts = stored(_concentrated(points, starts))
+    best = stored(starts.groupBy("key").agg(F.min(F.struct("logdet", "start", *FACTORS)).alias("f")).select("key", *[f"f.{name}" for name in FACTORS]))
+    near = points.join(small(best), "key").filter(_distance() <= REWEIGHT).groupBy("key").agg(*_moments(F.col("w")))
+    return _scatter(near, REWEIGHT_CONSISTENCY, "key").join(points.groupBy("key").agg(F.sum("w").alias("n")), "key")
+
+
+def _shrunk(own: DataFrame, wide: DataFrame, by: str, *keys: str) -> DataFrame:
+    """``own(by, *keys, n, m*, c*)`` drawn towards ``wide(by, m*, c*)``, whose values alone hold where ``n`` is null."""
+    values = [*[f"m{i}" for i in P], *[f"c{i}{j}" for i, j in PAIRS]]
+    share = F.coalesce(F.col("n"), F.lit(0)) / (F.coalesce(F.col("n"), F.lit(0)) + PRIOR)
+    wide = wide.select(by, *[F.col(name).alias(f"w_{name}") for name in values])
+    mixed = [(share * F.coalesce(F.col(name), F.lit(0.0)) + (1 - share) * F.col(f"w_{name}")).alias(name) for name in values]
+    return own.join(small(wide), by).select(by, *keys, *mixed)
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """Rows of ``measured`` (a stored table) with ``distance`` and ``kept``."""
-    keys, feeds = _keys(rows)
-    passed = rows.filter(~F.col("base_failed")).join(small(feeds), "_group")
-    groups = estimated(passed.select("_key", *[f"x{i}" for i in P]))
-    out = rows.join(small(keys), "_group").join(small(groups), "_key", "left").withColumn("distance", _distance())
+    levels = [F.concat(F.lit("group "), "_group"), F.concat(F.lit("lang "), "_wide"), F.lit("all")]
+    distinct = rows.filter(~F.col("base_failed")).groupBy("_group", "_wide", *POINT).agg(F.count(F.lit(1)).alias("w"))
+    points = stored(distinct.select(F.explode(F.array(*levels)).alias("key"), "w", *POINT))
+    found = stored(estimated(points))
+    keys = stored(rows.select("_group", "_wide").distinct().select(levels[0].alias("g"), levels[1].alias("l"), levels[2].alias("a"), "_group"))
+    none = [F.lit(0.0).alias(f"c{i}{j}") for i, j in PAIRS]  # the smallest spreads alone
+    spreads = stored(found.filter("key = 'all'").select(F.col("key").alias("a"), *[f"m{i}" for i in P], *none))
+    of = lambda name, *more: keys.select(name, *more).distinct().join(found.withColumnRenamed("key", name), name, "left")
+    table = stored(_shrunk(of("a"), spreads, "a"))
+    langs = stored(_shrunk(of("l", "a"), table, "a", "l"))
+    groups = stored(_factored(_shrunk(of("g", "l", "_group"), langs, "l", "_group"), "_group"))
+    out = rows.join(small(groups), "_group", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
     return out.withColumn("kept", kept).select(*[c for c in rows.columns if not c.startswith(("_", "x"))], "distance", "kept")
 

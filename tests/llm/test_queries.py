@@ -15,6 +15,7 @@ from test_periodic import brute as repeating
 from test_periodic import planted
 from test_pii import brute as private
 from test_quality import brute as statistics
+from test_quality import verdicts
 from test_secrets import brute as secret
 from test_simhash import brute as fingerprint
 from test_simhash import roots
@@ -83,9 +84,11 @@ def test_op6(spark, sf_dir, docs):
 
 
 def test_op8(spark, sf_dir, docs):
+    want = dict(zip(docs, verdicts([(r.text, r.lang, r.source) for r in docs.values()])))
     for r in rows(spark, sf_dir, "op8_quality"):
         assert tuple(r[1:7]) == statistics(docs[r.doc_id].text)
-        assert not (r.base_failed and r.kept)
+        distance, kept = want[r.doc_id]
+        assert r.kept == kept and abs(r.distance - distance) <= 1e-6 * (1 + distance)
 
 
 def test_op9(spark, sf_dir, docs):
@@ -125,9 +128,8 @@ def test_op13(spark, sf_dir, docs):
 
 def test_pipeline_against_brute_force(spark, sf_dir, docs):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    judged = {r.doc_id: r.kept for r in rows(spark, sf_dir, "op8_quality")}
-    kept = {i: r for i, r in docs.items() if judged[i]}
-    assert all(not statistics(r.text)[-1] for r in kept.values())
+    judged = verdicts([(r.text, r.lang, r.source) for r in docs.values()])
+    kept = {i: r for (i, r), (_, keep) in zip(docs.items(), judged) if keep}
     kept = {i: kept[i] for i in one_of_each([(i, r.text) for i, r in kept.items()])}
     kept = {i: r for i, r in kept.items() if not hits_of(r.text, bench)[1]}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
