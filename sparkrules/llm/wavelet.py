@@ -3,8 +3,9 @@
 Texts are sorted by ``doc_id`` over range partitions; each partition encodes its texts in order and closes a shard
 whenever it holds ``SHARD_TOKENS`` ids or more, so a task keeps one shard in memory. A shard's file holds one bit-plane per bit of an id, the
 highest first. Each plane lists its bits in the order that the planes above produce (ids with a 0 before ids with
-a 1, both in their old order), with the number of zeros and a rank directory. So one file answers which id stands at a place,
-how often an id occurs before a place, and where its k-th occurrence is, without being unpacked. Planes are zstd frames.
+a 1, both in their old order), cut into blocks of ``BITS`` bits, each a zstd frame of its own. Tables beside them hold where each
+frame starts and how many ones stand before each block. So one file answers which id stands at a place, how often
+an id occurs before a place, and where its occurrences are, and unpacks only the blocks that the answer touches.
 
 A shard is one row of a Parquet table: its file, its documents' ids and lengths, and its place in the order. Offsets of whole
 partitions and shards come from their totals alone.
@@ -30,46 +31,65 @@ from sparkrules.llm.bpe import ROWS, codec
 from sparkrules.llm.tables import body
 
 SHARD_TOKENS = 1 << 20
-BLOCK_WORDS = 8  # 64-bit words per entry of the rank directory
-MAGIC = b"WMX1"
+SHIFT = 16
+BITS = 1 << SHIFT  # of a plane per block
+MAGIC = b"WMX2"
 SHARDS = "part int, seq int, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, file binary"
 
 
 class Plane:
-    """Bits with constant-time rank and logarithmic select."""
-
-    def __init__(self, words: np.ndarray, directory: np.ndarray, zeros: int):
-        self.words, self.directory, self.zeros = words, directory, zeros
-
-    def bit(self, at: np.ndarray) -> np.ndarray:
-        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
-
-    def ones(self, at: np.ndarray) -> np.ndarray:
-        """The number of ones before each place."""
-        word = at >> 6
-        block = word // BLOCK_WORDS
-        out = self.directory[block].astype(np.int64)
-        for k in range(BLOCK_WORDS):
-            w = block * BLOCK_WORDS + k
-            bits = self.words[np.minimum(w, len(self.words) - 1)]
-            part = bits & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            out += np.where(w < word, np.bitwise_count(bits), np.where(w == word, np.bitwise_count(part), 0))
-        return out
+    """Bits in packed blocks, with rank and select by the numbers of ones before each block."""
+
+    def __init__(self, zeros: int, before: np.ndarray, frames: list[bytes | memoryview]):
+        self.zeros, self.before, self.frames = zeros, before, frames
+        self.unpacked = 0  # blocks so far
 
-    def select(self, bit: int, k: int) -> int:
-        """The place of the ``k``-th (from 0) bit of that value."""
-        low, high = 0, len(self.words) * 64
-        while low < high:  # the least place with more than k such bits up to it
-            mid = (low + high) // 2
-            ones = int(self.ones(np.array([mid + 1]))[0]) if mid + 1 < len(self.words) * 64 else self.total()
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+    @classmethod
+    def build(cls, bits: np.ndarray) -> Plane:
+        packed = np.packbits(bits, bitorder="little")
+        raw = np.zeros((len(bits) // BITS + 1) * (BITS // 8), np.uint8)  # one place past the end can be asked for
+        raw[: len(packed)] = packed
+        blocks = raw.reshape(-1, BITS // 8)
+        ones = np.bitwise_count(blocks.view("<u8")).sum(axis=1, dtype=np.int64)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return cls(len(bits) - int(ones.sum()), np.cumsum(ones) - ones, [pack(block) for block in blocks])
 
-    def total(self) -> int:
-        return int(np.bitwise_count(self.words).sum())
+    def block(self, number: int) -> np.ndarray:
+        self.unpacked += 1
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[number]), "<u8")
+
+    def whole(self, n: int) -> np.ndarray:
+        words = np.concatenate([self.block(i) for i in range(len(self.frames))])
+        return np.unpackbits(words.view(np.uint8), count=n, bitorder="little").view(bool)
+
+    def look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit at each place and the number of ones before it."""
+        bits, ones = np.empty_like(at), np.empty_like(at)
+        for number, rows in _by_block(at >> SHIFT):
+            words, inner = self.block(number), at[rows] & (BITS - 1)
+            counts = np.bitwise_count(words).astype(np.int64)
+            word, shift = words[inner >> 6], (inner & 63).astype(np.uint64)
+            bits[rows] = word >> shift & np.uint64(1)
+            below = np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
+            ones[rows] = self.before[number] + (np.cumsum(counts) - counts)[inner >> 6] + below
+        return bits, ones
+
+    def select(self, bit: int, ranks: np.ndarray) -> np.ndarray:
+        """The places of the bits of that value with the given ranks (from 0)."""
+        before = self.before if bit else np.arange(len(self.before), dtype=np.int64) * BITS - self.before
+        at = np.empty_like(ranks)
+        for number, rows in _by_block(np.searchsorted(before, ranks, "right") - 1):
+            bits = np.unpackbits(self.block(number).view(np.uint8), bitorder="little")
+            at[rows] = number * BITS + np.flatnonzero(bits == bit)[ranks[rows] - before[number]]
+        return at
+
+
+def _by_block(blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each block with the rows that lie in it."""
+    order = np.argsort(blocks, kind="stable")
+    numbers, starts = np.unique(blocks[order], return_index=True)
+    for number, rows in zip(numbers.tolist(), np.split(order, starts[1:])):
+        yield number, rows
 
 
 class WaveletMatrix:
@@ -85,41 +105,33 @@ class WaveletMatrix:
         planes = []
         for shift in range(levels - 1, -1, -1):
             bits = (now >> shift & 1).astype(bool)
-            packed = np.packbits(bits, bitorder="little")
-            words = np.zeros(len(bits) // 64 + 1, "<u8")  # one place past the end can be asked for
-            words.view(np.uint8)[: len(packed)] = packed
-            counts = np.bitwise_count(words).astype(np.int64)
-            starts = np.concatenate([[0], np.cumsum(counts)])[:-1:BLOCK_WORDS]
-            planes.append(Plane(words, starts.astype("<u4"), len(bits) - int(counts.sum())))
+            planes.append(Plane.build(bits))
             now = np.concatenate([now[~bits], now[bits]])
         return cls(len(ids), planes)
 
     def to_bytes(self) -> bytes:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        frames = [pack(p.words.tobytes() + p.directory.tobytes()) for p in self.planes]
-        head = struct.pack("<4sQI", MAGIC, self.n, len(frames))
-        return head + b"".join(struct.pack("<QQ", p.zeros, len(f)) for p, f in zip(self.planes, frames)) + b"".join(frames)
+        frames = [f for p in self.planes for f in p.frames]
+        tables = [np.array([p.zeros for p in self.planes]), *[p.before for p in self.planes], np.cumsum([0, *map(len, frames)])]
+        return struct.pack("<4sQI", MAGIC, self.n, len(self.planes)) + b"".join(t.astype("<i8").tobytes() for t in tables) + b"".join(frames)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
+        """The matrix of a file, nothing of which is unpacked yet."""
         magic, n, levels = struct.unpack_from("<4sQI", raw)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        at, words = struct.calcsize("<4sQI"), n // 64 + 1
-        sizes = [struct.unpack_from("<QQ", raw, at + 16 * i) for i in range(levels)]
-        at += 16 * levels
-        unpack, planes = zstandard.ZstdDecompressor().decompress, []
-        for zeros, size in sizes:
-            plain = unpack(raw[at : at + size])
-            planes.append(Plane(np.frombuffer(plain, "<u8", words), np.frombuffer(plain, "<u4", offset=8 * words), zeros))
-            at += size
-        return cls(n, planes)
+        blocks = n // BITS + 1
+        table = np.frombuffer(raw, "<i8", levels + 2 * levels * blocks + 1, struct.calcsize("<4sQI"))
+        zeros, before, ends = np.split(table, [levels, levels + levels * blocks])
+        body_of = memoryview(raw)[struct.calcsize("<4sQI") + table.nbytes :]
+        frames = [body_of[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        return cls(n, [Plane(int(zeros[i]), before[i * blocks : (i + 1) * blocks], frames[i * blocks : (i + 1) * blocks]) for i in range(levels)])
 
     def ids(self) -> np.ndarray:
         """All ids in order: from the last plane up, each plane's order is undone."""
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for shift, plane in enumerate(reversed(self.planes)):
-            bits = np.unpackbits(plane.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+            bits = plane.whole(self.n)
             before = np.empty_like(now)
             before[~bits] = now[: plane.zeros]
             before[bits] = now[plane.zeros :] | now.dtype.type(1 << shift)
@@ -130,7 +142,7 @@ class WaveletMatrix:
         """The ids at places ``0 <= at < n``."""
         at, out = np.asarray(at, np.int64), np.zeros(len(at), np.int64)
         for plane in self.planes:
-            bit, ones = plane.bit(at), plane.ones(at)
+            bit, ones = plane.look(at)
             at = np.where(bit == 1, plane.zeros + ones, at - ones)
             out = out << 1 | bit
         return out
@@ -141,7 +153,7 @@ class WaveletMatrix:
             return 0, 0
         ends = np.array([low, high], np.int64)
         for shift, plane in zip(range(len(self.planes) - 1, -1, -1), self.planes):
-            ones = plane.ones(ends)
+            ones = plane.look(ends)[1]
             ends = plane.zeros + ones if token >> shift & 1 else ends - ones
         return int(ends[0]), int(ends[1])
 
@@ -155,14 +167,17 @@ class WaveletMatrix:
         start, end = self._range(token, 0, self.n)
         if not 0 <= k < end - start:
             raise IndexError(f"token {token} occurs {end - start} times")
-        at = start + k
+        return int(self._up(token, np.array([start + k], np.int64))[0])
+
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        """From places below the last plane to places in the sequence."""
         for shift, plane in enumerate(reversed(self.planes)):
             at = plane.select(1, at - plane.zeros) if token >> shift & 1 else plane.select(0, at)
         return at
 
     def locate(self, token: int) -> np.ndarray:
-        """All places of the token."""
-        return np.array([self.select(token, k) for k in range(self.count(token))], np.int64)
+        """All places of the token, ascending."""
+        return self._up(token, np.arange(*self._range(token, 0, self.n), dtype=np.int64))
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> None:
