@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
 
-#: Rows of a side that is sent to every executor, at most. Callers hold such rows under about 100 bytes.
-BROADCAST_ROWS = 400_000
+#: Rows, and bytes of their values as text, of a side that is sent to every executor, at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 40_000_000
 
 
 def body(name: str = "text") -> Column:
@@ -42,12 +42,15 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[list[
             yield batch.slice(at, rows).columns
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows of at most ``size`` bytes in all, else as it is, for a shuffled join.
 
-    It counts, so ``df`` should be a stored table.
+    It counts, so ``df`` should be a stored table. Values are measured as JSON, so long texts and lists count in full.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if df.limit(rows + 1).count() > rows:
+        return df
+    taken = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= size else df
 
 
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
