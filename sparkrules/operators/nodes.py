@@ -6,12 +6,13 @@ of many rules groups or shuffles, always by ``row_id``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrules.functions import notation, tree
+from sparkrules.functions import forest, notation, tree
 
 TREE_STEPS = {**tree.TREE_STEPS, **notation.STEPS}
 
@@ -108,20 +109,28 @@ def rewrite_rules(
     """Rewrite a rule column by an ordered list of step names or Column functions of rule strings, one projection per step.
 
     Steps on trees follow one another on one tree: a rule is parsed once ahead of them and rendered once after them,
-    and only a step on texts in between asks for another reading.
+    and only a step on texts in between, or one on another kind of tree, asks for another reading. The steps of ``forest``
+    take all rules of an Arrow batch at once.
     """
     out = out or rule
-    df, name, is_tree = df.withColumn(out, F.col(rule)), "_flat", False
-    for step in steps:
-        if isinstance(step, str) and step in TREE_STEPS:
-            df = df.withColumn(name, TREE_STEPS[step](tree.relink(F.col(name)) if is_tree else tree.parse(F.col(out))))
-            is_tree = True
-            continue
-        if is_tree:
+    df, name = df.withColumn(out, F.col(rule)), "_flat"
+
+    def kind(step: str | Callable[[Column], Column]) -> str:
+        if not isinstance(step, str) or step in tree.TEXT_STEPS:
+            return "text"
+        return "forest" if step in forest.STEPS else "tree"
+
+    for of, run in itertools.groupby(steps, kind):
+        if of == "forest":
+            df = df.withColumn(out, forest.rewritten(F.col(out), list(run)))
+        elif of == "tree":
+            for k, step in enumerate(run):
+                df = df.withColumn(name, TREE_STEPS[step](tree.relink(F.col(name)) if k else tree.parse(F.col(out))))
             df = df.withColumn(out, tree.render(F.col(name))).drop(name)
-        df = df.withColumn(out, _applied(F.col(out), tree.TEXT_STEPS[step] if isinstance(step, str) else step))
-        is_tree = False
-    return df.withColumn(out, tree.render(F.col(name))).drop(name) if is_tree else df
+        else:
+            for step in run:
+                df = df.withColumn(out, _applied(F.col(out), tree.TEXT_STEPS[step] if isinstance(step, str) else step))
+    return df
 
 
 def at_level(df: DataFrame, level: str, rule: str = "rule", out: str | None = None) -> DataFrame:
