@@ -1,21 +1,27 @@
 """Scoring elements of a rule, and the greedy match between two element lists.
 
-An element is ``struct(relation, words, bag, is_entity)``: every bracket term with all words below it,
-then every term without inner terms once more as an entity. ``bag`` numbers repeated words, so that
-a multiset intersection is a plain array intersection. All of it stays inside the row.
+An element is ``(relation, words, is_entity)``: every bracket term with all words below it, then every term without
+inner terms once more as an entity. The rules of an Arrow batch are read as one columnar tree (see ``functions.forest``), in
+which the words below a term are a slice; a pair of rules is matched inside its row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import defaultdict
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkrules.functions import text as T
-from sparkrules.functions import tree
+from sparkrules.functions import fixed
+from sparkrules.functions.forest import ROWS, Forest, Words
 
 CLUE_LIMIT = 30  # a clue ends with a colon among the first characters
+ELEMENTS = "array<struct<relation:string,words:array<string>,is_entity:boolean>>"
+Element = tuple[str, list[str], bool]
 
 
 def drop_clue(c: Column) -> Column:
@@ -24,130 +30,114 @@ def drop_clue(c: Column) -> Column:
     return F.when((at > 0) & (at <= CLUE_LIMIT), F.substr(c, at + 2)).otherwise(c)
 
 
-def bag(words: Column) -> Column:
-    """Words numbered by occurrence; unchanged when all are distinct."""
-    numbered = F.transform(
-        words, lambda w, i: F.concat(w, F.lit("#"), F.size(F.filter(F.slice(words, F.lit(1), i + 1), lambda v: v == w)))
-    )
-    first = F.transform(words, lambda w: F.concat(w, F.lit("#1")))
-    return F.when(F.size(F.array_distinct(words)) == F.size(words), first).otherwise(numbered)
-
-
-def bag_size(a: Column, b: Column) -> Column:
-    """Multiset overlap of two bags."""
-    return F.size(F.array_intersect(a, b))
+def _stripped(name: str) -> str:
+    return name.strip(fixed.WHITESPACE)
+
+
+def _words(name: str) -> list[str]:
+    """As ``text.score_words``, without empty ones."""
+    marked = _stripped(name).replace("_", " _ ").replace(",", " , ")
+    camel = re.sub(r"(?<=[a-z0-9])(?=[A-Z%])", " ", marked).lower().replace("  ", " ")
+    digits = re.sub(r"(?<=[0-9])(?=[a-z])", " ", camel).replace("  ", " ")
+    dots = re.sub(r"(?<=[a-z])\.(?=[a-z])", " ", digits.replace(" k n ", " kn "))
+    return [w for w in dots.replace(" _ ", " ").split(" ") if w]
+
+
+def _listed(rules: Sequence[str | None]) -> list[list[Element]]:
+    """The ordered element list of every rule; a null rule has none."""
+    f = Forest.parsed(rules, Words(), then_at_top=True)
+    names, inner = f.words.names, np.zeros(len(f.row) + 1, bool)
+    inner[f.parent[f.is_term]] = True  # the last place takes those of the top
+    leaves = f.name[~f.is_term]
+    cut = {name: _words(names[name]) for name in np.unique(leaves).tolist()}  # each leaf is cut into words once, however many terms hold it
+    words = [w for name in leaves.tolist() for w in cut[name]]
+    sizes = np.zeros(len(f.row) + 1, np.int64)
+    sizes[1:][~f.is_term] = [len(cut[name]) for name in leaves.tolist()]
+    offsets = np.cumsum(sizes)
+    at = np.flatnonzero(f.is_term)
+    relations = f.words.table(_stripped)[f.name[at]].tolist()
+    terms: list[list[Element]] = [[] for _ in rules]
+    entities: list[list[Element]] = [[] for _ in rules]
+    for row, name, low, high, lone in zip(f.row[at].tolist(), relations, offsets[at].tolist(), offsets[f.end[at]].tolist(), (~inner[at]).tolist()):
+        below = words[low:high]
+        terms[row].append((names[name], below, False))
+        if lone:
+            entities[row].append(("", below, True))
+    return [t + e for t, e in zip(terms, entities)]
 
 
 def elements(rule: Column) -> Column:
     """The ordered element list of a rule string."""
 
-    def build(linked: Column) -> Column:
-        # each leaf is cut into words once, however many terms hold it
-        leaves = F.transform(
-            F.filter(linked, lambda n: ~n["is_term"]),
-            lambda n: F.struct(
-                n["ancestors"].alias("above"),
-                F.filter(T.score_words(T.strip(n["name"])), lambda w: w != "").alias("words"),
-            ),
-        )
-        return tree.let(F.struct(linked.alias("nodes"), leaves.alias("leaves")), from_leaves)
-
-    def from_leaves(x: Column) -> Column:
-        terms = F.filter(x["nodes"], lambda n: n["is_term"])
-        inner = F.array_distinct(F.transform(terms, lambda n: n["parent_id"]))
-
-        def term(n: Column) -> Column:
-            inside = F.filter(x["leaves"], lambda m: F.array_contains(m["above"], n["node_id"]))
-            return tree.let(
-                F.flatten(F.transform(inside, lambda m: m["words"])),
-                lambda ws: F.struct(
-                    T.strip(n["name"]).alias("relation"),
-                    ws.alias("words"),
-                    bag(ws).alias("bag"),
-                    (~F.array_contains(inner, n["node_id"])).alias("leaf"),
-                ),
-            )
-
-        def both(terms: Column) -> Column:
-            relation = F.transform(terms, lambda t: _element(t["relation"], t, False))
-            entity = F.transform(F.filter(terms, lambda t: t["leaf"]), lambda t: _element(F.lit(""), t, True))
-            return F.concat(relation, entity)
-
-        return tree.let(F.transform(terms, term), both)
+    @F.arrow_udf(ELEMENTS)
+    def run(rules: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("relation", pa.string()), ("words", pa.list_(pa.string())), ("is_entity", pa.bool_())]))
+        out = [pa.array([], kind)]
+        for at in range(0, len(rules), ROWS):
+            part = rules.slice(at, ROWS).to_pylist()
+            named = [[dict(zip(("relation", "words", "is_entity"), e)) for e in found] for found in _listed(part)]
+            out.append(pa.array([x if r is not None else None for x, r in zip(named, part)], kind))
+        return pa.concat_arrays(out)
 
-    return tree.let(tree.parse(rule, then_at_top=True), build)
+    return run(rule)
 
 
-def _element(relation: Column, t: Column, entity: bool) -> Column:
-    return F.struct(
-        relation.alias("relation"), t["words"].alias("words"), t["bag"].alias("bag"), F.lit(entity).alias("is_entity")
-    )
+def _bag(words: list[str]) -> set:
+    """Words numbered by occurrence, so that a multiset overlap is a plain one."""
+    bag: set = set(words)
+    if len(bag) < len(words):
+        seen: dict[str, int] = defaultdict(int)
+        for w in words:
+            seen[w] += 1
+            if seen[w] > 1:
+                bag.add((w, seen[w]))
+    return bag
 
 
-def drop_empty(found: Column) -> Column:
-    """Without the elements that have neither relation nor words."""
-    return F.filter(found, lambda e: (e["relation"] != "") | (F.size(e["words"]) > 0))
-
-
-def match_shares(left: Column, right: Column, entity_weight: float) -> Column:
-    """How much of ``left`` is found in ``right``, and of ``right`` in ``left``, as struct(there, back), each between 0 and 1.
+def _matched(left: list[Element], right: list[Element], entity_weight: float) -> tuple[float, float]:
+    """How much of ``left`` is found in ``right``, and of ``right`` in ``left``, each between 0 and 1.
 
     Each element of a side, in order, takes the unused element of the same relation on the other side with the largest
     word overlap (the first of equals) and scores its share of matched words; a match with an entity
-    and every entity of the side count ``entity_weight`` times.
-
-    Elements meet within their relation only, and every overlap is counted once for both directions.
+    and every entity of the side count ``entity_weight`` times. Every overlap is counted once for both directions.
     """
+    of = defaultdict(list)
+    for j, (relation, words, _) in enumerate(right):
+        of[relation].append((j, _bag(words)))
+    there: list[list[tuple[int, int]]] = [[] for _ in left]
+    back: list[list[tuple[int, int]]] = [[] for _ in right]
+    for i, (relation, words, _) in enumerate(left):
+        bag = _bag(words)
+        for j, other in of.get(relation, ()):
+            if both := len(bag & other):
+                there[i].append((j, both))
+                back[j].append((i, both))
+
+    def share(side: list[Element], others: list[Element], overlaps: list[list[tuple[int, int]]]) -> float:
+        used, score, total = set(), 0.0, 0.0
+        for (_, words, is_entity), found in zip(side, overlaps):
+            total += entity_weight if is_entity else 1.0
+            best, at = max(((n, -j) for j, n in found if j not in used), default=(0, 0))
+            if best:
+                used.add(-at)
+                score += best / len(words) * (entity_weight if others[-at][2] else 1.0)
+        return score / total if total > 0 else 0.0
+
+    return share(left, right, there), share(right, left, back)
+
+
+def match_shares(pred: Column, ref: Column, entity_weight: float) -> Column:
+    """How much of one rule's elements is found in the other's, both ways, as struct(there, back).
+
+    Elements of ``pred`` that have neither relation nor words don't count. A null rule has no elements.
+    """
+
+    @F.arrow_udf("there double, back double")
+    def run(preds: pa.Array, refs: pa.Array) -> pa.Array:
+        shares = []
+        for at in range(0, len(preds), ROWS):
+            left, right = (_listed(side.slice(at, ROWS).to_pylist()) for side in (preds, refs))
+            shares += [_matched([e for e in x if e[0] or e[1]], y, entity_weight) for x, y in zip(left, right)]
+        return pa.StructArray.from_arrays([pa.array([s[k] for s in shares], pa.float64()) for k in (0, 1)], ["there", "back"])
 
-    def place(o: Column, j: Column) -> Column:
-        weight = F.when(o["is_entity"], entity_weight).otherwise(1.0)
-        return F.struct(o["relation"].alias("relation"), o["bag"].alias("bag"), j.alias("at"), weight.alias("weight"), F.size(o["words"]).alias("n"))
-
-    def grouped(numbered: Column) -> Column:
-        relations = F.array_distinct(F.transform(numbered, lambda o: o["relation"]))
-        members = F.transform(relations, lambda r: F.filter(numbered, lambda o: o["relation"] == r))
-        return F.struct(numbered.alias("all"), relations.alias("relations"), members.alias("members"))
-
-    def others(side: Column, e: Column) -> Column:
-        return F.get(side["members"], (F.array_position(side["relations"], e["relation"]) - 1).cast("int"))
-
-    def fold(one: Column, two: Column, overlap: Callable[[Column, Column, Column], Column]) -> Column:
-        def step(acc: Column, e: Column) -> Column:
-            free = F.transform(
-                others(two, e),
-                lambda o, j: F.when(
-                    ~F.array_contains(acc["used"], o["at"]),
-                    F.struct(overlap(e, o, j).alias("overlap"), (-o["at"]).alias("order"), o["weight"].alias("weight")),
-                ),
-            )
-
-            def advance(best: Column) -> Column:
-                hit = F.coalesce(best["overlap"] > 0, F.lit(False))
-                gain = best["overlap"] / e["n"] * best["weight"]
-                taken = F.struct(F.concat(acc["used"], F.array(-best["order"])).alias("used"), (acc["score"] + gain).alias("score"))
-                return F.when(hit, taken).otherwise(acc)
-
-            return tree.let(F.array_max(free), advance)
-
-        start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("score"))
-        score = F.aggregate(one["all"], start, step, lambda acc: acc["score"])
-        extra = F.size(F.filter(one["all"], lambda e: e["weight"] != 1.0)) * (entity_weight - 1)
-        total = F.size(one["all"]) + extra
-        return F.when(total > 0, score / total).otherwise(F.lit(0.0))
-
-    def both(x: Column) -> Column:
-        one, two = x["one"], x["two"]
-        # by left element, the overlaps with the right elements of its relation in order
-        rows = F.transform(one["all"], lambda e: F.transform(others(two, e), lambda o: bag_size(e["bag"], o["bag"])))
-        # a right element's place among those of its relation is its place in such a row
-        rank = lambda o: F.size(F.filter(others(two, o), lambda v: v["at"] < o["at"]))
-
-        def shares(m: Column) -> Column:
-            there = fold(one, two, lambda e, o, j: F.get(F.get(m["rows"], e["at"]), j))
-            back = fold(two, one, lambda e, o, j: F.get(F.get(m["rows"], o["at"]), F.get(m["ranks"], e["at"])))
-            return F.struct(there.alias("there"), back.alias("back"))
-
-        return tree.let(F.struct(rows.alias("rows"), F.transform(two["all"], rank).alias("ranks")), shares)
-
-    sides = tree.let(F.struct(F.transform(left, place).alias("l"), F.transform(right, place).alias("r")), lambda x: F.struct(grouped(x["l"]).alias("one"), grouped(x["r"]).alias("two")))
-    return tree.let(sides, both)
+    return run(pred, ref)

@@ -48,9 +48,7 @@ def structure_score(
     ``post_process`` is a Column function applied to both sides before scoring.
     """
     prepare = post_process or (lambda c: c)
-    found_pred = E.drop_empty(E.elements(E.drop_clue(prepare(F.col(pred)))))
-    found_ref = E.elements(E.drop_clue(prepare(F.col(ref))))
-    scores = let(F.struct(found_pred.alias("p"), found_ref.alias("r")), lambda x: E.match_shares(x["p"], x["r"], entity_weight))
+    scores = E.match_shares(E.drop_clue(prepare(F.col(pred))), E.drop_clue(prepare(F.col(ref))), entity_weight)
     scored = pairs.withColumn("_scores", scores)
     return scored.select(*pairs.columns, F.col("_scores.there").alias("precision"), F.col("_scores.back").alias("recall"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkrules.functions import forest, notation, tree
-from sparkrules.operators import nodes
+from sparkrules.operators import nodes, score
 
 NAMES = [
     "if", "and", "or", " or", "not", "obligation", "expr", "expression", "rulestatement", "appliedstatement", "loop", "atom", " atom", "rel", "var",
@@ -68,3 +68,14 @@ def test_large_rules_cost_in_proportion(spark):
     out = nodes.rewrite_rules(df, ["atoms_short", "units_long"]).first()["rule"]
     assert out.count("atom(x.p)") == out.count("value(5.0)") == 5000
     assert time.monotonic() - start < 60
+
+
+def test_scoring_of_large_rules_costs_in_proportion(spark):
+    """A rule of 12,000 nodes against itself without its last statement."""
+    statements = [f"r{i}(x,'{i}')" for i in range(4000)]
+    df = spark.createDataFrame([(1, f"if({','.join(statements[:-1])})", f"if({','.join(statements)})")], "row_id int, pred string, ref string")
+    start = time.monotonic()
+    row = score.structure_score(df).first()
+    assert row.precision == 1 and 0.99 < row.recall < 1
+    assert score.rule_elements(df, "ref").count() == 4001 + 4000
+    assert time.monotonic() - start < 60
