@@ -101,17 +101,24 @@ def _matched(left: list[Element], right: list[Element], entity_weight: float) ->
     word overlap (the first of equals) and scores its share of matched words; a match with an entity
     and every entity of the side count ``entity_weight`` times. Every overlap is counted once for both directions.
     """
-    of = defaultdict(list)
+    # by relation and word, the elements on the right that hold it: only pairs that share a word meet
+    of: dict[str, dict] = defaultdict(lambda: defaultdict(list))
     for j, (relation, words, _) in enumerate(right):
-        of[relation].append((j, _bag(words)))
+        holders = of[relation]
+        for w in _bag(words):
+            holders[w].append(j)
     there: list[list[tuple[int, int]]] = [[] for _ in left]
     back: list[list[tuple[int, int]]] = [[] for _ in right]
     for i, (relation, words, _) in enumerate(left):
-        bag = _bag(words)
-        for j, other in of.get(relation, ()):
-            if both := len(bag & other):
-                there[i].append((j, both))
-                back[j].append((i, both))
+        if (holders := of.get(relation)) is None:
+            continue
+        counts: dict[int, int] = {}
+        for w in _bag(words):
+            for j in holders.get(w, ()):
+                counts[j] = counts.get(j, 0) + 1
+        there[i] = list(counts.items())
+        for j, both in there[i]:
+            back[j].append((i, both))
 
     def share(side: list[Element], others: list[Element], overlaps: list[list[tuple[int, int]]]) -> float:
         used, score, total = set(), 0.0, 0.0

@@ -16,6 +16,8 @@ NAMES = [
 STATEMENTS = [
     "expression(function(is),atom(relation(status),variable(order)),data(or(a,b)))", "is(order.status,or(O,X))", "loop(forEach(part),has(part,order.line))",
     "expression(function(f),atom(a.b),data(50 mm))", "not(expr(function(is),atom(variable(o)),data(and(5 mm,7 kg/m3))))",
+    "data(baseunit(kind(metre),prefix(milli),exponent(2.0)),value(5.0))",
+    "data( derivedunit(baseunit(prefix(kilo),kind(gram)),operator(name(division)),baseunit(kind(metre))), value(7.5))",
 ]
 
 
@@ -72,7 +74,7 @@ def test_large_rules_cost_in_proportion(spark):
 
 def test_scoring_of_large_rules_costs_in_proportion(spark):
     """A rule of 12,000 nodes against itself without its last statement."""
-    statements = [f"r{i}(x,'{i}')" for i in range(4000)]
+    statements = [f"r{i}(a{i},'{i}')" for i in range(4000)]
     df = spark.createDataFrame([(1, f"if({','.join(statements[:-1])})", f"if({','.join(statements)})")], "row_id int, pred string, ref string")
     start = time.monotonic()
     row = score.structure_score(df).first()
