@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from sparkrules.functions import forest, notation, tree
 
-TREE_STEPS = {**tree.TREE_STEPS, **notation.STEPS}
-
 
 def with_tree(df: DataFrame, rule: str = "rule", name: str = "tree") -> DataFrame:
     """Add the linked tree of a rule column."""
@@ -108,25 +106,18 @@ def rewrite_rules(
 ) -> DataFrame:
     """Rewrite a rule column by an ordered list of step names or Column functions of rule strings, one projection per step.
 
-    Steps on trees follow one another on one tree: a rule is parsed once ahead of them and rendered once after them,
-    and only a step on texts in between, or one on another kind of tree, asks for another reading. The steps of ``forest``
-    take all rules of an Arrow batch at once.
+    Steps on trees (those of ``forest``) take all rules of an Arrow batch at once and follow one another on one tree: a rule is parsed
+    once ahead of them and rendered once after them, and only a step on texts in between asks for another reading.
     """
     out = out or rule
-    df, name = df.withColumn(out, F.col(rule)), "_flat"
+    df = df.withColumn(out, F.col(rule))
 
     def kind(step: str | Callable[[Column], Column]) -> str:
-        if not isinstance(step, str) or step in tree.TEXT_STEPS:
-            return "text"
-        return "forest" if step in forest.STEPS else "tree"
+        return "forest" if isinstance(step, str) and step in {**forest.STEPS, **forest.RULE_STEPS} else "text"
 
     for of, run in itertools.groupby(steps, kind):
         if of == "forest":
             df = df.withColumn(out, forest.rewritten(F.col(out), list(run)))
-        elif of == "tree":
-            for k, step in enumerate(run):
-                df = df.withColumn(name, TREE_STEPS[step](tree.relink(F.col(name)) if k else tree.parse(F.col(out))))
-            df = df.withColumn(out, tree.render(F.col(name))).drop(name)
         else:
             for step in run:
                 df = df.withColumn(out, _applied(F.col(out), tree.TEXT_STEPS[step] if isinstance(step, str) else step))
