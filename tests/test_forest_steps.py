@@ -21,7 +21,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("step", sorted(forest.RULE_STEPS))
+@pytest.mark.parametrize("step", [*sorted(forest.RULE_STEPS), "values_short"])
 def test_equals_the_row_wise_step(spark, step):
     row_wise = {**tree.TREE_STEPS, **notation.STEPS}
     plain = tree.spaced_notation if step == "spaced_notation" else lambda c: tree.render(row_wise[step](tree.parse(c)))
@@ -35,7 +35,7 @@ def test_steps_follow_one_another(spark):
     """One tree through several steps gives what a reading between them gives."""
     rng = random.Random(5)
     for _ in range(4):
-        steps = rng.sample(list(forest.RULE_STEPS), 5)
+        steps = rng.sample([*forest.RULE_STEPS, "values_short"], 5)
         one = df = frame(spark, [*rules(steps[0])[:40], *ODD])
         for step in steps:
             one = nodes.rewrite_rules(one, [step])
@@ -46,8 +46,10 @@ def test_steps_follow_one_another(spark):
 def test_large_rules_cost_in_proportion(spark):
     """A rule of 30,000 nodes; a step that looks at pairs of nodes takes many minutes."""
     many = ",".join(f"obligation(lessThan(order.total,{i} mm))" for i in range(5000))
-    df = frame(spark, [f"if(and(and(a)),and({many},{many})),then(x)"])
+    values = ",".join(f"expr(is,data({i}))" for i in range(5000))
+    df = frame(spark, [f"if(and(and(a)),and({many},{many})),then(x)", f"if(or({values}))"])
     start = time.monotonic()
-    out = nodes.rewrite_rules(df, ["repair_then", "collapse_nested", "drop_duplicate_obligations", "spaced_notation"])
-    assert out.first()["rule"].count("obligation(") == 5000
+    out = nodes.rewrite_rules(df, ["repair_then", "collapse_nested", "drop_duplicate_obligations", "values_short", "spaced_notation"])
+    one, two = [r.rule for r in out.orderBy("row_id").collect()]
+    assert one.count("obligation(") == 5000 and two.count("data(") == 1 and two.count(",") == 5000
     assert time.monotonic() - start < 60
