@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrules.functions import forest, notation, tree
+from sparkrules.functions import forest, notation, readings, tree
 
 
 def with_tree(df: DataFrame, rule: str = "rule", name: str = "tree") -> DataFrame:
@@ -130,12 +130,11 @@ def at_level(df: DataFrame, level: str, rule: str = "rule", out: str | None = No
 
 
 def rule_entities(df: DataFrame, rule: str = "rule", out: str = "entities") -> DataFrame:
-    return df.withColumn(out, tree.let(tree.parse(F.col(rule)), tree.entities))
+    return df.withColumn(out, readings.entities(F.col(rule)))
 
 
 def rule_expressions(df: DataFrame, rule: str = "rule", out: str = "expressions") -> DataFrame:
-    spaced = tree.spaced_notation(F.col(rule))
-    return df.withColumn(out, tree.let(tree.parse(spaced), tree.expressions))
+    return df.withColumn(out, readings.expressions(F.col(rule)))
 
 
 def completion_pairs(
