@@ -56,7 +56,7 @@ def node_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFr
 
 def predicate_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
     """One row per relation node: relation, subject, property, object, connector and values."""
-    return df.select(key, F.inline(tree.let(tree.parse(F.col(rule)), tree.facts)))
+    return df.select(key, F.inline(readings.facts(F.col(rule))))
 
 
 def expand_alternatives(facts: DataFrame) -> DataFrame:
