@@ -141,17 +141,7 @@ def completion_pairs(
     df: DataFrame, k: int, seed: int, *, midword: bool = False, rule: str = "rule", key: str = "row_id"
 ) -> DataFrame:
     """``k`` seeded (given, wanted) pairs per rule, and the whole rule as pick 0."""
-
-    def pairs(linked: Column) -> Column:
-        whole = F.struct(
-            F.lit(0).alias("pick"), F.lit(-1).alias("node_id"), F.lit("").alias("given"), tree.render(linked).alias("wanted")
-        )
-        picks = F.transform(
-            F.sequence(F.lit(1), F.lit(k)), lambda p: tree.completion(linked, F.col(key), p, seed, midword)
-        )
-        return F.concat(F.array(whole), F.when(F.size(linked) > 0, picks).otherwise(F.slice(picks, 1, 0)))
-
-    return df.select(key, F.inline(tree.let(tree.parse(F.col(rule)), pairs)))
+    return df.select(key, F.inline(readings.completions(F.col(rule), F.col(key), k, seed, midword)))
 
 
 def rule_lint(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
