@@ -33,25 +33,7 @@ def render_rules(nodes: DataFrame, key: str = "row_id") -> DataFrame:
 
 def node_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
     """Node table with is_leaf, number of children, rank among siblings (from 0) and path of names."""
-
-    def facts(linked: Column) -> Column:
-        def one(n: Column) -> Column:
-            siblings = tree.children(linked, n["parent_id"])
-            names = F.transform(F.concat(n["ancestors"], F.array(n["node_id"])), lambda a: F.get(linked, a)["name"])
-            return F.struct(
-                n["node_id"].alias("node_id"),
-                n["parent_id"].alias("parent_id"),
-                n["depth"].alias("depth"),
-                n["name"].alias("name"),
-                tree.is_leaf(linked, n).alias("is_leaf"),
-                F.size(tree.children(linked, n["node_id"])).alias("n_children"),
-                F.size(F.filter(siblings, lambda s: s["node_id"] < n["node_id"])).alias("sibling"),
-                F.concat(F.lit("/"), F.array_join(names, "/")).alias("path"),
-            )
-
-        return F.transform(linked, one)
-
-    return df.select(key, F.inline(tree.let(tree.parse(F.col(rule)), facts)))
+    return df.select(key, F.inline(readings.node_facts(F.col(rule))))
 
 
 def predicate_facts(df: DataFrame, rule: str = "rule", key: str = "row_id") -> DataFrame:
