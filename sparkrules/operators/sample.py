@@ -153,7 +153,28 @@ def one_per_cluster(df: DataFrame, seed: int, cluster: str = "cluster", key: str
 
 
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The number of the closest centre of every vector, the lowest of equal ones. Rows do not depend on each other, nor on their batch."""
+    """The number of the closest centre of every vector, the lowest of equal ones. Rows do not depend on each other, nor on their batch.
+
+    Matrix products tell most centres apart; where two are closer to each other than such products may err, the sums of squares decide.
+    """
+    out = np.empty(len(vectors), np.int64)
+    squares = (centres * centres).sum(axis=1)
+    error = 8 * (centres.shape[1] + 8) * np.finfo(np.float64).eps
+    step = max(1, MATRIX_CELLS // max(centres.shape))
+    for at in range(0, len(vectors), step):
+        part = vectors[at : at + step]
+        with np.errstate(invalid="ignore", over="ignore"):
+            gaps = squares - 2 * (part @ centres.T)  # but for the square of the vector
+            best = gaps.argmin(axis=1)
+            margin = error * ((part * part).sum(axis=1) + squares.max())
+            clear = (gaps <= (gaps[np.arange(len(part)), best] + margin)[:, None]).sum(axis=1) == 1
+        out[at : at + step] = best
+        rest = np.flatnonzero(~clear)
+        out[at + rest] = _nearest_by_squares(part[rest], centres)
+    return out
+
+
+def _nearest_by_squares(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out = np.empty(len(vectors), np.int64)
     step = max(1, MATRIX_CELLS // centres.size)
     for at in range(0, len(vectors), step):
@@ -221,8 +242,12 @@ def _sums(centres: np.ndarray):
         for batch in batches:
             vectors = as_matrix(batch.column(0))
             found = nearest(vectors, centres)
-            np.add.at(totals, found, np.rint(vectors * FIXED_POINT).astype(np.int64))
-            counts += np.bincount(found, minlength=len(centres))
+            held, order = np.bincount(found, minlength=len(centres)), np.argsort(found, kind="stable")
+            filled = np.flatnonzero(held)
+            if len(filled):
+                fixed = np.rint(vectors * FIXED_POINT).astype(np.int64)[order]
+                totals[filled] += np.add.reduceat(fixed, (np.cumsum(held) - held)[filled])
+            counts += held
             if np.abs(totals).max() > 1 << 61:
                 yield _parts(totals, counts)
                 totals[:], counts[:] = 0, 0
