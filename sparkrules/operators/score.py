@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sparkrules.functions import elements as E
 from sparkrules.functions import text as T
@@ -14,6 +17,7 @@ from sparkrules.operators.ranking import seed_hash
 
 ENTITY_WEIGHT = 2.0
 MAX_ORDER = 4
+MOST_GRAMS = 500_000  # distinct n-grams of one key that a task counts at once
 
 
 def bag_overlap(df: DataFrame, left: str, right: str, key: str = "row_id") -> DataFrame:
@@ -68,34 +72,74 @@ def structure_f1(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _all_grams(words: Column) -> Column:
-    """Every n-gram of 1 to 4 words as struct(n, gram), repeats kept."""
+def _gram_counts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Over ``(group, pred, ref)`` in order of the group: ``group, n, gram, p, r, m``.
 
-    def order(ws: Column, n: int) -> Column:
-        return F.transform(
-            F.slice(ws, F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(0))),
-            lambda w, i: F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(ws, i + j) for j in range(n)]).alias("gram")),
-        )
-
-    def of(ws: Column) -> Column:
-        return F.concat(*[order(ws, n) for n in range(1, MAX_ORDER + 1)])
-
-    return let(words, of)
+    A group's counts are one row per order, without group key and gram, once its last row has passed. A group of more than
+    ``limit`` grams (a key that many rows share) gives its grams instead, as often as the limit is reached, to be summed up later.
+    """
+    schema: pa.Schema | None = None
+    last, counts, split = None, [], False
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
+
+    def grams() -> list[tuple]:
+        out = [(last, n, " ".join(g), p[g], r[g], 0) for n, (p, r) in enumerate(counts, 1) for g in p.keys() | r.keys()]
+        counts.clear()
+        return out
+
+    def settled() -> list[tuple]:
+        if split:
+            return grams()
+        sums = [(n, p.total(), r.total(), (p & r).total()) for n, (p, r) in enumerate(counts, 1)]
+        counts.clear()
+        return [({**last, "key": None}, n, None, p, r, m) for n, p, r, m in sums if p or r]
+
+    for batch in batches:
+        out: list[tuple] = []
+        if schema is None:
+            types = [("group", pa.struct([f.with_nullable(True) for f in batch.schema.field("group").type])), ("n", pa.int32()), ("gram", pa.string()), *[(c, pa.int64()) for c in "prm"]]
+            schema = pa.schema(types)
+        for group, *texts in zip(*[c.to_pylist() for c in batch.columns]):
+            if group != last:
+                out += settled()
+                last, split = group, False
+            if not counts:
+                counts += [(Counter(), Counter()) for _ in range(MAX_ORDER)]
+            for side, text in enumerate(texts):
+                words = text.split(" ") if text else []
+                for n, both in enumerate(counts, 1):
+                    both[side].update(zip(*(words[i:] for i in range(n))))
+            if sum(len(p) + len(r) for p, r in counts) > limit:
+                split = True
+                out += grams()
+                yield rows(out)
+                out = []
+        if out:
+            yield rows(out)
+    if last is not None and (out := settled()):
+        yield rows(out)
 
 
 def bleu_counts(pairs: DataFrame, by: Sequence[str] = (), key: str = "row_id", pred: str = "pred", ref: str = "ref") -> DataFrame:
     """Matched and total n-grams of 1 to 4 words per group, and the reference length. Counts of groups may be summed.
 
-    The texts move once, to where their key is dealt; all grams of a row are then counted there.
+    The texts move once, to where their key is dealt; rows of one key stand together there, and their grams are counted one key at a time.
     """
     by = list(by)
-    side = lambda c, p: F.transform(
-        _all_grams(T.words(c)), lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(p).alias("p"), F.lit(1 - p).alias("r"))
-    )
-    grams = pairs.repartition(key).select(*by, key, F.inline(F.concat(side(pred, 1), side(ref, 0))))
-    counts = grams.groupBy(*by, key, "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    return counts.groupBy(*by).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("p", "r")).otherwise(0)).alias(f"match_{n}") for n in range(1, MAX_ORDER + 1)],
+    group = F.struct(*[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], F.col(key).alias("key")).alias("group")
+    words = [F.array_join(T.words(c), " ").alias(side) for c, side in ((pred, "pred"), (ref, "ref"))]
+    texts = pairs.repartition(key).select(group, *words).filter("pred is not null and ref is not null").sortWithinPartitions("group")
+    nullable = StructType([StructField(f.name, f.dataType) for f in texts.schema["group"].dataType])  # counts that are settled name no key
+    schema = StructType([StructField("group", nullable), *StructType.fromDDL("n int, gram string, p long, r long, m long").fields])
+    limit = MOST_GRAMS
+    found = texts.mapInArrow(lambda batches: _gram_counts(batches, limit), schema)
+    sums = found.groupBy("group", "n", "gram").agg(*[F.sum(c).alias(c) for c in "prm"])
+    match = F.when(F.col("gram").isNull(), F.col("m")).otherwise(F.least("p", "r"))
+    names = [F.col(f"group.by_{i}").alias(c) for i, c in enumerate(by)]
+    return sums.select(*names, "n", "p", "r", match.alias("_m")).groupBy(*by).agg(
+        *[F.sum(F.when(F.col("n") == n, F.col("_m")).otherwise(0)).alias(f"match_{n}") for n in range(1, MAX_ORDER + 1)],
         *[F.sum(F.when(F.col("n") == n, F.col("p")).otherwise(0)).alias(f"total_{n}") for n in range(1, MAX_ORDER + 1)],
         F.sum(F.when(F.col("n") == 1, F.col("r")).otherwise(0)).alias("reference_length"),
     )

@@ -1,9 +1,11 @@
 """Retrieval and scoring: brute force, invariants and hand-worked scores."""
 
+import collections
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +232,42 @@ def test_bleu(spark):
     assert score.corpus_bleu(clipped).first().precision_1 == pytest.approx(1 / 3)
 
 
+@pytest.mark.parametrize("limit", [1, 7, 1_000_000])
+def test_bleu_counts_keys_one_at_a_time(spark, limit, monkeypatch):
+    monkeypatch.setattr(score, "MOST_GRAMS", limit)
+    data = [(0, 1, "a b a b c", "a b b"), (0, 1, "c a b", "a b a"), (1, 1, "a", "a"), (0, None, "x  y", "x"), (0, None, "x", "x x"), (1, 2, "", ""), (1, 3, None, "z"), (2, 4, "", "")]
+    df = spark.createDataFrame(data, "part int, row_id int, pred string, ref string").repartition(3)
+    want = {}
+    for part, key in {d[:2] for d in data}:
+        grams = [collections.Counter(), collections.Counter()]
+        for _, _, *texts in [d for d in data if d[:2] == (part, key) and None not in d[2:]]:
+            for side, words in enumerate(t.split() for t in texts):
+                grams[side].update(tuple(words[i : i + n]) for n in range(1, 5) for i in range(len(words) - n + 1))
+        if any(grams):
+            sums = want.setdefault(part, collections.Counter())
+            for n in range(1, 5):
+                p, r = ({g: c for g, c in side.items() if len(g) == n} for side in grams)
+                sums.update({f"match_{n}": sum(min(c, r.get(g, 0)) for g, c in p.items()), f"total_{n}": sum(p.values())})
+            sums["reference_length"] += sum(c for g, c in grams[1].items() if len(g) == 1)
+    got = {r.part: {k: v for k, v in r.asDict().items() if k != "part"} for r in score.bleu_counts(df, ["part"]).collect()}
+    assert got == {part: dict(sums) for part, sums in want.items()}
+    # keys above the limit hand on their grams
+    rows = sorted((d for d in data if None not in d), key=lambda d: d[:2])
+    batch = pa.RecordBatch.from_pylist([{"group": {"by_0": d[0], "key": d[1]}, "pred": " ".join(d[2].split()), "ref": d[3]} for d in rows])
+    out = [r for b in score._gram_counts(iter([batch.slice(0, 1), batch.slice(1)]), limit) for r in b.to_pylist()]
+    assert sum(r["p"] for r in out if r["n"] == 1) == sum(len(d[2].split()) for d in rows)
+    assert all(r["gram"] is None for r in out) == (limit > 100)
+
+
+def test_bleu_keeps_no_table_of_grams(spark):
+    """One task's memory: the grams of 3,000 pairs were rows of an aggregation of every gram."""
+    df = spark.range(3000).selectExpr("id as row_id", "concat_ws(' ', transform(sequence(1, 50), x -> concat('w', x * id))) as pred", "'a b' as ref")
+    found = score.bleu_counts(df)
+    found.collect()
+    grouped = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" not in grouped and "MapInArrow" in grouped
+
+
 def test_bag_overlap_counts_rows_without_words(spark):
     df = spark.createDataFrame([(1, "a a b", "a b b"), (2, "", "a")], "row_id int, pred string, ref string")
     assert {r.row_id: r.overlap for r in score.bag_overlap(df, "pred", "ref").collect()} == {1: 2, 2: 0}
