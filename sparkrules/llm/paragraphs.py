@@ -9,7 +9,7 @@ A bucket of forms that collide in a band is never paired with itself. Bands are
 spreads over tasks that stream it; the leaders of a bucket's parts are compared with each other. First every form is compared with the
 leader of its part, one row per form and bucket, drawn anew in each bucket; the verified links give components. In buckets where components
 still meet, every form is compared with the bucket's hub, the form that shares most of itself. Then only forms of one bucket in *different*
-components are compared, and of these only those whose sizes and unshared shingles leave a similarity possible (``_possible``).
+components are compared, and of these only those whose sizes, unshared shingles and parities leave a similarity possible (``_possible``).
 What is left out could not change a component, so the result is that of all colliding pairs, while a large family of
 variants costs a few comparisons each.
 
@@ -38,6 +38,7 @@ from sparkrules.storage import stored
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 10
 RECALL, MOST_BANDS, SEED = 0.999, 10, 42
 SIZE_STEP = 1.02  # ratio of the sizes of a step within which forms meet
+PARITIES = 512  # bits of a form, each the parity of its shingles of one hash value
 KEPT = 400_000  # word hashes that a task keeps
 DOCS = 64  # texts that are hashed together
 FORMS = "doc_id long, line int, start int, end int, form binary, bands array<bigint>"
@@ -208,7 +209,7 @@ def _members(reps: DataFrame) -> DataFrame:
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """``form, n, u``: the distinct shingles of each of these texts, and how many of them stand in no other of the texts."""
+    """``form, n, u, odd``: the distinct shingles of each of these texts, how many of them stand in no other of the texts, and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(1, 1)
@@ -221,13 +222,15 @@ def _shingled(texts: DataFrame) -> DataFrame:
             sets = [np.unique(x) for x in np.split(hashes.view(np.int64), starts[1:])]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([names.filter(pa.array(keep)), lists], ["form", "h"])
+            odd = [np.packbits(np.bincount(x & (PARITIES - 1), minlength=PARITIES) & 1).view(np.int64) for x in sets]
+            words_of = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITIES // 64), pa.int32()), pa.array(np.concatenate(odd)))
+            yield pa.RecordBatch.from_arrays([names.filter(pa.array(keep)), lists, words_of], ["form", "h", "odd"])
 
-    each = texts.select("form", "words").mapInArrow(run, "form binary, h array<long>")
+    each = texts.select("form", "words").mapInArrow(run, "form binary, h array<long>, odd array<long>")
     each = stored(each)
     single = each.select("form", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("form").alias("form")).filter("c = 1")
     own = single.groupBy("form").agg(F.count(F.lit(1)).alias("u"))
-    return each.select("form", F.size("h").cast("long").alias("n")).join(own, "form", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    return each.select("form", F.size("h").cast("long").alias("n"), "odd").join(own, "form", "left").withColumn("u", F.coalesce("u", F.lit(0)))
 
 
 def _possible(rest: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
@@ -236,17 +239,22 @@ def _possible(rest: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame
     Of the ``n`` shingles of a form, ``u`` stand in no other form at hand. So it shares ``n - u`` with another at most; a similarity of t takes
     ``t / (1 + t) * (n + m)`` common ones, which bounds the size m of the other. Nothing similar is left out. Forms are met by steps of size
     within their bounds, so an edited copy that has grown too unlike any text of its own size meets none of its family.
+
+    Every parity in which two forms differ takes a shingle that one of them has and the other has not, and a similarity of t leaves
+    ``(1 - t) / (1 + t) * (n + m)`` of those at most. This is looked at inside the join, so the texts of other pairs are never fetched.
     """
     t, tiny = similarity, 1e-9
     most = F.floor((F.col("n") - F.col("u")) * ((1 + t) / t) + tiny) - F.col("n")
     bounds = sizes.select(
-        "form", "n", F.ceil(F.col("n") * t - tiny).alias("low"), F.least(F.floor(F.col("n") / t + tiny), most).alias("high")
+        "form", "n", F.ceil(F.col("n") * t - tiny).alias("low"), F.least(F.floor(F.col("n") / t + tiny), most).alias("high"), "odd"
     ).filter("low <= high")
     step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / math.log(SIZE_STEP)).cast("int")
     sized = rest.join(bounds, "form")
-    left = sized.select("bucket", F.col("form").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), "low", "high", F.explode(F.sequence(step("low"), step("high"))).alias("step"))
-    right = sized.select("bucket", F.col("form").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), step("n").alias("step"))
+    left = sized.select("bucket", F.col("form").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), "low", "high", F.col("odd").alias("ox"), F.explode(F.sequence(step("low"), step("high"))).alias("step"))
+    right = sized.select("bucket", F.col("form").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.col("odd").alias("oy"), step("n").alias("step"))
     met = left.join(right, ["bucket", "step"]).filter("rx < ry and ny between low and high and nx between low_y and high_y")
+    unlike = sum((F.bit_count(F.col("ox")[i].bitwiseXOR(F.col("oy")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    met = met.filter(unlike <= F.floor((F.col("nx") + F.col("ny")) * ((1 - t) / (1 + t)) + tiny))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

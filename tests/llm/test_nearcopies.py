@@ -73,6 +73,19 @@ def test_possible_pairs_hold_all_similar_ones(spark):
     assert similar <= got and len(got) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_unlike_members_of_a_family_do_not_meet(spark):
+    random.seed(33)
+    base = prose(170)
+    texts = {i.to_bytes(2): edited(base, 3 + i % 2) for i in range(150)}
+    texts |= {(500 + i).to_bytes(2): edited(texts[i.to_bytes(2)], 1) for i in range(20)}
+    df = spark.createDataFrame([(bytearray(f), t) for f, t in texts.items()], "form binary, words string")
+    rest = df.selectExpr("1L as bucket", "form", "form as root")
+    got = {(bytes(r.a), bytes(r.b)) for r in p._possible(rest, p._shingled(df), 0.8).collect()}
+    sets = {f: set(zip(*(t.split()[k:] for k in range(5)))) for f, t in texts.items()}
+    similar = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(similar) >= 20 and similar <= got and len(got) < len(similar) + len(sets) * (len(sets) - 1) / 2 / 20
+
+
 def test_repeats_nulls_and_empty_tables(tables):
     text = prose(90)
     got = n.clean(tables([(3, text), (3, text), (None, text), (None, prose(60)), (None, None)])).collect()
