@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 
 from sparkrules.llm.tables import body, packed, with_fields
 
-KEPT = 300_000
+KEPT = 1_200_000  # some 200 MB
 ROWS = 256  # per batch that a task returns
 SPACES = b"\t\n\x0b\x0c\r "
 

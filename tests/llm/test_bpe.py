@@ -44,3 +44,13 @@ def test_tables(spark, tables):
     got = sorted(((r.doc_id, r.ids, r.decoded) for r in out), key=str)
     assert got == sorted(((i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows), key=str)
     assert bpe.round_trip(tables([]), PATH, "doc_id").collect() == []
+
+
+def test_half_a_million_fragments_are_encoded_once():
+    asked = []
+    kept = bpe._Kept(lambda fragment: asked.append(fragment) or [1])
+    names = [b"%d" % i for i in range(500_000)]
+    for _ in range(2):
+        for name in names:
+            kept[name]
+    assert len(asked) == len(names)
