@@ -15,6 +15,12 @@ variants costs a few comparisons each.
 
 Of each component the occurrence with the least ``(doc_id, line)`` is kept; all others are removals.
 
+**Passages.** A repeated passage inside longer, unlike lines makes no similar paragraphs. So texts are also cut into *pieces* of ``PIECE`` words,
+wherever lines end: of the pieces that start in a stretch of ``PASSAGE`` words, the one of the least hash is taken (all, if several). What is taken depends on
+the words of the stretch only, so a passage of ``PASSAGE`` words or more that stands in two places gives both the same piece: none is missed. Equal
+pieces (128 bits) are a cluster. Its first place outside removed paragraphs is kept, or its first one; pieces within a removed paragraph are
+gone with it. A removal that meets the kept place is left out. Removals of one text that overlap and have their kept places in one text are one row.
+
 Defined cases: null and empty texts have no paragraphs; null ids sort last; paragraphs repeated within a text are occurrences
 like others; an empty table gives no rows; other columns are not read.
 """
@@ -28,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrules.llm.components import components
@@ -41,6 +47,8 @@ SIZE_STEP = 1.02  # ratio of the sizes of a step within which forms meet
 PARITIES = 512  # bits of a form, each the parity of its shingles of one hash value
 KEPT = 400_000  # word hashes that a task keeps
 DOCS = 64  # texts that are hashed together
+PASSAGE, PIECE = 50, 25  # words of the shortest passage that is always found, and of what is compared
+PIECES = "h long, c long, doc_id long, line int, last int, start int, end int"
 FORMS = "doc_id long, line int, start int, end int, form binary, bands array<bigint>"
 
 
@@ -83,10 +91,14 @@ class Signer:
         self.kept[word] = out = xxhash.xxh64_intdigest(word, SEED)
         return out
 
+    def words(self, paragraphs: list[list[bytes]]) -> np.ndarray:
+        """The hashes of all words."""
+        kept = self.kept
+        return np.array([kept.get(w) or self._word(w) for p in paragraphs for w in p], np.uint64)
+
     def shingles(self, paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all shingles, repeats included, and where those of each paragraph start (each of ``SHINGLE`` words or more)."""
-        kept, sizes = self.kept, np.array([len(p) for p in paragraphs])
-        words = np.array([kept.get(w) or self._word(w) for p in paragraphs for w in p], np.uint64)
+        sizes, words = np.array([len(p) for p in paragraphs]), self.words(paragraphs)
         n = len(words) - SHINGLE + 1
         hashes = sum((words[i : i + n] * step for i, step in enumerate(self.steps)), np.zeros(n, np.uint64))
         hashes = (hashes ^ (hashes >> np.uint64(31))) * self.steps[0]
@@ -134,7 +146,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """``form, words`` of the wanted ``(doc_id, line, form)``, each from one place that holds it."""
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines")).withColumnRenamed("doc_id", "_d")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    rows = rows.join(per_doc, rows["doc_id"].eqNullSafe(F.col("_d"))).select("text", "lines")
+    # nearly every text is wanted, so this side grows with the table and is never sent to all executors
+    rows = rows.join(per_doc.hint("merge"), rows["doc_id"].eqNullSafe(F.col("_d"))).select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,3 +331,105 @@ def clusters(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST
     return out.select(
         "doc_id", "line", "start", "end", F.col("k.doc_id").alias("cluster_doc_id"), F.col("k.line").alias("cluster_line"), kept.alias("kept")
     )
+
+
+def _slid(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """``of`` over every ``width`` neighbours."""
+    span = 1
+    while 2 * span <= width:
+        x, span = of(x[:-span], x[span:]), 2 * span
+    rest = width - span
+    return of(x[:-rest], x[rest:]) if rest else x
+
+
+def chosen(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Which hashes are the least of any ``width`` neighbours."""
+    least = _slid(hashes, width, np.minimum)
+    edge = np.zeros(width - 1, hashes.dtype)
+    return np.flatnonzero(_slid(np.concatenate([edge, least, edge]), width, np.maximum) == hashes)
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """The taken pieces of every text: their 128 bits, their place, and the lines in which they start and end."""
+    draw = np.random.default_rng(SEED + 1)
+    steps = draw.integers(0, 1 << 63, (2, PIECE), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def hashed(words: np.ndarray, own: np.ndarray) -> np.ndarray:
+        n = len(words) - PIECE + 1
+        out = np.zeros(n, np.uint64)
+        for i, step in enumerate(own):
+            out += words[i : i + n] * step
+        out = (out ^ (out >> np.uint64(32))) * own[0]
+        return out ^ (out >> np.uint64(29))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(1, 1)
+        for names, texts in pieces(batches, DOCS):
+            found = [(name, t, w) for name, t in zip(names.to_pylist(), texts.to_pylist()) if len(w := t.encode().lower().split()) >= PASSAGE]
+            if not found:
+                continue
+            words = signer.words([w for _, _, w in found])
+            h, c = (hashed(words, own) for own in steps)
+            columns, at = [], 0
+            for name, text, w in found:
+                n = len(w) - PIECE + 1
+                take = chosen(h[at : at + n], PASSAGE - PIECE + 1)
+                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+                edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))  # starts and ends of words in turn
+                start, end = edges[::2][take], edges[1::2][take + PIECE - 1]
+                ahead = np.cumsum(codes == 10)
+                columns.append((h[at + take], c[at + take], [name] * len(take), ahead[start], ahead[end - 1], start, end))
+                at += len(w)
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+            arrays = [[x for part in columns for x in part[2]] if i == 2 else np.concatenate([part[i] for part in columns]) for i in range(7)]
+            arrays = [pa.array(x.view(np.int64) if i < 2 else x, kinds[i]) for i, x in enumerate(arrays)]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "doc_id", "line", "last", "start", "end"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(run, PIECES)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows in order of ``h, c``: those that have an equal neighbour. Only the last row of a batch is held back."""
+    held, same = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            (batch,) = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()
+        h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        equal = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        keep = np.concatenate([[same], equal])
+        same = bool(keep[-1])
+        keep[:-1] |= equal
+        held = batch.slice(batch.num_rows - 1)
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+    if same:
+        yield held
+
+
+def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The removals of repeated passages, beside those of paragraphs ``gone(doc_id, line)``: their place, and the kept place of their first piece."""
+    found = stored(cut(docs).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_repeated, PIECES))
+    lost = gone.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line").alias("lost"))
+    lines = F.sequence("line", "last")
+    rows = found.join(lost, found["doc_id"].eqNullSafe(F.col("_d")), "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<int>")))
+    rows = rows.filter((F.col("line") < F.col("last")) | ~F.array_contains("lost", F.col("line")))
+    rows = stored(rows.select(*found.columns, F.arrays_overlap("lost", lines).alias("broken")))
+    place = F.struct("broken", F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end", "line")
+    groups = rows.groupBy("h", "c").agg(F.min(place).alias("k"), F.max(place).alias("z")).filter("k <> z").drop("z")
+    meets = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("start") < F.col("k.end")) & (F.col("end") > F.col("k.start"))
+    rows = rows.join(groups, ["h", "c"]).filter(~meets)
+    rows = rows.select("doc_id", "line", "start", "end", F.col("k.doc_id").alias("cluster_doc_id"), F.col("k.line").alias("cluster_line")).distinct()
+    one = Window.partitionBy("doc_id", "cluster_doc_id").orderBy("start", "end", "cluster_line")
+    reach = F.max("end").over(one.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(one))
+    first = F.min(F.struct("start", "line", "cluster_line")).alias("at")
+    runs = rows.groupBy("doc_id", "cluster_doc_id", "run").agg(first, F.max("end").alias("end"))
+    return runs.select("doc_id", "at.line", "at.start", "end", "cluster_doc_id", "at.cluster_line")
+
+
+def removals(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
+    """Every place of a paragraph or passage that goes, with the place that is kept for it."""
+    gone = stored(clusters(docs, similarity, least).filter("not kept").drop("kept"))
+    return gone.unionByName(passages(docs, gone))

@@ -1,4 +1,5 @@
 import random
+import re
 
 from sparkrules.llm import paragraphs as p
 
@@ -60,3 +61,48 @@ def test_offsets_and_empty_tables(tables):
     assert [text[a:b].lower().encode().split() == w for _, a, b, w in p.lines(text)] == [True, True]
     assert p.clusters(tables([])).collect() == []
     assert p.clusters(tables([(1, line(40)), (2, line(40))])).collect() == []
+
+
+def covered(spans, a, b):
+    return any(x <= a and b <= y for x, y in spans)
+
+
+def test_passages_inside_unlike_lines(tables):
+    shared, short = line(60), line(20)
+    mixed = lambda text: f"{line(80)} {text} {line(90)}"
+    texts = [mixed(shared), mixed(shared.upper()), mixed(short), mixed(short), mixed(shared.replace(" ", "\n", 30)), mixed(line(60)), "é " + mixed(shared)]
+    assert p.clusters(tables([*enumerate(texts)])).collect() == []
+    got = p.removals(tables([*enumerate(texts), (4, texts[4]), (None, texts[1])])).collect()
+    assert {r.doc_id for r in got} == {1, 4, 6, None} and {r.cluster_doc_id for r in got} <= {0, 1}
+    for r in got:
+        text = texts[1 if r.doc_id is None else r.doc_id]
+        gone, kept = text[r.start : r.end].lower().split(), texts[r.cluster_doc_id].lower()
+        assert len(gone) >= p.PIECE and " ".join(gone) in kept and text[: r.start].count("\n") == r.line
+
+
+def test_passages_equal_brute_force_of_pieces(tables):
+    common = [line(random.randint(50, 120)) for _ in range(5)]
+    texts = [" ".join(random.choice([line(30), x[: random.randint(0, 3)] + " " + x]) for x in random.choices(common, k=4)) for _ in range(30)]
+    rows = [*enumerate(texts), (99, "x " * 400)]
+    got = p.removals(tables(rows)).collect()
+    words = {i: t.split() for i, t in rows}
+    seen, first = {}, {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 49):
+            seen.setdefault(" ".join(words[i][k : k + 50]), []).append((i, k))
+    lost = {i: [(r.start, r.end) for r in got if r.doc_id == i] for i in words}
+    for places in seen.values():
+        for i, k in places[1:]:
+            if i == places[0][0]:
+                continue
+            # some piece of every repeated stretch of 50 words is gone, whole
+            at = [m.start() for m in re.finditer(r"\S+", dict(rows)[i])] + [len(dict(rows)[i]) + 1]
+            assert any(covered(lost[i], at[j], at[j + 25] - 1) for j in range(k, k + 26))
+    assert min(a for a, _ in lost[99]) >= 49  # the first of what a text repeats stays
+
+
+def test_pieces_next_to_a_removed_line(tables):
+    shared, whole = line(60), line(40)
+    rows = [(1, whole), (2, f"{whole}\n{line(30)} {shared}"), (3, f"{line(70)} {shared} {line(20)}"), (4, f"{line(50)}\n{whole}")]
+    got = sorted((r.doc_id, r.line, r.cluster_doc_id, r.cluster_line) for r in p.removals(tables(rows)).collect())
+    assert got == [(2, 0, 1, 0), (3, 0, 2, 1), (4, 1, 1, 0)]
