@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from sparkrules.storage import stored
 CENTRE_ROWS = 64  # rows per centre among which the first centres are sought
 FIXED_POINT = 1 << 30  # steps of a vector component in exact sums
 MATRIX_CELLS = 1 << 20  # numbers of a block of differences
+BLOCK_ROWS, MOST_TASKS = 512, 256  # vectors of a block; tasks of a round of k-means, unless the cluster has more cores
 
 
 def tail_split(df: DataFrame, order: Sequence[str], frac: float) -> DataFrame:
@@ -208,21 +210,17 @@ def cluster(df: DataFrame, k: int, seed: int, vector: str = "embedding", key: st
 
     Starts from ``spread_centres`` and goes on until no centre moves: every row is then at its nearest centre and every centre is the mean of
     its rows. Sums are whole numbers (components times ``FIXED_POINT``, below 2^19 before it), so neither the partitioning nor a lost
-    executor changes a digit. A round is one pass over the vectors, and k sums come to the driver. Rows without a vector have no cluster.
+    executor changes a digit. A round is one stage over blocks of vectors, which stay in the executors or on their disks meanwhile; k sums per
+    task, of a bounded number of tasks, come to the driver. Rows without a vector have no cluster.
     """
     kept = df.filter(F.col(vector).isNotNull())
-    vectors = stored(kept.select(F.col(vector).cast("array<double>").alias("v")))
-    centres, seen = spread_centres(kept, k, seed, vector, key), set()
-    while len(centres):
-        found = vectors.mapInArrow(_sums(centres), "cluster long, dim int, n long, total long").groupBy("cluster", "dim")
-        found = found.agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()
-        moved = centres.copy()
-        for r in found:
-            moved[r.cluster, r.dim] = int(r.total) / r.n / FIXED_POINT
-        if np.array_equal(moved, centres) or moved.tobytes() in seen:
-            break
-        seen.add(moved.tobytes())
-        centres = moved
+    centres = spread_centres(kept, k, seed, vector, key)
+    if len(centres):
+        tasks = df.sparkSession.sparkContext.defaultParallelism
+        vectors = kept.select(F.col(vector).cast("array<double>").alias("v"))
+        # dealt out, since a table of one file would be one task in every round
+        blocks = stored(vectors.repartition(tasks).mapInArrow(_packed_blocks, "v binary")).coalesce(max(tasks, MOST_TASKS))
+        centres = _fitted(blocks, centres)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,6 +234,52 @@ def cluster(df: DataFrame, k: int, seed: int, vector: str = "embedding", key: st
     return packed.mapInArrow(assigned, schema).select("_row.*", "cluster").unionByName(none)
 
 
+def _packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as the bytes of blocks of them: a round then copies memory instead of reading lists number by number."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([as_matrix(batch.column(0).slice(at, BLOCK_ROWS)).tobytes()], pa.binary())], ["v"])
+
+
+def _block_sums(centres: np.ndarray):
+    """``_sums`` over blocks, as arrays."""
+    dims = centres.shape[1]
+
+    def run(blocks: Iterator[bytes]) -> Iterator[list[np.ndarray]]:
+        numbers = (pa.Array.from_buffers(pa.float64(), len(b) // 8, [None, pa.py_buffer(b)]) for b in blocks)
+        lists = (pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, dims), pa.int32()), x) for x in numbers)
+        for part in _sums(centres)(pa.RecordBatch.from_arrays([x], ["v"]) for x in lists):
+            yield [c.to_numpy() for c in part.columns]
+
+    return run
+
+
+def _fitted(blocks: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The centres when none moves any more."""
+    held, seen = blocks.rdd.map(lambda row: bytes(row.v)).persist(StorageLevel.MEMORY_AND_DISK), set()
+    try:
+        while True:
+            parts = held.mapPartitions(_block_sums(centres)).collect()
+            moved = _moved(centres, *map(np.concatenate, zip(*parts)))
+            if np.array_equal(moved, centres) or moved.tobytes() in seen:
+                return centres
+            seen.add(moved.tobytes())
+            centres = moved
+    finally:
+        held.unpersist()
+
+
+def _moved(centres: np.ndarray, cluster: np.ndarray, dim: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The means of all parts; a centre without rows stays. Totals are added as two halves of 32 bits, which do not overflow."""
+    halves, counts = np.zeros((2, *centres.shape), np.int64), np.zeros(centres.shape, np.int64)
+    for part, values in ((halves[0], total >> 32), (halves[1], total & 0xFFFFFFFF), (counts, n)):
+        np.add.at(part, (cluster, dim), values)
+    out = centres.copy()
+    for place in zip(*np.nonzero(counts)):
+        out[place] = ((int(halves[0][place]) << 32) + int(halves[1][place])) / int(counts[place]) / FIXED_POINT
+    return out
+
+
 def _sums(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, counts = np.zeros(centres.shape, np.int64), np.zeros(len(centres), np.int64)
